@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fixity_spark.llm.common import tune
-from fixity_spark.llm.words import lower_ascii, ngram_hashes, slices, span_hashes, text_buffer, word_spans  # noqa: F401
+from fixity_spark.llm.words import _BASES, _BYTES, _powers, lower_ascii, mix, slices, span_hashes, text_buffer, word_spans
 
 #: Labelled documents of each language that the model is fitted on, in expectation; counts of labels use all.
 TRAIN_DOCS = 300
@@ -137,13 +137,11 @@ class Forward:
 
 def span_hashes_at(raw: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:
     """span_hashes of n bytes at each start, cheaper for short spans at scattered places."""
-    from fixity_spark.llm.words import _BASES, _BYTES, _powers, mix
-
     power, _ = _powers(_BASES[0][0], PIECE + 1)
     h = np.zeros(len(start), np.uint64)
     for i in range(n):
         h += _BYTES[0][raw[start + i]] * power[i]
-    return mix(h + np.uint64(n) * np.uint64(0xD6E8FEB86659FD93))
+    return mix(h + np.uint64(n * 0xD6E8FEB86659FD93 % 2**64))
 
 
 def fit(docs: DataFrame, labelled, path: str, train_docs: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fixity_spark.llm import exact, langid, mixing, packing
+from fixity_spark.llm import exact, langid, mixing, packing, pii, secrets, tokens
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,11 +26,23 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(_documents(spark, sf_dir))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(_documents(spark, sf_dir))
+
+
+def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_report(_documents(spark, sf_dir))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_pack_best_fit, op4_language_id, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_pack_best_fit, op4_language_id, op5_personal_data, op6_secret_scan, op7_token_ids, op10_exact_dedup)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

@@ -1,0 +1,214 @@
+"""Secrets in texts and in what is encoded inside them."""
+
+from __future__ import annotations
+
+import base64
+import binascii
+import bz2
+import gzip
+import hashlib
+import io
+import re
+import zlib
+from collections import deque
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from fixity_spark.llm.common import tune
+from fixity_spark.llm.words import text_buffer
+
+KINDS = ("assign", "access", "hex")
+#: Bytes that one compressed layer may unpack to; a larger one is not text that holds a pasted secret.
+LAYER_BYTES = 64 << 20
+
+_ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+_ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
+_HEX = re.compile(r"[0-9a-f]{16,}")
+_NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
+
+#: An escaped percent sign before more digits is another layer of the same escape; all are taken at once.
+_ESCAPE = re.compile(r"%(?:25)*[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#x[0-9A-Fa-f]{1,6};")
+_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+_HEXED = re.compile(r"(?:[0-9a-fA-F]{2}){12,}")
+
+
+def base_spans(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of the patterns, by start, then kind in the order of KINDS."""
+    out = []
+    low = text.lower()
+    if any(name in low for name in _NAMES):
+        out += [(*m.span(), "assign") for m in _ASSIGN.finditer(text) if len(m[1]) >= 12]
+    if "AKIA" in text:
+        out += [(*m.span(), "access") for m in _ACCESS.finditer(text)]
+    out += [(*m.span(), "hex") for m in _HEX.finditer(text)]
+    return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
+
+
+def _unescape(text: str):
+    """The text with URL, HTML and Unicode escapes resolved, and where each of its characters came from."""
+    chars: list[str] = []
+    begin: list[int] = []
+    end: list[int] = []
+    at, pending, since = 0, bytearray(), 0
+
+    def flush(upto: int) -> None:
+        if pending:
+            got = pending.decode("utf-8", "replace")
+            chars.extend(got)
+            begin.extend([since] * len(got))
+            end.extend([upto] * len(got))
+            pending.clear()
+
+    for m in _ESCAPE.finditer(text):
+        if m.start() > at:
+            flush(at)
+            chars.extend(text[at : m.start()])
+            begin.extend(range(at, m.start()))
+            end.extend(range(at + 1, m.start() + 1))
+        s = m[0]
+        if s[0] == "%":  # bytes of one character may be spread over several escapes
+            if pending and pending[-1] < 0x80:
+                flush(m.start())
+            since = since if pending else m.start()
+            pending.append(int(s[-2:], 16))
+        else:
+            flush(m.start())
+            code = int(s[2:], 16) if s[0] == "\\" else int(s[3:-1], 16) if s[2] in "xX" else int(s[2:-1])
+            chars.append(chr(code) if code < 0xD800 or 0xDFFF < code < 0x110000 else "�")
+            begin.append(m.start())
+            end.append(m.end())
+        at = m.end()
+    flush(at)
+    chars.extend(text[at:])
+    begin.extend(range(at, len(text)))
+    end.extend(range(at + 1, len(text) + 1))
+    return "".join(chars), begin, end
+
+
+def _unpack(raw: bytes) -> bytes:
+    """What compressed bytes unpack to, or the bytes as they are."""
+    try:
+        if raw[:2] == b"\x1f\x8b":
+            got = gzip.GzipFile(fileobj=io.BytesIO(raw)).read(LAYER_BYTES + 1)
+        elif raw[:3] == b"BZh":
+            got = bz2.BZ2Decompressor().decompress(raw, LAYER_BYTES + 1)
+        elif raw[:4] == b"\x28\xb5\x2f\xfd":
+            import zstandard
+
+            got = zstandard.ZstdDecompressor().stream_reader(raw).read(LAYER_BYTES + 1)
+        elif len(raw) > 2 and raw[0] == 0x78 and (raw[0] * 256 + raw[1]) % 31 == 0:
+            got = zlib.decompressobj().decompress(raw, LAYER_BYTES + 1)
+        else:
+            return raw
+    except Exception:  # not what its first bytes say
+        return raw
+    return got if got and len(got) <= LAYER_BYTES else raw
+
+
+def _readable(raw: bytes) -> str | None:
+    """The bytes as text, where they are text."""
+    for _ in range(64):  # compressed in turn
+        if (got := _unpack(raw)) is raw:
+            break
+        raw = got
+    try:
+        text = raw.decode("utf-8")
+    except UnicodeDecodeError:
+        return None
+    return text if text and sum(c.isprintable() or c in "\t\r\n" for c in text) >= 0.97 * len(text) else None
+
+
+def _layers(text: str):
+    """Layers found in a text: (decoded text, start of each character, end of each character)."""
+    if _ESCAPE.search(text):
+        yield _unescape(text)
+    for pattern in (_BASE64, _HEXED):
+        for m in pattern.finditer(text):
+            s = m[0]
+            try:
+                if pattern is _HEXED:
+                    raw = bytes.fromhex(s)
+                else:
+                    body = s.rstrip("=").replace("-", "+").replace("_", "/")
+                    raw = base64.b64decode(body[: len(body) - (len(body) % 4 == 1)] + "=" * (-len(body) % 4 % 3))
+            except (ValueError, binascii.Error):
+                continue
+            if (got := _readable(raw)) is not None:
+                yield got, m.start(), m.end()
+
+
+def decoded_spans(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, decoded_<kind>) of secrets inside encoded layers, at the place that encodes them.
+
+    A worklist of layers: each is scanned, then searched for layers of its own. A layer seen before is not
+    taken up again, so self-reproducing encodings end. A span inside an unescaped layer maps to the escapes
+    of its characters; one inside a packed layer maps to the whole run that encodes it.
+    """
+    plain = {(s, e) for s, e, _ in base_spans(text)}
+    seen, found = set(), set()
+    work = deque((layer, None) for layer in _layers(text))
+    while work:
+        (inner, begin, end), outer = work.popleft()
+
+        def place(s: int, e: int, begin=begin, end=end, outer=outer) -> tuple[int, int]:
+            s, e = (begin, end) if isinstance(begin, int) else (begin[s], end[e - 1])
+            return outer(s, e) if outer else (s, e)
+
+        if not inner or (mark := (hashlib.sha1(inner.encode()).digest(), place(0, len(inner)))) in seen:
+            continue
+        seen.add(mark)
+        for s, e, kind in base_spans(inner):
+            if (at := place(s, e)) not in plain:
+                found.add((*at, f"decoded_{kind}"))
+        work.extend((layer, place) for layer in _layers(inner))
+    return sorted(found)
+
+
+def _worth_decoding(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """For each document whether it has an escape character or a run long enough to encode a layer."""
+    worth = np.zeros(len(off) - 1, bool)
+    doc_of = lambda at: np.searchsorted(off, at, side="right") - 1
+    worth[doc_of(np.flatnonzero((raw == 37) | (raw == 92) | (raw == 38)))] = True
+    inside = np.concatenate([[False], _RUN[raw], [False]])
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    start, end = edge[::2], edge[1::2]
+    long = end - start >= 20
+    first, last = doc_of(start[long]), doc_of(end[long] - 1)
+    worth[first] = worth[last] = True
+    for i, j in zip(first[last > first], last[last > first], strict=True):  # documents whose texts run on
+        worth[i : j + 1] = True
+    return worth
+
+
+_RUN = np.zeros(256, bool)
+_RUN[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")] = True
+
+
+def find_secrets(docs: DataFrame) -> DataFrame:
+    """One row per row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
+
+    The counts and base_sha256 cover the base patterns in the text itself. spans also lists secrets in nested
+    URL, HTML, Unicode, base64, hexadecimal and compressed layers, under kinds decoded_assign, decoded_access
+    and decoded_hex, at the stretch of the text that encodes them. Offsets are code points, ends exclusive. A
+    null text counts as empty; rows repeated with the same id get a row each; other columns are not read.
+    """
+    tune(docs.sparkSession)
+    order = {k: i for i, k in enumerate([*KINDS, *(f"decoded_{k}" for k in KINDS)])}
+    show = lambda spans: ",".join(f"{kind}:{start}:{end}" for start, end, kind in spans)
+
+    def scan(batches):
+        for b in batches:
+            raw, off = text_buffer(b.column(1))
+            base = [base_spans(t or "") for t in b.column(1).to_pylist()]
+            spans = list(base)
+            for i in np.flatnonzero(_worth_decoding(raw, off)):
+                if more := decoded_spans(b.column(1)[int(i)].as_py() or ""):
+                    spans[i] = sorted(base[i] + more, key=lambda s: (s[0], order[s[2]]))
+            counts = [pa.array([sum(s[2] == kind for s in a) for a in base], pa.int64()) for kind in KINDS]
+            yield pa.RecordBatch.from_arrays([b.column(0), *counts, pa.array([hashlib.sha256(show(a).encode()).hexdigest() for a in base]), pa.array([show(s) for s in spans])], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+
+    schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, schema)
