@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import contextlib
+import gc
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +20,24 @@ BATCH_BYTES = 8 << 20
 def tune(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes: rows of whole texts differ in size by orders of magnitude."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    ship(spark)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, unless PYTHONPATH already leads to it."""
+    root = Path(__file__).resolve().parents[2]
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    out = Path(tempfile.mkdtemp(prefix="spark-fixity-", dir="/tmp")) / "fixity_spark_package.zip"
+    with zipfile.ZipFile(out, "w") as z:
+        for p in sorted((root / "fixity_spark").rglob("*.py")):
+            z.write(p, p.relative_to(root))
+    spark.sparkContext.addPyFile(str(out))
+    _SHIPPED.add(app)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -52,6 +74,11 @@ class Scratch:
     def read(self, table: str, like: DataFrame) -> DataFrame:
         return self.spark.read.schema(like.schema).parquet(self.path(table))
 
+    def tidy(self) -> None:
+        """Let Spark remove shuffle files of finished steps now; it does so when the driver collects garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, table: str) -> None:
         with contextlib.suppress(Exception):  # a scratch table that stays costs space only
             self.fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(self.path(table)), True)

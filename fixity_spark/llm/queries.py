@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fixity_spark.llm import exact, langid, mixing, packing, pii, secrets, tokens
+from fixity_spark.llm import embeddings, exact, langid, mixing, ngram_join, packing, pii, secret_scan, substring, tokens
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_documents(spark, sf_dir))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(_documents(spark, sf_dir))
+
+
 def op3_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir))
 
@@ -31,23 +35,32 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.find_secrets(_documents(spark, sf_dir))
+    return secret_scan.find_secrets(_documents(spark, sf_dir))
 
 
 def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_report(_documents(spark, sf_dir))
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_groups(_documents(spark, sf_dir), words=4, percent=85)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_pack_best_fit, op4_language_id, op5_personal_data, op6_secret_scan, op7_token_ids, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_substring_dedup, op3_pack_best_fit, op4_language_id, op5_personal_data, op6_secret_scan, op7_token_ids, op8_embedding_near_dedup, op9_ngram_jaccard, op10_exact_dedup)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 ORACLES = {
     "op1_mix_sources": mixing.ORACLE_SQL,
+    "op8_embedding_near_dedup": embeddings.ORACLE_SQL,
     "op10_exact_dedup": f"""
 WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')) AS text_sha256 FROM documents)
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id IS NOT DISTINCT FROM max(doc_id) OVER g AS kept, text_sha256

@@ -122,3 +122,53 @@ def word_counts(column: pa.Array) -> np.ndarray:
         _, _, doc = word_spans(raw[off[i] : off[j]], part)
         out[i:j] = np.bincount(doc, minlength=j - i)
     return out
+
+
+class HashIndex:
+    """Positions by 64-bit hash, in a large sorted array and a small recent one that is merged into it now and then."""
+
+    def __init__(self):
+        self.parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))] * 2
+
+    def __len__(self) -> int:
+        return sum(len(k) for k, _ in self.parts)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The position of each hash, -1 where there is none."""
+        out = np.full(len(hashes), -1, np.int64)
+        for keys, places in self.parts:
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+                out = np.where(keys[at] == hashes, places[at], out)
+        return out
+
+    def add(self, hashes: np.ndarray, places: np.ndarray) -> None:
+        """Adds hashes that are not held yet."""
+        (old, old_at), (new, new_at) = self.parts
+        new, new_at = _sorted(np.concatenate([new, hashes]), np.concatenate([new_at, places]))
+        if len(new) > max(50_000, len(old) // 4):
+            old, old_at = _sorted(np.concatenate([old, new]), np.concatenate([old_at, new_at]))
+            new, new_at = new[:0], new_at[:0]
+        self.parts = [(old, old_at), (new, new_at)]
+
+
+def _sorted(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    return keys[order], values[order]
+
+
+class Store:
+    """Rows appended to one array that grows by doubling."""
+
+    def __init__(self, like: np.ndarray):
+        self.rows, self.n = like[:0].copy(), 0
+
+    def append(self, more: np.ndarray) -> int:
+        """Adds rows; the position of the first."""
+        if self.n + len(more) > len(self.rows):
+            grown = np.empty((max(2 * len(self.rows), self.n + len(more), 1024), *self.rows.shape[1:]), self.rows.dtype)
+            grown[: self.n] = self.rows[: self.n]
+            self.rows = grown
+        self.rows[self.n : self.n + len(more)] = more
+        self.n += len(more)
+        return self.n - len(more)
