@@ -14,8 +14,9 @@ from fixity_spark.schema import CONFIG, MANIFEST, PROBE
 _PLACE = r"/([0-9]{4})/([^/]+)/(.+)$"
 
 
-def _place(path: Column) -> dict[str, Column]:
-    decoded = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+def _place(path: Column, encoded: bool = False) -> dict[str, Column]:
+    """Year, slug and rel of a path; paths in _metadata are URL-encoded, others are not."""
+    decoded = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))) if encoded else path
     return {"year": F.regexp_extract(decoded, _PLACE, 1).try_cast("int"), "slug": F.regexp_extract(decoded, _PLACE, 2), "rel": F.regexp_extract(decoded, _PLACE, 3)}
 
 
@@ -53,7 +54,7 @@ def parse_manifest_lines(text: Column) -> Column:
 def read_manifests(spark: SparkSession, glob: str, location: str) -> DataFrame:
     """Rows of the manifests that glob names, each at <year>/<slug>/; of a repeated path the last line holds."""
     texts = spark.read.text(glob, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
-    rows = texts.select(*[c.alias(k) for k, c in _place(F.col("path")).items() if k != "rel"], F.explode(parse_manifest_lines(F.col("value"))).alias("x"))
+    rows = texts.select(*[c.alias(k) for k, c in _place(F.col("path"), encoded=True).items() if k != "rel"], F.explode(parse_manifest_lines(F.col("value"))).alias("x"))
     last = rows.groupBy("year", "slug", F.col("x.rel").alias("rel")).agg(F.max_by("x.digest", "x.line").alias("digest"))
     return drop_self_entry(last.withColumn("location", F.lit(location)))
 
