@@ -22,7 +22,7 @@ from fixity_spark.llm.words import slices, text_buffer
 CHUNK_BYTES, BUCKET_BYTES = 2 << 20, 8 << 20
 LEAST_BUCKETS = 256
 #: Bytes of a key that a bucket compares; the bucket's own number holds more.
-SHORT = 5
+SHORT = 4
 
 
 def write_chunks(docs: DataFrame, scratch: Scratch, table: str = "chunks") -> DataFrame:
@@ -77,6 +77,18 @@ def unpack_keys(data: bytes) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
+def pack_planes(values: np.ndarray) -> bytes:
+    """Fixed-width values byte plane by byte plane; planes of high bytes are mostly constant and compress."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+
+
+def unpack_planes(column: pa.ChunkedArray, kind) -> np.ndarray:
+    """The values of all messages of a column."""
+    width = np.dtype(kind).itemsize
+    parts = [np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(width, -1).T).view(kind).reshape(-1) for x in column.to_pylist()]
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
+
+
 def joined(column: pa.ChunkedArray) -> bytes:
     return b"".join(column.to_pylist())
 

@@ -75,7 +75,11 @@ class Scratch:
         return self.spark.read.schema(like.schema).parquet(self.path(table))
 
     def tidy(self) -> None:
-        """Let Spark remove shuffle files of finished steps now; it does so when the driver collects garbage."""
+        """Let Spark remove shuffle files of finished steps now; it does so when the driver collects garbage.
+
+        The last query is still referred to until another one runs, so an empty one runs first.
+        """
+        self.spark.range(1).repartition(1).write.format("noop").mode("overwrite").save()
         gc.collect()
         self.spark._jvm.System.gc()
 

@@ -86,7 +86,7 @@ def _answer_blocks(table: pa.Table) -> pa.Table:
 def _ask_windows(buckets: int, window: int, block: int):
     def ask(left: pa.Table, right: pa.Table) -> pa.Table:
         """The windows of a chunk that hold an anchor hit: distinct ones, each with its first place in the chunk."""
-        empty = pa.table({"bucket": pa.array([], pa.int32()), "chunk": pa.array([], pa.int64()), "keys": pa.array([], pa.binary()), "first": pa.array([], pa.binary()), "many": pa.array([], pa.binary())})
+        empty = pa.table({"bucket": pa.array([], pa.int32()), "chunk": pa.array([], pa.int64()), **{c: pa.array([], pa.binary()) for c in ("keys", "more", "place", "spot", "many")}})
         if not left.num_rows or not right.num_rows:
             return empty
         known = np.sort(np.concatenate([C.unpack_keys(k) | np.uint64(b) << np.uint64(8 * C.SHORT) for k, b in zip(right["keys"].to_pylist(), right["bucket"].to_pylist(), strict=True)]))
@@ -95,41 +95,38 @@ def _ask_windows(buckets: int, window: int, block: int):
         hit[at + 1] = C.member(C.short_keys(h, buckets), known)
         hits = np.cumsum(hit)
         held = hits[wide + window - block + 1] > hits[wide]
-        wide, one, two = wide[held], one[held], two[held]
+        wide, one, two = wide[held], one[held], two[held].astype("<u4")
         if not len(wide):
             return empty
         place, first_word = _doc_keys(ids)[doc[wide]], np.searchsorted(doc, doc[wide])
         spot = wide - first_word
         order = np.lexsort((spot, place, two, one))
-        one, two, place, spot = one[order], two[order], place[order], spot[order]
+        one, two, place, spot = one[order], two[order], place[order], spot[order].astype("<u4")
         begin = np.flatnonzero(np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
         many = (np.diff(np.append(begin, len(one))) > 1).astype(np.uint8)
-        keys = np.stack([one[begin], two[begin]], 1)
-        firsts = np.stack([place[begin], spot[begin]], 1)
-        return pa.Table.from_batches([C.messages(int(left["chunk"][0].as_py()), one[begin], buckets, {"keys": lambda c: keys[c].tobytes(), "first": lambda c: firsts[c].tobytes(), "many": lambda c: many[c].tobytes()})])
+        one, sent = one[begin], {"more": two[begin], "place": place[begin], "spot": spot[begin], "many": many}
+        packed = {"keys": lambda c: C.pack_planes(one[c])} | {k: lambda c, v=v: C.pack_planes(v[c]) for k, v in sent.items()}
+        return pa.Table.from_batches([C.messages(int(left["chunk"][0].as_py()), one, buckets, packed)])
 
     return ask
 
 
 def _answer_windows(table: pa.Table) -> pa.Table:
     """For each chunk the windows that start earlier elsewhere (again), or only in itself but more than once (own)."""
-    data = table["keys"].to_pylist()
-    keys = np.frombuffer(b"".join(data), np.uint64).reshape(-1, 2)
-    first = np.frombuffer(C.joined(table["first"]), np.int64).reshape(-1, 2)
-    many = np.frombuffer(C.joined(table["many"]), np.uint8)
-    source = np.repeat(np.arange(len(data)), [len(x) // 16 for x in data])
-    order = np.lexsort((first[:, 1], first[:, 0], keys[:, 1], keys[:, 0]))
-    keys, source, many, first = keys[order], source[order], many[order], first[order]
-    fresh = np.append(True, (keys[1:] != keys[:-1]).any(1))[: len(keys)]
-    group = np.cumsum(fresh) - 1
+    one, two, place, spot, many = (C.unpack_planes(table[c], kind) for c, kind in (("keys", "<u8"), ("more", "<u4"), ("place", "<i8"), ("spot", "<u4"), ("many", "u1")))
+    source = np.repeat(np.arange(table.num_rows), [len(x) // 8 for x in table["keys"].to_pylist()])
+    order = np.lexsort((spot, place, two, one))
+    one, two, place, spot, source, many = (x[order] for x in (one, two, place, spot, source, many))
+    fresh = np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]))[: len(one)]
     begin = np.flatnonzero(fresh)
+    first = begin[np.cumsum(fresh) - 1]
     # rows that repeat an id may share the first place itself; none of them is earlier
-    earliest = (first == first[begin][group]).all(1)
+    earliest = (place == place[first]) & (spot == spot[first])
     chunk = table["chunk"].to_numpy()
     again, own = ~earliest, earliest & (many > 0)
     parts = {}
     for name, chosen in (("again", again), ("own", own)):
-        s, k = source[chosen], keys[chosen, 0]
+        s, k = source[chosen], one[chosen]
         o = np.argsort(s, kind="stable")
         s, k = s[o], k[o]
         cut = C.runs(s)
@@ -182,7 +179,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, wi
     earlier in the same document. Every document is cut into non-overlapping reference blocks of `block` words,
     which are indexed; every rolling window of `block` words of every document probes them. A block that occurs
     at least twice is an anchor. Anchors are extended word by word: each `window`-word stretch that holds one is
-    compared, by a 128-bit hash, with all others, and consecutive repeated stretches form a maximal exact repeat.
+    compared, by a 96-bit hash, with all others, and consecutive repeated stretches form a maximal exact repeat.
     A passage that many documents share is one key with many places, and only its first place is kept; places
     are never paired.
 
@@ -198,7 +195,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, wi
     asked = held.select("chunk", "blob").mapInArrow(_ask_blocks(buckets, block), "bucket int, chunk long, keys binary, flags binary")
     anchors = scratch.write(asked.groupBy("bucket").applyInArrow(_answer_blocks, "chunk long, bucket int, keys binary"), "anchors")
     scratch.tidy()
-    windows = held.groupBy("chunk").cogroup(anchors.groupBy("chunk")).applyInArrow(_ask_windows(buckets, window, block), "bucket int, chunk long, keys binary, first binary, many binary")
+    windows = held.groupBy("chunk").cogroup(anchors.groupBy("chunk")).applyInArrow(_ask_windows(buckets, window, block), "bucket int, chunk long, keys binary, more binary, place binary, spot binary, many binary")
     repeats = scratch.write(windows.groupBy("bucket").applyInArrow(_answer_windows, "chunk long, again binary, own binary"), "repeats")
     scratch.drop("anchors")
     scratch.tidy()
