@@ -12,7 +12,8 @@ from fixity_spark.llm import exact, langid, mixing, ngram_join, packing
 from fixity_spark.llm.common import Scratch
 
 #: A text whose language is less likely than this among the known ones is rejected, as is one of no language.
-LEAST_SCORE = 0.5
+#: Even short clean texts score higher; with four languages 0.25 is the least there can be.
+LEAST_SCORE = 0.3
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
