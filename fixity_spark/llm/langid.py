@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fixity_spark.llm.common import tune
-from fixity_spark.llm.words import _BASES, _BYTES, _powers, lower_ascii, mix, slices, span_hashes, text_buffer, word_spans
+from fixity_spark.llm.words import _BASES, _BYTES, HashIndex, Store, _powers, lower_ascii, mix, slices, span_hashes, text_buffer, word_spans
 
 #: Labelled documents of each language that the model is fitted on, in expectation; counts of labels use all.
 TRAIN_DOCS = 300
@@ -67,7 +67,7 @@ class Forward:
     by hash, so a worker scores a word once while it stays in the table.
     """
 
-    KEPT = 400_000
+    KEPT = 2_000_000
 
     def __init__(self, path: str, logp: np.ndarray):
         found = pieces(path)
@@ -76,7 +76,10 @@ class Forward:
         order = np.argsort(h := span_hashes(raw, off[:-1], off[1:]))
         self.hashes, self.prob = h[order], np.exp(logp)[order]  # pieces x languages
         self.langs = logp.shape[1]
-        self.known, self.score = np.zeros(0, np.uint64), np.zeros((0, self.langs))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.index, self.scores = HashIndex(), Store(np.zeros((0, self.langs), np.float32))
 
     def lookup(self, h: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
@@ -109,29 +112,26 @@ class Forward:
             nth = np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)
             s = start[which] + nth * WORD
             start, end, doc = s, np.minimum(s + WORD, end[which]), doc[which]
-        h = span_hashes(raw, start, end)
-        distinct, first, back = np.unique(h, return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.known, distinct), max(0, len(self.known) - 1))
-        fresh = np.ones(len(distinct), bool) if not len(self.known) else self.known[at] != distinct
-        if fresh.any():
+        distinct, first, back = np.unique(span_hashes(raw, start, end), return_index=True, return_inverse=True)
+        row = self.index.find(distinct)
+        if (new := row < 0).any():
+            if len(self.index) + int(new.sum()) > self.KEPT:
+                self._forget()
+                new = np.ones(len(distinct), bool)
             # each word is preceded by one space, as pieces of running text are
-            s, e = start[first[fresh]], end[first[fresh]]
+            s, e = start[first[new]], end[first[new]]
             size = e - s + 1
             begin = np.cumsum(size) - size
             spaced = np.full(int(size.sum()), 32, np.uint8)
             inner = np.ones(len(spaced), bool)
             inner[begin] = False
             spaced[inner] = raw[np.repeat(s - begin, size - 1) + np.flatnonzero(inner) - 1]
-            new = np.concatenate([self.score_words(spaced, begin[i : i + 20_000], (begin + size)[i : i + 20_000]) for i in range(0, len(begin), 20_000)])
-            if len(self.known) + len(new) > self.KEPT:
-                keep = ~fresh
-                self.known, self.score = distinct[keep], self.score[at[keep]] if keep.any() else np.zeros((0, self.langs))
-            hashes = np.concatenate([self.known, distinct[fresh]])
-            order = np.argsort(hashes)
-            self.known, self.score = hashes[order], np.concatenate([self.score, new])[order]
-            at = np.searchsorted(self.known, distinct)
+            row[new] = np.arange(len(s)) + self.scores.n
+            for i in range(0, len(begin), 20_000):
+                self.scores.append(self.score_words(spaced, begin[i : i + 20_000], (begin + size)[i : i + 20_000]))
+            self.index.add(distinct[new], row[new])
         n = len(off) - 1
-        scores = self.score[at[back]] if len(back) else np.zeros((0, self.langs))
+        scores = self.scores.rows[row[back]]
         return np.stack([np.bincount(doc, scores[:, k], minlength=n) for k in range(self.langs)], 1), np.bincount(doc, minlength=n)
 
 
@@ -222,7 +222,7 @@ def predict_languages(docs: DataFrame, labelled, path: str | None = None, train_
             raw, off = text_buffer(b.column(1))
             total, words = np.zeros((b.num_rows, max(1, len(langs)))), np.zeros(b.num_rows, np.int64)
             if langs:
-                for i, j in slices(off):
+                for i, j in slices(off, 4 << 20):
                     total[i:j], words[i:j] = model.documents(raw[off[i] : off[j]], off[i : j + 1] - off[i])
             mean = total / np.maximum(words, 1)[:, None]
             best = mean.argmax(1)
