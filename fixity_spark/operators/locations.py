@@ -9,6 +9,15 @@ from fixity_spark.functions.paths import normalise_name
 from fixity_spark.functions.values import used_ratio
 
 
+#: Rows of a location table that are broadcast; a larger one is left to the optimizer.
+SMALL = 10_000
+
+
+def small(dim: DataFrame) -> DataFrame:
+    """dim with a broadcast hint where it is known to be small."""
+    return F.broadcast(dim) if dim.limit(SMALL + 1).count() <= SMALL else dim
+
+
 def covers_year(year: Column, year_from: Column, year_to: Column) -> Column:
     """whether a location is responsible for a year; 0 and null leave a side open."""
     low, high = F.coalesce(year_from, F.lit(0)), F.coalesce(year_to, F.lit(0))
@@ -27,14 +36,14 @@ def select_locations(loc: DataFrame, role: str | None = None, names: list[str] |
 
 def scope(coll: DataFrame, loc: DataFrame, role: str = "cold") -> DataFrame:
     """Collections with the mounted locations of a role that cover their year (dst, dst_ord)."""
-    dim = F.broadcast(select_locations(loc, role).select(F.col("name").alias("dst"), F.col("ord").alias("dst_ord"), F.col("year_from").alias("_from"), F.col("year_to").alias("_to")))
+    dim = small(select_locations(loc, role).select(F.col("name").alias("dst"), F.col("ord").alias("dst_ord"), F.col("year_from").alias("_from"), F.col("year_to").alias("_to")))
     return coll.join(dim, covers_year(F.col("year"), F.col("_from"), F.col("_to"))).drop("_from", "_to")
 
 
 def expand_destinations(src: DataFrame, loc: DataFrame, role: str | None = None, names: list[str] | None = None, in_scope: bool = False) -> DataFrame:
     """Each source row (column src) with every eligible destination but itself (dst, dst_ord)."""
     dim = select_locations(loc, role, names, pull_only=not in_scope)
-    dim = F.broadcast(dim.select(F.col("name").alias("dst"), F.col("ord").alias("dst_ord"), F.col("year_from").alias("_from"), F.col("year_to").alias("_to")))
+    dim = small(dim.select(F.col("name").alias("dst"), F.col("ord").alias("dst_ord"), F.col("year_from").alias("_from"), F.col("year_to").alias("_to")))
     on = F.col("src") != F.col("dst")
     if in_scope:
         on &= covers_year(F.col("year"), F.col("_from"), F.col("_to"))

@@ -30,20 +30,20 @@ def season_slugs(dated: DataFrame, counters: DataFrame, inv: DataFrame) -> DataF
     first = next_numbers(counters, max_number(inv))
     ranked = found.withColumn("k", F.row_number().over(W.partitionBy("year").orderBy(season_order(F.col("season")))))
     num = F.coalesce("next_num", F.lit(1)) + F.col("k") - 1
-    return ranked.join(F.broadcast(first), "year", "left").select("year", "season", slug(num, F.col("season")).alias("slug"))
+    return ranked.join(first, "year", "left").select("year", "season", slug(num, F.col("season")).alias("slug"))
 
 
 def assign_numbers(days: DataFrame, counters: DataFrame) -> DataFrame:
     """Numbers and slugs of the new collections in days(year, day, name): after the counter, in order of day."""
     ranked = days.withColumn("k", F.row_number().over(W.partitionBy("year").orderBy("day")))
     num = F.coalesce("last_num", F.lit(0)) + F.col("k")
-    return ranked.join(F.broadcast(counters), "year", "left").select("year", "day", num.alias("num"), slug(num, F.col("name")).alias("slug"))
+    return ranked.join(counters, "year", "left").select("year", "day", num.alias("num"), slug(num, F.col("name")).alias("slug"))
 
 
 def reconcile_counters(observed: DataFrame, counters: DataFrame, exact: bool = False) -> DataFrame:
     """Counters (year, last_num, new_num) of the years seen; raised only, or set exactly when a year was named."""
     new = F.col("max_num") if exact else F.greatest("max_num", F.coalesce("last_num", F.lit(0)))
-    return observed.join(F.broadcast(counters), "year", "left").select("year", F.coalesce("last_num", F.lit(0)).alias("last_num"), new.alias("new_num"))
+    return observed.join(counters, "year", "left").select("year", F.coalesce("last_num", F.lit(0)).alias("last_num"), new.alias("new_num"))
 
 
 def peek(counters: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fixity_spark.functions.paths import is_junk, is_numbered, number
 from fixity_spark.functions.values import cell_state
 from fixity_spark.operators.diff import with_digests
+from fixity_spark.operators.locations import small
 from fixity_spark.schema import COLLECTION
 
 
@@ -65,7 +66,7 @@ def bytes_per_destination(plan: DataFrame) -> DataFrame:
 
 def capacity_check(totals: DataFrame, loc: DataFrame) -> DataFrame:
     """Whether what is to be copied exceeds the room at each destination."""
-    room = F.broadcast(loc.select(F.col("name").alias("dst"), "avail_bytes"))
+    room = small(loc.select(F.col("name").alias("dst"), "avail_bytes"))
     return totals.join(room, "dst").select("dst", "to_copy", "avail_bytes", (F.col("to_copy") > F.col("avail_bytes")).alias("too_large"))
 
 

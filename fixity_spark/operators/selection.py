@@ -68,6 +68,6 @@ def resolve_number(coll: DataFrame, wanted: DataFrame, across_years: bool = Fals
     key = ["num"] if across_years else ["year", "num"]
     named = coll.withColumn("num", number(F.col("slug")))
     order = [F.col("year").desc()] if across_years else []
-    found = named.join(F.broadcast(wanted.select(*key).distinct()), key, "left_semi")
+    found = named.join(wanted.select(*key).distinct(), key, "left_semi")
     ranked = found.withColumn("_rank", F.row_number().over(W.partitionBy(*key).orderBy(*order, "ord", "slug")))
     return ranked.where("_rank = 1").select("num", "year", "slug")

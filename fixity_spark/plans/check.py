@@ -27,8 +27,8 @@ def compare(inv: DataFrame, loc: DataFrame) -> DataFrame:
     held = selection.copies(inv).select(*COLLECTION, F.col("location").alias("dst"))
     pairs = pairs.join(held, [*COLLECTION, "dst"], "left_semi")
     rows = inv.select(*KEY, "location", "size_bytes")
-    of_ref = rows.join(F.broadcast(pairs), COLLECTION).where("location = ref").select(*KEY, "dst", F.col("size_bytes").alias("ref_size"))
-    of_dst = rows.withColumnRenamed("location", "dst").join(F.broadcast(pairs.drop("ref")), [*COLLECTION, "dst"], "left_semi").select(*KEY, "dst", F.col("size_bytes").alias("dst_size"))
+    of_ref = rows.join(pairs, COLLECTION).where("location = ref").select(*KEY, "dst", F.col("size_bytes").alias("ref_size"))
+    of_dst = rows.withColumnRenamed("location", "dst").join(pairs.drop("ref"), [*COLLECTION, "dst"], "left_semi").select(*KEY, "dst", F.col("size_bytes").alias("dst_size"))
     return of_ref.join(of_dst, [*KEY, "dst"], "full_outer")
 
 
@@ -42,7 +42,7 @@ def findings(inv: DataFrame, man: DataFrame, loc: DataFrame) -> DataFrame:
     reference, pairs = targets(inv, loc)
     looked_at = reference.select(*COLLECTION, F.col("ref").alias("location")).unionByName(pairs.select(*COLLECTION, F.col("dst").alias("location"))).distinct()
     ghost = diff.ghosts(inv, man).join(looked_at, [*COLLECTION, "location"], "left_semi").select(*COLLECTION, "location", F.lit("ghost").alias("kind"), "rel", none.alias("ref_digest"), none.alias("other_digest"))
-    of_ref = man.join(F.broadcast(pairs), COLLECTION).where("location = ref").select(*KEY, "dst", F.col("digest").alias("ref_digest"))
+    of_ref = man.join(pairs, COLLECTION).where("location = ref").select(*KEY, "dst", F.col("digest").alias("ref_digest"))
     of_dst = man.select(*KEY, F.col("location").alias("dst"), F.col("digest").alias("other_digest"))
     conflict = of_ref.join(of_dst, [*KEY, "dst"]).where("ref_digest <> other_digest").select(*COLLECTION, F.col("dst").alias("location"), F.lit("conflict").alias("kind"), "rel", "ref_digest", "other_digest")
     return reduce(DataFrame.unionByName, [compared, ghost, conflict])
@@ -71,6 +71,6 @@ def missing_summary(inv: DataFrame, loc: DataFrame) -> DataFrame:
     """Files of each collection that are missing from each archive in scope, counted."""
     reference, pairs = targets(inv, loc)
     rows = inv.select(*KEY, "location")
-    wanted = rows.join(F.broadcast(pairs), COLLECTION).where("location = ref").select(*KEY, "dst")
+    wanted = rows.join(pairs, COLLECTION).where("location = ref").select(*KEY, "dst")
     lacking = wanted.join(rows.withColumnRenamed("location", "dst"), [*KEY, "dst"], "left_anti")
     return lacking.groupBy(*COLLECTION, F.col("dst").alias("location")).agg(F.count("*").alias("n_missing"))

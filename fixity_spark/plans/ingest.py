@@ -23,12 +23,11 @@ def ingest_plan(arrivals: DataFrame, sidecars: DataFrame, inv: DataFrame, counte
     nowhere. Files go to <card>/<rel> of their collection, at every mounted location of the roles that lacks them.
     """
     dated = assign_shot_day(arrivals, sidecars).withColumn("year", F.year("day"))
-    given = F.broadcast(assignments)
     fresh = assignments.where("slug IS NULL AND name IS NOT NULL").select(F.year("day").alias("year"), "day", "name")
     new = numbering.assign_numbers(fresh, counters).select("day", F.col("slug").alias("new_slug"))
-    slugged = dated.join(given, "day").join(F.broadcast(new), "day", "left").withColumn("slug", F.coalesce("slug", "new_slug")).where("slug IS NOT NULL")
+    slugged = dated.join(assignments, "day").join(new, "day", "left").withColumn("slug", F.coalesce("slug", "new_slug")).where("slug IS NOT NULL")
     placed = slugged.select("year", "slug", "card", F.concat_ws("/", "card", "rel").alias("rel"), "size_bytes")
     dst = locations.select_locations(loc).where(F.col("role").isin(*roles)).select(F.col("name").alias("dst"))
-    wanted = placed.join(F.broadcast(dst))
+    wanted = placed.join(locations.small(dst))
     plan = wanted.join(inv.select("year", "slug", "rel", F.col("location").alias("dst")), ["year", "slug", "rel", "dst"], "left_anti")
     return plan, diff.duplicate_arrivals(dated.select("year", "rel"), inv)

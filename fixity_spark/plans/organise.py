@@ -31,7 +31,7 @@ def organise_plan(files: DataFrame, counters: DataFrame, inv: DataFrame, regroup
     """(location, year, rel, new_slug, new_name) of loose files; those without a date go to _unsorted."""
     found = dated(organise_candidates(files, regroup), allow_mtime)
     slugs = numbering.season_slugs(found, counters, inv).withColumnRenamed("slug", "new_slug")
-    sorted_ = found.where("season IS NOT NULL").join(F.broadcast(slugs), ["year", "season"])
+    sorted_ = found.where("season IS NOT NULL").join(slugs, ["year", "season"])
     named = numbering.resolve_collisions(sorted_, ["location", "year", "new_slug"]).select("location", "year", "rel", "size_bytes", "new_slug", "new_name")
     rest = found.where("season IS NULL").withColumn("new_slug", F.lit("_unsorted")).withColumn("rel_flat", F.replace("rel", F.lit("/"), F.lit("_")))
     return named.unionByName(rest.select("location", "year", "rel", "size_bytes", "new_slug", F.col("rel_flat").alias("new_name")))
@@ -81,9 +81,9 @@ def apply_path_map(inv: DataFrame, man: DataFrame, path_map: DataFrame) -> tuple
 
     Manifests of collections that take in or lose files are stale and go.
     """
-    renamed = inv.join(F.broadcast(path_map), COLLECTION, "left").withColumn("slug", F.coalesce("new_slug", "slug")).drop("new_slug").select(*inv.columns)
+    renamed = inv.join(path_map, COLLECTION, "left").withColumn("slug", F.coalesce("new_slug", "slug")).drop("new_slug").select(*inv.columns)
     touched = path_map.select(*COLLECTION).unionByName(path_map.select("year", F.col("new_slug").alias("slug"))).distinct()
-    return renamed, man.join(F.broadcast(touched), COLLECTION, "left_anti").select(*man.columns)
+    return renamed, man.join(touched, COLLECTION, "left_anti").select(*man.columns)
 
 
 def recover_counters(inv: DataFrame, counters: DataFrame, year: int | None = None) -> DataFrame:

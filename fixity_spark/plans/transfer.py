@@ -18,7 +18,7 @@ PLAN = ["year", "slug", "src", "dst", "rel", "size_bytes"]
 def _lacking(inv: DataFrame, pairs: DataFrame) -> DataFrame:
     """J1 over all (collection, src, dst) pairs at once: files of src whose path dst lacks."""
     rows = diff.drop_self_entry(inv).select(*KEY, "location", "size_bytes")
-    offered = rows.join(F.broadcast(pairs.select(*COLLECTION, "src", "dst")), COLLECTION).where("location = src").select(*PLAN)
+    offered = rows.join(pairs.select(*COLLECTION, "src", "dst"), COLLECTION).where("location = src").select(*PLAN)
     return offered.join(rows.select(*KEY, F.col("location").alias("dst")), [*KEY, "dst"], "left_anti").select(*PLAN)
 
 
@@ -43,7 +43,7 @@ def replicate_plan(inv: DataFrame, loc: DataFrame, years: list[int] | None = Non
     inv = inv.where(F.col("year").isin(*years)) if years else inv
     sources = _sources(selection.pick_first(selection.copies(inv), "cold"))
     scoped = locations.scope(inv.select("year").distinct(), loc).groupBy("year").agg(F.count("*").alias("n")).where("n > 1")
-    sources = sources.join(F.broadcast(scoped), "year", "left_semi")
+    sources = sources.join(scoped, "year", "left_semi")
     return _lacking(inv, locations.expand_destinations(sources, loc, "cold", in_scope=True))
 
 
@@ -52,7 +52,7 @@ def _chosen(inv: DataFrame, numbers: list[int] | None, sub: str | None) -> DataF
         years = inv.select("year").distinct()
         wanted = years.withColumn("num", F.explode(F.array(*map(F.lit, numbers))))
         slugs = selection.resolve_number(inv.select("year", "slug", "ord").distinct(), wanted).select("year", "slug")
-        inv = inv.join(F.broadcast(slugs), COLLECTION, "left_semi")
+        inv = inv.join(slugs, COLLECTION, "left_semi")
     return inv.where(under_prefix(F.col("rel"), sub)) if sub else inv
 
 
