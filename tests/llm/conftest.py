@@ -1,19 +1,9 @@
-import re
-
 import pytest
 
 #: Columns that operators use inside; inputs may have them, too.
 CLASHING = ("size", "n", "id", "chunk", "keep_id", "kept", "copies", "rank", "target", "bucket", "keys", "component_id", "_1", "span", "class", "label")
 
 
-def words(text):
-    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
-
-
-def low(text):
-    return "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
-
-
 @pytest.fixture(scope="session")
 def sample(spark):
     """The smallest table of documents, as it is."""

@@ -2,7 +2,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
-from conftest import words
+from llm_helpers import words
 from pyspark.sql import functions as F
 
 from fixity_spark.llm import exact, mixing

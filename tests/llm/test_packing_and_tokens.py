@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
-from conftest import low, words
+from llm_helpers import low, words
 
 from fixity_spark.llm import packing, tokens
 

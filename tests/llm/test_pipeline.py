@@ -1,6 +1,6 @@
 from collections import Counter
 
-from conftest import low, words
+from llm_helpers import low, words
 
 import corpus_pipeline as P
 

@@ -2,7 +2,7 @@ import hashlib
 import random
 
 import pytest
-from conftest import low, words
+from llm_helpers import low, words
 
 from fixity_spark.llm import ngram_join, substring
 
