@@ -16,7 +16,7 @@ from fixity_spark.llm.words import lower_ascii, text_buffer, word_counts
 #: Words in a bin, and documents of one source that may share a bin.
 CAPACITY, PER_SOURCE = 2048, 4
 #: Pieces packed together; shards are independent, so their number grows with the input.
-SHARD = 2000
+SHARD = 1000
 
 
 def _measure(batches):
@@ -92,8 +92,6 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, per_source: int =
     sized = scratch.write(narrow.mapInArrow(_measure, "_fx_row long, doc_id long, source string, _fx_words long, _fx_cluster long"), "sized")
     n = sized.where(f"_fx_words % {capacity} > 0").count()
     shards = max(1, n // SHARD)
-    if n >= 256:
-        shards = max(shards, 256 if n >= 20_000 else n // 64)
     whole = F.col("_fx_words") - F.col("_fx_words") % capacity
     key = F.pmod(F.xxhash64("doc_id", "_fx_row"), F.lit(shards)).cast("int")
     full = sized.where(F.col("_fx_words") >= capacity).select("doc_id", "source", "_fx_row", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"_fx_words div {capacity} - 1"))).alias("piece"))
