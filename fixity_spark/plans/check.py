@@ -17,30 +17,40 @@ def targets(inv: DataFrame, loc: DataFrame) -> tuple[DataFrame, DataFrame]:
     return reference, locations.scope(reference, loc).where("dst <> ref")
 
 
-def compare(inv: DataFrame, loc: DataFrame) -> DataFrame:
+def compare(inv: DataFrame, loc: DataFrame, reference: str = "first") -> DataFrame:
     """Paths of the reference copy and of each archive in scope, side by side: one join for all of them.
 
+    With reference "union", a path of any copy of the reference's role stands for the reference, at the size of
+    the first location that lists it, so that a file only on a second hot copy is seen.
+
     Columns: collection, rel, dst, ref_size, dst_size; a null size means the file is not there. Archives that
     hold nothing of the collection are left out; see only_copies.
     """
-    reference, pairs = targets(inv, loc)
+    if reference not in ("first", "union"):
+        raise ValueError("reference is first or union")
+    picked, pairs = targets(inv, loc)
     held = selection.copies(inv).select(*COLLECTION, F.col("location").alias("dst"))
     pairs = pairs.join(held, [*COLLECTION, "dst"], "left_semi")
     rows = inv.select(*KEY, "location", "size_bytes")
-    of_ref = rows.join(pairs, COLLECTION).where("location = ref").select(*KEY, "dst", F.col("size_bytes").alias("ref_size"))
+    if reference == "first":
+        of_ref = rows.join(pairs, COLLECTION).where("location = ref").select(*KEY, "dst", F.col("size_bytes").alias("ref_size"))
+    else:
+        roles = picked.join(inv.select(*COLLECTION, F.col("location").alias("ref"), F.col("role").alias("ref_role")).distinct(), [*COLLECTION, "ref"]).drop("ref")
+        listed = inv.select(*KEY, "location", "ord", "role", "size_bytes").join(pairs.join(roles, COLLECTION), COLLECTION).where("role = ref_role AND location <> dst")
+        of_ref = listed.groupBy(*KEY, "dst").agg(F.min_by("size_bytes", "ord").alias("ref_size"))
     of_dst = rows.withColumnRenamed("location", "dst").join(pairs.drop("ref"), [*COLLECTION, "dst"], "left_semi").select(*KEY, "dst", F.col("size_bytes").alias("dst_size"))
     return of_ref.join(of_dst, [*KEY, "dst"], "full_outer")
 
 
-def findings(inv: DataFrame, man: DataFrame, loc: DataFrame) -> DataFrame:
+def findings(inv: DataFrame, man: DataFrame, loc: DataFrame, reference: str = "first") -> DataFrame:
     """Missing, extra, size_diff, ghost and conflict rows (year, slug, location, kind, rel, digests)."""
     none = F.lit(None).cast("string")
     inv, man = diff.drop_self_entry(inv), diff.drop_self_entry(man)
-    both = compare(inv, loc)
+    both = compare(inv, loc, reference)
     kind = F.when(F.col("dst_size").isNull(), "missing").when(F.col("ref_size").isNull(), "extra").when(F.col("ref_size") != F.col("dst_size"), "size_diff")
     compared = both.withColumn("kind", kind).where("kind IS NOT NULL").select(*COLLECTION, F.col("dst").alias("location"), "kind", "rel", none.alias("ref_digest"), none.alias("other_digest"))
-    reference, pairs = targets(inv, loc)
-    looked_at = reference.select(*COLLECTION, F.col("ref").alias("location")).unionByName(pairs.select(*COLLECTION, F.col("dst").alias("location"))).distinct()
+    picked, pairs = targets(inv, loc)
+    looked_at = picked.select(*COLLECTION, F.col("ref").alias("location")).unionByName(pairs.select(*COLLECTION, F.col("dst").alias("location"))).distinct()
     ghost = diff.ghosts(inv, man).join(looked_at, [*COLLECTION, "location"], "left_semi").select(*COLLECTION, "location", F.lit("ghost").alias("kind"), "rel", none.alias("ref_digest"), none.alias("other_digest"))
     of_ref = man.join(pairs, COLLECTION).where("location = ref").select(*KEY, "dst", F.col("digest").alias("ref_digest"))
     of_dst = man.select(*KEY, F.col("location").alias("dst"), F.col("digest").alias("other_digest"))
@@ -59,11 +69,11 @@ def only_copies(inv: DataFrame, loc: DataFrame) -> DataFrame:
     return joined.withColumn("kind", kind).where("kind IS NOT NULL").select(*COLLECTION, "ref", "kind", "n_scope", "n_held")
 
 
-def check(inv: DataFrame, man: DataFrame, loc: DataFrame, years: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
+def check(inv: DataFrame, man: DataFrame, loc: DataFrame, years: list[int] | None = None, reference: str = "first") -> tuple[DataFrame, DataFrame]:
     """Findings and their summary per collection."""
     if years:
         inv, man = (df.where(F.col("year").isin(*years)) for df in (inv, man))
-    found = findings(inv, man, loc)
+    found = findings(inv, man, loc, reference)
     return found, reporting.check_summary(found)
 
 

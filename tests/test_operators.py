@@ -223,3 +223,14 @@ def test_capacity(spark):
     totals = reporting.transfer_totals(plan, spark.createDataFrame([("C2", 7)], "dst string, size_bytes long"))
     assert rows(totals, "dst", "to_copy", "present") == [("C1", 120, 0), ("C2", 60, 7)]
     assert rows(reporting.capacity_check(totals, locs(spark)), "dst", "too_large") == [("C1", True), ("C2", False)]
+
+
+def test_union_reference_sees_second_hot_copy(spark):
+    from fixity_spark.plans import check
+
+    i = inv(spark, ("a", "H1", "x", 1), ("a", "H2", "x", 1), ("a", "H2", "y", 1), ("a", "C1", "x", 1))
+    m = man(spark, ("a", "H1", "x", "1"))
+    assert check.findings(i, m, locs(spark)).count() == 0
+    assert rows(check.findings(i, m, locs(spark), "union"), "location", "kind", "rel") == [("C1", "missing", "y")]
+    with pytest.raises(ValueError):
+        check.compare(i, locs(spark), "other")
