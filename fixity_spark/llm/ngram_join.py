@@ -219,6 +219,18 @@ def _may_link(percent: int) -> str:
     return f"100L * least(e.n, f.n) >= {percent}L * greatest(e.n, f.n) AND 1 + least(e.n - e.at, f.n - f.at) - 1 >= {need}"
 
 
+def _merge_groups(links: DataFrame, component: DataFrame | None, scratch: Scratch, k: int) -> DataFrame:
+    """component after more links: they are drawn between the groups found so far, which are few."""
+    if component is None:
+        return components(links, scratch, f"cc{k}_").select(F.col("node").alias("id"), F.col("component").alias("c"))
+    for end in ("a", "b"):
+        now = component.select(F.col("id").alias(end), "c")
+        links = links.join(now, end, "left").withColumn(end, F.coalesce("c", end)).drop("c")
+    joined = components(links, scratch, f"cc{k}_")
+    moved = component.join(joined, component["c"] == joined["node"], "left").select("id", F.coalesce("component", "c").alias("c"))
+    return scratch.write(moved.unionByName(joined.select(F.col("node").alias("id"), F.col("component").alias("c"))), f"groups{k}")
+
+
 def jaccard_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id.
 
@@ -259,7 +271,7 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     frequencies = sorted((int.from_bytes(r["df"], "little"), r["count"]) for r in weights.collect())
     segments = scratch.write(live.select("id", "keys", "df").mapInArrow(_segments(fragment_cuts(frequencies, FRAGMENTS)), "id long, fragment int, keys binary"), "segments")
 
-    links = component = tested = None
+    component = tested = None  # component(id, c) of all ids but the smallest of each group
     for k in range(ROUNDS + 1):
         now = entries.withColumn("c", F.col("id")) if component is None else entries.join(component, "id", "left").withColumn("c", F.coalesce("c", "id"))
         spread = now.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("m"), F.min(F.struct((F.xxhash64("id", F.lit(k)) if k else F.col("id")).alias("turn"), "id", "n", "at", "c")).alias("lead")).where("low <> high")
@@ -279,9 +291,8 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = scratch.write(pairs, f"pairs{k}")
         found = scratch.write(_links(pairs, segments, sizes, percent), f"links{k}")
-        links = found if links is None else links.unionByName(found)
         tested = pairs if tested is None else tested.unionByName(pairs)
-        component = components(links, scratch, f"cc{k}_").select(F.col("node").alias("id"), F.col("component").alias("c"))
+        component = _merge_groups(found, component, scratch, k)
         scratch.tidy()
         if last:
             break
