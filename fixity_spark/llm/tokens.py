@@ -13,12 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fixity_spark.llm.common import Scratch
+from fixity_spark.llm.common import Scratch, shuffle_partitions
 from fixity_spark.llm.langid import _byte_of, vocabulary_path
-from fixity_spark.llm.words import slices, span_hashes, text_buffer
+from fixity_spark.llm.words import HashIndex, Store, slices, span_hashes, text_buffer
 
 #: Id appended to each document, bits of a code at most, tokens between checkpoints, tokens of a block at least.
 END, MAX_BITS, STRIDE, BLOCK = 2, 20, 64, 1 << 18
+#: Bytes of text encoded together.
+TEXT = 2 << 20
 
 
 class Encoder:
@@ -28,7 +30,7 @@ class Encoder:
     there and the ids of the parts joined. Stretches are kept by 64-bit hash for the life of a worker.
     """
 
-    KEPT = 300_000
+    KEPT = 2_000_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -38,8 +40,7 @@ class Encoder:
         table = _byte_of()
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
-        size = 1 + max([*model["model"]["vocab"].values(), *(x["id"] for x in model["added_tokens"])])
-        self.width = np.zeros(size, np.int64)
+        self.width = np.zeros(vocabulary_size(path), np.int64)
         for piece, k in model["model"]["vocab"].items():
             self.width[k] = len(piece) if all(c in table for c in piece) else len(piece.encode())
         for x in model["added_tokens"]:
@@ -47,23 +48,32 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.hashes, self.at, self.ids = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        self.index = HashIndex()
+        self.at, self.count, self.ids = Store(np.zeros(0, np.int64)), Store(np.zeros(0, np.int32)), Store(np.zeros(0, np.uint32))
 
-    def _fresh(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the stretches, joined, and the count of each. Plain ones may be encoded in one run."""
-        parts: list = [None] * len(start)
+    def _fresh(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the stretches, joined in some order, and where those of each begin and how many they are.
+
+        Plain stretches are encoded in runs and told apart by the bytes that their ids stand for.
+        """
+        parts, held = [], 0
+        begin, count = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
         rows = np.flatnonzero(plain)
         for i in range(0, len(rows), 4000):
             some = rows[i : i + 4000]
             size = end[some] - start[some]
-            joined = b"".join(raw[a:b].tobytes() for a, b in zip(start[some], end[some], strict=True))
-            ids = np.array(self.tokenizer.encode(joined.decode(), add_special_tokens=False).ids, np.uint32)
+            ids = np.array(self.tokenizer.encode(raw[ragged(start[some], size)].tobytes().decode(), add_special_tokens=False).ids, np.uint32)
             cut = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(size)) + 1
-            for k, part in zip(some, np.split(ids, cut[:-1]), strict=True):
-                parts[k] = part
+            count[some] = np.diff(cut, prepend=0)
+            begin[some] = held + cut - count[some]
+            parts.append(ids)
+            held += len(ids)
         for k in np.flatnonzero(~plain):
-            parts[k] = np.array(self.tokenizer.encode(raw[start[k] : end[k]].tobytes().decode(), add_special_tokens=False).ids, np.uint32)
-        return np.concatenate(parts) if parts else np.zeros(0, np.uint32), np.array([len(p) for p in parts], np.int64)
+            ids = np.array(self.tokenizer.encode(raw[start[k] : end[k]].tobytes().decode(), add_special_tokens=False).ids, np.uint32)
+            begin[k], count[k] = held, len(ids)
+            parts.append(ids)
+            held += len(ids)
+        return np.concatenate(parts), begin, count
 
     def encode(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the documents, joined, and the count of each document."""
@@ -88,26 +98,19 @@ class Encoder:
         plain = inner[start] & last_ok
         h = span_hashes(raw, start, end)
         distinct, first, back = np.unique(h, return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.hashes, distinct), max(0, len(self.hashes) - 1))
-        new = np.ones(len(distinct), bool) if not len(self.hashes) else self.hashes[at] != distinct
-        if new.any():
-            if len(self.hashes) + int(new.sum()) > self.KEPT:
+        row = self.index.find(distinct)
+        if (new := row < 0).any():
+            if len(self.index) + int(new.sum()) > self.KEPT:
                 self._forget()
                 new = np.ones(len(distinct), bool)
             f = first[new]
-            ids, count = self._fresh(raw, start[f], end[f], plain[f])
-            hashes = np.concatenate([self.hashes, distinct[new]])
-            counts = np.concatenate([np.diff(self.at), count])
-            begins = np.concatenate([self.at[:-1], len(self.ids) + np.cumsum(count) - count])
-            order = np.argsort(hashes)
-            flat = np.concatenate([self.ids, ids])
-            self.hashes, counts = hashes[order], counts[order]
-            self.at = np.concatenate([[0], np.cumsum(counts)])
-            self.ids = flat[ragged(begins[order], counts)]
-            at = np.searchsorted(self.hashes, distinct)
-        row = at[back]
-        counts = self.at[row + 1] - self.at[row]
-        ids = self.ids[ragged(self.at[row], counts)]
+            ids, begin, count = self._fresh(raw, start[f], end[f], plain[f])
+            row[new] = self.at.append(self.ids.append(ids) + begin) + np.arange(len(f))
+            self.count.append(count)
+            self.index.add(distinct[new], row[new])
+        row = row[back]
+        counts = self.count.rows[row].astype(np.int64)
+        ids = self.ids.rows[ragged(self.at.rows[row], counts)]
         doc = np.searchsorted(off, start, side="right") - 1
         return ids, np.bincount(doc, counts, minlength=n).astype(np.int64)
 
@@ -221,21 +224,62 @@ def _encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def token_counts(docs: DataFrame, path: str) -> np.ndarray:
-    """Count of each id over all documents, end ids included; one row per id reaches the driver."""
+_IDS = "doc_id long, ids binary, tokens binary, counts binary"
+
+
+def token_ids(docs: DataFrame, path: str) -> DataFrame:
+    """Rows (doc_id, ids) of docs(doc_id, text), end id included, and one row (tokens, counts) of each task.
+
+    ids is little-endian, two bytes an id where the vocabulary allows, else four.
+    """
 
-    def count(batches):
-        total = np.zeros(len(_encoder(path).width), np.int64)
+    def encode(batches):
+        encoder = _encoder(path)
+        kind = _kind(len(encoder.width))
+        total = np.zeros(len(encoder.width), np.int64)
         for b in batches:
-            raw, off = text_buffer(b.column(0))
-            for i, j in slices(off):
-                ids, _ = _encoder(path).encode(raw[off[i] : off[j]], off[i : j + 1] - off[i])
+            raw, off = text_buffer(b.column(1))
+            for i, j in slices(off, TEXT):
+                ids, counts = with_ends(*encoder.encode(raw[off[i] : off[j]], off[i : j + 1] - off[i]))
                 total += np.bincount(ids, minlength=len(total))
-            total[END] += b.num_rows
+                data = ids.astype(kind)
+                ends = np.append(0, np.cumsum(counts)) * data.itemsize
+                rows = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
+                none = pa.nulls(j - i, pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), rows, none, none], ["doc_id", "ids", "tokens", "counts"])
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([used.astype("<i4").tobytes()], pa.binary()), pa.array([total[used].astype("<i8").tobytes()], pa.binary())], ["doc_id", "ids", "tokens", "counts"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, _IDS)
+
+
+def vocabulary_size(path: str) -> int:
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)
+    return 1 + max([*model["model"]["vocab"].values(), *(x["id"] for x in model["added_tokens"])])
+
+
+def _kind(size: int) -> str:
+    return "<u2" if size <= 1 << 16 else "<u4"
+
+
+def token_counts(encoded: DataFrame) -> np.ndarray:
+    """Count of each id over all rows of token_ids; one row per id reaches the driver."""
+
+    def add(batches):
+        total = np.zeros(0, np.int64)
+        for b in batches:
+            for tokens, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if tokens:
+                    more = np.bincount(np.frombuffer(tokens, "<i4"), np.frombuffer(counts, "<i8")).astype(np.int64)
+                    both = np.zeros(max(len(total), len(more)), np.int64)
+                    both[: len(total)] += total
+                    both[: len(more)] += more
+                    total = both
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["token", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
+    rows = encoded.where("ids IS NULL").select("tokens", "counts").mapInArrow(add, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(1 + int(rows["token"].max() if len(rows) else END), np.int64)
     out[rows["token"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     return out
@@ -255,40 +299,43 @@ def write_tokens(docs: DataFrame, out: str, path: str | None = None) -> None:
     """
     path = path or vocabulary_path()
     spark = docs.sparkSession
-    counts = token_counts(docs, path)
-    lengths = code_lengths(counts)
+    scratch = Scratch(spark, "ids")
+    encoded = scratch.write(token_ids(docs, path), "ids")
+    lengths = code_lengths(token_counts(encoded))
     used = np.flatnonzero(lengths)
     spark.createDataFrame(list(zip(used.tolist(), lengths[used].tolist(), strict=True)), "token long, bits int").coalesce(1).write.mode("overwrite").parquet(f"{out}/codebook")
     shared = spark.sparkContext.broadcast(lengths)
+    kind = _kind(vocabulary_size(path))
 
     def block(shard, number, offset, rows):
-        ids, counts = np.concatenate([r[2] for r in rows]), np.concatenate([r[3] for r in rows])
         lengths = shared.value
-        codes = _CODES.setdefault(0, (lengths, canonical_codes(lengths))) if 0 not in _CODES or _CODES[0][0] is lengths else None
-        if codes is None:
-            _CODES[0] = codes = (lengths, canonical_codes(lengths))
-        payload, runs = pack_bits(ids, codes[1], lengths)
-        values = [shard, number, offset, len(ids), len(counts), np.concatenate([r[0] for r in rows]).tobytes(), np.packbits(np.concatenate([r[1] for r in rows])).tobytes(), counts.tobytes(), runs.tobytes(), payload]
+        if 0 not in _CODES or _CODES[0][0] is not lengths:
+            _CODES[0] = (lengths, canonical_codes(lengths))
+        ids = np.frombuffer(b"".join(data for _, data in rows), kind)
+        counts = np.array([len(data) for _, data in rows], np.int64) // ids.itemsize
+        payload, runs = pack_bits(ids, _CODES[0][1], lengths)
+        docs = np.array([doc or 0 for doc, _ in rows], np.int64)
+        null = np.packbits([doc is None for doc, _ in rows])
+        values = [shard, number, offset, len(ids), len(counts), docs.tobytes(), null.tobytes(), counts.tobytes(), runs.tobytes(), payload]
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, _BLOCK_TYPES, strict=True)], names=_BLOCK_NAMES)
 
     def encode(batches):
+        _ENCODERS.clear()  # a worker that goes on from the step before holds a large one
+        width = np.dtype(kind).itemsize
         shard, number, offset, rows, held = TaskContext.get().partitionId(), 0, 0, [], 0
         for b in batches:
-            raw, off = text_buffer(b.column(1))
-            for i, j in slices(off):
-                ids, counts = with_ends(*_encoder(path).encode(raw[off[i] : off[j]], off[i : j + 1] - off[i]))
-                doc = b.column(0).slice(i, j - i)
-                rows.append((doc.fill_null(0).to_numpy(), doc.is_null().to_numpy(zero_copy_only=False), ids, counts))
-                held += len(ids)
+            for doc, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                rows.append((doc, data))
+                held += len(data) // width
                 if held >= BLOCK:
                     yield block(shard, number, offset, rows)
                     number, offset, rows, held = number + 1, offset + held, [], 0
         if rows:
             yield block(shard, number, offset, rows)
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    ordered = encoded.where("ids IS NOT NULL").select("doc_id", "ids").repartitionByRange(shuffle_partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     ordered.mapInArrow(encode, BLOCKS).write.mode("overwrite").option("compression", "uncompressed").parquet(f"{out}/blocks")
+    scratch.drop("ids")
 
 
 _CODES: dict = {}
