@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from fixity_spark.llm import embeddings, exact, langid, mixing, ngram_join, packing, pii, secret_scan, substring, tokens
 
