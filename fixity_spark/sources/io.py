@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fixity_spark.functions.paths import visible
 from fixity_spark.functions.values import base_path, location_name
 from fixity_spark.operators.diff import drop_self_entry
-from fixity_spark.schema import CONFIG, MANIFEST, PROBE
+from fixity_spark.schema import CONFIG, PROBE
 
 #: <root>/<year>/<slug>/<rel>
 _PLACE = r"/([0-9]{4})/([^/]+)/(.+)$"
@@ -107,4 +107,4 @@ def write_findings(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("year").parquet(path)
 
 
-__all__ = ["MANIFEST", "collection_files", "inventory_from_table", "parse_manifest_lines", "parse_probe", "read_counters", "read_inventory", "read_locations", "read_manifests", "read_sidecars", "read_written_manifests", "write_counters", "write_findings", "write_manifests"]
+__all__ = ["collection_files", "inventory_from_table", "parse_manifest_lines", "parse_probe", "read_counters", "read_inventory", "read_locations", "read_manifests", "read_sidecars", "read_written_manifests", "write_counters", "write_findings", "write_manifests"]
