@@ -162,7 +162,8 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     stay = decided.where("kept").groupBy(id_col).agg(F.count("*").alias("_fx_rows"), F.count_distinct("text_sha256").alias("_fx_texts"))
     scratch = Scratch(docs.sparkSession, "exact-kept")
     stay = scratch.write(stay.withColumnRenamed(id_col, "_fx_id"), "stay")
-    out = docs.join(stay, F.col(id_col).eqNullSafe(F.col("_fx_id")), "left_semi")
+    # most documents stay, so their ids are never a small side: the plan is the same at every size
+    out = docs.join(stay.hint("merge"), F.col(id_col).eqNullSafe(F.col("_fx_id")), "left_semi")
     if stay.where("_fx_rows > 1").isEmpty():
         return out
     # repeated ids: hold the texts themselves apart, and one row of each

@@ -98,7 +98,8 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int
     rows = scratch.write(docs.withColumn("_fx_row", F.monotonically_increasing_id()), "rows")
     decided = mix_decisions(rows.select("_fx_row", "doc_id", "source", "text"), ["_fx_row"], weights, most, seed, scratch)
     taken = decided.where("copies > 0").select("_fx_row", F.col("copies").alias("_fx_copies"))
-    out = rows.join(taken, "_fx_row").withColumn("_fx_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_fx_copies")))
+    # most documents are taken, so their keys are never a small side: the plan is the same at every size
+    out = rows.join(taken.hint("merge"), "_fx_row").withColumn("_fx_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_fx_copies")))
     return out.select(*docs.columns)
 
 
