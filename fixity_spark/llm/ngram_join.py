@@ -129,7 +129,10 @@ def _collect_sets(buckets: int, words: int, percent: int):
 
 
 def _prefixes(percent: int):
-    """Entries (key, id, n, at) of the shared part of each set's prefix; at is the place in the whole set."""
+    """Entries (key, id, n, at, alone) of the shared part of each set's prefix.
+
+    at is the place in the whole set, alone the number of shingles that no other document has.
+    """
 
     def prefixes(batches):
         for b in batches:
@@ -139,7 +142,7 @@ def _prefixes(percent: int):
                 length = n - (percent * n + 99) // 100 + 1 - alone
                 if length > 0:
                     keys = keys[:length]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), doc)), pa.array(np.full(len(keys), n, np.int32)), pa.array(np.arange(alone, alone + len(keys), dtype=np.int32))], ["key", "id", "n", "at"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), doc)), pa.array(np.full(len(keys), n, np.int32)), pa.array(np.arange(alone, alone + len(keys), dtype=np.int32)), pa.array(np.full(len(keys), alone, np.int32))], ["key", "id", "n", "at", "alone"])
 
     return _batched(prefixes)
 
@@ -240,7 +243,8 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
     Equal sets are one class, so copies are never paired. Shingles are ordered globally by frequency, then
     hash. A set can only link if enough of its shingles occur elsewhere; the prefixes of those sets are the
-    candidates. For each prefix shingle its sets are first paired with one leader; overlaps of a pair are
+    candidates. For each prefix shingle its sets are first paired with one leader, the set with the fewest
+    shingles of its own, as the text that others were copied from has; overlaps of a pair are
     counted separately in each fragment of the order and summed. Sets that the links of ROUNDS leader rounds
     have not brought together, although they share a prefix shingle, are then all compared with each
     other, so no link between components is lost; links inside a component already found are not looked for.
@@ -266,7 +270,7 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     live = own.join(named, ["id", *sign], "left_semi").dropDuplicates(["id", *sign])
     live = scratch.write(live.select("id", "n", "keys", "df"), "live")
     sizes = live.select("id", "n")
-    entries = scratch.write(live.select("id", "n", "keys").mapInArrow(_prefixes(percent), "key long, id long, n int, at int"), "entries")
+    entries = scratch.write(live.select("id", "n", "keys").mapInArrow(_prefixes(percent), "key long, id long, n int, at int, alone int"), "entries")
     weights = live.select(F.explode(F.expr("transform(sequence(0, length(df) div 4 - 1), i -> substring(df, i * 4 + 1, 4))")).alias("df")).groupBy("df").count()
     frequencies = sorted((int.from_bytes(r["df"], "little"), r["count"]) for r in weights.collect())
     segments = scratch.write(live.select("id", "keys", "df").mapInArrow(_segments(fragment_cuts(frequencies, FRAGMENTS)), "id long, fragment int, keys binary"), "segments")
@@ -274,7 +278,7 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     component = tested = None  # component(id, c) of all ids but the smallest of each group
     for k in range(ROUNDS + 1):
         now = entries.withColumn("c", F.col("id")) if component is None else entries.join(component, "id", "left").withColumn("c", F.coalesce("c", "id"))
-        spread = now.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("m"), F.min(F.struct((F.xxhash64("id", F.lit(k)) if k else F.col("id")).alias("turn"), "id", "n", "at", "c")).alias("lead")).where("low <> high")
+        spread = now.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("m"), F.min(F.struct((F.xxhash64("id", F.lit(k)) if k else F.col("alone")).alias("turn"), "id", "n", "at", "c")).alias("lead")).where("low <> high")
         opened = scratch.write(now.select("key", "id", "n", "at", "c").join(spread.select("key", "m", "lead"), "key"), f"open{k}")
         size = opened.agg(F.count("*").alias("rows"), F.sum("m").alias("squares")).first()
         if not size.rows:
