@@ -18,8 +18,11 @@ from fixity_spark.llm.common import Scratch, components
 #: unit vector of 64 dimensions spans. At cosine 0.93 these find 98.5 % of random pairs, above it more.
 TABLES, POINTS, PROBES, SPREAD = 6, 2, 2, 3.5
 COSINE = 0.93
-#: Index rows of a cell compared in one task; a fuller cell is cut into blocks that meet pair by pair.
+#: Index rows of a cell, its own and those that probe it, compared in one step; a fuller cell is cut into blocks
+#: that meet pair by pair.
 CELL = 1024
+#: Pairs whose cosine is taken at once.
+PAIRS = 50_000
 #: Rows of a bucket of cells, about.
 BUCKET = 20_000
 #: Full cells that may be broadcast; beyond that they are joined.
@@ -154,6 +157,14 @@ def _first_meeting(own: np.ndarray, near: np.ndarray, table: int, i: np.ndarray,
     return keep & np.where(at_own, True, ~same & ((ids[i] < ids[j]) | ~mutual))
 
 
+def _linked(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Whether the cosine of rows a of x and b of y reaches least; blocks of a cut cell have a million such pairs."""
+    ok = np.zeros(len(a), bool)
+    for k in range(0, len(a), PAIRS):
+        ok[k : k + PAIRS] = (x[a[k : k + PAIRS]] * y[b[k : k + PAIRS]]).sum(1) >= least
+    return ok
+
+
 def _compare(least: float, wide: bool):
     kind = np.float64 if wide else np.float32
 
@@ -176,7 +187,7 @@ def _compare(least: float, wide: bool):
             of, who = role[rows], ids[rows]
             ok = np.where(of[b] == 2, who[a] != who[b], (who[a] < who[b]) & ((of[b] == 1) | (part[rows[0]] < 0)))
             a, b = a[ok], b[ok]
-            ok = (x[rows[a]] * x[rows[b]]).sum(1) >= least
+            ok = _linked(x, x, rows[a], rows[b], least)
             a, b = a[ok], b[ok]
             if not len(a):
                 continue
@@ -215,18 +226,40 @@ def _compare(least: float, wide: bool):
     return compare
 
 
+def _full(rows: DataFrame) -> DataFrame:
+    """Cells of more than CELL rows of any role: cell, blocks of own rows (0: nothing to meet), blocks of askers, rows dealt.
+
+    Own rows of a cut cell ask, too.
+    """
+    held = rows.groupBy("cell").agg(F.count_if(F.col("role") == 0).alias("own"), F.count("*").alias("c")).where(f"c > {CELL}")
+    blocks = lambda n: F.expr(f"cast(({n} + {CELL - 1}) div {CELL} AS int)")
+    held = held.select("cell", "own", "c", blocks("own").alias("own_blocks"), blocks("c").alias("ask_blocks"))
+    return held.select("cell", "own_blocks", "ask_blocks", F.expr("own * ask_blocks + c * own_blocks").alias("dealt"))
+
+
 def _deal(rows: DataFrame, full: DataFrame, buckets: int) -> DataFrame:
-    """Cuts the cells in full(cell, blocks): each block of own rows meets each block of asking rows in a task of its own."""
+    """Cuts the cells in full: each block of own rows meets each block of asking rows. Cells without own rows go."""
     cut = rows.join(full, "cell")
-    block = lambda salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col("blocks")).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_fx_k")
+    block = lambda salt, blocks: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
     kept = ["cell", "tbl", "id", "n", "dim", "vec"]
-    own = cut.where("role = 0").select(*kept, F.lit(0).alias("role"), block("own").alias("part"), every).withColumnRenamed("_fx_k", "ask")
-    asks = cut.select(*kept, F.when(F.col("role") == 0, 1).otherwise(2).alias("role"), block("ask").alias("ask"), every).withColumnRenamed("_fx_k", "part")
+    own = cut.where("role = 0").select(*kept, F.lit(0).alias("role"), block("own", "own_blocks").alias("part"), every("ask_blocks").alias("ask"))
+    asks = cut.where("own_blocks > 0").select(*kept, F.when(F.col("role") == 0, 1).otherwise(2).alias("role"), block("ask", "ask_blocks").alias("ask"), every("own_blocks").alias("part"))
     dealt = own.unionByName(asks).withColumn("bucket", F.pmod(F.xxhash64("cell", "part", "ask"), F.lit(buckets)).cast("int"))
     return dealt.select(*_NAMES)
 
 
+def _meetings(rows: DataFrame, buckets: int, scratch: Scratch) -> DataFrame:
+    """The rows in buckets, where no step compares more than about CELL own rows with CELL askers."""
+    full = scratch.write(_full(rows), "full")
+    sums = full.agg(F.count("*").alias("k"), F.sum("dealt").alias("dealt")).first()
+    if not sums.k:
+        return rows
+    full = full.drop("dealt")
+    full = F.broadcast(full) if sums.k <= BROADCAST else full
+    return rows.join(full, "cell", "left_anti").select(*_NAMES).unionByName(_deal(rows, full, max(buckets, sums.dealt // BUCKET)))
+
+
 def near_duplicates(vectors: DataFrame, least: float = COSINE, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """One row per row of vectors: id, n_links, component_id, kept.
 
@@ -253,12 +286,7 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, id_col: str = "ve
     width = TABLES * (1 + POINTS * PROBES)
     buckets = max(1, min(1024, total * width // 200), total * width // BUCKET)
     rows = groups.select("id", "label", "n", "vec").repartition(max(1, min(total // 500, 4 * spark.sparkContext.defaultParallelism) or 1)).mapInArrow(_index(buckets, wide), _ROW)
-    full = scratch.write(rows.where("role = 0").groupBy("cell").agg(F.count("*").alias("c")).where(f"c > {CELL}").select("cell", F.expr(f"cast((c + {CELL - 1}) div {CELL} AS int)").alias("blocks")), "full")
-    k = full.count()
-    if k:
-        full = F.broadcast(full) if k <= BROADCAST else full
-        rows = rows.join(full, "cell", "left_anti").select(*_NAMES).unionByName(_deal(rows, full, buckets))
-    found = scratch.write(rows.groupBy("bucket").applyInArrow(_compare(least, wide), "counted boolean, a long, b long"), "found")
+    found = scratch.write(_meetings(rows, buckets, scratch).groupBy("bucket").applyInArrow(_compare(least, wide), "counted boolean, a long, b long"), "found")
     linked = found.where("counted").groupBy(F.col("a").alias("id")).agg(F.sum("b").alias("links"))
     joined = components(found.where("NOT counted").select("a", "b"), scratch)
     summary = groups.select("_fx_print", "id", "n").join(linked, "id", "left").join(joined.withColumnRenamed("node", "id"), "id", "left")

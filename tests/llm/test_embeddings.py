@@ -1,7 +1,9 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fixity_spark.llm import embeddings
+from fixity_spark.llm.common import Scratch
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
 
@@ -91,6 +93,29 @@ def test_full_cells_are_cut(spark, monkeypatch, cell):
     assert {r.component_id for r in got} == {r[2] for r in want}
 
 
+def test_askers_are_cut_as_own_rows_are(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "CELL", 64)
+    # cell 1: askers only; 2: three own rows; 3: many of both; 4: as it is
+    held = {1: (0, 3000), 2: (3, 3000), 3: (500, 3000), 4: (10, 20)}
+    raw = [(cell % 2, cell, 0 if i < own else 2, -1, -1, 0, 10_000 * cell + i, 1, 2, bytearray(8)) for cell, (own, asks) in held.items() for i in range(own + asks)]
+    rows = spark.createDataFrame(raw, embeddings._ROW)
+    got = embeddings._meetings(rows, 2, Scratch(spark, "test")).groupBy("cell", "part", "ask").agg(F.count_if(F.col("role") == 0).alias("own"), F.count_if(F.col("role") != 0).alias("asks"))
+    got = got.collect()
+    assert {r.cell for r in got} == {2, 3, 4}
+    assert max(r.own for r in got) <= 128 and max(r.asks for r in got) <= 128
+    whole = {c: (sum(r.own for r in got if r.cell == c and r.ask <= 0), sum(r.asks for r in got if r.cell == c and r.part <= 0)) for c in (2, 3, 4)}
+    assert whole == {2: (3, 3003), 3: (500, 3500), 4: (10, 20)}
+
+
+def test_tight_cluster_of_distinct_vectors(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "CELL", 16)
+    rng = np.random.default_rng(11)
+    one = rng.normal(size=64)
+    rows = [(i, [float(x) for x in one + rng.normal(size=64) * 1e-4], 1) for i in range(200)]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows)
+
+
 def test_double_vectors(spark):
     rows = [(1, [1.0, 2.0, 3.0] * 8, 1), (2, [1.0, 2.0, 3.001] * 8, 1)]
     got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
