@@ -108,6 +108,31 @@ def test_found_and_added_spans(spark):
         assert not [s for s in r.spans.split(",") if s.startswith("like_")] or r.doc_id == 800, r
 
 
+@pytest.mark.parametrize(
+    "text, spans",
+    [
+        ("555-123-4567 555-987-6543", ["555-123-4567", "555-987-6543"]),
+        ("2024-01-05 555-123-4567", ["2024-01-05", "555-123-4567"]),
+        ("555-123-4567 / 10.0.0.1", ["555-123-4567", "10.0.0.1"]),
+        ("(555) 123-4567 4111 1111 1111 1111", ["(555) 123-4567", "4111 1111 1111 1111"]),
+        ("jane[dot]doe[at]mail[dot]example", ["jane[dot]doe[at]mail[dot]example"]),
+        ("jane (AT) mail.example.com", ["jane (AT) mail.example.com"]),
+        ("jane[At]mail[DOT]example[Dot]com. Thanks", ["jane[At]mail[DOT]example[Dot]com"]),
+    ],
+)
+def test_neighbours_are_proposed_alone(text, spans):
+    proposed = {text[s:e] for s, e in pii.candidates(text)}
+    assert set(spans) <= proposed
+
+
+def test_neighbours_are_found(spark):
+    rows = [f"call +1 ({200 + i}) 555-{1000 + i} now or write to user{i}@mail{i % 9}.example.com, order 20{i % 90 + 10}-11" for i in range(600)]
+    more = ["call (212) 555-1234 (313) 555-9876 now", "call (212) 555-1234 / 10.0.0.1 now", "write to jane.doe (AT) mail3.example.com now"]
+    docs = spark.createDataFrame(list(enumerate(rows + more)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.find_personal_data(docs).where("doc_id >= 600").collect()}
+    assert got == {600: "like_phone:5:19,like_phone:20:34", 601: "like_phone:5:19,ip:22:30", 602: "like_email:9:40"}
+
+
 def test_messy_spans(messy, none):
     for find in (pii.find_personal_data, secret_scan.find_secrets):
         rows = find(messy).collect()
