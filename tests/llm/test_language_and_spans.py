@@ -133,6 +133,16 @@ def test_neighbours_are_found(spark):
     assert got == {600: "like_phone:5:19,like_phone:20:34", 601: "like_phone:5:19,ip:22:30", 602: "like_email:9:40"}
 
 
+def test_fitting_does_not_depend_on_size(spark):
+    # 60 documents in 20,000 hold a kind; a sample of 500 of all documents would hold one or two of them
+    held = [(i, f"call +1 ({200 + i}) 555-{1000 + i} now") for i in range(60)]
+    plain = spark.range(60, 20_000).selectExpr("id AS doc_id", "concat('words only ', id) AS text")
+    docs = spark.createDataFrame(held, "doc_id long, text string").unionByName(plain)
+    assert "phone" in pii.fit(docs, 500)
+    rates = pii._rates(docs, 500)
+    assert rates == [1.0, 1.0, 1.0, 1.0, 100 / 19_940]
+
+
 def test_messy_spans(messy, none):
     for find in (pii.find_personal_data, secret_scan.find_secrets):
         rows = find(messy).collect()
