@@ -5,12 +5,10 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
-import gzip
 import hashlib
 import io
 import re
 import zlib
-from collections import deque
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +19,8 @@ from fixity_spark.llm.common import tune
 from fixity_spark.llm.words import text_buffer
 
 KINDS = ("assign", "access", "hex")
-#: Bytes that one compressed layer may unpack to; a larger one is not text that holds a pasted secret.
-LAYER_BYTES = 64 << 20
+#: Bytes of a compressed layer that are held at once; a larger one is scanned in windows that overlap by OVERLAP.
+LAYER_BYTES, OVERLAP = 64 << 20, 1 << 20
 
 _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
@@ -32,7 +30,19 @@ _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: An escaped percent sign before more digits is another layer of the same escape; all are taken at once.
 _ESCAPE = re.compile(r"%(?:25)*[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#x[0-9A-Fa-f]{1,6};")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
-_HEXED = re.compile(r"(?:[0-9a-fA-F]{2}){12,}")
+_HEXED = re.compile(r"[0-9a-fA-F]{24,}")
+#: The same wrapped over lines; only the last line may be short.
+_BASE64_LINES = re.compile(r"[A-Za-z0-9+/_-]{20,}+(?:\r?\n[\x20\t]*+[A-Za-z0-9+/_-]{20,}+)*+(?:\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++)?={0,2}")
+_HEXED_LINES = re.compile(r"[0-9a-fA-F]{24,}+(?:\r?\n[\x20\t]*+[0-9a-fA-F]{24,}+)*+(?:\r?\n[\x20\t]*+[0-9a-fA-F]++)?")
+_URL_SAFE = str.maketrans("-_", "+/")
+#: Where compressed bytes may begin, and stretches of text long enough to hold a secret (16 characters).
+_PACKED = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\x28\xb5\x2f\xfd|\x78[\x01\x5e\x9c\xda]", re.DOTALL)
+_PLAIN = rb"[\t\r\n\x20-\x7e]"
+_STRETCHES = (
+    (re.compile(rb"(?:" + _PLAIN + rb"|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}){16,}+"), "utf-8"),
+    (re.compile(rb"(?:" + _PLAIN + rb"\x00){16,}+"), "utf-16-le"),
+    (re.compile(rb"(?:\x00" + _PLAIN + rb"){16,}+"), "utf-16-be"),
+)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -88,56 +98,94 @@ def _unescape(text: str):
     return "".join(chars), begin, end
 
 
-def _unpack(raw: bytes) -> bytes:
-    """What compressed bytes unpack to, or the bytes as they are."""
+def _unpacked(raw: bytes):
+    """What compressed bytes unpack to, as far as they do, piece by piece."""
     try:
-        if raw[:2] == b"\x1f\x8b":
-            got = gzip.GzipFile(fileobj=io.BytesIO(raw)).read(LAYER_BYTES + 1)
-        elif raw[:3] == b"BZh":
-            got = bz2.BZ2Decompressor().decompress(raw, LAYER_BYTES + 1)
-        elif raw[:4] == b"\x28\xb5\x2f\xfd":
+        if raw[:4] == b"\x28\xb5\x2f\xfd":
             import zstandard
 
-            got = zstandard.ZstdDecompressor().stream_reader(raw).read(LAYER_BYTES + 1)
-        elif len(raw) > 2 and raw[0] == 0x78 and (raw[0] * 256 + raw[1]) % 31 == 0:
-            got = zlib.decompressobj().decompress(raw, LAYER_BYTES + 1)
+            reader = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(raw))
+            while got := reader.read(1 << 20):
+                yield got
+        elif raw[:3] == b"BZh":
+            while raw[:3] == b"BZh":
+                unpack, rest = bz2.BZ2Decompressor(), raw
+                while not unpack.eof and ((got := unpack.decompress(rest, 1 << 20)) or not unpack.needs_input):
+                    rest = b""
+                    yield got
+                raw = unpack.unused_data
         else:
-            return raw
-    except Exception:  # not what its first bytes say
-        return raw
-    return got if got and len(got) <= LAYER_BYTES else raw
-
-
-def _readable(raw: bytes) -> str | None:
-    """The bytes as text, where they are text."""
-    for _ in range(64):  # compressed in turn
-        if (got := _unpack(raw)) is raw:
-            break
-        raw = got
+            first = raw[:2]
+            while raw[:2] == first:  # files may follow each other
+                unpack = zlib.decompressobj(31 if first == b"\x1f\x8b" else 15)
+                while not unpack.eof and (got := unpack.decompress(raw, 1 << 20)):
+                    raw = unpack.unconsumed_tail
+                    yield got
+                raw = unpack.unused_data
+    except Exception:  # not, or no longer, what its first bytes say
+        return
+
+
+def _windows(raw: bytes):
+    """Unpacked bytes in windows of at most LAYER_BYTES, each with the end of the one before."""
+    window, fresh = bytearray(), False
+    for piece in _unpacked(raw):
+        if fresh and len(window) + len(piece) > LAYER_BYTES:
+            yield bytes(window)
+            del window[: max(0, len(window) - OVERLAP)]
+        window += piece
+        fresh = True
+    if fresh:
+        yield bytes(window)
+
+
+def _readable(raw: bytes, seen: set | None = None):
+    """(text, first byte, end) of what is text in the bytes, in what they unpack to, and so on."""
     try:
         text = raw.decode("utf-8")
+        if text and sum(c.isprintable() or c in "\t\r\n" for c in text) >= 0.97 * len(text):
+            yield text, 0, len(raw)
+            return
     except UnicodeDecodeError:
-        return None
-    return text if text and sum(c.isprintable() or c in "\t\r\n" for c in text) >= 0.97 * len(text) else None
+        pass
+    seen = set() if seen is None else seen
+    for m in _PACKED.finditer(raw):
+        for window in _windows(raw[m.start() :]):
+            if (mark := hashlib.sha1(window).digest()) not in seen:  # some unpack to themselves
+                seen.add(mark)
+                for text, _, _ in _readable(window, seen):
+                    yield text, m.start(), len(raw)
+    for pattern, coding in _STRETCHES:
+        for m in pattern.finditer(raw):
+            yield m[0].decode(coding, "replace"), m.start(), m.end()
 
 
 def _layers(text: str):
-    """Layers found in a text: (decoded text, start of each character, end of each character)."""
+    """Layers found in a text: (decoded text, start of each character, end of each character).
+
+    A run is decoded at each place where its code may begin, as a payload may stand behind other characters of
+    the alphabet; what is text in the result is a layer.
+    """
     if _ESCAPE.search(text):
         yield _unescape(text)
-    for pattern in (_BASE64, _HEXED):
-        for m in pattern.finditer(text):
-            s = m[0]
-            try:
-                if pattern is _HEXED:
-                    raw = bytes.fromhex(s)
-                else:
-                    body = s.rstrip("=").replace("-", "+").replace("_", "/")
-                    raw = base64.b64decode(body[: len(body) - (len(body) % 4 == 1)] + "=" * (-len(body) % 4 % 3))
-            except (ValueError, binascii.Error):
-                continue
-            if (got := _readable(raw)) is not None:
-                yield got, m.start(), m.end()
+    for pattern, lines, chars, size in ((_BASE64, _BASE64_LINES, 4, 3), (_HEXED, _HEXED_LINES, 2, 1)):
+        wrapped = (m for m in lines.finditer(text) if "\n" in m[0]) if "\n" in text else ()
+        for m in (*pattern.finditer(text), *wrapped):
+            place = [m.start() + i for i, c in enumerate(m[0]) if not c.isspace()] if "\n" in m[0] else range(m.start(), m.end())
+            body = "".join(m[0].split()).rstrip("=").translate(_URL_SAFE)
+            for k in range(chars):
+                part = body[k:]
+                try:
+                    raw = bytes.fromhex(part[: len(part) // 2 * 2]) if chars == 2 else base64.b64decode(part[: len(part) - (len(part) % 4 == 1)] + "=" * (-len(part) % 4 % 3))
+                except (ValueError, binascii.Error):
+                    continue
+                whole = False
+                for got, a, b in _readable(raw):
+                    whole = k == 0 and (a, b) == (0, len(raw))
+                    last = len(place) - 1 if b == len(raw) else k + -(-b // size) * chars - 1
+                    yield got, place[k + a // size * chars], place[last] + 1
+                if whole:
+                    break
 
 
 def decoded_spans(text: str) -> list[tuple[int, int, str]]:
@@ -145,13 +193,17 @@ def decoded_spans(text: str) -> list[tuple[int, int, str]]:
 
     A worklist of layers: each is scanned, then searched for layers of its own. A layer seen before is not
     taken up again, so self-reproducing encodings end. A span inside an unescaped layer maps to the escapes
-    of its characters; one inside a packed layer maps to the whole run that encodes it.
+    of its characters; one inside a packed layer maps to the stretch of the run that encodes the layer.
     """
     plain = {(s, e) for s, e, _ in base_spans(text)}
     seen, found = set(), set()
-    work = deque((layer, None) for layer in _layers(text))
+    work = [(_layers(text), None)]
     while work:
-        (inner, begin, end), outer = work.popleft()
+        layers, outer = work[-1]
+        if (layer := next(layers, None)) is None:
+            work.pop()
+            continue
+        inner, begin, end = layer
 
         def place(s: int, e: int, begin=begin, end=end, outer=outer) -> tuple[int, int]:
             s, e = (begin, end) if isinstance(begin, int) else (begin[s], end[e - 1])
@@ -163,7 +215,7 @@ def decoded_spans(text: str) -> list[tuple[int, int, str]]:
         for s, e, kind in base_spans(inner):
             if (at := place(s, e)) not in plain:
                 found.add((*at, f"decoded_{kind}"))
-        work.extend((layer, place) for layer in _layers(inner))
+        work.append((_layers(inner), place))
     return sorted(found)
 
 

@@ -1,4 +1,5 @@
 import base64
+import bz2
 import gzip
 import re
 import urllib.parse
@@ -177,6 +178,41 @@ def test_nested_layers(coded):
     assert any(k == "decoded_assign" and 6 <= s and e <= 6 + len(coded) and (e - s) > 20 for s, e, k in spans)
 
 
+def wrapped(x, n=24):
+    return "\n".join(x[i : i + n] for i in range(0, len(x), n))
+
+
+@pytest.mark.parametrize(
+    "coded",
+    [
+        "/" + b64(SECRET),
+        "https://h/cb/" + b64(SECRET),
+        "x-" + b64(SECRET),
+        "key_" + b64(SECRET) + "_old",
+        "cb/" + b64(gzip.compress(SECRET.encode())),
+        "f" + SECRET.encode().hex(),
+        wrapped(b64(zlib.compress(("words " * 9 + SECRET).encode()))),
+        wrapped(b64(gzip.compress(SECRET.encode())), 40),
+        b64(SECRET.encode("utf-16")),
+        b64(SECRET.encode("utf-16-be")),
+        b64(b"\x00\xff\xfe\x01" + SECRET.encode() + b"\xff\x00"),
+        b64(gzip.compress(b"one ") + gzip.compress(SECRET.encode())),
+        b64(bz2.compress(SECRET.encode()) + b"tail"),
+    ],
+)
+def test_layers_in_other_text(coded):
+    text = f"start {coded} é end"
+    spans = secret_scan.decoded_spans(text)
+    assert any(k == "decoded_assign" and 6 <= s and e <= 6 + len(coded) and (e - s) > 20 for s, e, k in spans)
+
+
+def test_large_layers_are_scanned_in_windows(monkeypatch):
+    monkeypatch.setattr(secret_scan, "LAYER_BYTES", 3 << 20)
+    for at in (0, 2 << 20, (3 << 20) - 10, 7 << 20):
+        text = b64(gzip.compress(b"w " * (at // 2) + SECRET.encode() + b" w" * (4 << 20)))
+        assert [k for _, _, k in secret_scan.decoded_spans(text)] == ["decoded_assign"]
+
+
 def test_plain_secrets_are_not_found_twice():
     assert secret_scan.decoded_spans(f"{SECRET} 100%25 done") == []
     two = f"{b64(SECRET)} and {b64(SECRET)}"
