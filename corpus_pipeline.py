@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fixity_spark.llm import exact, langid, mixing, ngram_join, packing
-from fixity_spark.llm.common import Scratch
+from fixity_spark.llm.common import Scratch, numbered
 
 #: A text whose language is less likely than this among the known ones is rejected, as is one of no language.
 #: Even short clean texts score higher; with four languages 0.25 is the least there can be.
@@ -19,10 +19,11 @@ LEAST_SCORE = 0.3
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language the labels name; texts without letters and texts of no clear language go."""
     scratch = Scratch(spark, "language")
-    found = langid.predict_languages(docs, ~langid.held_out())
-    gone = found.where(~((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))).select(F.col("doc_id").alias("_fx_id")).distinct()
+    rows = numbered(docs, scratch)
+    found = langid.predict_languages(rows, ~langid.held_out(), id_col="_fx_row")
+    gone = found.where(~((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))).select(F.col("doc_id").alias("_fx_row"))
     gone = scratch.write(gone, "gone")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_fx_id")), "left_anti")
+    return rows.join(gone, "_fx_row", "left_anti").select(*docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -88,6 +88,11 @@ class Scratch:
             self.fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(self.path(table)), True)
 
 
+def numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """docs with _fx_row, a number of its own for each row whatever its id; written, as numbers differ when rows are read anew."""
+    return scratch.write(docs.withColumn("_fx_row", F.monotonically_increasing_id()), "rows")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fixity_spark.llm.common import Scratch
+from fixity_spark.llm.common import Scratch, numbered
 from fixity_spark.llm.words import lower_ascii, text_buffer
 
 SLOTS = 4
@@ -158,17 +158,14 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without its duplicates, every column kept; of rows repeated with the same id and text one stays."""
-    decided = exact_duplicates(docs, id_col, text_col)
-    stay = decided.where("kept").groupBy(id_col).agg(F.count("*").alias("_fx_rows"), F.count_distinct("text_sha256").alias("_fx_texts"))
     scratch = Scratch(docs.sparkSession, "exact-kept")
-    stay = scratch.write(stay.withColumnRenamed(id_col, "_fx_id"), "stay")
-    # most documents stay, so their ids are never a small side: the plan is the same at every size
-    out = docs.join(stay.hint("merge"), F.col(id_col).eqNullSafe(F.col("_fx_id")), "left_semi")
-    if stay.where("_fx_rows > 1").isEmpty():
-        return out
-    # repeated ids: hold the texts themselves apart, and one row of each
-    sha = F.sha2(F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), 256)
-    winners = decided.where("kept").select(F.col(id_col).alias("_fx_id"), "text_sha256").distinct()
-    marked = docs.withColumn("_fx_sha", sha)
-    kept = marked.join(winners, F.col(id_col).eqNullSafe(F.col("_fx_id")) & (F.col("_fx_sha") == F.col("text_sha256")), "left_semi")
-    return kept.dropDuplicates([id_col, "_fx_sha"]).drop("_fx_sha")
+    rows = numbered(docs, scratch)
+    narrow = rows.select("_fx_row", F.col(text_col).alias("_fx_text"))
+    digests = scratch.write(narrow.mapInArrow(_digests, "_fx_id long, _fx_digest binary").withColumnRenamed("_fx_id", "_fx_row"), "digests")
+    digests = digests.join(rows.select("_fx_row", F.col(id_col).cast("long").alias("_fx_id")).hint("merge"), "_fx_row")
+    digests = scratch.write(digests, "named")
+    live = scratch.write(live_digests(digests), "live")
+    winners = digests.join(live, "_fx_digest").where(F.col("_fx_id").eqNullSafe(F.col("_fx_keep")))
+    stay = scratch.write(winners.groupBy("_fx_digest").agg(F.min("_fx_row").alias("_fx_row")).select("_fx_row"), "stay")
+    # most documents stay, so their numbers are never a small side: the plan is the same at every size
+    return rows.join(stay.hint("merge"), "_fx_row", "left_semi").select(*docs.columns)

@@ -197,8 +197,8 @@ def fit(docs: DataFrame, labelled, path: str, train_docs: int = TRAIN_DOCS) -> t
 _LOADED: dict = {}
 
 
-def predict_languages(docs: DataFrame, labelled, path: str | None = None, train_docs: int = TRAIN_DOCS) -> DataFrame:
-    """doc_id, lang_pred and score, one row per row of docs.
+def predict_languages(docs: DataFrame, labelled, path: str | None = None, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id") -> DataFrame:
+    """doc_id (what id_col holds), lang_pred and score, one row per row of docs.
 
     Learns from text and lang of the rows where the condition labelled holds; predictions use the whole text
     alone. score is the posterior under equal priors of the text's mean log probability per word, so it tells
@@ -231,7 +231,7 @@ def predict_languages(docs: DataFrame, labelled, path: str | None = None, train_
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([langs[k] if ok else UNKNOWN for k, ok in zip(best, letters, strict=True)], pa.string()), pa.array(np.where(letters, 1 / odds.sum(1), 0.0))], ["doc_id", "lang_pred", "score"])
 
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_fx_text"), letter.alias("_fx_letter")).mapInArrow(predict, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("text").alias("_fx_text"), letter.alias("_fx_letter")).mapInArrow(predict, "doc_id long, lang_pred string, score double")
 
 
 def held_out(doc_id="doc_id"):

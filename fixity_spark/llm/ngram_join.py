@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fixity_spark.llm import chunks as C
-from fixity_spark.llm.common import Scratch, components
+from fixity_spark.llm.common import Scratch, components, numbered
 from fixity_spark.llm.words import lower_ascii, mix, ngram_hashes, slices, span_hashes, word_spans
 
 #: Words of a shingle and percent of Jaccard similarity for general use.
@@ -307,8 +307,17 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
 
 def keep_one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """docs with the smallest doc_id of each group alone, every column kept; rows with a null id stay."""
+    """docs with the row of the smallest doc_id of each group alone, every column kept.
+
+    Each row is a document of its own, whether or not its id is null or repeated; a null id is larger than any other.
+    """
     scratch = Scratch(docs.sparkSession, "jaccard-kept")
-    groups = jaccard_groups(docs, words, percent)
-    gone = scratch.write(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_fx_id")).distinct(), "gone")
-    return docs.join(gone, F.col("doc_id") == F.col("_fx_id"), "left_anti")
+    rows = numbered(docs, scratch)
+    groups = jaccard_groups(rows.select(F.col("_fx_row").alias("doc_id"), "text"), words, percent)
+    groups = groups.select(F.col("doc_id").alias("_fx_row"), F.col("component_id").alias("_fx_c"))
+    shared = scratch.write(groups.where("_fx_row <> _fx_c").select("_fx_row", "_fx_c"), "shared")
+    shared = shared.unionByName(shared.select(F.col("_fx_c").alias("_fx_row"), "_fx_c").distinct())
+    named = scratch.write(shared.join(rows.select("_fx_row", F.col("doc_id").cast("long").alias("_fx_id")), "_fx_row"), "members")
+    first = named.groupBy("_fx_c").agg(F.min(F.struct(F.col("_fx_id").isNull(), "_fx_id", "_fx_row")).getField("_fx_row").alias("_fx_row"))
+    gone = scratch.write(named.select("_fx_row").join(first.select("_fx_row"), "_fx_row", "left_anti"), "gone")
+    return rows.join(gone, "_fx_row", "left_anti").select(*docs.columns)

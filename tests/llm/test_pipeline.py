@@ -23,6 +23,20 @@ def test_language_stage_keeps_short_clean_texts(spark):
     assert P.keep_known_languages(spark, docs, "").count() == docs.count()
 
 
+def test_rows_are_judged_alone(spark, messy):
+    kept = [r.text for r in P.keep_known_languages(spark, messy, "").where("doc_id IS NULL").collect()]
+    assert kept == ["ein zwei drei vier fünf sechs sieben acht neun zehn elf zwölf"]
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, long), (2, long + " tail"), (2, "another text of the same id"), (None, long + " end"), (None, "a text without an id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [long, "a text without an id", "another text of the same id"]
+    assert sorted(r.text for r in P.drop_near_copies(spark, docs, "").collect()) == sorted(want)
+    rows = [(5, "copied"), (7, "Copied"), (5, "of its own"), (None, "copied"), (7, "copied"), (None, "no id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = P.drop_exact_copies(spark, docs, "").collect()
+    assert sorted((str(r.doc_id), r.text.lower()) for r in got) == [("5", "of its own"), ("7", "copied"), ("None", "no id")]
+
+
 def test_run(spark, sf_dir, sample):
     rows = P.run(spark, sf_dir).collect()
     assert rows
