@@ -10,7 +10,7 @@ from fixity_spark.schema import PROBE
 
 # The sidecar attribute, file-name patterns, and seasons in order.
 SIDECAR_DATE = r'<CreationDate value="([\s\S]{10})'
-DASHED = r"([0-9]{4})[-_]([0-9]{2})[-_]([0-9]{2})"
+DASHED = r"([0-9]{4})[_-]([0-9]{2})[_-]([0-9]{2})"
 PACKED = r"(?:^|[^0-9])([0-9]{4})([0-9]{2})([0-9]{2})(?:[^0-9]|$)"
 SEASONS = ("Spring", "Summer", "Autumn", "Winter")
 
@@ -20,17 +20,22 @@ def sidecar_date(xml: Column) -> Column:
     return F.try_to_timestamp(F.nullif(F.regexp_extract(xml, SIDECAR_DATE, 1), F.lit("")), F.lit("yyyy-MM-dd")).cast("date")
 
 
-def _matched(text: Column, pattern: str) -> Column:
-    y, m, d = (F.regexp_extract(text, pattern, k).try_cast("int") for k in (1, 2, 3))
-    good = y.between(1990, 2100) & m.between(1, 12) & d.between(1, 31)
+def _day(digits: Column) -> Column:
+    """The day of eight digits; null where they are none of 1990 to 2100."""
+    y, m, d = (F.substring(digits, at, n).try_cast("int") for at, n in ((1, 4), (5, 2), (7, 2)))
     # a day past the month's end runs into the next month
-    return F.when(good, F.date_add(F.make_date(F.when(good, y), F.when(good, m), F.lit(1)), d - 1))
+    return F.when(y.between(1990, 2100) & m.between(1, 12) & d.between(1, 31), F.date_add(F.make_date(y, F.when(m.between(1, 12), m), F.lit(1)), d - 1))
 
 
 def filename_date(rel: Column) -> Column:
-    """The date in a file's name, dashed form first, then eight digits on their own; null where none fits."""
+    """The date in a file's name, dashed form first, then eight digits on their own; null where none fits.
+
+    Both forms become eight digits of one array, so that each pattern runs once and the expression stays small
+    wherever it is used.
+    """
     name = base_name(rel)
-    return F.coalesce(_matched(name, DASHED), _matched(name, PACKED))
+    found = F.array(*(F.regexp_replace(F.regexp_extract(name, p, 0), "[^0-9]", "") for p in (DASHED, PACKED)))
+    return F.try_element_at(F.filter(F.transform(found, _day), lambda d: d.isNotNull()), F.lit(1))
 
 
 def probe_date(output: Column) -> Column:
@@ -51,8 +56,8 @@ def shot_date(probe: Column, rel: Column, mtime: Column, allow_mtime: bool = Tru
 
 def season(day: Column) -> Column:
     """Spring to Winter by month; December joins the winter of its own year folder."""
-    m = F.month(day)
-    return F.when(m.between(3, 5), SEASONS[0]).when(m.between(6, 8), SEASONS[1]).when(m.between(9, 11), SEASONS[2]).when(m.isNotNull(), SEASONS[3])
+    of_month = F.array(*(F.lit(SEASONS[(m // 3 + 3) % 4]) for m in range(1, 13)))
+    return F.try_element_at(of_month, F.month(day))  # null where there is no day
 
 
 def season_order(name: Column) -> Column:

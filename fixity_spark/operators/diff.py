@@ -5,7 +5,7 @@ inv rows are (year, slug, location, ord, role, rel, size_bytes), man rows (year,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fixity_spark.functions.paths import base_name
@@ -49,6 +49,30 @@ def with_digests(inv: DataFrame, man: DataFrame) -> DataFrame:
     return drop_self_entry(inv).join(recorded, [*KEY, "location"], "left")
 
 
+def side_by_side(inv: DataFrame, man: DataFrame, computed: DataFrame | None = None) -> DataFrame:
+    """Every path once, with what each location lists and records: one shuffle by the full file key for all rules.
+
+    Columns: key, held array<(ord, location, role, size_bytes)>, recorded array<(location, role, digest)> and, with
+    computed digests, read array<(location, digest)>; each sorted, each as long as there are locations with the path.
+    Self entries are left out; an empty digest is kept, as it is a line of its manifest.
+    """
+    none = F.lit(None)
+    struct = lambda *c: F.struct(*c)
+    held, recorded, read = "struct<ord int,location string,role string,size_bytes bigint>", "struct<location string,role string,digest string>", "struct<location string,digest string>"
+    column = lambda df, name: F.col(name) if name in df.columns else none.cast("string").alias(name)
+    rows = drop_self_entry(inv).select(*KEY, struct(F.col("ord").cast("int").alias("ord"), "location", column(inv, "role"), "size_bytes").cast(held).alias("held"), none.cast(recorded).alias("recorded"), none.cast(read).alias("read"))
+    rows = rows.unionByName(drop_self_entry(man).select(*KEY, none.cast(held).alias("held"), struct("location", column(man, "role"), "digest").cast(recorded).alias("recorded"), none.cast(read).alias("read")))
+    if computed is not None:
+        rows = rows.unionByName(drop_self_entry(computed).select(*KEY, none.cast(held).alias("held"), none.cast(recorded).alias("recorded"), struct("location", "digest").cast(read).alias("read")))
+    # collect_list drops nulls, so each array holds its own kind only
+    return rows.groupBy(*KEY).agg(*[F.array_sort(F.collect_list(c)).alias(c) for c in ("held", "recorded", "read")])
+
+
+def of(entries: Column, location: Column) -> Column:
+    """The entry of a location in an array of side_by_side; null where it has none."""
+    return F.try_element_at(F.filter(entries, lambda e: e["location"] == location), F.lit(1))
+
+
 def coverage(inv: DataFrame, man: DataFrame) -> DataFrame:
     """Per collection and location, files, files without a digest, and whether all are covered."""
     return (

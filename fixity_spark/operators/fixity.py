@@ -59,9 +59,9 @@ def consensus(computed: DataFrame, participants: DataFrame | None = None) -> Dat
 
 
 def merge_manifest(old: DataFrame, new: DataFrame) -> DataFrame:
-    """One digest per path and location, the newest; self entries go."""
+    """One digest per path and location, the newest; self entries go. Of repeated new rows the largest digest holds."""
     both = old.select(*KEY, "location", "digest", F.lit(0).alias("p")).unionByName(new.select(*KEY, "location", "digest", F.lit(1).alias("p")))
-    return drop_self_entry(both).groupBy(*KEY, "location").agg(F.max_by("digest", "p").alias("digest"))
+    return drop_self_entry(both).groupBy(*KEY, "location").agg(F.max(F.struct("p", "digest"))["digest"].alias("digest"))
 
 
 def duplicate_content(computed: DataFrame, key: str = "digest") -> DataFrame:

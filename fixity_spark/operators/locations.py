@@ -13,9 +13,17 @@ from fixity_spark.functions.values import used_ratio
 SMALL = 10_000
 
 
-def small(dim: DataFrame) -> DataFrame:
-    """dim with a broadcast hint where it is known to be small."""
-    return F.broadcast(dim) if dim.limit(SMALL + 1).count() <= SMALL else dim
+def small(dim: DataFrame, most: int = SMALL) -> DataFrame:
+    """dim with a broadcast hint where it is known to have at most so many rows."""
+    return F.broadcast(dim) if dim.limit(most + 1).count() <= most else dim
+
+
+def with_room(loc: DataFrame, room: DataFrame) -> DataFrame:
+    """Locations of a location file (S5) with mounted, avail_bytes and total_bytes from room(name, avail_bytes,
+    total_bytes); a location without a row there is not mounted and has no room."""
+    found = small(room.select("name", F.lit(True).alias("mounted"), "avail_bytes", "total_bytes"))
+    joined = loc.drop("mounted", "avail_bytes", "total_bytes").join(found, "name", "left")
+    return joined.withColumns({"mounted": F.coalesce("mounted", F.lit(False)), **{c: F.coalesce(c, F.lit(0)).cast("long") for c in ("avail_bytes", "total_bytes")}})
 
 
 def covers_year(year: Column, year_from: Column, year_to: Column) -> Column:

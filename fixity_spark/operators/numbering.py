@@ -62,15 +62,24 @@ def collision_count(files: DataFrame, target: list[str]) -> DataFrame:
     return files.withColumn("base", base_name(F.col("rel"))).withColumn("n_same", F.count("*").over(W.partitionBy(*target, "base")))
 
 
-def resolve_collisions(files: DataFrame, target: list[str]) -> DataFrame:
-    """Adds new_name, unique within a target: base name, folder-prefixed where shared, then numbered.
+def unique_names(files: DataFrame, target: list[str], name: str = "name", order: str = "rel") -> DataFrame:
+    """Column name made unique within a target: of equal names the first in order keeps it, the others get _2, _3, ...
+    before the extension, counted on from the highest number that another file of the target bears after that stem.
 
-    Equal names are numbered in order of rel; names so made are looked at once more, as one may equal the own
-    name of another file.
+    So no number is given twice, whatever names the files bring along, and one pass does it.
     """
-    named = collision_count(files, target).withColumn("name", F.when(F.col("n_same") > 1, flat_name(F.col("rel"))).otherwise(F.col("base")))
-    for _ in range(2):
-        k = F.row_number().over(W.partitionBy(*target, "name").orderBy("rel"))
-        numbered = F.regexp_replace("name", r"^(.*?)(\.[^.]*)?$", "$1")
-        named = named.withColumn("_k", k).withColumn("name", F.when(F.col("_k") > 1, F.concat(numbered, F.lit("_"), F.col("_k").cast("string"), F.regexp_extract("name", r"(\.[^.]*)$", 1))).otherwise(F.col("name")))
-    return named.withColumnRenamed("name", "new_name").drop("_k")
+    ext = F.regexp_extract(name, r"(\.[^.]*)$", 1)
+    stem = F.regexp_replace(name, r"\.[^.]*$", "")
+    ranked = files.withColumns({"_stem": stem, "_ext": ext, "_k": F.row_number().over(W.partitionBy(*target, name).orderBy(order))})
+    again = ranked.where("_k = 2").select(*target, "_stem", "_ext")
+    bearers = files.select(*target, F.regexp_replace(stem, "_[0-9]+$", "").alias("_stem"), ext.alias("_ext"), F.regexp_extract(stem, "_([0-9]+)$", 1).try_cast("long").alias("_n")).where("_n IS NOT NULL")
+    taken = again.join(bearers, [*target, "_stem", "_ext"]).groupBy(*target, "_stem", "_ext").agg(F.max("_n").alias("_most"))
+    numbered = F.concat("_stem", F.lit("_"), (F.greatest(F.coalesce("_most", F.lit(1)), F.lit(1)) + F.col("_k") - 1).cast("string"), "_ext")
+    out = ranked.join(taken, [*target, "_stem", "_ext"], "left").withColumn(name, F.when(F.col("_k") > 1, numbered).otherwise(F.col(name)))
+    return out.drop("_stem", "_ext", "_k", "_most")
+
+
+def resolve_collisions(files: DataFrame, target: list[str]) -> DataFrame:
+    """Adds new_name, unique within a target: base name, folder-prefixed where shared, then numbered."""
+    named = collision_count(files, target).withColumn("new_name", F.when(F.col("n_same") > 1, flat_name(F.col("rel"))).otherwise(F.col("base")))
+    return unique_names(named, target, "new_name")

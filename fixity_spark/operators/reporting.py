@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fixity_spark.functions.paths import is_junk, is_numbered, number
 from fixity_spark.functions.values import cell_state
 from fixity_spark.operators.diff import with_digests
-from fixity_spark.operators.locations import small
+from fixity_spark.operators.locations import SMALL, small
 from fixity_spark.schema import COLLECTION
 
 
@@ -28,8 +28,13 @@ def catalogue_totals(sizes: DataFrame) -> DataFrame:
 
 
 def presence_matrix(scan: DataFrame, loc: DataFrame) -> DataFrame:
-    """A4: one row per collection, one column per location with its state; the locations are listed up front."""
-    names = [(r.name, r.mounted) for r in loc.orderBy("ord").collect()]
+    """A4: one row per collection, one column per location with its state; the locations are listed up front.
+
+    The result has a column for each location, so a table of more than SMALL of them is refused.
+    """
+    names = [(r.name, r.mounted) for r in loc.orderBy("ord").limit(SMALL + 1).collect()]
+    if len(names) > SMALL:
+        raise ValueError(f"more than {SMALL} locations")
     cell = lambda name, mounted: cell_state(F.lit(mounted), F.max(F.when(F.col("location") == name, F.col("files"))), F.bool_or(F.when(F.col("location") == name, F.col("checksummed")))).alias(name)
     return scan.groupBy(*COLLECTION).agg(*[cell(*x) for x in names])
 
@@ -51,8 +56,12 @@ def max_number(inv: DataFrame) -> DataFrame:
 
 
 def transfer_totals(plan: DataFrame, present: DataFrame | None = None) -> DataFrame:
-    """Files and bytes to copy to each destination, with the mean size."""
-    rows = plan.select("dst", "size_bytes", F.lit(True).alias("todo"))
+    """A5: files and bytes to copy to each destination, and bytes that are there already.
+
+    The latter come from present(dst, size_bytes), or from a column present of plan (transfer.offers).
+    """
+    held = F.col("present") if "present" in plan.columns else F.lit(False)
+    rows = plan.select("dst", "size_bytes", (~held).alias("todo"))
     if present is not None:
         rows = rows.unionByName(present.select("dst", "size_bytes", F.lit(False).alias("todo")))
     todo = F.col("todo")
@@ -71,15 +80,24 @@ def capacity_check(totals: DataFrame, loc: DataFrame) -> DataFrame:
 
 
 def arrivals_by_day(arrivals: DataFrame) -> DataFrame:
-    """Files, bytes and cards of each recording day."""
-    return arrivals.groupBy("day").agg(F.count("*").alias("n_files"), F.sum("size_bytes").alias("bytes"), F.array_sort(F.collect_set("card")).alias("cards"))
+    """Files, bytes and cards of each recording day, in order of day."""
+    return arrivals.groupBy("day").agg(F.count("*").alias("n_files"), F.sum("size_bytes").alias("bytes"), F.array_sort(F.collect_set("card")).alias("cards")).orderBy("day")
+
+
+#: Kinds of findings of a check.
+KINDS = ("missing", "extra", "ghost", "conflict", "size_diff", "collection_missing", "only_copy")
+
 
+def check_summary(findings: DataFrame, checked: DataFrame | None = None) -> DataFrame:
+    """Counts of each kind of finding per collection, in order, and whether it passes.
 
-def check_summary(findings: DataFrame) -> DataFrame:
-    """Counts of each kind of finding per collection, and whether it passes."""
-    kinds = ("missing", "extra", "ghost", "conflict", "size_diff")
-    out = findings.groupBy(*COLLECTION).agg(*[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in kinds])
-    return out.withColumn("passed", sum((F.col(f"n_{k}") for k in kinds), F.lit(0)) == 0)
+    checked (year, slug) lists all collections that were looked at, so that those without findings are in it, too.
+    """
+    kind = F.lit(None).cast("string")
+    rows = findings.select(*COLLECTION, "kind")
+    rows = rows if checked is None else rows.unionByName(checked.select(*COLLECTION, kind.alias("kind")))
+    out = rows.groupBy(*COLLECTION).agg(*[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in KINDS], (F.count("kind") == 0).alias("passed"))
+    return out.orderBy(*COLLECTION)
 
 
 def junk_summary(listing: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fixity_spark.functions.paths import number
+from fixity_spark.operators.locations import covers_year, small
 from fixity_spark.schema import COLLECTION, KEY
 
 
@@ -20,8 +21,14 @@ def _best(scan: DataFrame, *order: Column) -> DataFrame:
     return ranked.where("_rank = 1").drop("_rank")
 
 
-def pick_reference(scan: DataFrame) -> DataFrame:
-    """The first hot copy in location order, else the first cold one."""
+def pick_reference(scan: DataFrame, loc: DataFrame | None = None) -> DataFrame:
+    """The first hot copy in location order, else the first cold one among the locations of loc that cover the year.
+
+    A collection that only archives out of scope hold has no reference. Without loc every cold copy counts.
+    """
+    if loc is not None:
+        range_ = small(loc.select(F.col("name").alias("location"), F.col("year_from").alias("_from"), F.col("year_to").alias("_to")))
+        scan = scan.join(range_, "location").where((F.col("role") == "hot") | covers_year(F.col("year"), F.col("_from"), F.col("_to"))).drop("_from", "_to")
     return _best(scan, F.when(F.col("role") == "hot", 0).otherwise(1), F.col("ord"))
 
 
@@ -59,6 +66,12 @@ def first_n(backups: DataFrame, n: int) -> DataFrame:
     return ranked.where(F.col("rank") <= n).withColumn("enough", F.col("n_qualified") >= n)
 
 
+def numbered(inv: DataFrame, numbers: list[int]) -> DataFrame:
+    """The collections (year, slug) that numbers lead to, in every year."""
+    wanted = inv.select("year").distinct().withColumn("num", F.explode(F.array(*map(F.lit, numbers))))
+    return resolve_number(inv.select("year", "slug", "ord").distinct(), wanted).select("year", "slug")
+
+
 def resolve_number(coll: DataFrame, wanted: DataFrame, across_years: bool = False) -> DataFrame:
     """The slug of each wanted (year, num), or num alone across years, newest first.
 

@@ -2,23 +2,44 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fixity_spark.operators import diff, locations, reporting, selection
 from fixity_spark.schema import COLLECTION, KEY
 
+_FINDING = "array<struct<location:string,kind:string,ref_digest:string,other_digest:string>>"
+
 
 def targets(inv: DataFrame, loc: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Reference copy of each collection (ref) and, for each, the archives in scope other than itself (dst)."""
-    reference = selection.pick_reference(selection.copies(inv)).select(*COLLECTION, F.col("location").alias("ref"))
+    reference = selection.pick_reference(selection.copies(inv), loc).select(*COLLECTION, F.col("location").alias("ref"))
     return reference, locations.scope(reference, loc).where("dst <> ref")
 
 
+def _facts(inv: DataFrame, loc: DataFrame) -> DataFrame:
+    """One row per collection with a reference: ref, ref_role and targets array<(dst, held)> in location order.
+
+    All of it comes from one row per collection and location; nothing here grows with the files.
+    """
+    copies = selection.copies(inv)
+    listed = copies.groupBy(*COLLECTION).agg(F.collect_set("location").alias("copies"))
+    picked = selection.pick_reference(copies, loc).select(*COLLECTION, F.col("location").alias("ref"), F.col("role").alias("ref_role")).join(listed, COLLECTION)
+    scoped = locations.scope(picked.select(*COLLECTION, "ref", "copies"), loc).where("dst <> ref")
+    pairs = scoped.groupBy(*COLLECTION).agg(F.array_sort(F.collect_list(F.struct("dst_ord", "dst", F.array_contains("copies", F.col("dst")).alias("held")))).alias("targets"))
+    empty = F.array().cast("array<struct<dst_ord:int,dst:string,held:boolean>>")
+    return picked.join(pairs, COLLECTION, "left").select(*COLLECTION, "ref", "ref_role", F.coalesce("targets", empty).alias("targets"))
+
+
+def _entry(reference: str, held, dst):
+    """What stands for the reference in comparing with dst: its entry, or the first of the reference's role."""
+    if reference == "first":
+        return diff.of(held, F.col("ref"))
+    return F.try_element_at(F.filter(held, lambda e: (e["role"] == F.col("ref_role")) & (e["location"] != dst)), F.lit(1))
+
+
 def compare(inv: DataFrame, loc: DataFrame, reference: str = "first") -> DataFrame:
-    """Paths of the reference copy and of each archive in scope, side by side: one join for all of them.
+    """Paths of the reference copy and of each archive in scope, side by side.
 
     With reference "union", a path of any copy of the reference's role stands for the reference, at the size of
     the first location that lists it, so that a file only on a second hot copy is seen.
@@ -28,59 +49,74 @@ def compare(inv: DataFrame, loc: DataFrame, reference: str = "first") -> DataFra
     """
     if reference not in ("first", "union"):
         raise ValueError("reference is first or union")
-    picked, pairs = targets(inv, loc)
-    held = selection.copies(inv).select(*COLLECTION, F.col("location").alias("dst"))
-    pairs = pairs.join(held, [*COLLECTION, "dst"], "left_semi")
-    rows = inv.select(*KEY, "location", "size_bytes")
-    if reference == "first":
-        of_ref = rows.join(pairs, COLLECTION).where("location = ref").select(*KEY, "dst", F.col("size_bytes").alias("ref_size"))
-    else:
-        roles = picked.join(inv.select(*COLLECTION, F.col("location").alias("ref"), F.col("role").alias("ref_role")).distinct(), [*COLLECTION, "ref"]).drop("ref")
-        listed = inv.select(*KEY, "location", "ord", "role", "size_bytes").join(pairs.join(roles, COLLECTION), COLLECTION).where("role = ref_role AND location <> dst")
-        of_ref = listed.groupBy(*KEY, "dst").agg(F.min_by("size_bytes", "ord").alias("ref_size"))
-    of_dst = rows.withColumnRenamed("location", "dst").join(pairs.drop("ref"), [*COLLECTION, "dst"], "left_semi").select(*KEY, "dst", F.col("size_bytes").alias("dst_size"))
-    return of_ref.join(of_dst, [*KEY, "dst"], "full_outer")
+    nothing = inv.select(*KEY, "location", "role", F.lit(None).cast("string").alias("digest")).limit(0)
+    files = diff.side_by_side(inv, nothing).join(_facts(inv, loc), COLLECTION)
+    each = F.transform(F.filter("targets", lambda t: t["held"]), lambda t: F.struct(t["dst"].alias("dst"), _entry(reference, F.col("held"), t["dst"])["size_bytes"].alias("ref_size"), diff.of(F.col("held"), t["dst"])["size_bytes"].alias("dst_size")))
+    return files.select(*KEY, F.inline(each)).where("ref_size IS NOT NULL OR dst_size IS NOT NULL")
 
 
 def findings(inv: DataFrame, man: DataFrame, loc: DataFrame, reference: str = "first") -> DataFrame:
-    """Missing, extra, size_diff, ghost and conflict rows (year, slug, location, kind, rel, digests)."""
+    """Missing, extra, size_diff, ghost and conflict rows per file, and per collection collection_missing
+    (an archive in scope holds nothing of it) and only_copy (an archive holds it, and no other is in scope).
+
+    Columns: year, slug, location, kind, rel (null for a whole collection), ref_digest, other_digest. Files and
+    manifest lines meet in one shuffle by path; what is to be compared with what is a small table beside it.
+    """
+    if reference not in ("first", "union"):
+        raise ValueError("reference is first or union")
+    facts = _facts(inv, loc)
     none = F.lit(None).cast("string")
-    inv, man = diff.drop_self_entry(inv), diff.drop_self_entry(man)
-    both = compare(inv, loc, reference)
-    kind = F.when(F.col("dst_size").isNull(), "missing").when(F.col("ref_size").isNull(), "extra").when(F.col("ref_size") != F.col("dst_size"), "size_diff")
-    compared = both.withColumn("kind", kind).where("kind IS NOT NULL").select(*COLLECTION, F.col("dst").alias("location"), "kind", "rel", none.alias("ref_digest"), none.alias("other_digest"))
-    picked, pairs = targets(inv, loc)
-    looked_at = picked.select(*COLLECTION, F.col("ref").alias("location")).unionByName(pairs.select(*COLLECTION, F.col("dst").alias("location"))).distinct()
-    ghost = diff.ghosts(inv, man).join(looked_at, [*COLLECTION, "location"], "left_semi").select(*COLLECTION, "location", F.lit("ghost").alias("kind"), "rel", none.alias("ref_digest"), none.alias("other_digest"))
-    of_ref = man.join(pairs, COLLECTION).where("location = ref").select(*KEY, "dst", F.col("digest").alias("ref_digest"))
-    of_dst = man.select(*KEY, F.col("location").alias("dst"), F.col("digest").alias("other_digest"))
-    conflict = of_ref.join(of_dst, [*KEY, "dst"]).where("ref_digest <> other_digest").select(*COLLECTION, F.col("dst").alias("location"), F.lit("conflict").alias("kind"), "rel", "ref_digest", "other_digest")
-    return reduce(DataFrame.unionByName, [compared, ghost, conflict])
+    row = lambda when, location, kind, a=none, b=none: F.when(when, F.struct(location.alias("location"), F.lit(kind).alias("kind"), a.alias("ref_digest"), b.alias("other_digest")))
+    held, recorded, ref = F.col("held"), F.col("recorded"), F.col("ref")
+
+    def of_target(t):
+        one, other = _entry(reference, held, t["dst"])["size_bytes"], diff.of(held, t["dst"])["size_bytes"]
+        a, b = diff.of(recorded, ref)["digest"], diff.of(recorded, t["dst"])["digest"]
+        return F.array(
+            row(t["held"] & one.isNotNull() & other.isNull(), t["dst"], "missing"),
+            row(t["held"] & one.isNull() & other.isNotNull(), t["dst"], "extra"),
+            row(t["held"] & (one != other), t["dst"], "size_diff"),
+            row(diff.of(recorded, t["dst"]).isNotNull() & other.isNull(), t["dst"], "ghost"),
+            row(a != b, t["dst"], "conflict", a, b),
+        )
+
+    of_ref = F.array(row(diff.of(recorded, ref).isNotNull() & diff.of(held, ref).isNull(), ref, "ghost"))
+    rows = F.filter(F.flatten(F.concat(F.array(of_ref), F.transform("targets", of_target))).cast(_FINDING), lambda r: r.isNotNull())
+    of_files = diff.side_by_side(inv, man).join(facts, COLLECTION).select(*COLLECTION, "rel", F.inline(rows))
+    gone = F.transform(F.filter("targets", lambda t: ~t["held"]), lambda t: F.struct(t["dst"].alias("location"), F.lit("collection_missing").alias("kind")))
+    alone = F.when((F.col("ref_role") == "cold") & (F.size("targets") == 0), F.array(F.struct(ref.alias("location"), F.lit("only_copy").alias("kind"))))
+    of_collections = facts.select(*COLLECTION, F.inline(F.coalesce(alone, gone))).withColumns({"rel": none, "ref_digest": none, "other_digest": none})
+    return of_files.unionByName(of_collections).select(*COLLECTION, "location", "kind", "rel", "ref_digest", "other_digest")
 
 
 def only_copies(inv: DataFrame, loc: DataFrame) -> DataFrame:
     """Collections whose reference copy has no other copy at an archive in scope (kind only_copy), or where
     some archive in scope lacks the collection altogether (collection_missing), or none is in scope (no_destination)."""
-    reference, pairs = targets(inv, loc)
-    held = selection.copies(inv).select(*COLLECTION, F.col("location").alias("dst"), F.lit(1).alias("held"))
-    per = pairs.join(held, [*COLLECTION, "dst"], "left").groupBy(*COLLECTION).agg(F.count("*").alias("n_scope"), F.count("held").alias("n_held"))
-    joined = reference.join(per, COLLECTION, "left").withColumn("n_scope", F.coalesce("n_scope", F.lit(0))).withColumn("n_held", F.coalesce("n_held", F.lit(0)))
+    n_held = F.size(F.filter("targets", lambda t: t["held"])).cast("long")
+    counted = _facts(inv, loc).select(*COLLECTION, "ref", F.size("targets").cast("long").alias("n_scope"), n_held.alias("n_held"))
     kind = F.when(F.col("n_scope") == 0, "no_destination").when(F.col("n_held") == 0, "only_copy").when(F.col("n_held") < F.col("n_scope"), "collection_missing")
-    return joined.withColumn("kind", kind).where("kind IS NOT NULL").select(*COLLECTION, "ref", "kind", "n_scope", "n_held")
+    return counted.withColumn("kind", kind).where("kind IS NOT NULL").select(*COLLECTION, "ref", "kind", "n_scope", "n_held")
 
 
-def check(inv: DataFrame, man: DataFrame, loc: DataFrame, years: list[int] | None = None, reference: str = "first") -> tuple[DataFrame, DataFrame]:
-    """Findings and their summary per collection."""
+def check(inv: DataFrame, man: DataFrame, loc: DataFrame, years: list[int] | None = None, reference: str = "first", numbers: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Findings, and their summary for every collection that has a reference copy, those that pass included.
+
+    numbers narrows the check to the collections they resolve to, in each of the years. A number that leads to no
+    collection is in transfer.unresolved, as nothing can be checked for it.
+    """
     if years:
         inv, man = (df.where(F.col("year").isin(*years)) for df in (inv, man))
+    if numbers:
+        wanted = selection.numbered(inv, numbers)
+        inv, man = (df.join(wanted, COLLECTION, "left_semi") for df in (inv, man))
     found = findings(inv, man, loc, reference)
-    return found, reporting.check_summary(found)
+    return found, reporting.check_summary(found, _facts(inv, loc))
 
 
 def missing_summary(inv: DataFrame, loc: DataFrame) -> DataFrame:
-    """Files of each collection that are missing from each archive in scope, counted."""
-    reference, pairs = targets(inv, loc)
-    rows = inv.select(*KEY, "location")
-    wanted = rows.join(pairs, COLLECTION).where("location = ref").select(*KEY, "dst")
-    lacking = wanted.join(rows.withColumnRenamed("location", "dst"), [*KEY, "dst"], "left_anti")
-    return lacking.groupBy(*COLLECTION, F.col("dst").alias("location")).agg(F.count("*").alias("n_missing"))
+    """Files of each collection that are missing from each archive in scope, counted; an archive without the
+    collection lacks all of them."""
+    nothing = inv.select(*KEY, "location", "role", F.lit(None).cast("string").alias("digest")).limit(0)
+    files = diff.side_by_side(inv, nothing).join(_facts(inv, loc), COLLECTION)
+    lacking = F.filter(F.transform("targets", lambda t: t["dst"]), lambda d: diff.of(F.col("held"), d).isNull())
+    return files.where(diff.of(F.col("held"), F.col("ref")).isNotNull()).select(*COLLECTION, F.explode(lacking).alias("location")).groupBy(*COLLECTION, "location").agg(F.count("*").alias("n_missing"))

@@ -23,21 +23,31 @@ def verify(man: DataFrame, content: DataFrame, inv: DataFrame | None = None) ->
     return rows, summary
 
 
+def _open(files: DataFrame) -> DataFrame:
+    """Locations of each collection that hold a file without a digest: open, as an array."""
+    each = F.transform("held", lambda e: F.struct(e["location"].alias("location"), F.coalesce(diff.of(F.col("recorded"), e["location"])["digest"] == "", F.lit(True)).alias("bare")))
+    bare = files.select(*COLLECTION, F.inline(each)).groupBy(*COLLECTION, "location").agg(F.bool_or("bare").alias("bare")).where("bare")
+    return bare.groupBy(*COLLECTION).agg(F.array_sort(F.collect_list("location")).alias("open"))
+
+
 def build_manifests(inv: DataFrame, man: DataFrame, computed: DataFrame) -> DataFrame:
     """D3: digests for the locations of a collection that are not fully covered, with a state per path.
 
     computed (key, location, digest) are digests of stored content. A path is `new` where every uncovered
     location of the collection has it and all digests agree; `conflict`, `unreadable` or `absent` otherwise,
-    and one such path keeps the whole collection from being recorded (publish is false).
+    and one such path keeps the whole collection from being recorded (publish is false). `disputed` tells where a
+    covered copy records another digest for the path, which does not keep it from being recorded.
     """
-    open_ = diff.coverage(inv, man).where("NOT covered").select(*COLLECTION, "location")
-    n = open_.groupBy(*COLLECTION).agg(F.count("*").alias("n_open"))
-    rows = diff.drop_self_entry(inv).select(*KEY, "location").join(open_, [*COLLECTION, "location"], "left_semi").join(computed.select(*KEY, "location", "digest"), [*KEY, "location"], "left")
-    paths = rows.groupBy(*KEY).agg(F.count("*").alias("n_copies"), F.count("digest").alias("n_read"), F.count_distinct("digest").alias("n_digests"), F.min("digest").alias("digest"))
-    state = F.when(F.col("n_copies") < F.col("n_open"), "absent").when(F.col("n_read") < F.col("n_copies"), "unreadable").when(F.col("n_digests") > 1, "conflict").otherwise("new")
-    paths = paths.join(n, COLLECTION).withColumn("state", state)
+    files = diff.side_by_side(inv, man, computed)
+    held = F.filter("held", lambda e: F.array_contains("open", e["location"]))
+    found = F.filter(F.transform("mine", lambda e: diff.of(F.col("read"), e["location"])["digest"]), lambda d: d.isNotNull())
+    paths = files.join(_open(files), COLLECTION).withColumn("mine", held).where(F.size("mine") > 0).withColumn("found", found)
+    state = F.when(F.size("mine") < F.size("open"), "absent").when(F.size("found") < F.size("mine"), "unreadable").when(F.size(F.array_distinct("found")) > 1, "conflict").otherwise("new")
+    digest = F.array_min("found")
+    disputed = F.exists("recorded", lambda e: ~F.array_contains("open", e["location"]) & (e["digest"] != digest))
+    paths = paths.select(*KEY, state.alias("state"), digest.alias("digest"), F.coalesce(disputed, F.lit(False)).alias("disputed"))
     clean = paths.groupBy(*COLLECTION).agg(F.bool_and(F.col("state") == "new").alias("publish"))
-    return paths.join(clean, COLLECTION).select(*KEY, "state", F.when(F.col("state") == "new", F.col("digest")).alias("digest"), "publish")
+    return paths.join(clean, COLLECTION).select(*KEY, "state", F.when(F.col("state") == "new", F.col("digest")).alias("digest"), "publish", "disputed")
 
 
 def new_manifest_rows(built: DataFrame, inv: DataFrame, man: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fixity_spark.functions.dates import season, shot_date
-from fixity_spark.functions.paths import ancestors, base_name, flat_name, is_numbered, junk_dir, junk_file, manifest_path_is_junk, parts, top, visible
+from fixity_spark.functions.paths import ancestors, base_name, depth, is_numbered, manifest_path_is_junk, top, visible
 from fixity_spark.operators import numbering, reporting
 from fixity_spark.schema import COLLECTION, MANIFEST
 
@@ -28,24 +28,26 @@ def dated(files: DataFrame, allow_mtime: bool = True) -> DataFrame:
 
 
 def organise_plan(files: DataFrame, counters: DataFrame, inv: DataFrame, regroup: bool = False, allow_mtime: bool = True) -> DataFrame:
-    """(location, year, rel, new_slug, new_name) of loose files; those without a date go to _unsorted."""
+    """(location, year, rel, new_slug, new_name) of loose files; those without a date go to _unsorted.
+
+    Names are unique within a collection, and within _unsorted of a location and year.
+    """
     found = dated(organise_candidates(files, regroup), allow_mtime)
     slugs = numbering.season_slugs(found, counters, inv).withColumnRenamed("slug", "new_slug")
     sorted_ = found.where("season IS NOT NULL").join(slugs, ["year", "season"])
     named = numbering.resolve_collisions(sorted_, ["location", "year", "new_slug"]).select("location", "year", "rel", "size_bytes", "new_slug", "new_name")
-    rest = found.where("season IS NULL").withColumn("new_slug", F.lit("_unsorted")).withColumn("rel_flat", F.replace("rel", F.lit("/"), F.lit("_")))
-    return named.unionByName(rest.select("location", "year", "rel", "size_bytes", "new_slug", F.col("rel_flat").alias("new_name")))
+    rest = unsorted_names(found.where("season IS NULL"))
+    return named.unionByName(rest.select("location", "year", "rel", "size_bytes", F.lit("_unsorted").alias("new_slug"), "new_name"))
 
 
 def season_totals(plan: DataFrame) -> DataFrame:
-    """Files and bytes of each group of a plan."""
-    return plan.groupBy("location", "year", "new_slug").agg(F.count("*").alias("n_files"), F.sum("size_bytes").alias("bytes"))
+    """Files and bytes of each group of a plan, in order."""
+    return plan.groupBy("location", "year", "new_slug").agg(F.count("*").alias("n_files"), F.sum("size_bytes").alias("bytes")).orderBy("location", "year", "new_slug")
 
 
 def junk_rows(listing: DataFrame) -> DataFrame:
     """Files to drop: junk by name, or inside a junk folder."""
-    inner = F.slice(parts(F.col("rel")), F.lit(1), F.greatest(F.size(parts(F.col("rel"))) - 1, F.lit(0)))
-    return listing.where(F.exists(inner, junk_dir) | junk_file(base_name(F.col("rel"))))
+    return listing.where(manifest_path_is_junk(F.col("rel")))
 
 
 def prune_manifest(man: DataFrame) -> DataFrame:
@@ -59,9 +61,9 @@ def empty_folders(listing: DataFrame, dirs: DataFrame, min_depth: int = 2) -> Da
     A folder is empty when it is no ancestor of a file that remains, so nested empties go together; hidden
     files remain, so listing is the unfiltered one.
     """
-    kept = listing.join(junk_rows(listing).select("location", "rel"), ["location", "rel"], "left_anti")
+    kept = listing.where(~manifest_path_is_junk(F.col("rel")))
     used = kept.where("instr(rel, '/') > 0").select("location", F.explode(ancestors(F.col("rel"))).alias("dir")).distinct()
-    deep = dirs.where(F.size(F.split("dir", "/")) - 1 >= min_depth)
+    deep = dirs.where(depth(F.col("dir")) >= min_depth)
     return deep.join(used, ["location", "dir"], "left_anti")
 
 
@@ -95,5 +97,5 @@ def recover_counters(inv: DataFrame, counters: DataFrame, year: int | None = Non
 
 
 def unsorted_names(files: DataFrame) -> DataFrame:
-    """Flat names of files that go to one bucket."""
-    return files.withColumn("new_name", flat_name(F.col("rel")))
+    """Adds new_name, the path with underscores for slashes, unique within a location and year."""
+    return numbering.unique_names(files.withColumn("new_name", F.replace("rel", F.lit("/"), F.lit("_"))), ["location", "year"], "new_name")

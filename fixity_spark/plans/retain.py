@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fixity_spark.functions.paths import normalise_name
 from fixity_spark.operators import diff, selection
 from fixity_spark.schema import COLLECTION, KEY
 
+GROUP = [*COLLECTION, "location"]
+
 
 def uncovered_on(hot_paths: DataFrame, cold_inv: DataFrame, cold_man: DataFrame, cold: DataFrame) -> DataFrame:
     """Hot paths that a cold copy does not hold, or holds without recording, with the reason.
@@ -22,60 +25,104 @@ def uncovered_on(hot_paths: DataFrame, cold_inv: DataFrame, cold_man: DataFrame,
     return both.withColumn("reason", reason).where("reason IS NOT NULL").select(*KEY, "location", "reason")
 
 
-def backups(inv: DataFrame, man: DataFrame) -> DataFrame:
+def _named(df: DataFrame, hot: list[str] | None) -> DataFrame:
+    """Without the hot copies that are not named, where some are."""
+    return df.where((F.col("role") != "hot") | normalise_name(F.col("location")).isin(*(n.strip().lower() for n in hot))) if hot else df
+
+
+def _per_location(inv: DataFrame, man: DataFrame) -> DataFrame:
+    """What each location has of each collection, with what its hot copies ask for; from one shuffle by path.
+
+    Columns: collection, location, role, ord (null where it holds no file), files, bytes, n_recorded, n_covered
+    (hot paths both held and recorded), n_conflicts, n_hot_paths (of the collection).
+    """
+    hot = F.exists("held", lambda e: e["role"] == "hot")
+    names = F.array_union(F.transform("held", lambda e: F.struct(e["location"].alias("location"), e["role"].alias("role"))), F.transform("recorded", lambda e: F.struct(e["location"].alias("location"), e["role"].alias("role"))))
+
+    def of_location(n):
+        entry, line = diff.of(F.col("held"), n["location"]), diff.of(F.col("recorded"), n["location"])
+        differs = (n["role"] == "cold") & F.exists("recorded", lambda e: (e["role"] == "hot") & (e["digest"] != line["digest"]))
+        return F.struct(n["location"].alias("location"), n["role"].alias("role"), entry["ord"].alias("ord"), entry["size_bytes"].alias("size"), entry.isNotNull().alias("on_disk"), line.isNotNull().alias("listed"), (hot & entry.isNotNull() & (line["digest"] != "")).alias("covered"), F.coalesce(differs, F.lit(False)).alias("differs"))
+
+    # one more entry, without a location, counts the hot path itself
+    path = F.struct(F.lit(None).cast("string").alias("location"), F.lit(None).cast("string").alias("role"), F.lit(None).cast("int").alias("ord"), F.lit(None).cast("bigint").alias("size"), hot.alias("on_disk"), F.lit(False).alias("listed"), F.lit(False).alias("covered"), F.lit(False).alias("differs"))
+    entries = F.concat(F.transform(names, of_location), F.array(path))
+    rows = diff.side_by_side(inv, man).select(*COLLECTION, F.inline(entries))
+    per = rows.groupBy(*GROUP, "role").agg(F.min("ord").alias("ord"), F.count_if("on_disk").alias("files"), F.sum("size").alias("bytes"), F.count_if("listed").alias("n_recorded"), F.count_if("covered").alias("n_covered"), F.count_if("differs").alias("n_conflicts"))
+    asked = per.where("location IS NULL").select(*COLLECTION, F.col("files").alias("n_hot_paths"))
+    return per.where("location IS NOT NULL").join(asked, COLLECTION)
+
+
+def _judged(per: DataFrame) -> DataFrame:
+    """The copies of collections that have a hot one, judged as backups; hot copies do not qualify."""
+    held = per.where("files > 0 AND n_hot_paths > 0").withColumns({"n_uncovered": F.col("n_hot_paths") - F.col("n_covered"), "has_manifest": F.col("n_recorded") > 0})
+    return held.withColumn("qualifies", (F.col("role") == "cold") & F.col("has_manifest") & (F.col("n_uncovered") == 0) & (F.col("n_conflicts") == 0))
+
+
+def _reason() -> Column:
+    """Why a cold copy that does not qualify is refused."""
+    files, digests = (F.col(c).cast("string") for c in ("n_uncovered", "n_conflicts"))
+    return F.when(~F.col("has_manifest"), "no manifest").when(F.col("n_uncovered") > 0, F.concat(F.lit("missing "), files, F.lit(" files"))).when(F.col("n_conflicts") > 0, F.concat(digests, F.lit(" different digests")))
+
+
+def backups(inv: DataFrame, man: DataFrame, hot: list[str] | None = None) -> DataFrame:
     """Every cold copy of a collection that has a hot copy, with what speaks against it.
 
-    Columns: collection, location, ord, n_uncovered, n_conflicts, has_manifest, qualifies. A location's year
-    range plays no part here.
+    Columns: collection, location, ord, n_uncovered, n_conflicts, has_manifest, n_recorded, qualifies. A location's
+    year range plays no part here. hot names the hot locations whose copies are to go; others are left out of account.
     """
-    inv, man = diff.drop_self_entry(inv), diff.drop_self_entry(man)
-    hot_inv, cold_inv = inv.where("role = 'hot'"), inv.where("role = 'cold'")
-    hot_man, cold_man = man.where("role = 'hot'"), man.where("role = 'cold'")
-    hot_paths = hot_inv.select(*KEY).distinct()
-    cold = cold_inv.select(*COLLECTION, "location", "ord").distinct().join(hot_paths.select(*COLLECTION).distinct(), COLLECTION, "left_semi")
-    group = [*COLLECTION, "location"]
-    bad = uncovered_on(hot_paths, cold_inv, cold_man, cold.select(*group)).groupBy(*group).agg(F.count("*").alias("n_uncovered"))
-    conflicts = hot_man.select(*KEY, "digest").distinct().withColumnRenamed("digest", "hot_digest").join(cold_man.select(*KEY, "location", "digest"), KEY).where("hot_digest <> digest").groupBy(*group).agg(F.count_distinct("rel").alias("n_conflicts"))
-    listed = cold_man.select(*group).distinct().withColumn("has_manifest", F.lit(True))
-    out = cold.join(bad, group, "left").join(conflicts, group, "left").join(listed, group, "left")
-    out = out.select(*group, "ord", F.coalesce("n_uncovered", F.lit(0)).alias("n_uncovered"), F.coalesce("n_conflicts", F.lit(0)).alias("n_conflicts"), F.coalesce("has_manifest", F.lit(False)).alias("has_manifest"))
-    return out.withColumn("qualifies", F.col("has_manifest") & (F.col("n_uncovered") == 0) & (F.col("n_conflicts") == 0))
+    judged = _judged(_per_location(_named(inv, hot), _named(man, hot))).where("role = 'cold'")
+    return judged.select(*GROUP, "ord", "n_uncovered", "n_conflicts", "has_manifest", "n_recorded", "qualifies")
 
 
 def reasons(judged: DataFrame) -> DataFrame:
     """Why each cold copy that does not qualify was refused."""
-    why = F.when(~F.col("has_manifest"), "no manifest").when(F.col("n_uncovered") > 0, F.concat(F.lit("missing "), F.col("n_uncovered").cast("string"), F.lit(" files"))).when(F.col("n_conflicts") > 0, F.concat(F.col("n_conflicts").cast("string"), F.lit(" different digests")))
-    return judged.where("NOT qualifies").select(*COLLECTION, "location", "ord", why.alias("reason"))
+    return judged.where("NOT qualifies").select(*COLLECTION, "location", "ord", _reason().alias("reason"))
 
 
-def verdict(inv: DataFrame, man: DataFrame, min_copies: int = 1) -> DataFrame:
+def verdict(inv: DataFrame, man: DataFrame, min_copies: int = 1, hot: list[str] | None = None) -> DataFrame:
     """Per collection with a hot copy: bytes its release frees, qualifying copies, whether they suffice
     and the reasons against the others."""
-    judged = backups(inv, man)
-    freed = diff.drop_self_entry(inv).where("role = 'hot'").groupBy(*COLLECTION).agg(F.sum("size_bytes").alias("freed_bytes"), F.count_distinct("location").alias("n_hot"))
-    counted = judged.groupBy(*COLLECTION).agg(F.count_if("qualifies").alias("n_qualifying"))
-    why = reasons(judged).groupBy(*COLLECTION).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "location", "reason"))), lambda r: F.concat(r["location"], F.lit(": "), r["reason"])), "; ").alias("reasons"))
-    out = freed.join(counted, COLLECTION, "left").join(why, COLLECTION, "left").withColumn("n_qualifying", F.coalesce("n_qualifying", F.lit(0)))
-    reasons_ = F.coalesce("reasons", F.when(F.col("n_qualifying") == 0, "no cold copy").otherwise(""))
-    return out.withColumn("releasable", F.col("n_qualifying") >= min_copies).withColumn("reasons", reasons_)
+    judged = _judged(_per_location(_named(inv, hot), _named(man, hot)))
+    is_hot = F.col("role") == "hot"
+    refused = F.collect_list(F.when(~is_hot & ~F.col("qualifies"), F.struct("ord", "location", _reason().alias("reason"))))
+    out = judged.groupBy(*COLLECTION).agg(F.sum(F.when(is_hot, F.col("bytes"))).alias("freed_bytes"), F.count_if(is_hot).alias("n_hot"), F.count_if("qualifies").alias("n_qualifying"), F.count_if(~is_hot).alias("n_cold"), F.array_sort(refused).alias("why"))
+    text = F.array_join(F.transform("why", lambda r: F.concat(r["location"], F.lit(": "), r["reason"])), "; ")
+    text = F.when(F.col("n_cold") == 0, "no cold copy").otherwise(text)
+    return out.select(*COLLECTION, "freed_bytes", "n_hot", "n_qualifying", text.alias("reasons"), (F.col("n_qualifying") >= min_copies).alias("releasable"))
+
 
+def evict_plan(inv: DataFrame, man: DataFrame, min_copies: int = 1, hot: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Hot copies that may go (targets) and the cold copies that justify it (the first min_copies).
 
-def evict_plan(inv: DataFrame, man: DataFrame, min_copies: int = 1) -> tuple[DataFrame, DataFrame]:
-    """Hot copies that may go (targets) and the cold copies that justify it (the first min_copies)."""
+    hot names the hot locations to release from; without it all of them.
+    """
+    inv, man = _named(inv, hot), _named(man, hot)
     chosen = selection.first_n(backups(inv, man).where("qualifies"), min_copies).where("enough")
-    hot = selection.copies(diff.drop_self_entry(inv)).where("role = 'hot'")
-    return hot.join(chosen.select(*COLLECTION).distinct(), COLLECTION, "left_semi"), chosen
+    targets = selection.copies(diff.drop_self_entry(inv)).where("role = 'hot'")
+    return targets.join(chosen.select(*COLLECTION).distinct(), COLLECTION, "left_semi"), chosen
 
 
-def evict_gate(targets: DataFrame, chosen: DataFrame, verified: DataFrame, strict: bool = True) -> DataFrame:
-    """Targets that pass: every row of their backups verifies; with strict, one failure stops all.
+def evict_gate(targets: DataFrame, chosen: DataFrame, verified: DataFrame | None = None, strict: bool = True, quick: bool = False) -> DataFrame:
+    """Targets that pass: every line of the manifests of their backups verifies; with strict, one failure stops all.
 
-    verified: manifest rows with their status (J10).
+    verified: manifest rows with their status (J10). A line of a chosen backup's manifest that is not in it has
+    not been verified and counts as failed, so nothing passes for want of a verification; neither does a target
+    without a chosen backup. With quick the recorded digests are trusted unread.
     """
-    rows = verified.join(chosen.select(*COLLECTION, "location"), [*COLLECTION, "location"], "left_semi")
-    failed = rows.groupBy(*COLLECTION).agg(F.count_if(F.col("status") != "ok").alias("n_failed"))
-    out = targets.join(failed, COLLECTION, "left").withColumn("n_failed", F.coalesce("n_failed", F.lit(0)))
+    if quick:
+        out = targets.join(chosen.groupBy(*COLLECTION).agg(F.lit(0).cast("long").alias("n_failed")), COLLECTION, "left")
+    elif verified is None:
+        raise ValueError("without quick, the backups must be verified")
+    else:
+        ok = F.col("status") == "ok"
+        seen = verified.join(chosen.select(*GROUP), GROUP, "left_semi").groupBy(*GROUP).agg(F.count_distinct(F.when(ok, F.col("rel"))).alias("n_ok"), F.count_if(~ok | F.col("status").isNull()).alias("n_bad"))
+        per = chosen.select(*GROUP, "n_recorded").join(seen, GROUP, "left").na.fill(0, ["n_ok", "n_bad"])
+        # lines that no row of verified speaks of
+        unseen = F.greatest(F.greatest("n_recorded", F.lit(1)) - F.col("n_ok") - F.col("n_bad"), F.lit(0))
+        out = targets.join(per.groupBy(*COLLECTION).agg(F.sum(F.col("n_bad") + unseen).alias("n_failed")), COLLECTION, "left")
+    passed = F.coalesce(F.col("n_failed") == 0, F.lit(False))
     if not strict:
-        return out.withColumn("passed", F.col("n_failed") == 0)
-    total = failed.agg(F.coalesce(F.sum("n_failed"), F.lit(0)).alias("n_all"))  # one row
-    return out.join(F.broadcast(total), F.lit(True)).withColumn("passed", F.col("n_all") == 0).drop("n_all")
+        return out.withColumn("passed", passed)
+    total = out.agg(F.coalesce(F.bool_and(passed), F.lit(True)).alias("_all"))  # one row
+    return out.join(F.broadcast(total), F.lit(True)).withColumn("passed", F.col("_all")).drop("_all")

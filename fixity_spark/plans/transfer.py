@@ -2,23 +2,33 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fixity_spark.functions.paths import under_prefix
 from fixity_spark.functions.values import content_digest
 from fixity_spark.operators import diff, fixity, locations, selection
 from fixity_spark.schema import COLLECTION, KEY
+from fixity_spark.scratch import move
 
 PLAN = ["year", "slug", "src", "dst", "rel", "size_bytes"]
 
 
+def _offers(inv: DataFrame, pairs: DataFrame) -> DataFrame:
+    """J1 over all (collection, src, dst) pairs at once: files of src, and whether dst has the path (present)."""
+    rows = diff.drop_self_entry(inv).select(*KEY, "location", "size_bytes")
+    offered = rows.withColumnRenamed("location", "src").join(pairs.select(*COLLECTION, "src", "dst"), [*COLLECTION, "src"]).select(*PLAN)
+    there = rows.select(*KEY, F.col("location").alias("dst"), F.lit(True).alias("present")).distinct()
+    return offered.join(there, [*KEY, "dst"], "left").select(*PLAN, F.coalesce("present", F.lit(False)).alias("present"))
+
+
 def _lacking(inv: DataFrame, pairs: DataFrame) -> DataFrame:
-    """J1 over all (collection, src, dst) pairs at once: files of src whose path dst lacks."""
+    """The files of src whose path dst lacks."""
     rows = diff.drop_self_entry(inv).select(*KEY, "location", "size_bytes")
-    offered = rows.join(pairs.select(*COLLECTION, "src", "dst"), COLLECTION).where("location = src").select(*PLAN)
+    offered = rows.withColumnRenamed("location", "src").join(pairs.select(*COLLECTION, "src", "dst"), [*COLLECTION, "src"]).select(*PLAN)
     return offered.join(rows.select(*KEY, F.col("location").alias("dst")), [*KEY, "dst"], "left_anti").select(*PLAN)
 
 
@@ -37,6 +47,16 @@ def sync_conflicts(inv: DataFrame) -> DataFrame:
     return selection.hot_differences(inv)
 
 
+def sync_ghosts(inv: DataFrame, man: DataFrame, years: list[int] | None = None) -> DataFrame:
+    """Hot copies whose manifests list files that are not there, counted: what is synced from them is
+    incomplete, and a run that meets one has failed, whatever it copies."""
+    if years:
+        inv, man = (df.where(F.col("year").isin(*years)) for df in (inv, man))
+    held = inv.where("role = 'hot'").select(*COLLECTION, "location").distinct()
+    lost = diff.ghosts(inv.where("role = 'hot'"), man.where("role = 'hot'")).join(held, [*COLLECTION, "location"], "left_semi")
+    return lost.groupBy(*COLLECTION, "location").agg(F.count("*").alias("n_ghosts"))
+
+
 def replicate_plan(inv: DataFrame, loc: DataFrame, years: list[int] | None = None) -> DataFrame:
     """Files that archives in scope lack, from the first cold copy, wherever that is; empty for years with
     one archive in scope or none."""
@@ -47,22 +67,22 @@ def replicate_plan(inv: DataFrame, loc: DataFrame, years: list[int] | None = Non
     return _lacking(inv, locations.expand_destinations(sources, loc, "cold", in_scope=True))
 
 
-def _chosen(inv: DataFrame, numbers: list[int] | None, sub: str | None) -> DataFrame:
+def _pulled(inv: DataFrame, loc: DataFrame, numbers: list[int] | None, sub: str | None, to: list[str] | None, role: str) -> tuple[DataFrame, DataFrame]:
     if numbers:
-        years = inv.select("year").distinct()
-        wanted = years.withColumn("num", F.explode(F.array(*map(F.lit, numbers))))
-        slugs = selection.resolve_number(inv.select("year", "slug", "ord").distinct(), wanted).select("year", "slug")
-        inv = inv.join(slugs, COLLECTION, "left_semi")
-    return inv.where(under_prefix(F.col("rel"), sub)) if sub else inv
+        inv = inv.join(selection.numbered(inv, numbers), COLLECTION, "left_semi")
+    pairs = locations.expand_destinations(_sources(selection.pick_fullest(selection.copies(inv), role)), loc, "hot", to)
+    return (inv.where(under_prefix(F.col("rel"), sub)) if sub else inv), pairs
 
 
 def pull_plan(inv: DataFrame, loc: DataFrame, numbers: list[int] | None = None, sub: str | None = None, to: list[str] | None = None, role: str = "cold") -> DataFrame:
     """Files that hot locations lack, from the fullest cold copy; locations that decline pulls are left out
-    unless named."""
-    whole = inv
-    inv = _chosen(inv, numbers, sub)
-    sources = _sources(selection.pick_fullest(selection.copies(inv if numbers else whole), role))
-    return _lacking(inv, locations.expand_destinations(sources, loc, "hot", to))
+    unless named. What a request does not find is in unresolved."""
+    return _lacking(*_pulled(inv, loc, numbers, sub, to, role))
+
+
+def pull_offers(inv: DataFrame, loc: DataFrame, numbers: list[int] | None = None, sub: str | None = None, to: list[str] | None = None, role: str = "cold") -> DataFrame:
+    """All files of the sources with each destination, and whether it has them already (present)."""
+    return _offers(*_pulled(inv, loc, numbers, sub, to, role))
 
 
 def copy_plan(inv: DataFrame, loc: DataFrame, numbers: list[int] | None = None, sub: str | None = None, to: list[str] | None = None) -> DataFrame:
@@ -70,24 +90,58 @@ def copy_plan(inv: DataFrame, loc: DataFrame, numbers: list[int] | None = None,
     return pull_plan(inv, loc, numbers, sub, to, role="hot")
 
 
+def unresolved(inv: DataFrame, numbers: list[int], sub: str | None = None, role: str = "cold", years: list[int] | None = None) -> DataFrame:
+    """(year, num, problem) of requests that lead to nothing: `unknown number`, `no source` of the role,
+    or `no such folder` in the source. A run with such a row has failed, though the others are carried out.
+
+    Years are those given, else all that inv has.
+    """
+    asked = (inv.sparkSession.createDataFrame([(y,) for y in years], "year int") if years else inv.select("year").distinct()).withColumn("num", F.explode(F.array(*map(F.lit, numbers))))
+    known = selection.resolve_number(inv.select("year", "slug", "ord").distinct(), asked)
+    mine = inv.join(known.select(*COLLECTION), COLLECTION, "left_semi")
+    sources = selection.pick_fullest(selection.copies(mine), role).select(*COLLECTION, F.col("location").alias("src"))
+    below = F.lit(True) if not sub else under_prefix(F.col("rel"), sub)
+    found = mine.where(below).select(*COLLECTION, F.col("location").alias("src")).distinct().withColumn("found", F.lit(True))
+    out = asked.join(known, ["year", "num"], "left").join(sources, COLLECTION, "left").join(found, [*COLLECTION, "src"], "left")
+    problem = F.when(F.col("slug").isNull(), "unknown number").when(F.col("src").isNull(), "no source").when(F.col("found").isNull(), "no such folder")
+    return out.withColumn("problem", problem).where("problem IS NOT NULL").select("year", "num", "problem").orderBy("year", "num")
+
+
+#: Rows of a plan that are broadcast to the content they ask for.
+SMALL_PLAN = 100_000
+
+
 def execute_plan(plan: DataFrame, content: DataFrame, manifest: DataFrame, target: str) -> DataFrame:
     """D6 (action): copies the planned content into the table at target and returns the merged manifest.
 
-    Content rows are (location, key, content). Copies are staged under target/staged=<run>, read back and
-    compared with the source's digest; only if every planned row is there and verifies are they appended to
-    target/copied and is the manifest of the destinations merged. Otherwise nothing but the staged run is left
-    and the call fails. The source is read once, whatever the number of destinations.
+    Content rows are (location, key, content). Copies are staged under target/staged/<run>, read back and
+    compared with the source's digest; only if every planned row is there and verifies does the staged run move to
+    target/copied/run=<run>, and are its rows, and no others, merged into the manifest of the destinations. Otherwise
+    nothing but the staged run is left and the call fails. Runs sort by time: `copied` gives the newest copy of each
+    path. The source is read once, whatever the number of destinations; a plan of at most SMALL_PLAN rows (counted)
+    goes to the content, so that no other content is shuffled.
     """
     spark = plan.sparkSession
-    run = uuid.uuid4().hex
-    staged = f"{target}/staged/{run}"
+    run = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+    staged, kept = f"{target}/staged/{run}", f"{target}/copied/run={run}"
     source = content.select(F.col("location").alias("src"), *KEY, "content")
-    rows = plan.select("src", "dst", *KEY).join(source, ["src", *KEY], "left")
+    wanted = plan.select("src", "dst", *KEY)
+    # the plan's content is looked up from the content's side; what is not found is known from the count
+    rows = source.join(locations.small(wanted, SMALL_PLAN), ["src", *KEY])
     rows.select(F.col("dst").alias("location"), *KEY, "content", content_digest(F.col("content")).alias("sent_digest")).write.mode("errorifexists").parquet(staged)
-    back = spark.read.parquet(staged).withColumn("digest", content_digest(F.col("content")))
-    checked = fixity.verify_copy(back.select(F.col("location").alias("dst"), *KEY, F.col("sent_digest").alias("digest")), back.select("location", *KEY, "digest"))
-    failed = checked.where("NOT verified").count()
+    back = spark.read.parquet(staged)
+    digest = content_digest(F.col("content"))
+    good = back.where(digest.eqNullSafe(F.col("sent_digest")) & digest.isNotNull()).select(*KEY, "location")
+    failed = wanted.select(*KEY, F.col("dst").alias("location")).join(good, [*KEY, "location"], "left_anti").count()
     if failed:
         raise RuntimeError(f"{failed} copies are unreadable or differ from their source; nothing was recorded")
-    back.select("location", *KEY, "content", "digest").write.mode("append").parquet(f"{target}/copied")
-    return fixity.merge_manifest(manifest, spark.read.parquet(f"{target}/copied").select(*KEY, "location", "digest"))
+    move(spark, staged, kept)
+    mine = spark.read.parquet(kept).select(*KEY, "location", F.col("sent_digest").alias("digest"))
+    return fixity.merge_manifest(manifest, mine)
+
+
+def copied(spark: SparkSession, target: str) -> DataFrame:
+    """The newest copy of each path that execute_plan put at target: location, key, content, digest."""
+    rows = spark.read.parquet(f"{target}/copied")
+    newest = rows.groupBy(*KEY, "location").agg(F.max("run").alias("run"))
+    return rows.join(newest, [*KEY, "location", "run"]).select("location", *KEY, "content", F.col("sent_digest").alias("digest"))

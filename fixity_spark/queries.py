@@ -48,13 +48,13 @@ class Tables:
 # ---- differences
 
 
-@query("SELECT year, slug, rel, size_bytes FROM fx_inventory a WHERE location = 'HOT_A' AND NOT EXISTS (SELECT 1 FROM fx_inventory b WHERE b.location = 'COLD_B' AND b.year = a.year AND b.slug = a.slug AND b.rel = a.rel)")
+@query("SELECT year, slug, rel, size_bytes FROM (SELECT * FROM fx_inventory WHERE location = 'HOT_A') a ANTI JOIN (SELECT * FROM fx_inventory WHERE location = 'COLD_B') b USING (year, slug, rel)")
 def missing_files(spark, sf_dir):
     inv = Tables(spark, sf_dir).inventory
     return diff.missing(diff.at(inv, "HOT_A"), diff.at(inv, "COLD_B")).select(*KEY, "size_bytes")
 
 
-@query("SELECT year, slug, rel, size_bytes FROM fx_inventory a WHERE location = 'COLD_B' AND NOT EXISTS (SELECT 1 FROM fx_inventory b WHERE b.location = 'HOT_A' AND b.year = a.year AND b.slug = a.slug AND b.rel = a.rel)")
+@query("SELECT year, slug, rel, size_bytes FROM (SELECT * FROM fx_inventory WHERE location = 'COLD_B') a ANTI JOIN (SELECT * FROM fx_inventory WHERE location = 'HOT_A') b USING (year, slug, rel)")
 def extra_files(spark, sf_dir):
     inv = Tables(spark, sf_dir).inventory
     return diff.extra(diff.at(inv, "HOT_A"), diff.at(inv, "COLD_B")).select(*KEY, "size_bytes")
@@ -66,7 +66,7 @@ def ghost_entries(spark, sf_dir):
     return diff.ghosts(t.inventory, t.manifest).select(*COLLECTION, "location", "rel")
 
 
-@query("SELECT a.year, a.slug, a.rel, b.location, a.digest AS ref_digest, b.digest AS other_digest FROM fx_manifest a JOIN fx_manifest b USING (year, slug, rel) WHERE a.location = 'HOT_A' AND b.role = 'cold' AND a.digest <> b.digest")
+@query("SELECT a.year, a.slug, a.rel, b.location, a.digest AS ref_digest, b.digest AS other_digest FROM (SELECT * FROM fx_manifest WHERE location = 'HOT_A') a JOIN (SELECT * FROM fx_manifest WHERE role = 'cold') b USING (year, slug, rel) WHERE a.digest <> b.digest")
 def digest_conflicts(spark, sf_dir):
     man = Tables(spark, sf_dir).manifest
     return diff.manifest_conflicts(diff.at(man, "HOT_A"), man.where("role = 'cold'"))
@@ -103,15 +103,49 @@ def union_listing(spark, sf_dir):
 # ---- checks
 
 COPIES = "SELECT year, slug, location, ord, role, count(*) AS n_files, sum(size_bytes)::BIGINT AS bytes FROM fx_inventory GROUP BY ALL"
-REFERENCE = f"SELECT year, slug, location AS ref FROM ({COPIES}) QUALIFY row_number() OVER (PARTITION BY year, slug ORDER BY CASE role WHEN 'hot' THEN 0 ELSE 1 END, ord) = 1"
 COVERS = "(l.year_from = 0 OR {y} >= l.year_from) AND (l.year_to = 0 OR {y} <= l.year_to)"
+
+
+def _reference_sql(loc: str) -> str:
+    """The first hot copy, else the first of the archives in scope; none where only others hold the collection."""
+    return f"""SELECT year, slug, location AS ref, role AS ref_role FROM (SELECT c.* FROM ({COPIES}) c JOIN {loc} l ON l.name = c.location WHERE c.role = 'hot' OR ({COVERS.format(y='c.year')}))
+QUALIFY row_number() OVER (PARTITION BY year, slug ORDER BY CASE role WHEN 'hot' THEN 0 ELSE 1 END, ord) = 1"""
+
+
+def _check_sql(loc: str) -> str:
+    """CTEs ref, pairs (with held: whether dst has the collection) and found (all findings)."""
+    return f"""WITH ref AS MATERIALIZED ({_reference_sql(loc)}), has AS MATERIALIZED (SELECT DISTINCT year, slug, location FROM fx_inventory),
+pairs AS MATERIALIZED (SELECT r.year, r.slug, r.ref, l.name AS dst, h.location IS NOT NULL AS held FROM ref r JOIN {loc} l ON l.mounted AND l.role = 'cold' AND {COVERS.format(y='r.year')} AND l.name <> r.ref LEFT JOIN has h ON h.year = r.year AND h.slug = r.slug AND h.location = l.name),
+a AS (SELECT p.year, p.slug, p.dst, i.rel, i.size_bytes FROM pairs p JOIN fx_inventory i ON i.year = p.year AND i.slug = p.slug AND i.location = p.ref WHERE held),
+b AS (SELECT p.year, p.slug, p.dst, i.rel, i.size_bytes FROM pairs p JOIN fx_inventory i ON i.year = p.year AND i.slug = p.slug AND i.location = p.dst),
+ghost AS (SELECT m.* FROM fx_manifest m ANTI JOIN fx_inventory i USING (year, slug, location, rel)),
+found AS (SELECT year, slug, dst AS location, CASE WHEN b.size_bytes IS NULL THEN 'missing' WHEN a.size_bytes IS NULL THEN 'extra' WHEN a.size_bytes <> b.size_bytes THEN 'size_diff' END AS kind, rel, NULL AS ref_digest, NULL AS other_digest FROM a FULL JOIN b USING (year, slug, dst, rel)
+ UNION ALL SELECT g.year, g.slug, location, 'ghost', rel, NULL, NULL FROM ghost g SEMI JOIN (SELECT year, slug, ref AS location FROM ref UNION SELECT year, slug, dst FROM pairs) USING (year, slug, location)
+ UNION ALL SELECT p.year, p.slug, p.dst, 'conflict', x.rel, x.digest, y.digest FROM pairs p JOIN fx_manifest x ON x.year = p.year AND x.slug = p.slug AND x.location = p.ref JOIN fx_manifest y ON y.year = p.year AND y.slug = p.slug AND y.location = p.dst AND y.rel = x.rel AND y.digest <> x.digest
+ UNION ALL SELECT year, slug, dst, 'collection_missing', NULL, NULL, NULL FROM pairs WHERE NOT held
+ UNION ALL SELECT year, slug, ref, 'only_copy', NULL, NULL, NULL FROM ref ANTI JOIN pairs USING (year, slug) WHERE ref_role = 'cold')"""
+
+
+def _summary_sql(loc: str) -> str:
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in reporting.KINDS)
+    return f"{_check_sql(loc)} SELECT year, slug, {counts}, count(kind) = 0 AS passed FROM ref LEFT JOIN (SELECT * FROM found WHERE kind IS NOT NULL) USING (year, slug) GROUP BY ALL"
+
+
+REFERENCE = _reference_sql("fx_locations")
 PAIRS = f"SELECT r.year, r.slug, r.ref, l.name AS dst FROM ({REFERENCE}) r JOIN fx_locations l ON l.mounted AND l.role = 'cold' AND {COVERS.format(y='r.year')} AND l.name <> r.ref"
 HELD_PAIRS = f"SELECT p.* FROM ({PAIRS}) p SEMI JOIN fx_inventory i ON i.year = p.year AND i.slug = p.slug AND i.location = p.dst"
 
 
 @query(f"SELECT year, slug, ref AS location FROM ({REFERENCE})")
 def reference_copy(spark, sf_dir):
-    return selection.pick_reference(selection.copies(Tables(spark, sf_dir).inventory)).select(*COLLECTION, "location")
+    t = Tables(spark, sf_dir)
+    return selection.pick_reference(selection.copies(t.inventory), t.locations).select(*COLLECTION, "location")
+
+
+@query(f"SELECT year, slug, ref AS location FROM ({_reference_sql('fx_scopes')})")
+def reference_copy_scoped(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return selection.pick_reference(selection.copies(t.inventory), t.scopes).select(*COLLECTION, "location")
 
 
 @query(f"""SELECT p.year, p.slug, p.dst AS location, count(*) AS n_missing FROM ({PAIRS}) p JOIN fx_inventory i ON i.year = p.year AND i.slug = p.slug AND i.location = p.ref
@@ -121,18 +155,24 @@ def missing_summary(spark, sf_dir):
     return check.missing_summary(t.inventory, t.locations)
 
 
-@query(f"""WITH pairs AS ({HELD_PAIRS}), looked AS (SELECT year, slug, ref AS location FROM ({REFERENCE}) UNION SELECT year, slug, dst FROM ({PAIRS})),
-a AS (SELECT p.year, p.slug, p.dst, i.rel, i.size_bytes FROM pairs p JOIN fx_inventory i ON i.year = p.year AND i.slug = p.slug AND i.location = p.ref),
-b AS (SELECT p.year, p.slug, p.dst, i.rel, i.size_bytes FROM pairs p JOIN fx_inventory i ON i.year = p.year AND i.slug = p.slug AND i.location = p.dst),
-found AS (SELECT year, slug, CASE WHEN b.size_bytes IS NULL THEN 'missing' WHEN a.size_bytes IS NULL THEN 'extra' WHEN a.size_bytes <> b.size_bytes THEN 'size_diff' END AS kind FROM a FULL JOIN b USING (year, slug, dst, rel)
- UNION ALL SELECT year, slug, 'ghost' FROM (SELECT m.* FROM fx_manifest m ANTI JOIN fx_inventory i USING (year, slug, location, rel)) SEMI JOIN looked USING (year, slug, location)
- UNION ALL SELECT p.year, p.slug, 'conflict' FROM ({PAIRS}) p JOIN fx_manifest x ON x.year = p.year AND x.slug = p.slug AND x.location = p.ref JOIN fx_manifest y ON y.year = p.year AND y.slug = p.slug AND y.location = p.dst AND y.rel = x.rel AND y.digest <> x.digest)
-SELECT year, slug, count(*) FILTER (kind = 'missing') AS n_missing, count(*) FILTER (kind = 'extra') AS n_extra, count(*) FILTER (kind = 'ghost') AS n_ghost, count(*) FILTER (kind = 'conflict') AS n_conflict, count(*) FILTER (kind = 'size_diff') AS n_size_diff, false AS passed FROM found WHERE kind IS NOT NULL GROUP BY ALL""")
+@query(_summary_sql("fx_locations"))
 def check_summary(spark, sf_dir):
     t = Tables(spark, sf_dir)
     return check.check(t.inventory, t.manifest, t.locations)[1]
 
 
+@query(_summary_sql("fx_scopes"))
+def check_summary_scoped(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return check.check(t.inventory, t.manifest, t.scopes)[1]
+
+
+@query(f"{_check_sql('fx_locations')} SELECT * FROM found WHERE kind IS NOT NULL")
+def check_findings(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return check.findings(t.inventory, t.manifest, t.locations)
+
+
 @query(f"""WITH per AS (SELECT year, slug, count(*) AS n_scope FROM ({PAIRS}) GROUP BY ALL), held AS (SELECT year, slug, count(*) AS n_held FROM ({HELD_PAIRS}) GROUP BY ALL),
 j AS (SELECT year, slug, ref, coalesce(n_scope, 0) AS n_scope, coalesce(n_held, 0) AS n_held FROM ({REFERENCE}) LEFT JOIN per USING (year, slug) LEFT JOIN held USING (year, slug))
 SELECT year, slug, ref, CASE WHEN n_scope = 0 THEN 'no_destination' WHEN n_held = 0 THEN 'only_copy' ELSE 'collection_missing' END AS kind, n_scope, n_held FROM j WHERE n_held < n_scope OR n_scope = 0""")
@@ -270,18 +310,37 @@ def pull_plan(spark, sf_dir):
     return transfer.pull_plan(t.inventory, t.locations)
 
 
-@query(_plan_sql(FULLEST.format(role="hot"), "l.name = 'HOT_C'") + " WHERE CAST(split_part(s.slug, '_', 1) AS INT) IN (1, 2, 3, 9) AND i.rel LIKE 'CARD\\_1/%' ESCAPE '\\'")
+@query(_plan_sql(FULLEST.format(role="hot"), "l.name = 'HOT_C'"))
 def copy_plan(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    chosen = t.inventory.where(paths.number(F.col("slug")).isin(1, 2, 3, 9))
-    plan = transfer.copy_plan(chosen, t.locations, to=[" hot_c "])
-    return plan.where(paths.under_prefix(F.col("rel"), "CARD_1"))
+    return transfer.copy_plan(t.inventory, t.locations, to=[" hot_c "])
+
 
+@query("SELECT year, slug, rel, starts_with(rel, 'CARD_1/') AS below FROM (SELECT DISTINCT year, slug, rel FROM fx_inventory)")
+def sub_folder(spark, sf_dir):
+    return diff.union_listing(Tables(spark, sf_dir).inventory).select(*KEY, paths.under_prefix(F.col("rel"), "/CARD_1/").alias("below"))
 
-@query(f"SELECT dst, count(*) AS n_files, sum(size_bytes)::BIGINT AS to_copy, 0::BIGINT AS present FROM ({PULL}) GROUP BY ALL")
+
+_OFFERS = f"""SELECT s.year, s.slug, s.location AS src, l.name AS dst, i.rel, i.size_bytes, d.rel IS NOT NULL AS present FROM ({FULLEST.format(role="cold")}) s JOIN fx_locations l ON l.mounted AND l.name <> s.location AND l.role = 'hot' AND coalesce(l.pull, true)
+JOIN fx_inventory i ON i.year = s.year AND i.slug = s.slug AND i.location = s.location LEFT JOIN fx_inventory d ON d.year = s.year AND d.slug = s.slug AND d.location = l.name AND d.rel = i.rel"""
+
+
+@query(f"SELECT dst, count(*) FILTER (NOT present) AS n_files, coalesce(sum(size_bytes) FILTER (NOT present), 0)::BIGINT AS to_copy, coalesce(sum(size_bytes) FILTER (present), 0)::BIGINT AS present FROM ({_OFFERS}) GROUP BY ALL")
 def transfer_totals(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return reporting.transfer_totals(transfer.pull_plan(t.inventory, t.locations))
+    return reporting.transfer_totals(transfer.pull_offers(t.inventory, t.locations))
+
+
+@query("SELECT m.year, m.slug, m.location, count(*) AS n_ghosts FROM (SELECT * FROM fx_manifest WHERE role = 'hot') m SEMI JOIN fx_inventory h ON h.year = m.year AND h.slug = m.slug AND h.location = m.location ANTI JOIN fx_inventory i ON i.year = m.year AND i.slug = m.slug AND i.location = m.location AND i.rel = m.rel GROUP BY ALL")
+def sync_ghosts(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return transfer.sync_ghosts(t.inventory, t.manifest)
+
+
+@query("""WITH hot AS MATERIALIZED (SELECT year, slug, CAST(split_part(slug, '_', 1) AS INT) AS num, bool_or(role = 'hot') AS hot FROM fx_inventory GROUP BY ALL), y AS (SELECT DISTINCT year FROM hot)
+SELECT year, num::INT AS num, CASE WHEN hot IS NULL THEN 'unknown number' WHEN NOT hot THEN 'no source' ELSE 'no such folder' END AS problem FROM (SELECT year, unnest(range(1, 15)) AS num FROM y) LEFT JOIN hot USING (year, num)""")
+def unresolved_requests(spark, sf_dir):
+    return transfer.unresolved(Tables(spark, sf_dir).inventory, list(range(1, 15)), "CARD_9", role="hot")
 
 
 @query(f"SELECT dst, sum(size_bytes)::BIGINT AS to_copy, any_value(avail_bytes) AS avail_bytes, sum(size_bytes) > any_value(avail_bytes) AS too_large FROM ({SYNC}) JOIN fx_locations ON name = dst GROUP BY dst")
@@ -347,7 +406,24 @@ s AS (SELECT year, slug, rel, CASE WHEN n_copies < n_open THEN 'absent' WHEN n_d
 SELECT year, slug, rel, state, CASE WHEN state = 'new' THEN digest END AS digest, bool_and(state = 'new') OVER (PARTITION BY year, slug) AS publish FROM s""")
 def build_manifests(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return manifests.build_manifests(t.inventory, t.manifest, _computed(t))
+    return manifests.build_manifests(t.inventory, t.manifest, _computed(t)).drop("disputed")
+
+
+@query(f"""WITH cov AS MATERIALIZED (SELECT year, slug, location, checksummed FROM ({SCAN})), p AS (SELECT c.year, c.slug, c.rel, min(c.digest) AS digest FROM ({COMPUTED}) c JOIN cov o ON o.year = c.year AND o.slug = c.slug AND o.location = c.location AND NOT o.checksummed GROUP BY ALL)
+SELECT p.year, p.slug, p.rel, coalesce(bool_or(m.digest <> p.digest), false) AS disputed FROM p LEFT JOIN (SELECT x.* FROM fx_manifest x ANTI JOIN cov o ON o.year = x.year AND o.slug = x.slug AND o.location = x.location AND NOT o.checksummed) m USING (year, slug, rel) GROUP BY ALL""")
+def disputed_digests(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return manifests.build_manifests(t.inventory, t.manifest, _computed(t)).select(*KEY, "disputed")
+
+
+@query(f"""WITH open AS MATERIALIZED (SELECT year, slug, location FROM ({SCAN}) WHERE NOT checksummed), n AS (SELECT year, slug, count(*) AS n_open FROM open GROUP BY ALL),
+p AS (SELECT c.year, c.slug, c.rel, count(*) AS n_copies, count(DISTINCT digest) AS n_digests, min(digest) AS digest FROM ({COMPUTED}) c SEMI JOIN open o ON o.year = c.year AND o.slug = c.slug AND o.location = c.location GROUP BY ALL),
+s AS (SELECT year, slug, rel, digest, bool_and(n_copies = n_open AND n_digests = 1) OVER (PARTITION BY year, slug) AS publish FROM p JOIN n USING (year, slug))
+SELECT year, slug, rel, location, digest FROM s JOIN open USING (year, slug) WHERE publish""")
+def published_manifest_rows(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    inv, man = t.inventory, t.manifest
+    return manifests.new_manifest_rows(manifests.build_manifests(inv, man, _computed(t)), inv, man)
 
 
 @query("SELECT sha256(text) AS digest, count(*) AS n_rows FROM documents GROUP BY ALL HAVING count(*) > 1")
@@ -369,7 +445,7 @@ judged AS (SELECT c.year, c.slug, c.location, c.ord, coalesce(bad.n, 0) AS n_unc
 @query(f"{_JUDGED} SELECT * FROM judged")
 def evict_backups(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return retain.backups(t.inventory, t.manifest)
+    return retain.backups(t.inventory, t.manifest).drop("n_recorded")
 
 
 @query(f"""{_JUDGED}, why AS (SELECT year, slug, count(*) FILTER (qualifies) AS n_qualifying, string_agg(location || ': ' || CASE WHEN NOT has_manifest THEN 'no manifest' WHEN n_uncovered > 0 THEN 'missing ' || n_uncovered || ' files' ELSE n_conflicts || ' different digests' END, '; ' ORDER BY ord) FILTER (NOT qualifies) AS reasons FROM judged GROUP BY ALL)
@@ -390,6 +466,38 @@ def evict_gate(spark, sf_dir):
     return gate.select(*COLLECTION, "location", "bytes", "n_failed", "passed")
 
 
+_GATE = f"""{_JUDGED}, chosen AS MATERIALIZED (SELECT * FROM judged WHERE qualifies QUALIFY row_number() OVER (PARTITION BY year, slug ORDER BY ord) = 1),
+failed AS (SELECT m.year, m.slug, count(*) FILTER (v.status IS DISTINCT FROM 'ok') AS n_failed FROM fx_manifest m SEMI JOIN chosen s ON s.year = m.year AND s.slug = m.slug AND s.location = m.location LEFT JOIN fx_verified v ON v.year = m.year AND v.slug = m.slug AND v.location = m.location AND v.rel = m.rel GROUP BY ALL),
+gate AS (SELECT t.year, t.slug, t.location, t.bytes, f.n_failed FROM ({COPIES}) t JOIN failed f ON f.year = t.year AND f.slug = t.slug WHERE role = 'hot')"""
+
+
+def _gate(spark, sf_dir, **how):
+    t = Tables(spark, sf_dir)
+    targets, chosen = retain.evict_plan(t.inventory, t.manifest, 1)
+    return retain.evict_gate(targets, chosen, t.verified, **how).select(*COLLECTION, "location", "bytes", "n_failed", "passed")
+
+
+@query(f"{_GATE} SELECT *, n_failed = 0 AS passed FROM gate")
+def evict_gate_unverified(spark, sf_dir):
+    return _gate(spark, sf_dir, strict=False)
+
+
+@query(f"{_GATE} SELECT *, (SELECT sum(n_failed) FROM gate) = 0 AS passed FROM gate")
+def evict_gate_strict(spark, sf_dir):
+    return _gate(spark, sf_dir)
+
+
+@query(f"{_GATE} SELECT * REPLACE (0::BIGINT AS n_failed), true AS passed FROM gate")
+def evict_gate_quick(spark, sf_dir):
+    return _gate(spark, sf_dir, quick=True)
+
+
+@query(_JUDGED.replace("WHERE role = 'hot')", "WHERE location = 'HOT_B')", 1).replace("a.role = 'hot'", "a.location = 'HOT_B'") + " SELECT year, slug, location, n_uncovered, n_conflicts, qualifies FROM judged")
+def evict_backups_from(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return retain.backups(t.inventory, t.manifest, hot=[" hot_b"]).select(*COLLECTION, "location", "n_uncovered", "n_conflicts", "qualifies")
+
+
 # ---- ingest
 
 _SHOT = "SELECT a.card, a.rel, a.size_bytes, coalesce(CAST(s.d AS DATE), CAST(a.mtime AS DATE)) AS day FROM fx_arrivals a LEFT JOIN (SELECT card, split_part(name, 'M01', 1) AS stem, substr(xml, 28, 10) AS d FROM fx_sidecars) s USING (card, stem)"
@@ -422,14 +530,14 @@ def ingest_numbers(spark, sf_dir):
     return numbering.assign_numbers(days, t.counters)
 
 
-@query(f"""WITH shot AS ({_SHOT}), numbered AS (SELECT day, printf('%03d_Shoot', (coalesce(c.last_num, 0) + k)::INT) AS slug, year FROM (SELECT CAST(year(day) AS INT) AS year, day, row_number() OVER (PARTITION BY year(day) ORDER BY day) AS k FROM (SELECT DISTINCT day FROM shot) WHERE day(day) % 3 = 0) LEFT JOIN fx_counters c USING (year))
-SELECT n.year, n.slug, l.name AS dst, count(*) AS n_files, sum(size_bytes)::BIGINT AS bytes FROM shot JOIN numbered n USING (day) JOIN fx_locations l ON l.mounted AND l.role = 'hot' GROUP BY ALL""")
+@query(f"""WITH shot AS MATERIALIZED ({_SHOT}), numbered AS (SELECT day, printf('%03d_Shoot', (coalesce(c.last_num, 0) + k)::INT) AS slug, year FROM (SELECT CAST(year(day) AS INT) AS year, day, row_number() OVER (PARTITION BY year(day) ORDER BY day) AS k FROM (SELECT DISTINCT day FROM shot)) LEFT JOIN fx_counters c USING (year)),
+wanted AS (SELECT n.year, n.slug, card, card || '/' || rel AS rel, l.name AS dst, size_bytes FROM shot JOIN numbered n USING (day) JOIN fx_locations l ON l.mounted AND l.role = 'hot')
+SELECT w.* FROM wanted w ANTI JOIN fx_inventory i ON i.year = w.year AND i.slug = w.slug AND i.rel = w.rel AND i.location = w.dst""")
 def ingest_plan(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    days = _shot(t).select("day").distinct().where(F.dayofmonth("day") % 3 == 0)
-    given = days.select("day", F.lit("Shoot").alias("name"), F.lit(None).cast("string").alias("slug"))
+    given = _shot(t).select("day").distinct().select("day", F.lit("Shoot").alias("name"), F.lit(None).cast("string").alias("slug"))
     plan, _ = ingest.ingest_plan(t.arrivals, t.sidecars, t.inventory, t.counters, given, t.locations)
-    return plan.groupBy("year", "slug", "dst").agg(F.count("*").alias("n_files"), F.sum("size_bytes").alias("bytes"))
+    return plan.select("year", "slug", "card", "rel", "dst", "size_bytes")
 
 
 # ---- organising and numbering
@@ -476,31 +584,45 @@ def flat_names(spark, sf_dir):
     return organise.organise_plan(t.loose, t.counters, t.inventory).select("location", "year", "rel", "new_slug", "new_name")
 
 
-_GAPS = "SELECT DISTINCT year, slug, CAST(split_part(slug, '_', 1) AS INT) AS num FROM fx_inventory WHERE CAST(split_part(slug, '_', 1) AS INT) % 4 <> 2"
-_RENUMBER = f"SELECT year, slug, new_slug FROM (SELECT year, slug, printf('%03d_', row_number() OVER (PARTITION BY year ORDER BY num, slug)::INT) || split_part(slug, '_', 2) AS new_slug FROM ({_GAPS})) WHERE slug <> new_slug"
+def _unique_sql(cte: str) -> str:
+    """Column name of cte made unique in (location, year, new_slug): counted on from the highest number after its stem."""
+    stem, ext = "regexp_replace(name, '\\.[^.]*$', '')", "regexp_extract(name, '(\\.[^.]*)$', 1)"
+    return f"""SELECT location, year, rel, new_slug, CASE WHEN k = 1 THEN name ELSE stem || '_' || (greatest(coalesce(most, 1), 1) + k - 1) || ext END AS new_name
+FROM (SELECT *, {stem} AS stem, {ext} AS ext, row_number() OVER (PARTITION BY location, year, new_slug, name ORDER BY rel) AS k FROM {cte})
+LEFT JOIN (SELECT location, year, new_slug, regexp_replace({stem}, '_[0-9]+$', '') AS stem, {ext} AS ext, max(TRY_CAST(regexp_extract({stem}, '_([0-9]+)$', 1) AS BIGINT)) AS most FROM {cte} WHERE regexp_matches({stem}, '_[0-9]+$') GROUP BY ALL) USING (location, year, new_slug, stem, ext)"""
+
+
+@query(f"""WITH f AS (SELECT location, year, rel, split_part(rel, '/', -1) AS base, {_name_date_sql().replace('base', "split_part(rel, '/', -1)")} AS shot_at FROM fx_chained),
+s AS MATERIALIZED (SELECT *, {_SEASON} AS season FROM f WHERE shot_at IS NOT NULL), n AS (SELECT year, season, printf('%03d_', (greatest(coalesce(c.last_num, 0), coalesce(m.n, 0)) + k)::INT) || season AS new_slug FROM (SELECT year, season, row_number() OVER (PARTITION BY year ORDER BY {_TURN}) AS k FROM (SELECT DISTINCT year, season FROM s))
+ LEFT JOIN fx_counters c USING (year) LEFT JOIN (SELECT year, max(CAST(split_part(slug, '_', 1) AS INT)) AS n FROM fx_inventory GROUP BY ALL) m USING (year)),
+named AS MATERIALIZED (SELECT location, year, rel, new_slug, CASE WHEN count(*) OVER (PARTITION BY location, year, new_slug, base) > 1 THEN replace(rel, '/', '_') ELSE base END AS name FROM s JOIN n USING (year, season)
+ UNION ALL SELECT location, year, rel, '_unsorted', replace(rel, '/', '_') FROM f WHERE shot_at IS NULL) {_unique_sql('named')}""")
+def flat_names_chained(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return organise.organise_plan(t.chained, t.counters, t.inventory, allow_mtime=False).select("location", "year", "rel", "new_slug", "new_name")
 
 
-def _gaps(t: Tables) -> DataFrame:
-    return t.inventory.where(paths.number(F.col("slug")) % 4 != 2)
+_NUMBERED = "SELECT DISTINCT year, slug, CAST(split_part(slug, '_', 1) AS INT) AS num FROM fx_spaced"
+_RENUMBER = f"SELECT year, slug, new_slug FROM (SELECT year, slug, printf('%03d_', row_number() OVER (PARTITION BY year ORDER BY num, slug)::INT) || split_part(slug, '_', 2) AS new_slug FROM ({_NUMBERED})) WHERE slug <> new_slug"
 
 
 @query(_RENUMBER)
 def renumber_plan(spark, sf_dir):
-    return organise.renumber_plan(_gaps(Tables(spark, sf_dir)))[0]
+    return organise.renumber_plan(Tables(spark, sf_dir).spaced)[0]
 
 
-@query(f"SELECT i.year, coalesce(m.new_slug, i.slug) AS slug, i.location, count(*) AS n_files, sum(size_bytes)::BIGINT AS bytes FROM fx_inventory i LEFT JOIN ({_RENUMBER}) m USING (year, slug) WHERE CAST(split_part(slug, '_', 1) AS INT) % 4 <> 2 GROUP BY ALL")
+@query(f"SELECT i.year, coalesce(m.new_slug, i.slug) AS slug, i.location, i.rel, i.size_bytes FROM fx_spaced i LEFT JOIN ({_RENUMBER}) m USING (year, slug)")
 def apply_path_map(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    inv, _ = organise.apply_path_map(_gaps(t), t.manifest, organise.renumber_plan(_gaps(t))[0])
-    return inv.groupBy(*COLLECTION, "location").agg(F.count("*").alias("n_files"), F.sum("size_bytes").alias("bytes"))
+    inv, _ = organise.apply_path_map(t.spaced, t.spaced_manifest, organise.renumber_plan(t.spaced)[0])
+    return inv.select(*COLLECTION, "location", "rel", "size_bytes")
 
 
-@query(f"WITH map AS ({_RENUMBER}), touched AS (SELECT year, slug FROM map UNION SELECT year, new_slug FROM map) SELECT year, slug, location, count(*) AS n_rows FROM fx_manifest ANTI JOIN touched USING (year, slug) GROUP BY ALL")
+@query(f"WITH map AS ({_RENUMBER}), touched AS (SELECT year, slug FROM map UNION SELECT year, new_slug FROM map) SELECT year, slug, location, rel, digest FROM fx_spaced_manifest SEMI JOIN touched USING (year, slug)")
 def stale_manifests(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    _, man = organise.apply_path_map(_gaps(t), t.manifest, organise.renumber_plan(_gaps(t))[0])
-    return man.groupBy(*COLLECTION, "location").agg(F.count("*").alias("n_rows"))
+    _, man = organise.apply_path_map(t.spaced, t.spaced_manifest, organise.renumber_plan(t.spaced)[0])
+    return t.spaced_manifest.join(man.select(*KEY, "location"), [*KEY, "location"], "left_anti").select(*COLLECTION, "location", "rel", "digest")
 
 
 @query("SELECT year, coalesce(last_num, 0) AS last_num, greatest(max_num, coalesce(last_num, 0)) AS new_num FROM (SELECT year, max(CAST(split_part(slug, '_', 1) AS INT)) AS max_num FROM fx_inventory GROUP BY ALL) LEFT JOIN fx_counters USING (year)")
@@ -556,10 +678,10 @@ def expand_selection(spark, sf_dir):
 
 
 @query("""WITH n AS (SELECT DISTINCT year, slug, ord, CAST(split_part(slug, '_', 1) AS INT) AS num FROM fx_inventory)
-SELECT num, year, slug FROM n WHERE num IN (SELECT DISTINCT num FROM n WHERE num % 2 = 1) QUALIFY row_number() OVER (PARTITION BY num ORDER BY year DESC, ord, slug) = 1""")
+SELECT num, year, slug FROM n QUALIFY row_number() OVER (PARTITION BY num ORDER BY year DESC, ord, slug) = 1""")
 def resolve_number(spark, sf_dir):
     coll = Tables(spark, sf_dir).inventory.select("year", "slug", "ord").distinct()
-    wanted = coll.select(paths.number(F.col("slug")).alias("num")).where("num % 2 = 1")
+    wanted = coll.select(paths.number(F.col("slug")).alias("num"))
     return selection.resolve_number(coll, wanted, across_years=True)
 
 

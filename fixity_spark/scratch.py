@@ -8,13 +8,32 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder, removed when the application ends; spark.checkpoint.dir is set where it is unset (tests)."""
+def shared_root(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is unset and all runs on this machine (tests), a folder of our own.
+
+    On a cluster a local folder would be another one on each machine, so there the setting is required.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         root = tempfile.mkdtemp(prefix="spark-fixity-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
-    folder = f"{root}/fixity-{name}-{uuid.uuid4().hex}"
+    return root
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder, removed when the application ends."""
+    folder = f"{shared_root(spark)}/fixity-{name}-{uuid.uuid4().hex}"
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     return folder
+
+
+def move(spark: SparkSession, old: str, new: str) -> None:
+    """Renames a folder within one file system; fails where that is not done."""
+    old, new = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (old, new))
+    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(new.getParent())
+    if not fs.rename(old, new):
+        raise OSError(f"cannot move {old} to {new}")

@@ -103,8 +103,9 @@ def write_counters(df: DataFrame, path: str) -> None:
 
 
 def write_findings(df: DataFrame, path: str) -> None:
-    """A report or plan, dealt by year."""
-    df.write.mode("overwrite").partitionBy("year").parquet(path)
+    """A report or plan, dealt by year and sorted by its other columns within a file, files in order of them."""
+    rest = [c for c in ("slug", "location", "kind", "rel") if c in df.columns]
+    df.repartitionByRange("year", *rest).sortWithinPartitions("year", *rest).write.mode("overwrite").partitionBy("year").parquet(path)
 
 
 __all__ = ["collection_files", "inventory_from_table", "parse_manifest_lines", "parse_probe", "read_counters", "read_inventory", "read_locations", "read_manifests", "read_sidecars", "read_written_manifests", "write_counters", "write_findings", "write_manifests"]

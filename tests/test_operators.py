@@ -90,6 +90,14 @@ def test_collisions(spark):
     assert {got["q/z.mp4"], got["q_z.mp4"]} == {"q_z.mp4", "q_z_2.mp4"}
 
 
+def test_names_that_others_bear(spark):
+    chains = [["d/a.jpg", "e/a.jpg", "q/d_a.jpg", "q/d_a_2.jpg", "q/d_a_2_2.jpg"], ["a/b.jpg", "a_b.jpg", "a_b_2.jpg", "a_b_7.jpg"], ["x/n", "x_n", "y/n", "y_n_999999999999999999999"]]
+    files = spark.createDataFrame([(str(k), n) for k, names in enumerate(chains) for n in names], "target string, rel string")
+    for made in (numbering.resolve_collisions(files, ["target"]), organise.unsorted_names(files.withColumnsRenamed({"target": "location"}).withColumn("year", F.lit(1))).withColumnRenamed("location", "target")):
+        got = [(r.target, r.new_name) for r in made.collect()]
+        assert len(set(got)) == len(got) == 13
+
+
 def test_swap_of_slugs(spark):
     i = inv(spark, ("001_a", "H1", "x", 1), ("002_b", "H1", "y", 1), ("003_c", "H1", "z", 1))
     m = man(spark, ("001_a", "H1", "x", "d"), ("003_c", "H1", "z", "d"))
@@ -133,6 +141,16 @@ def test_retention(spark):
     assert rows(retain.evict_gate(targets, chosen, fixity.verify(m, good)), "slug", "passed") == [("a", True), ("f", True)]
     assert rows(retain.evict_gate(targets, chosen, fixity.verify(m, bad)), "slug", "passed") == [("a", False), ("f", False)]
     assert rows(retain.evict_gate(targets, chosen, fixity.verify(m, bad), strict=False), "slug", "passed") == [("a", True), ("f", False)]
+    none = fixity.verify(m, good).limit(0)
+    assert rows(retain.evict_gate(targets, chosen, none), "slug", "passed") == [("a", False), ("f", False)]
+    some = fixity.verify(m, good).where("slug <> 'f'")
+    assert rows(retain.evict_gate(targets, chosen, some, strict=False), "slug", "n_failed", "passed") == [("a", 0, True), ("f", 1, False)]
+    assert rows(retain.evict_gate(targets, chosen.where("slug = 'a'"), some, strict=False), "slug", "passed") == [("a", True), ("f", False)]
+    assert rows(retain.evict_gate(targets, chosen, quick=True), "slug", "passed") == [("a", True), ("f", True)]
+    with pytest.raises(ValueError):
+        retain.evict_gate(targets, chosen)
+    assert rows(retain.evict_plan(i, m, 1, hot=["H2"])[0], "slug") == []
+    assert rows(retain.evict_plan(i, m, 1, hot=[" h1 "])[0], "slug") == [("a",), ("f",)]
 
 
 def test_build_manifests(spark):
@@ -143,6 +161,13 @@ def test_build_manifests(spark):
     assert rows(manifests.new_manifest_rows(built, i, man(spark, ("z", "H1", "x", "d"))), "slug", "location", "digest") == [("a", "C1", "1"), ("a", "H1", "1")]
 
 
+def test_disputed_digests(spark):
+    i = inv(spark, ("a", "H1", "x", 1), ("a", "C1", "x", 1))
+    computed = spark.createDataFrame([(2024, "a", "x", "H1", "1")], "year int, slug string, rel string, location string, digest string")
+    for recorded, disputed in (("1", False), ("2", True)):
+        assert rows(manifests.build_manifests(i, man(spark, ("a", "C1", "x", recorded)), computed), "state", "disputed") == [("new", disputed)]
+
+
 def test_merge_twice_is_merge_once(spark):
     old = man(spark, ("a", "H1", "x", "1"), ("a", "H1", "y", "1"), ("a", "H1", "checksums.b3", "1"))
     new = man(spark, ("a", "H1", "x", "2"))
@@ -197,6 +222,12 @@ def test_execute_plan(spark, tmp_path):
     plan = spark.createDataFrame([(2024, "a", "H1", d, r, 1) for d in ("C1", "C2") for r in "xy"], "year int, slug string, src string, dst string, rel string, size_bytes long")
     merged = transfer.execute_plan(plan, content, man(spark, ("a", "C1", "x", "old")), str(tmp_path / "t"))
     assert rows(merged, "location", "rel", "digest") == sorted((d, r, hashlib.sha256(r.encode()).hexdigest()) for d in ("C1", "C2") for r in "xy")
+    for state in (b"two", b"three"):
+        merged = transfer.execute_plan(plan, content.withColumn("content", F.lit(state)), merged, str(tmp_path / "t"))
+        assert {r.digest for r in merged.collect()} == {hashlib.sha256(state).hexdigest()}
+    newest = transfer.copied(spark, str(tmp_path / "t"))
+    assert newest.count() == 4 and {bytes(r.content) for r in newest.collect()} == {b"three"}
+    assert not list((tmp_path / "t" / "staged").iterdir())
     lost = plan.unionByName(spark.createDataFrame([(2024, "a", "H1", "C1", "gone", 1)], plan.schema))
     with pytest.raises(RuntimeError):
         transfer.execute_plan(lost, content, man(spark, ("a", "C1", "x", "old")), str(tmp_path / "u"))
@@ -214,10 +245,52 @@ def test_check_summary_passes_empty(spark):
 
     i = inv(spark, ("a", "H1", "x", 1), ("a", "C1", "x", 1), ("a", "C2", "x", 1))
     found, summary = check.check(i, man(spark, ("a", "H1", "x", "1"), ("a", "C1", "x", "1")), locs(spark))
-    assert found.count() == 0 and summary.count() == 0
+    assert found.count() == 0 and rows(summary, "slug", "passed") == [("a", True)]
     assert check.only_copies(i, locs(spark)).count() == 0
 
 
+def test_check_tells_whole_collections_apart(spark):
+    from fixity_spark.plans import check
+
+    i = inv(spark, ("001_a", "H1", "x", 1), ("001_a", "C1", "x", 1), ("002_b", "C1", "x", 1), ("003_c", "C2", "x", 1))
+    nothing = man(spark, ("z", "H1", "x", "1")).limit(0)
+    found, summary = check.check(i, nothing, locs(spark))
+    assert rows(found, "slug", "location", "kind") == [("001_a", "C2", "collection_missing"), ("002_b", "C2", "collection_missing"), ("003_c", "C1", "collection_missing")]
+    assert rows(summary, "slug", "n_collection_missing", "passed") == [("001_a", 1, False), ("002_b", 1, False), ("003_c", 1, False)]
+    alone = locs(spark).where("name <> 'C2'")
+    assert rows(check.findings(i.where("slug <> '003_c'"), nothing, alone), "slug", "location", "kind") == [("002_b", "C1", "only_copy")]
+    assert rows(check.check(i, nothing, locs(spark), numbers=[1, 9])[1], "slug") == [("001_a",)]
+
+
+def test_reference_is_in_scope(spark):
+    from fixity_spark.plans import check
+
+    i = inv(spark, ("a", "C1", "x", 1), ("a", "C2", "x", 1), ("a", "C2", "y", 1), ("b", "C1", "x", 1))
+    late = locs(spark).withColumn("year_from", F.when(F.col("name") == "C1", 2025).otherwise(0))
+    assert rows(selection.pick_reference(selection.copies(i), late), "slug", "location") == [("a", "C2")]
+    assert rows(check.findings(i, man(spark, ("a", "C2", "x", "1")), late), "slug", "location", "kind") == [("a", "C2", "only_copy")]
+    assert rows(selection.pick_reference(selection.copies(i)), "slug", "location") == [("a", "C1"), ("b", "C1")]
+
+
+def test_requests_that_lead_nowhere(spark):
+    i = inv(spark, ("001_a", "C1", "d/x", 1), ("002_b", "H1", "d/x", 1), ("003_c", "C1", "y", 1))
+    assert rows(transfer.unresolved(i, [1, 2, 3, 4], "d"), "num", "problem") == [(2, "no source"), (3, "no such folder"), (4, "unknown number")]
+
+
+def test_room_of_locations(spark):
+    from fixity_spark.operators import locations
+
+    room = spark.createDataFrame([("H1", 5, 9)], "name string, avail_bytes long, total_bytes long")
+    got = {r.name: (r.mounted, r.avail_bytes) for r in locations.with_room(locs(spark), room).collect()}
+    assert got["H1"] == (True, 5) and got["C1"] == (False, 0)
+
+
+def test_ghosts_of_sources(spark):
+    i = inv(spark, ("a", "H1", "x", 1), ("a", "C1", "x", 1))
+    m = man(spark, ("a", "H1", "x", "1"), ("a", "H1", "gone", "1"), ("a", "C1", "gone", "1"), ("b", "H1", "x", "1"))
+    assert rows(transfer.sync_ghosts(i, m), "slug", "location", "n_ghosts") == [("a", "H1", 1)]
+
+
 def test_capacity(spark):
     plan = spark.createDataFrame([("C1", 60), ("C1", 60), ("C2", 60)], "dst string, size_bytes long")
     totals = reporting.transfer_totals(plan, spark.createDataFrame([("C2", 7)], "dst string, size_bytes long"))
@@ -230,7 +303,8 @@ def test_union_reference_sees_second_hot_copy(spark):
 
     i = inv(spark, ("a", "H1", "x", 1), ("a", "H2", "x", 1), ("a", "H2", "y", 1), ("a", "C1", "x", 1))
     m = man(spark, ("a", "H1", "x", "1"))
-    assert check.findings(i, m, locs(spark)).count() == 0
-    assert rows(check.findings(i, m, locs(spark), "union"), "location", "kind", "rel") == [("C1", "missing", "y")]
+    one = locs(spark).where("name <> 'C2'")
+    assert check.findings(i, m, one).count() == 0
+    assert rows(check.findings(i, m, one, "union"), "location", "kind", "rel") == [("C1", "missing", "y")]
     with pytest.raises(ValueError):
         check.compare(i, locs(spark), "other")
