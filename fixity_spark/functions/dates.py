@@ -21,8 +21,8 @@ def sidecar_date(xml: Column) -> Column:
 
 
 def _day(digits: Column) -> Column:
-    """The day of eight digits; null where they are none of 1990 to 2100."""
-    y, m, d = (F.substring(digits, at, n).try_cast("int") for at, n in ((1, 4), (5, 2), (7, 2)))
+    """The day of eight digits, which every cast takes; null where they are none of 1990 to 2100."""
+    y, m, d = (F.substring(digits, at, n).cast("int") for at, n in ((1, 4), (5, 2), (7, 2)))
     # a day past the month's end runs into the next month
     return F.when(y.between(1990, 2100) & m.between(1, 12) & d.between(1, 31), F.date_add(F.make_date(y, F.when(m.between(1, 12), m), F.lit(1)), d - 1))
 
@@ -34,7 +34,8 @@ def filename_date(rel: Column) -> Column:
     wherever it is used.
     """
     name = base_name(rel)
-    found = F.array(*(F.regexp_replace(F.regexp_extract(name, p, 0), "[^0-9]", "") for p in (DASHED, PACKED)))
+    # no match is null, not an empty string: a failing cast costs an exception a row
+    found = F.array(*(F.nullif(F.regexp_replace(F.regexp_extract(name, p, 0), "[^0-9]", ""), F.lit("")) for p in (DASHED, PACKED)))
     return F.try_element_at(F.filter(F.transform(found, _day), lambda d: d.isNotNull()), F.lit(1))
 
 

@@ -72,7 +72,7 @@ def unique_names(files: DataFrame, target: list[str], name: str = "name", order:
     stem = F.regexp_replace(name, r"\.[^.]*$", "")
     ranked = files.withColumns({"_stem": stem, "_ext": ext, "_k": F.row_number().over(W.partitionBy(*target, name).orderBy(order))})
     again = ranked.where("_k = 2").select(*target, "_stem", "_ext")
-    bearers = files.select(*target, F.regexp_replace(stem, "_[0-9]+$", "").alias("_stem"), ext.alias("_ext"), F.regexp_extract(stem, "_([0-9]+)$", 1).try_cast("long").alias("_n")).where("_n IS NOT NULL")
+    bearers = files.select(*target, F.regexp_replace(stem, "_[0-9]+$", "").alias("_stem"), ext.alias("_ext"), F.nullif(F.regexp_extract(stem, "_([0-9]+)$", 1), F.lit("")).try_cast("long").alias("_n")).where("_n IS NOT NULL")
     taken = again.join(bearers, [*target, "_stem", "_ext"]).groupBy(*target, "_stem", "_ext").agg(F.max("_n").alias("_most"))
     numbered = F.concat("_stem", F.lit("_"), (F.greatest(F.coalesce("_most", F.lit(1)), F.lit(1)) + F.col("_k") - 1).cast("string"), "_ext")
     out = ranked.join(taken, [*target, "_stem", "_ext"], "left").withColumn(name, F.when(F.col("_k") > 1, numbered).otherwise(F.col(name)))

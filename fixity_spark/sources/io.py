@@ -17,7 +17,7 @@ _PLACE = r"/([0-9]{4})/([^/]+)/(.+)$"
 def _place(path: Column, encoded: bool = False) -> dict[str, Column]:
     """Year, slug and rel of a path; paths in _metadata are URL-encoded, others are not."""
     decoded = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))) if encoded else path
-    return {"year": F.regexp_extract(decoded, _PLACE, 1).try_cast("int"), "slug": F.regexp_extract(decoded, _PLACE, 2), "rel": F.regexp_extract(decoded, _PLACE, 3)}
+    return {"year": F.nullif(F.regexp_extract(decoded, _PLACE, 1), F.lit("")).cast("int"), "slug": F.regexp_extract(decoded, _PLACE, 2), "rel": F.regexp_extract(decoded, _PLACE, 3)}
 
 
 def read_inventory(spark: SparkSession, path: str, location: str) -> DataFrame:
