@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -66,20 +66,28 @@ def unique_names(files: DataFrame, target: list[str], name: str = "name", order:
     """Column name made unique within a target: of equal names the first in order keeps it, the others get _2, _3, ...
     before the extension, counted on from the highest number that another file of the target bears after that stem.
 
-    So no number is given twice, whatever names the files bring along, and one pass does it.
+    So no number is given twice, whatever names the files bring along. Each file goes to its own stem and, where it
+    ends in a number, once more to the stem before it: one shuffle tells equal names and numbers taken.
     """
-    ext = F.regexp_extract(name, r"(\.[^.]*)$", 1)
-    stem = F.regexp_replace(name, r"\.[^.]*$", "")
-    ranked = files.withColumns({"_stem": stem, "_ext": ext, "_k": F.row_number().over(W.partitionBy(*target, name).orderBy(order))})
-    again = ranked.where("_k = 2").select(*target, "_stem", "_ext")
-    bearers = files.select(*target, F.regexp_replace(stem, "_[0-9]+$", "").alias("_stem"), ext.alias("_ext"), F.nullif(F.regexp_extract(stem, "_([0-9]+)$", 1), F.lit("")).try_cast("long").alias("_n")).where("_n IS NOT NULL")
-    taken = again.join(bearers, [*target, "_stem", "_ext"]).groupBy(*target, "_stem", "_ext").agg(F.max("_n").alias("_most"))
-    numbered = F.concat("_stem", F.lit("_"), (F.greatest(F.coalesce("_most", F.lit(1)), F.lit(1)) + F.col("_k") - 1).cast("string"), "_ext")
-    out = ranked.join(taken, [*target, "_stem", "_ext"], "left").withColumn(name, F.when(F.col("_k") > 1, numbered).otherwise(F.col(name)))
-    return out.drop("_stem", "_ext", "_k", "_most")
-
-
-def resolve_collisions(files: DataFrame, target: list[str]) -> DataFrame:
-    """Adds new_name, unique within a target: base name, folder-prefixed where shared, then numbered."""
-    named = collision_count(files, target).withColumn("new_name", F.when(F.col("n_same") > 1, flat_name(F.col("rel"))).otherwise(F.col("base")))
-    return unique_names(named, target, "new_name")
+    ext, stem = F.regexp_extract(name, r"(\.[^.]*)$", 1), F.regexp_replace(name, r"\.[^.]*$", "")
+    named = files.withColumns({"_ext": ext, "_own": stem})
+    number = F.nullif(F.regexp_extract("_own", "_([0-9]+)$", 1), F.lit("")).try_cast("long")
+    itself = F.struct(F.col("_own").alias("_stem"), F.lit(None).cast("long").alias("_n"))
+    bearer = F.struct(F.regexp_replace("_own", "_[0-9]+$", "").alias("_stem"), number.alias("_n"))
+    dealt = named.select("*", F.inline(F.when(number.isNull(), F.array(itself)).otherwise(F.array(itself, bearer)))).drop("_own")
+    by = W.partitionBy(*target, "_stem", "_ext")
+    counted = dealt.withColumns({"_k": F.row_number().over(by.orderBy(F.col("_n").asc_nulls_first(), order)), "_most": F.max("_n").over(by)})
+    again = F.concat("_stem", F.lit("_"), (F.greatest(F.coalesce("_most", F.lit(1)), F.lit(1)) + F.col("_k") - 1).cast("string"), "_ext")
+    out = counted.where("_n IS NULL").withColumn(name, F.when(F.col("_k") > 1, again).otherwise(F.col(name)))
+    return out.drop("_stem", "_ext", "_n", "_k", "_most")
+
+
+def resolve_collisions(files: DataFrame, target: list[str], plain: Column | None = None) -> DataFrame:
+    """Adds new_name, unique within a target: base name, folder-prefixed where shared, then numbered.
+
+    Files for which plain holds bear their whole path, with underscores for slashes, instead.
+    """
+    name = F.when(F.col("n_same") > 1, flat_name(F.col("rel"))).otherwise(F.col("base"))
+    if plain is not None:
+        name = F.when(plain, F.replace("rel", F.lit("/"), F.lit("_"))).otherwise(name)
+    return unique_names(collision_count(files, target).withColumn("new_name", name), target, "new_name")

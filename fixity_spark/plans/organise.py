@@ -34,10 +34,9 @@ def organise_plan(files: DataFrame, counters: DataFrame, inv: DataFrame, regroup
     """
     found = dated(organise_candidates(files, regroup), allow_mtime)
     slugs = numbering.season_slugs(found, counters, inv).withColumnRenamed("slug", "new_slug")
-    sorted_ = found.where("season IS NOT NULL").join(slugs, ["year", "season"])
-    named = numbering.resolve_collisions(sorted_, ["location", "year", "new_slug"]).select("location", "year", "rel", "size_bytes", "new_slug", "new_name")
-    rest = unsorted_names(found.where("season IS NULL"))
-    return named.unionByName(rest.select("location", "year", "rel", "size_bytes", F.lit("_unsorted").alias("new_slug"), "new_name"))
+    placed = found.join(slugs, ["year", "season"], "left").withColumn("new_slug", F.coalesce("new_slug", F.lit("_unsorted")))
+    named = numbering.resolve_collisions(placed, ["location", "year", "new_slug"], F.col("season").isNull())
+    return named.select("location", "year", "rel", "size_bytes", "new_slug", "new_name")
 
 
 def season_totals(plan: DataFrame) -> DataFrame:
