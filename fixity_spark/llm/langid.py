@@ -15,8 +15,14 @@ from fixity_spark.llm.words import _BASES, _BYTES, HashIndex, Store, _powers, lo
 
 #: Labelled documents of each language that the model is fitted on, in expectation; counts of labels use all.
 TRAIN_DOCS = 300
-#: Bytes of a piece at most, and of a word: a longer word is scored in parts of this length.
-PIECE, WORD = 12, 40
+#: Bytes of a stretch that is summed over together with others; a longer one that no place cuts is summed alone.
+STRETCH = 64
+#: Pieces of up to this many bytes are looked up at every place, longer ones where their beginning is found.
+SHORT = 12
+#: Bytes of distinct words scored at once.
+SCORED = 200_000
+#: Languages at most: the model is a table of pieces and languages that every task holds.
+LANGUAGES = 500
 #: Mass added to each piece of each language.
 SMOOTHING = 0.05
 UNKNOWN = "und"
@@ -42,13 +48,13 @@ def _byte_of() -> dict[str, int]:
 
 @functools.cache
 def pieces(path: str) -> list[bytes]:
-    """Pieces of at most PIECE bytes of a byte-level vocabulary, lower-cased as texts are, without repeats."""
+    """All pieces of a byte-level vocabulary, lower-cased as texts are, without repeats."""
     with open(path, encoding="utf-8") as f:
         vocabulary = json.load(f)["model"]["vocab"]
     table = _byte_of()
     found = {bytes(table[c] for c in piece) for piece in vocabulary if all(c in table for c in piece)}
     found |= {bytes([b]) for b in range(256)}
-    return sorted({fold(np.frombuffer(p, np.uint8)).tobytes() for p in found if 0 < len(p) <= PIECE})
+    return sorted({fold(np.frombuffer(p, np.uint8)).tobytes() for p in found if p})
 
 
 def fold(raw: np.ndarray) -> np.ndarray:
@@ -60,22 +66,67 @@ def fold(raw: np.ndarray) -> np.ndarray:
     return np.where(capital, raw + 0x20, raw).astype(np.uint8)
 
 
+class _Run:
+    """The forward sum over one long stretch: what is ahead of a place is kept in a ring and brought back to size."""
+
+    def __init__(self, model: Forward, begin: int):
+        self.model, self.now = model, begin
+        self.ring = np.zeros((model.longest + 1, model.langs))
+        self.ring[begin % len(self.ring)] = 1.0
+        self.logs = np.zeros(model.langs)
+
+    def _move(self, to: int) -> None:
+        for k in range(self.now, to):
+            self.ring[k % len(self.ring)] = 0.0
+        self.now = to
+        most = self.ring.max(0)
+        if (most < 1e-100).any():
+            most = np.maximum(most, 1e-300)
+            self.logs += np.log(most)
+            self.ring /= most
+
+    def feed(self, found: dict, begin: int, end: int, shift: int = 0) -> None:
+        """The pieces that begin from begin on and before end; places of the stretch are shift further on."""
+        own = [(n, at[lo:hi], piece[lo:hi]) for n, (at, piece) in found.items() for lo, hi in [np.searchsorted(at, [begin, end])]]
+        at = np.concatenate([np.zeros(0, np.int64), *(a for _, a, _ in own)])
+        order = np.argsort(at, kind="stable")
+        piece = np.concatenate([np.zeros(0, np.int64), *(p for _, _, p in own)])[order].tolist()
+        length = np.concatenate([np.zeros(0, np.int64), *(np.full(len(a), n) for n, a, _ in own)])[order].tolist()
+        ring, prob = self.ring, self.model.prob
+        for i, n, p in zip((at[order] + shift).tolist(), length, piece, strict=True):
+            if i != self.now:
+                self._move(i)
+            ring[(i + n) % len(ring)] += ring[i % len(ring)] * prob[p]
+
+    def close(self, end: int) -> np.ndarray:
+        return np.log(np.maximum(self.ring[end % len(self.ring)], 1e-300)) + self.logs
+
+
 class Forward:
     """Scores distinct words of a batch together, position by position over all of them.
 
-    log p(word | language) sums the products of piece probabilities over all segmentations. Words are kept
-    by hash, so a worker scores a word once while it stays in the table.
+    log p(word | language) sums the products of piece probabilities over all segmentations, whatever the length of
+    the word. Words are kept by hash, so a worker scores a word once while it stays in the table.
     """
 
     KEPT = 2_000_000
+    #: Factor for each byte, which keeps sums of STRETCH bytes within the range of doubles.
+    SCALE = 1000.0
 
     def __init__(self, path: str, logp: np.ndarray):
         found = pieces(path)
         raw = np.frombuffer(b"".join(found), np.uint8)
-        off = np.concatenate([[0], np.cumsum([len(p) for p in found])])
+        size = np.array([len(p) for p in found])
+        off = np.concatenate([[0], np.cumsum(size)])
         order = np.argsort(h := span_hashes(raw, off[:-1], off[1:]))
         self.hashes, self.prob = h[order], np.exp(logp)[order]  # pieces x languages
+        self.scaled = self.prob * self.SCALE ** np.minimum(size[order], STRETCH)[:, None]
         self.langs = logp.shape[1]
+        self.longest = int(size.max(initial=1))
+        # beginnings of the long pieces, and their lengths
+        long = np.flatnonzero(size > SHORT)
+        self.begins = np.unique(span_hashes(raw, off[long], off[long] + SHORT))
+        self.lengths = np.unique(size[long]).tolist()
         self._forget()
 
     def _forget(self) -> None:
@@ -85,33 +136,114 @@ class Forward:
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
         return np.where(self.hashes[at] == h, at, -1)
 
+    def hits(self, raw: np.ndarray, limit: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """Places and numbers of the pieces of each length in raw; a piece at place i ends before limit[i]."""
+        power, _ = _powers(_BASES[0][0], max(self.longest, SHORT) + 1)
+        room = limit - np.arange(len(raw))
+        found, at, h = {}, np.arange(len(raw)), np.zeros(len(raw), np.uint64)
+        for n in range(1, min(self.longest, SHORT) + 1):
+            fits = room[at] >= n
+            at, h = at[fits], h[fits]
+            h = h + _BYTES[0][raw[at + n - 1]] * power[n - 1]
+            done = mix(h + np.uint64(n * 0xD6E8FEB86659FD93 % 2**64))
+            piece = self.lookup(done)
+            hit = piece >= 0
+            if hit.any():
+                found[n] = at[hit], piece[hit]
+        if len(self.begins) and len(at):
+            where = np.minimum(np.searchsorted(self.begins, done), len(self.begins) - 1)
+            at = at[self.begins[where] == done]
+            for n in self.lengths:
+                at = at[room[at] >= n]
+                if not len(at):
+                    break
+                piece = self.lookup(span_hashes_at(raw, at, n))
+                hit = piece >= 0
+                if hit.any():
+                    found[n] = at[hit], piece[hit]
+        return found
+
     def score_words(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Log probabilities (words x languages) of raw[start:end], each at most WORD + 1 bytes."""
-        length = end - start
-        top = int(length.max(initial=0))
-        alpha = np.zeros((top + 1, len(start), self.langs))
+        """Log probabilities (words x languages) of raw[start:end]; words lie one after the other, without gaps."""
+        if len(start) == 1 and len(raw) > 2 * SCORED:
+            return self._in_blocks(raw)[None]
+        found = self.hits(raw, np.repeat(end, end - start))
+        if (end - start).max(initial=0) <= STRETCH:
+            return self._side_by_side(start, end - start, found, len(raw))
+        cut = self._uncrossed(found, len(raw))
+        cut[start] = True
+        begin = np.flatnonzero(cut)
+        out = self._stretches(begin, np.diff(np.append(begin, len(raw))), found, len(raw))
+        return np.add.reduceat(out, np.searchsorted(begin, start))
+
+    @staticmethod
+    def _uncrossed(found: dict, places: int) -> np.ndarray:
+        """Places inside no piece: all segmentations part there, so the sum over them is a product."""
+        crossed = np.zeros(places + max(found, default=1) + 1, np.int64)
+        for n, (at, _) in found.items():
+            if n > 1:
+                crossed[at + 1] += 1
+                crossed[at + n] -= 1
+        return np.cumsum(crossed)[:places] == 0
+
+    def _stretches(self, begin: np.ndarray, size: np.ndarray, found: dict, places: int) -> np.ndarray:
+        """Log probabilities of stretches that no piece leaves."""
+        out = np.zeros((len(begin), self.langs))
+        short = size <= STRETCH
+        out[short] = self._side_by_side(begin[short], size[short], found, places)
+        for i in np.flatnonzero(~short).tolist():
+            run = _Run(self, int(begin[i]))
+            run.feed(found, int(begin[i]), int(begin[i] + size[i]))
+            out[i] = run.close(int(begin[i] + size[i]))
+        return out
+
+    def _in_blocks(self, raw: np.ndarray) -> np.ndarray:
+        """The same for one very long word, SCORED bytes at a time; what is open at the end of a block goes on in the next."""
+        total, run, over = np.zeros(self.langs), _Run(self, 0), 0
+        for b in range(0, len(raw), SCORED):
+            e = min(len(raw), b + SCORED)
+            part = raw[b : min(len(raw), e + self.longest)]
+            found = {n: (at[: (k := np.searchsorted(at, e - b))], p[:k]) for n, (at, p) in self.hits(part, np.full(len(part), len(part))).items()}
+            cuts = np.flatnonzero(self._uncrossed(found, e - b))
+            cuts = cuts[cuts + b >= over]
+            over = max([over, *(int(at[-1]) + n + b for n, (at, _) in found.items() if len(at))])
+            if len(cuts):
+                first, last = int(cuts[0]), int(cuts[-1])
+                run.feed(found, 0, first, b)
+                total += run.close(b + first)
+                if last > first:
+                    total += self._stretches(cuts[:-1], np.diff(cuts), found, len(part)).sum(0)
+                run = _Run(self, b + last)
+                run.feed(found, last, e - b, b)
+            else:
+                run.feed(found, 0, e - b, b)
+        return total + run.close(len(raw))
+
+    def _side_by_side(self, begin: np.ndarray, size: np.ndarray, found: dict, places: int) -> np.ndarray:
+        """Sums over the segmentations of stretches: what is at a place is handed on by each piece that begins there."""
+        row = np.full(places, -1, np.int64)
+        row[np.repeat(begin, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)] = np.repeat(np.arange(len(begin)), size)
+        top = int(size.max(initial=0))
+        alpha = np.zeros((top + 1, len(begin), self.langs))
         alpha[0] = 1.0
-        for j in range(1, top + 1):
-            for n in range(1, min(PIECE, j) + 1):
-                rows = np.flatnonzero(length >= j)
-                if not len(rows):
-                    continue
-                s = start[rows] + j - n
-                piece = self.lookup(span_hashes_at(raw, s, n))
-                hit = piece >= 0
-                alpha[j, rows[hit]] += alpha[j - n, rows[hit]] * self.prob[piece[hit]]
-        return np.log(np.maximum(alpha[length, np.arange(len(start))], 1e-300))
+        steps: list[list] = [[] for _ in range(top)]
+        for n, (at, piece) in found.items():
+            mine = row[at]
+            at, piece, mine = at[mine >= 0], piece[mine >= 0], mine[mine >= 0]
+            j = at - begin[mine]
+            order = np.argsort(j, kind="stable")
+            cuts = np.flatnonzero(np.diff(j[order])) + 1
+            for part in np.split(order, cuts) if len(order) else []:
+                steps[int(j[part[0]])].append((n, mine[part], piece[part]))
+        for j, step in enumerate(steps):
+            for n, mine, piece in step:
+                alpha[j + n, mine] += alpha[j, mine] * self.scaled[piece]
+        return np.log(np.maximum(alpha[size, np.arange(len(begin))], 1e-300)) - np.log(self.SCALE) * size[:, None]
 
     def documents(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Summed log probabilities (documents x languages) and scored words of each document."""
         raw = fold(raw)
         start, end, doc = word_spans(raw, off)
-        if len(start) and (end - start).max() > WORD:
-            parts = -(-(end - start) // WORD)
-            which = np.repeat(np.arange(len(start)), parts)
-            nth = np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)
-            s = start[which] + nth * WORD
-            start, end, doc = s, np.minimum(s + WORD, end[which]), doc[which]
         distinct, first, back = np.unique(span_hashes(raw, start, end), return_index=True, return_inverse=True)
         row = self.index.find(distinct)
         if (new := row < 0).any():
@@ -127,8 +259,8 @@ class Forward:
             inner[begin] = False
             spaced[inner] = raw[np.repeat(s - begin, size - 1) + np.flatnonzero(inner) - 1]
             row[new] = np.arange(len(s)) + self.scores.n
-            for i in range(0, len(begin), 20_000):
-                self.scores.append(self.score_words(spaced, begin[i : i + 20_000], (begin + size)[i : i + 20_000]))
+            for i, j in slices(np.append(begin, len(spaced)), SCORED):
+                self.scores.append(self.score_words(spaced[begin[i] : begin[j - 1] + size[j - 1]], begin[i:j] - begin[i], begin[i:j] + size[i:j] - begin[i]))
             self.index.add(distinct[new], row[new])
         n = len(off) - 1
         scores = self.scores.rows[row[back]]
@@ -136,8 +268,8 @@ class Forward:
 
 
 def span_hashes_at(raw: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:
-    """span_hashes of n bytes at each start, cheaper for short spans at scattered places."""
-    power, _ = _powers(_BASES[0][0], PIECE + 1)
+    """span_hashes of n bytes at each start, cheaper at scattered places."""
+    power, _ = _powers(_BASES[0][0], n + 1)
     h = np.zeros(len(start), np.uint64)
     for i in range(n):
         h += _BYTES[0][raw[start + i]] * power[i]
@@ -148,11 +280,13 @@ def fit(docs: DataFrame, labelled, path: str, train_docs: int = TRAIN_DOCS) -> t
     """Languages and log piece probabilities (pieces x languages).
 
     Piece counts come from the vocabulary's own segmentation of a sample of about train_docs whole texts of
-    each language, drawn by a hash of doc_id and text length under a rate from the counts of all labels. What
-    reaches the driver is one row per language and piece.
+    each language, drawn by a hash of doc_id under a rate from the counts of all labels. What reaches the driver
+    is one row per language and piece; more than LANGUAGES distinct labels are refused, as they are no languages.
     """
     usable = docs.where(labelled).where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text")
-    totals = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    totals = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()}
+    if len(totals) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
     langs = sorted(totals)
     found = pieces(path)
     if not langs:
@@ -173,7 +307,7 @@ def fit(docs: DataFrame, labelled, path: str, train_docs: int = TRAIN_DOCS) -> t
             if token not in of:
                 text = tokenizer.id_to_token(token)
                 raw = fold(np.frombuffer(bytes(table[c] for c in text), np.uint8)).tobytes() if all(c in table for c in text) else b""
-                of[token] = [number[raw]] if raw in number else [number[raw[i : i + 1]] for i in range(len(raw))]
+                of[token] = [number[raw]] if raw else []
             return of[token]
 
         total: dict[str, Counter] = {}
@@ -234,6 +368,11 @@ def predict_languages(docs: DataFrame, labelled, path: str | None = None, train_
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("text").alias("_fx_text"), letter.alias("_fx_letter")).mapInArrow(predict, "doc_id long, lang_pred string, score double")
 
 
+def release() -> None:
+    """Forget the model and the scored words that this Python worker holds."""
+    _LOADED.clear()
+
+
 def held_out(doc_id="doc_id"):
     """Whether crc32 of the id as text leaves 2 modulo 4."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -1,9 +1,11 @@
 import base64
 import bz2
 import gzip
+import math
 import re
 import urllib.parse
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -21,17 +23,36 @@ def test_forward_sums_all_segmentations():
     at = {p: i for i, p in enumerate(found)}
 
     def total(word, k):
-        ways = [1.0] + [0.0] * len(word)
+        """Log of the sum over all segmentations, in exact fractions of a fixed step."""
+        most = max(map(len, found))
+        ways = [Fraction(1)] + [Fraction(0)] * len(word)
         for j in range(1, len(word) + 1):
-            for i in range(max(0, j - langid.PIECE), j):
+            for i in range(max(0, j - most), j):
                 if word[i:j] in at:
-                    ways[j] += ways[i] * np.exp(logp[at[word[i:j]], k])
-        return np.log(ways[-1])
+                    ways[j] += ways[i] * prob[at[word[i:j]]][k]
+        return math.log(ways[-1].numerator) - math.log(ways[-1].denominator)
 
-    text = "the house, été x".encode()
-    got, words = model.documents(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
-    want = [sum(total(b" " + w, k) for w in text.split()) for k in range(2)]
-    assert words[0] == 4 and np.allclose(got[0], want, rtol=1e-5)
+    prob = [[Fraction(float(x)).limit_denominator(10**9) or Fraction(1, 10**9) for x in row] for row in np.exp(logp)]
+    texts = ["the house, été x", "a" * 100, "internationalization" * 8, "日本語の文章は単語の間に空白を置かない。" * 6, " ".join(["x" * 41, "ab" * 250, "Donaudampfschifffahrtsgesellschaft" * 3, "=" * 70])]
+    raw = [t.encode() for t in texts]
+    off = np.append(0, np.cumsum([len(x) for x in raw]))
+    got, words = model.documents(np.frombuffer(b"".join(raw), np.uint8), off)
+    for i, x in enumerate(raw):
+        low = langid.fold(np.frombuffer(x, np.uint8)).tobytes()
+        want = [sum(total(b" " + w, k) for w in low.split()) for k in range(2)]
+        assert words[i] == len(low.split()) and np.allclose(got[i], want, rtol=1e-5), texts[i]
+
+
+def test_very_long_words_in_blocks(monkeypatch):
+    path = langid.vocabulary_path()
+    rng = np.random.default_rng(1)
+    model = langid.Forward(path, np.log(rng.dirichlet(np.ones(len(langid.pieces(path))), 2).T))
+    for word in ("ab-日本international" * 900, "a" * 5000, "1a" * 2500):
+        raw = np.frombuffer(b" " + word.encode(), np.uint8)
+        whole = model.score_words(raw, np.array([0]), np.array([len(raw)]))
+        monkeypatch.setattr(langid, "SCORED", 700)
+        assert np.allclose(model.score_words(raw, np.array([0]), np.array([len(raw)])), whole, rtol=1e-9)
+        monkeypatch.undo()
 
 
 def test_held_out_accuracy(spark):
