@@ -120,6 +120,8 @@ class Forward:
         off = np.concatenate([[0], np.cumsum(size)])
         order = np.argsort(h := span_hashes(raw, off[:-1], off[1:]))
         self.hashes, self.prob = h[order], np.exp(logp)[order]  # pieces x languages
+        self.seen = np.zeros(1 << 21, bool)
+        self.seen[h >> np.uint64(43)] = True
         self.scaled = self.prob * self.SCALE ** np.minimum(size[order], STRETCH)[:, None]
         self.langs = logp.shape[1]
         self.longest = int(size.max(initial=1))
@@ -133,8 +135,12 @@ class Forward:
         self.index, self.scores = HashIndex(), Store(np.zeros((0, self.langs), np.float32))
 
     def lookup(self, h: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, at, -1)
+        """Number of the piece of each hash, -1 where there is none; most are told by their first bits."""
+        out = np.full(len(h), -1, np.int64)
+        maybe = np.flatnonzero(self.seen[h >> np.uint64(43)])
+        at = np.minimum(np.searchsorted(self.hashes, h[maybe]), len(self.hashes) - 1)
+        out[maybe] = np.where(self.hashes[at] == h[maybe], at, -1)
+        return out
 
     def hits(self, raw: np.ndarray, limit: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         """Places and numbers of the pieces of each length in raw; a piece at place i ends before limit[i]."""
