@@ -8,6 +8,7 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,8 +26,6 @@ CELL = 1024
 PAIRS = 50_000
 #: Rows of a bucket of cells, about.
 BUCKET = 20_000
-#: Full cells that may be broadcast; beyond that they are joined.
-BROADCAST = 10_000
 
 
 @functools.cache
@@ -91,9 +90,8 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(1, keepdims=True))
 
 
-#: role 0: a row of its own cell; 1: the same row asking another block of a cut cell; 2: a row that probes.
-_ROW = "bucket int, cell long, role int, part int, ask int, tbl int, id long, n long, dim int, vec binary"
-_NAMES = [x.split()[0] for x in _ROW.split(", ")]
+#: A row of the index: mark is twice the table, and one more where the vector probes the cell.
+_ROW = "cell long, id long, mark int"
 
 
 def _fingerprints(wide: bool):
@@ -118,12 +116,12 @@ def _fingerprints(wide: bool):
     return mark
 
 
-def _index(buckets: int, wide: bool):
+def _index(wide: bool):
     kind = np.float64 if wide else np.float32
 
     def index(batches):
         for b in batches:
-            ids, labels, counts, payloads = (b.column(k).to_pylist() for k in range(4))
+            ids, labels, payloads = b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()
             sizes = np.array([len(p) for p in payloads])
             for size in np.unique(sizes):
                 rows = np.flatnonzero(sizes == size)
@@ -133,13 +131,8 @@ def _index(buckets: int, wide: bool):
                     own, near = cells(x, t)
                     names = np.concatenate([own[:, None], near], 1) + salt[:, None]
                     n, width = names.shape
-                    flat = names.reshape(-1)
-                    who = np.repeat(rows, width)
-                    bucket = ((flat.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(buckets)
-                    const = lambda v, n=len(flat): pa.array(np.full(n, v, np.int32))
-                    role = np.where(np.tile(np.arange(width) == 0, n), 0, 2).astype(np.int32)
-                    take = pa.array(who)
-                    yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), pa.array(flat), pa.array(role), const(-1), const(-1), const(t), b.column(0).take(take), b.column(2).take(take), const(x.shape[1]), b.column(3).take(take)], _NAMES)
+                    mark = 2 * t + np.tile(np.arange(width) > 0, n)
+                    yield pa.RecordBatch.from_arrays([pa.array(names.reshape(-1)), ids.take(pa.array(np.repeat(rows, width))), pa.array(mark.astype(np.int32))], ["cell", "id", "mark"])
 
     return index
 
@@ -172,7 +165,7 @@ def _compare(least: float, wide: bool):
         """Weighted link counts of the rows of one bucket, and edges that span its linked groups."""
         cell, role, part, ask, tbl, ids, n = (table[c].to_numpy() for c in ("cell", "role", "part", "ask", "tbl", "id", "n"))
         x = unit(np.frombuffer(b"".join(table["vec"].to_pylist()), kind).reshape(len(ids), -1))
-        order = np.lexsort((ids, role, ask, part, tbl, cell))
+        order = np.lexsort((ids, role, ask, part, tbl, cell))  # a bucket holds several cells
         head = np.append(True, np.any([np.diff(v[order]) != 0 for v in (cell, tbl, part, ask)], axis=0))
         begin = np.flatnonzero(head)
         size = np.diff(np.append(begin, len(order)))
@@ -215,7 +208,7 @@ def _compare(least: float, wide: bool):
     def compare(table: pa.Table) -> pa.Table:
         counts: dict[int, int] = {}
         edges: list[tuple[int, int]] = []
-        dims = table["dim"].to_numpy()
+        dims = pc.binary_length(table["vec"]).to_numpy()
         for dim in np.unique(dims):
             more, found = links(table.filter(pa.array(dims == dim)))
             for k, v in more.items():
@@ -226,38 +219,25 @@ def _compare(least: float, wide: bool):
     return compare
 
 
-def _full(rows: DataFrame) -> DataFrame:
-    """Cells of more than CELL rows of any role: cell, blocks of own rows (0: nothing to meet), blocks of askers, rows dealt.
+def _meetings(index: DataFrame, scratch: Scratch) -> DataFrame:
+    """Who meets where: (cell, tbl, id, role, part, ask), role 0 for a row of its own cell, 2 for one that probes it.
 
-    Own rows of a cut cell ask, too.
+    Only cells with an own row and another one stay, and no vector travels before that is known. Cells of more than
+    CELL rows, own and probing, are cut into blocks of both, and each block of own rows meets each block of askers,
+    which are all its rows; role 1 is an own row that asks. So no step compares more than about CELL rows with CELL.
     """
-    held = rows.groupBy("cell").agg(F.count_if(F.col("role") == 0).alias("own"), F.count("*").alias("c")).where(f"c > {CELL}")
+    held = index.groupBy("cell").agg(F.count_if(F.col("mark") % 2 == 0).alias("own"), F.count("*").alias("c")).where("own > 0 AND c > 1")
     blocks = lambda n: F.expr(f"cast(({n} + {CELL - 1}) div {CELL} AS int)")
-    held = held.select("cell", "own", "c", blocks("own").alias("own_blocks"), blocks("c").alias("ask_blocks"))
-    return held.select("cell", "own_blocks", "ask_blocks", F.expr("own * ask_blocks + c * own_blocks").alias("dealt"))
-
-
-def _deal(rows: DataFrame, full: DataFrame, buckets: int) -> DataFrame:
-    """Cuts the cells in full: each block of own rows meets each block of asking rows. Cells without own rows go."""
-    cut = rows.join(full, "cell")
+    held = scratch.write(held.select("cell", blocks("own").alias("own_blocks"), blocks("c").alias("ask_blocks")), "cells")
+    rows = index.join(held, "cell")
+    own, every = F.expr("mark % 2 = 0"), lambda blocks: F.sequence(F.lit(0), F.col(blocks) - 1)
     block = lambda salt, blocks: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(blocks)).cast("int")
-    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
-    kept = ["cell", "tbl", "id", "n", "dim", "vec"]
-    own = cut.where("role = 0").select(*kept, F.lit(0).alias("role"), block("own", "own_blocks").alias("part"), every("ask_blocks").alias("ask"))
-    asks = cut.where("own_blocks > 0").select(*kept, F.when(F.col("role") == 0, 1).otherwise(2).alias("role"), block("ask", "ask_blocks").alias("ask"), every("own_blocks").alias("part"))
-    dealt = own.unionByName(asks).withColumn("bucket", F.pmod(F.xxhash64("cell", "part", "ask"), F.lit(buckets)).cast("int"))
-    return dealt.select(*_NAMES)
-
-
-def _meetings(rows: DataFrame, buckets: int, scratch: Scratch) -> DataFrame:
-    """The rows in buckets, where no step compares more than about CELL own rows with CELL askers."""
-    full = scratch.write(_full(rows), "full")
-    sums = full.agg(F.count("*").alias("k"), F.sum("dealt").alias("dealt")).first()
-    if not sums.k:
-        return rows
-    full = full.drop("dealt")
-    full = F.broadcast(full) if sums.k <= BROADCAST else full
-    return rows.join(full, "cell", "left_anti").select(*_NAMES).unionByName(_deal(rows, full, max(buckets, sums.dealt // BUCKET)))
+    spot = lambda role, part, ask: F.struct(role.cast("int").alias("role"), part.cast("int").alias("part"), ask.cast("int").alias("ask"))
+    whole = F.array(spot(F.when(own, 0).otherwise(2), F.lit(-1), F.lit(-1)))
+    asks = F.transform(every("own_blocks"), lambda p: spot(F.when(own, 1).otherwise(2), p, block("ask", "ask_blocks")))
+    answers = F.transform(every("ask_blocks"), lambda a: spot(F.lit(0), block("own", "own_blocks"), a))
+    dealt = F.when(F.col("ask_blocks") == 1, whole).when(own, F.concat(answers, asks)).otherwise(asks)
+    return rows.select("cell", F.expr("mark div 2").cast("int").alias("tbl"), "id", F.inline(dealt))
 
 
 def near_duplicates(vectors: DataFrame, least: float = COSINE, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -283,10 +263,16 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, id_col: str = "ve
     groups = marked.where("_fx_print IS NOT NULL").groupBy("_fx_print").agg(F.min("_fx_id").alias("id"), F.any_value("_fx_label").alias("label"), F.count("*").alias("n"), F.any_value("_fx_vec").alias("vec"))
     groups = scratch.write(groups, "groups")
     total = groups.count()
-    width = TABLES * (1 + POINTS * PROBES)
-    buckets = max(1, min(1024, total * width // 200), total * width // BUCKET)
-    rows = groups.select("id", "label", "n", "vec").repartition(max(1, min(total // 500, 4 * spark.sparkContext.defaultParallelism) or 1)).mapInArrow(_index(buckets, wide), _ROW)
-    found = scratch.write(_meetings(rows, buckets, scratch).groupBy("bucket").applyInArrow(_compare(least, wide), "counted boolean, a long, b long"), "found")
+    narrow = groups.select("id", "label", "vec").repartition(max(1, min(total // 500, 4 * spark.sparkContext.defaultParallelism) or 1, total // 200_000))
+    index = scratch.write(narrow.mapInArrow(_index(wide), _ROW), "index")
+    met = scratch.write(_meetings(index, scratch), "met")
+    scratch.drop("index")
+    rows = met.count()
+    buckets = max(1, min(1024, rows // 200), rows // BUCKET)
+    dealt = met.join(groups.select("id", "n", "vec"), "id").withColumn("bucket", F.pmod(F.xxhash64("cell", "part", "ask"), F.lit(buckets)).cast("int"))
+    found = scratch.write(dealt.groupBy("bucket").applyInArrow(_compare(least, wide), "counted boolean, a long, b long"), "found")
+    scratch.drop("met")
+    scratch.tidy()
     linked = found.where("counted").groupBy(F.col("a").alias("id")).agg(F.sum("b").alias("links"))
     joined = components(found.where("NOT counted").select("a", "b"), scratch)
     summary = groups.select("_fx_print", "id", "n").join(linked, "id", "left").join(joined.withColumnRenamed("node", "id"), "id", "left")

@@ -97,9 +97,9 @@ def test_askers_are_cut_as_own_rows_are(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "CELL", 64)
     # cell 1: askers only; 2: three own rows; 3: many of both; 4: as it is
     held = {1: (0, 3000), 2: (3, 3000), 3: (500, 3000), 4: (10, 20)}
-    raw = [(cell % 2, cell, 0 if i < own else 2, -1, -1, 0, 10_000 * cell + i, 1, 2, bytearray(8)) for cell, (own, asks) in held.items() for i in range(own + asks)]
+    raw = [(cell, 10_000 * cell + i, int(i >= own)) for cell, (own, asks) in held.items() for i in range(own + asks)]
     rows = spark.createDataFrame(raw, embeddings._ROW)
-    got = embeddings._meetings(rows, 2, Scratch(spark, "test")).groupBy("cell", "part", "ask").agg(F.count_if(F.col("role") == 0).alias("own"), F.count_if(F.col("role") != 0).alias("asks"))
+    got = embeddings._meetings(rows, Scratch(spark, "test")).groupBy("cell", "part", "ask").agg(F.count_if(F.col("role") == 0).alias("own"), F.count_if(F.col("role") != 0).alias("asks"))
     got = got.collect()
     assert {r.cell for r in got} == {2, 3, 4}
     assert max(r.own for r in got) <= 128 and max(r.asks for r in got) <= 128
@@ -120,3 +120,15 @@ def test_double_vectors(spark):
     rows = [(1, [1.0, 2.0, 3.0] * 8, 1), (2, [1.0, 2.0, 3.001] * 8, 1)]
     got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
     assert {r.component_id for r in got} == {1}
+
+
+def test_recall_on_the_table(spark):
+    """Links found of those there are; vectors of a label are compared all with all, in blocks of rows."""
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    found = sum(r.n_links for r in embeddings.near_duplicates(table).collect())
+    there = 0
+    for _, rows in table.where("label IS NOT NULL").toPandas().groupby("label"):
+        x = np.stack(rows["embedding"].to_numpy()).astype(float)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        there += int(sum((x[i : i + 1000] @ x.T >= embeddings.COSINE).sum() for i in range(0, len(x), 1000))) - len(x)
+    assert 0.97 * there <= found <= there, (found, there)
