@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import functools
 import gc
 import os
 import tempfile
@@ -41,9 +42,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all machines share: spark.checkpoint.dir; where it is unset (tests), one of our own."""
+    """The folder all machines share: spark.checkpoint.dir; where it is unset and all runs on this machine (tests), one
+    of our own. On a cluster a local folder would be another one on each machine, so there the setting is required."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         root = tempfile.mkdtemp(prefix="spark-fixity-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
@@ -88,6 +92,29 @@ class Scratch:
             self.fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(self.path(table)), True)
 
 
+#: What empties the tables that operators keep in a Python worker from task to task.
+HELD: list = []
+
+
+def free_worker() -> None:
+    """Empty the tables of operators that this worker ran before; called where another operator's tasks begin."""
+    for clear in HELD:
+        clear()
+
+
+def own_names(operator):
+    """For operators that keep every column: columns named as those used inside (_fx_...) are renamed on the way."""
+
+    @functools.wraps(operator)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        odd = [c for c in docs.columns if c.lower().startswith("_fx_")]
+        names = {c: f"in{k}{'_' * (1 + max(map(len, docs.columns)))}" for k, c in enumerate(odd)}
+        out = operator(docs.withColumnsRenamed(names), *args, **kwargs) if odd else operator(docs, *args, **kwargs)
+        return out.withColumnsRenamed({v: k for k, v in names.items()}) if odd else out
+
+    return run
+
+
 def numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """docs with _fx_row, a number of its own for each row whatever its id; written, as numbers differ when rows are read anew."""
     return scratch.write(docs.withColumn("_fx_row", F.monotonically_increasing_id()), "rows")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fixity_spark.llm.common import tune
+from fixity_spark.llm.common import HELD, tune
 from fixity_spark.llm.words import _BASES, _BYTES, HashIndex, Store, _powers, lower_ascii, mix, slices, span_hashes, text_buffer, word_spans
 
 #: Labelled documents of each language that the model is fitted on, in expectation; counts of labels use all.
@@ -335,14 +335,16 @@ def fit(docs: DataFrame, labelled, path: str, train_docs: int = TRAIN_DOCS) -> t
 
 
 _LOADED: dict = {}
+HELD.append(_LOADED.clear)
 
 
 def predict_languages(docs: DataFrame, labelled, path: str | None = None, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id") -> DataFrame:
-    """doc_id (what id_col holds), lang_pred and score, one row per row of docs.
+    """doc_id (what id_col holds), lang_pred, score and margin, one row per row of docs.
 
     Learns from text and lang of the rows where the condition labelled holds; predictions use the whole text
     alone. score is the posterior under equal priors of the text's mean log probability per word, so it tells
-    clear texts from mixed ones at any length. A text that is null or holds no letter is `und` with score 0,
+    clear texts from mixed ones at any length; margin is what it has above chance, 0 to 1 whatever the number of
+    languages. A text that is null or holds no letter is `und` with score 0,
     as is every text when no language is known. Ties go to the first language in order. Rows repeated with
     the same id get a row each; other columns are not read.
     """
@@ -368,15 +370,11 @@ def predict_languages(docs: DataFrame, labelled, path: str | None = None, train_
             best = mean.argmax(1)
             odds = np.exp(mean - mean.max(1, keepdims=True))
             letters = b.column(2).to_numpy(zero_copy_only=False).astype(bool) & bool(langs)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([langs[k] if ok else UNKNOWN for k, ok in zip(best, letters, strict=True)], pa.string()), pa.array(np.where(letters, 1 / odds.sum(1), 0.0))], ["doc_id", "lang_pred", "score"])
+            score, least = np.where(letters, 1 / odds.sum(1), 0.0), 1 / max(1, len(langs))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([langs[k] if ok else UNKNOWN for k, ok in zip(best, letters, strict=True)], pa.string()), pa.array(score), pa.array(np.where(letters, (score - least) / max(1 - least, 1e-9) if least < 1 else 1.0, 0.0))], ["doc_id", "lang_pred", "score", "margin"])
 
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("text").alias("_fx_text"), letter.alias("_fx_letter")).mapInArrow(predict, "doc_id long, lang_pred string, score double")
-
-
-def release() -> None:
-    """Forget the model and the scored words that this Python worker holds."""
-    _LOADED.clear()
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("text").alias("_fx_text"), letter.alias("_fx_letter")).mapInArrow(predict, "doc_id long, lang_pred string, score double, margin double")
 
 
 def held_out(doc_id="doc_id"):
