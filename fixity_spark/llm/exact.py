@@ -9,11 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fixity_spark.llm.common import Scratch, numbered
+from fixity_spark.llm.common import Scratch, free_worker, numbered, own_names, shuffle_partitions
 from fixity_spark.llm.words import lower_ascii, text_buffer
 
 SLOTS = 4
 MAX_KICKS = 64
+#: Live digests that one index holds, about 260 bytes each.
+LIVE = 400_000
 
 
 class CuckooIndex:
@@ -106,10 +108,24 @@ def _digests(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["_fx_id", "_fx_digest"])
 
 
+def _handed_on(index: CuckooIndex):
+    rows = list(index.entries())
+    for i in range(0, len(rows), 10_000):
+        part = rows[i : i + 10_000]
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.binary()), pa.array([x[1] for x in part], pa.int64()), pa.array([x[2] for x in part], pa.int64())], ["_fx_digest", "_fx_keep", "_fx_n"])
+
+
 def _merge(batches):
-    """Merges (digest, id, count) rows through one index: a newer holder replaces the live one."""
+    """Merges (digest, id, count) rows through one index: a newer holder replaces the live one.
+
+    A full index hands its entries on and a new one takes over, so a digest may leave a task more than once.
+    """
+    free_worker()
     index = CuckooIndex()
     for batch in batches:
+        if index.live >= LIVE:
+            yield from _handed_on(index)
+            index = CuckooIndex()
         for digest, doc, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             hit = index.find(digest)
             if hit is None:
@@ -119,21 +135,21 @@ def _merge(batches):
                 index.insert([digest, doc, hit[2] + n])
             else:
                 hit[2] += n
-    rows = list(index.entries())
-    for i in range(0, len(rows), 10_000):
-        part = rows[i : i + 10_000]
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.binary()), pa.array([x[1] for x in part], pa.int64()), pa.array([x[2] for x in part], pa.int64())], ["_fx_digest", "_fx_keep", "_fx_n"])
+    yield from _handed_on(index)
 
 
 def live_digests(digests: DataFrame) -> DataFrame:
     """(_fx_digest, _fx_keep, _fx_n) of (_fx_id, _fx_digest): the largest id and the size of each group.
 
-    Each task first merges its own rows in an index, so a digest leaves a task once however many copies it
-    has; the rows that remain are dealt by digest and merged the same way.
+    Each task first merges its own rows in an index, so a digest leaves a task once, or once for LIVE others, however
+    many copies it has; the rows that remain are dealt by digest, about LIVE / 2 to a task by their number, and merged
+    the same way. What a task still hands on twice is summed up at last: its entries are one digest's own.
     """
     schema = "_fx_digest binary, _fx_keep long, _fx_n long"
     partial = digests.select("_fx_digest", F.col("_fx_id").alias("_fx_keep"), F.lit(1).cast("long").alias("_fx_n")).mapInArrow(_merge, schema)
-    return partial.repartition("_fx_digest").mapInArrow(_merge, schema)
+    tasks = max(shuffle_partitions(digests.sparkSession), digests.count() // (LIVE // 2))
+    merged = partial.repartition(tasks, "_fx_digest").mapInArrow(_merge, schema)
+    return merged.groupBy("_fx_digest").agg(F.max("_fx_keep").alias("_fx_keep"), F.sum("_fx_n").alias("_fx_n"))
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -156,6 +172,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
 
 
+@own_names
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without its duplicates, every column kept; of rows repeated with the same id and text one stays."""
     scratch = Scratch(docs.sparkSession, "exact-kept")
