@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fixity_spark.llm import chunks as C
-from fixity_spark.llm.common import Scratch, components, numbered
+from fixity_spark.llm.common import Scratch, components, free_worker, numbered, own_names
 from fixity_spark.llm.words import lower_ascii, mix, ngram_hashes, slices, span_hashes, word_spans
 
 #: Words of a shingle and percent of Jaccard similarity for general use.
@@ -46,6 +46,7 @@ def shingle_sets(raw: np.ndarray, off: np.ndarray, words: int) -> tuple[np.ndarr
 
 def _ask(buckets: int, words: int):
     def ask(batches):
+        free_worker()
         for b in batches:
             for chunk, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 raw, off, _ = C.open_chunk(blob)
@@ -147,6 +148,18 @@ def _prefixes(percent: int):
     return _batched(prefixes)
 
 
+def _weigh(batches):
+    """Entries by frequency, in a bin for each of the first frequencies and 16 for each doubling after them."""
+    total: dict[int, int] = {}
+    for b in batches:
+        df = np.frombuffer(b"".join(b.column(0).to_pylist()), "<u4").astype(np.int64)
+        shift = np.maximum(np.floor(np.log2(np.maximum(df, 1))).astype(np.int64) - 4, 0)
+        values, counts = np.unique((df >> shift) << shift, return_counts=True)
+        for v, c in zip(values.tolist(), counts.tolist(), strict=True):
+            total[v] = total.get(v, 0) + c
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["df", "n"])
+
+
 def _batched(rows):
     """Joins the small batches a generator makes."""
 
@@ -271,8 +284,8 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     live = scratch.write(live.select("id", "n", "keys", "df"), "live")
     sizes = live.select("id", "n")
     entries = scratch.write(live.select("id", "n", "keys").mapInArrow(_prefixes(percent), "key long, id long, n int, at int, alone int"), "entries")
-    weights = live.select(F.explode(F.expr("transform(sequence(0, length(df) div 4 - 1), i -> substring(df, i * 4 + 1, 4))")).alias("df")).groupBy("df").count()
-    frequencies = sorted((int.from_bytes(r["df"], "little"), r["count"]) for r in weights.collect())
+    weights = live.select("df").mapInArrow(_weigh, "df long, n long").groupBy("df").agg(F.sum("n").alias("n"))
+    frequencies = sorted((r.df, r.n) for r in weights.collect())  # some hundred bins at most
     segments = scratch.write(live.select("id", "keys", "df").mapInArrow(_segments(fragment_cuts(frequencies, FRAGMENTS)), "id long, fragment int, keys binary"), "segments")
 
     component = tested = None  # component(id, c) of all ids but the smallest of each group
@@ -306,6 +319,7 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("_fx_c", "doc_id").alias("component_id"))
 
 
+@own_names
 def keep_one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """docs with the row of the smallest doc_id of each group alone, every column kept.
 
