@@ -7,15 +7,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fixity_spark.llm.common import Scratch
+from fixity_spark.llm.common import Scratch, own_names
 from fixity_spark.llm.words import word_counts
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (1, 2, 3)
 #: A target stops at this many times its source's size, and a document at as many copies.
 MOST = 3
-#: The prefix sums of a source run over at most this many ranges of ids in each size class.
-RANGES, LEAST_RANGE = 1024, 4096
+#: The prefix sums of a source run over 16 ** DIGITS ranges in each size class, by hash of the id: however ids are
+#: spread, the documents of a class fall into all of them.
+DIGITS = 3
 SEED = "mix"
 
 _BITS = "length(bin(size))"
@@ -51,7 +52,7 @@ def mix_decisions(docs: DataFrame, key: list[str], weights: tuple[int, ...] = WE
     """key columns, doc_id, source, size, source_size, target and copies, one row per row of docs.
 
     Each document of a source expects target / source_size copies. Documents are ordered within their source
-    by size class, id range, size and id; the expected copies are summed along that order from one random
+    by size class, range, size and id; the expected copies are summed along that order from one random
     offset per source, and a document is emitted once per integer boundary its share crosses. The order by size
     makes the words taken follow the target closely. The sum is a prefix count over (source, class, range)
     cells plus a rank within the cell, so no task holds a whole source.
@@ -61,14 +62,12 @@ def mix_decisions(docs: DataFrame, key: list[str], weights: tuple[int, ...] = WE
     narrow = docs.select(*keys, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").alias("_fx_text"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[:-1]] + ["size long"])
     sized = scratch.write(narrow.mapInArrow(_sizes, schema), "sized")
-    stats = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.max("doc_id").alias("top"))
-    top = stats.agg(F.max("top").alias("top")).first().top or 0
-    width = max(LEAST_RANGE, top // RANGES + 1)
-    goal = scratch.write(targets(stats.select("source", "source_size"), weights, most), "targets")
+    stats = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    goal = scratch.write(targets(stats, weights, most), "targets")
     # rank stands for the source from here on
     goal = goal.withColumn("_fx_s", F.col("source")).drop("source")
     placed = sized.join(goal, F.col("source").eqNullSafe(F.col("_fx_s"))).drop("_fx_s")
-    placed = placed.withColumn("class", F.expr(SIZE_CLASS)).withColumn("span", F.coalesce(F.expr(f"doc_id div {width}"), F.lit(0).cast("long")))
+    placed = placed.withColumn("class", F.expr(SIZE_CLASS)).withColumn("span", F.coalesce(F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, DIGITS), 16, 10).cast("long"), F.lit(0).cast("long")))
     placed = scratch.write(placed, "placed")
     cell = ["rank", "class", "span"]
     counts = placed.groupBy(*cell).agg(F.count("*").alias("n"))
@@ -92,6 +91,7 @@ def mix_report(docs: DataFrame) -> DataFrame:
     return mix_decisions(docs, []).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+@own_names
 def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
     """docs with each row repeated as often as the mix takes it (not at all for 0), every column kept."""
     scratch = Scratch(docs.sparkSession, "mix")
@@ -120,7 +120,7 @@ WITH sized AS (
     CASE WHEN g.source_size > 0 THEN least(g.target / g.source_size, {float(MOST)}) ELSE 0 END AS rate,
     CAST('0x' || substr(md5('{SEED}:' || coalesce(d.source, '')), 1, 5) AS BIGINT) / 1048576.0 AS u,
     row_number() OVER (PARTITION BY d.source ORDER BY length(bin(d.size)) * 8 + ((d.size >> greatest(length(bin(d.size)) - 4, 0)) & 7),
-      d.doc_id // greatest({LEAST_RANGE}, (SELECT max(doc_id) FROM documents) // {RANGES} + 1), d.size, d.doc_id) AS k
+      CAST('0x' || substr(md5(d.doc_id::VARCHAR), 1, {DIGITS}) AS BIGINT), d.size, d.doc_id) AS k
   FROM sized d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source
 ), taken AS (SELECT *, least(floor(u::DOUBLE + rate * k) - floor(u::DOUBLE + rate * (k - 1)), {MOST})::BIGINT AS copies FROM placed)
 SELECT doc_id, source, size, source_size, target, copies, size * copies AS taken FROM taken
