@@ -71,8 +71,10 @@ def mix_decisions(docs: DataFrame, key: list[str], weights: tuple[int, ...] = WE
     placed = scratch.write(placed, "placed")
     cell = ["rank", "class", "span"]
     counts = placed.groupBy(*cell).agg(F.count("*").alias("n"))
-    along = W.partitionBy("rank").orderBy("class", "span").rowsBetween(W.unboundedPreceding, -1)
-    starts = counts.select(*cell, F.coalesce(F.sum("n").over(along), F.lit(0)).alias("start"))
+    # prefix sums over the few classes of a source, and within a class over its ranges
+    upto = lambda by, order: F.coalesce(F.sum("n").over(W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    classes = counts.groupBy("rank", "class").agg(F.sum("n").alias("n")).select("rank", "class", upto(["rank"], "class").alias("before"))
+    starts = counts.withColumn("inside", upto(["rank", "class"], "span")).join(classes, ["rank", "class"]).select(*cell, (F.col("before") + F.col("inside")).alias("start"))
     within = W.partitionBy(*cell).orderBy("size", "doc_id")
     k = F.col("start") + F.row_number().over(within)
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce("source", F.lit("")))), 1, 5), 16, 10).cast("double") / (1 << 20)
