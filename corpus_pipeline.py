@@ -6,32 +6,21 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the las
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from fixity_spark.llm import exact, langid, mixing, ngram_join, packing
-from fixity_spark.llm.common import Scratch, numbered, own_names
+from fixity_spark.llm.common import Scratch
 
 #: A text whose language is hardly likelier than any other is rejected, as is one of no language: the share that its
 #: score has above chance, whatever the number of languages. Even short clean texts have more.
 LEAST_MARGIN = 1 / 15
 
 
-@own_names
-def _in_known_languages(docs: DataFrame) -> DataFrame:
-    scratch = Scratch(docs.sparkSession, "language")
-    rows = numbered(docs, scratch)
-    found = langid.predict_languages(rows, ~langid.held_out(), id_col="_fx_row")
-    gone = found.where(~((F.col("lang_pred") != langid.UNKNOWN) & (F.col("margin") >= LEAST_MARGIN))).select(F.col("doc_id").alias("_fx_row"))
-    gone = scratch.write(gone, "gone")
-    return rows.join(gone, "_fx_row", "left_anti").select(*docs.columns)
-
-
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language the labels name; texts without letters and texts of no clear language go.
 
     Each row is judged alone, whether or not its id is null or repeated. Where no language is known, all go.
     """
-    return _in_known_languages(docs)
+    return langid.keep_clear(docs, ~langid.held_out(), LEAST_MARGIN)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

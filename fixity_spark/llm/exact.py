@@ -8,8 +8,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from fixity_spark.llm.common import Scratch, free_worker, numbered, own_names, shuffle_partitions
+from fixity_spark.llm.common import Scratch, free_worker, own_names, shuffle_partitions
 from fixity_spark.llm.words import lower_ascii, text_buffer
 
 SLOTS = 4
@@ -108,15 +109,18 @@ def _digests(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["_fx_id", "_fx_digest"])
 
 
+_LIVE = {"_fx_digest": pa.binary(), "_fx_keep": pa.int64(), "_fx_n": pa.int64(), "_fx_m": pa.int64()}
+
+
 def _handed_on(index: CuckooIndex):
     rows = list(index.entries())
     for i in range(0, len(rows), 10_000):
-        part = rows[i : i + 10_000]
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.binary()), pa.array([x[1] for x in part], pa.int64()), pa.array([x[2] for x in part], pa.int64())], ["_fx_digest", "_fx_keep", "_fx_n"])
+        part = list(zip(*rows[i : i + 10_000], strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(part, _LIVE.values(), strict=True)], list(_LIVE))
 
 
 def _merge(batches):
-    """Merges (digest, id, count) rows through one index: a newer holder replaces the live one.
+    """Merges (digest, id, count, count of that id) rows through one index: a newer holder replaces the live one.
 
     A full index hands its entries on and a new one takes over, so a digest may leave a task more than once.
     """
@@ -126,30 +130,35 @@ def _merge(batches):
         if index.live >= LIVE:
             yield from _handed_on(index)
             index = CuckooIndex()
-        for digest, doc, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+        for digest, doc, n, m in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             hit = index.find(digest)
             if hit is None:
-                index.insert([digest, doc, n])
+                index.insert([digest, doc, n, m])
             elif doc is not None and (hit[1] is None or doc > hit[1]):
                 index.delete(digest)
-                index.insert([digest, doc, hit[2] + n])
+                index.insert([digest, doc, hit[2] + n, m])
             else:
                 hit[2] += n
+                hit[3] += m if doc == hit[1] else 0
     yield from _handed_on(index)
 
 
 def live_digests(digests: DataFrame) -> DataFrame:
-    """(_fx_digest, _fx_keep, _fx_n) of (_fx_id, _fx_digest): the largest id and the size of each group.
+    """(_fx_digest, _fx_keep, _fx_n, _fx_m) of (_fx_id, _fx_digest): the largest id, the size of each group and the
+    rows in it that bear that id.
 
     Each task first merges its own rows in an index, so a digest leaves a task once, or once for LIVE others, however
     many copies it has; the rows that remain are dealt by digest, about LIVE / 2 to a task by their number, and merged
     the same way. What a task still hands on twice is summed up at last: its entries are one digest's own.
     """
-    schema = "_fx_digest binary, _fx_keep long, _fx_n long"
-    partial = digests.select("_fx_digest", F.col("_fx_id").alias("_fx_keep"), F.lit(1).cast("long").alias("_fx_n")).mapInArrow(_merge, schema)
+    schema = "_fx_digest binary, _fx_keep long, _fx_n long, _fx_m long"
+    one = F.lit(1).cast("long")
+    partial = digests.select("_fx_digest", F.col("_fx_id").alias("_fx_keep"), one.alias("_fx_n"), one.alias("_fx_m")).mapInArrow(_merge, schema)
     tasks = max(shuffle_partitions(digests.sparkSession), digests.count() // (LIVE // 2))
     merged = partial.repartition(tasks, "_fx_digest").mapInArrow(_merge, schema)
-    return merged.groupBy("_fx_digest").agg(F.max("_fx_keep").alias("_fx_keep"), F.sum("_fx_n").alias("_fx_n"))
+    merged = merged.groupBy("_fx_digest", "_fx_keep").agg(F.sum("_fx_n").alias("_fx_n"), F.sum("_fx_m").alias("_fx_m"))
+    last = F.max(F.struct("_fx_keep", "_fx_m"))
+    return merged.groupBy("_fx_digest").agg(last.alias("_fx_last"), F.sum("_fx_n").alias("_fx_n")).select("_fx_digest", "_fx_last._fx_keep", "_fx_n", "_fx_last._fx_m")
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,17 +181,34 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
 
 
+def _with_digests(batches):
+    """Adds the digest of the text, which comes last, in its place."""
+    for batch in batches:
+        found = next(iter(_digests([pa.RecordBatch.from_arrays([batch.columns[-1]] * 2, ["_fx_id", "_fx_text"])]))).column(1)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found], [*batch.schema.names[:-1], "_fx_digest"])
+
+
 @own_names
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without its duplicates, every column kept; of rows repeated with the same id and text one stays."""
+    """docs without its duplicates, every column kept; of rows repeated with the same id and text one stays.
+
+    Each row is judged by its text's digest and its id, in one join with the live digests. Only groups in which
+    several rows bear the id that stays are then reduced to one, first within each task.
+    """
     scratch = Scratch(docs.sparkSession, "exact-kept")
-    rows = numbered(docs, scratch)
-    narrow = rows.select("_fx_row", F.col(text_col).alias("_fx_text"))
-    digests = scratch.write(narrow.mapInArrow(_digests, "_fx_id long, _fx_digest binary").withColumnRenamed("_fx_id", "_fx_row"), "digests")
-    digests = digests.join(rows.select("_fx_row", F.col(id_col).cast("long").alias("_fx_id")).hint("merge"), "_fx_row")
-    digests = scratch.write(digests, "named")
-    live = scratch.write(live_digests(digests), "live")
-    winners = digests.join(live, "_fx_digest").where(F.col("_fx_id").eqNullSafe(F.col("_fx_keep")))
-    stay = scratch.write(winners.groupBy("_fx_digest").agg(F.min("_fx_row").alias("_fx_row")).select("_fx_row"), "stay")
-    # most documents stay, so their numbers are never a small side: the plan is the same at every size
-    return rows.join(stay.hint("merge"), "_fx_row", "left_semi").select(*docs.columns)
+    narrow = docs.select(F.col(id_col).cast("long").alias("_fx_id"), F.col(text_col).alias("_fx_text"))
+    digests = scratch.write(narrow.mapInArrow(_digests, "_fx_id long, _fx_digest binary"), "digests")
+    live = scratch.write(live_digests(digests).select("_fx_digest", "_fx_keep", "_fx_m"), "live")
+    scratch.drop("digests")
+    schema = T.StructType([*docs.schema.fields, T.StructField("_fx_digest", T.BinaryType())])
+    marked = docs.select("*", F.col(text_col).alias("_fx_text")).mapInArrow(_with_digests, schema)
+
+    def kept(live: DataFrame) -> DataFrame:
+        # most documents stay, so their digests are never a small side: the plan is the same at every size
+        return marked.join(live.hint("merge"), "_fx_digest").where(F.col(id_col).cast("long").eqNullSafe(F.col("_fx_keep")))
+
+    once = kept(live.where("_fx_m = 1")).select(*docs.columns)
+    if live.where("_fx_m > 1").isEmpty():
+        return once
+    again = kept(live.where("_fx_m > 1")).groupBy("_fx_digest").agg(F.any_value(F.struct(*docs.columns)).alias("_fx_row"))
+    return once.unionByName(again.select("_fx_row.*"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fixity_spark.llm.common import HELD, tune
+from fixity_spark.llm.common import HELD, own_names, tune
 from fixity_spark.llm.words import _BASES, _BYTES, HashIndex, Store, _powers, lower_ascii, mix, slices, span_hashes, text_buffer, word_spans
 
 #: Labelled documents of each language that the model is fitted on, in expectation; counts of labels use all.
@@ -338,6 +338,39 @@ _LOADED: dict = {}
 HELD.append(_LOADED.clear)
 
 
+def _judge(docs: DataFrame, labelled, path: str | None, train_docs: int):
+    """A function of Arrow arrays (text, whether it has a letter) that gives lang_pred, score and margin."""
+    tune(docs.sparkSession)
+    path = path or vocabulary_path()
+    langs, logp = fit(docs, labelled, path, train_docs)
+    held = docs.sparkSession.sparkContext.broadcast((langs, logp.astype(np.float32)))  # languages x pieces
+
+    def judge(texts, letter) -> tuple[list[str], np.ndarray, np.ndarray]:
+        langs, logp = held.value
+        key = hash(logp.tobytes())
+        if langs and key not in _LOADED:
+            _LOADED.clear()
+            _LOADED[key] = Forward(path, logp.astype(float))
+        model = _LOADED.get(key)
+        raw, off = text_buffer(texts)
+        total, words = np.zeros((len(texts), max(1, len(langs)))), np.zeros(len(texts), np.int64)
+        if langs:
+            for i, j in slices(off, 4 << 20):
+                total[i:j], words[i:j] = model.documents(raw[off[i] : off[j]], off[i : j + 1] - off[i])
+        mean = total / np.maximum(words, 1)[:, None]
+        odds = np.exp(mean - mean.max(1, keepdims=True))
+        letters = letter.to_numpy(zero_copy_only=False).astype(bool) & bool(langs)
+        score, least = np.where(letters, 1 / odds.sum(1), 0.0), 1 / max(1, len(langs))
+        margin = np.where(letters, (score - least) / (1 - least) if least < 1 else 1.0, 0.0)
+        return [langs[k] if ok else UNKNOWN for k, ok in zip(mean.argmax(1), letters, strict=True)], score, margin
+
+    return judge
+
+
+#: Whether a text has a letter.
+_LETTER = r"\p{L}"
+
+
 def predict_languages(docs: DataFrame, labelled, path: str | None = None, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id") -> DataFrame:
     """doc_id (what id_col holds), lang_pred, score and margin, one row per row of docs.
 
@@ -348,35 +381,35 @@ def predict_languages(docs: DataFrame, labelled, path: str | None = None, train_
     as is every text when no language is known. Ties go to the first language in order. Rows repeated with
     the same id get a row each; other columns are not read.
     """
-    tune(docs.sparkSession)
-    path = path or vocabulary_path()
-    langs, logp = fit(docs, labelled, path, train_docs)
-    held = docs.sparkSession.sparkContext.broadcast((langs, logp.astype(np.float32)))  # languages x pieces
+    judge = _judge(docs, labelled, path, train_docs)
 
     def predict(batches):
-        langs, logp = held.value
-        key = hash(logp.tobytes())
-        if langs and key not in _LOADED:
-            _LOADED.clear()
-            _LOADED[key] = Forward(path, logp.astype(float))
-        model = _LOADED.get(key)
         for b in batches:
-            raw, off = text_buffer(b.column(1))
-            total, words = np.zeros((b.num_rows, max(1, len(langs)))), np.zeros(b.num_rows, np.int64)
-            if langs:
-                for i, j in slices(off, 4 << 20):
-                    total[i:j], words[i:j] = model.documents(raw[off[i] : off[j]], off[i : j + 1] - off[i])
-            mean = total / np.maximum(words, 1)[:, None]
-            best = mean.argmax(1)
-            odds = np.exp(mean - mean.max(1, keepdims=True))
-            letters = b.column(2).to_numpy(zero_copy_only=False).astype(bool) & bool(langs)
-            score, least = np.where(letters, 1 / odds.sum(1), 0.0), 1 / max(1, len(langs))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([langs[k] if ok else UNKNOWN for k, ok in zip(best, letters, strict=True)], pa.string()), pa.array(score), pa.array(np.where(letters, (score - least) / max(1 - least, 1e-9) if least < 1 else 1.0, 0.0))], ["doc_id", "lang_pred", "score", "margin"])
-
-    letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+            lang, score, margin = judge(b.column(1), b.column(2))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(margin)], ["doc_id", "lang_pred", "score", "margin"])
+
+    letter = F.coalesce(F.col("text").rlike(_LETTER), F.lit(False))
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("text").alias("_fx_text"), letter.alias("_fx_letter")).mapInArrow(predict, "doc_id long, lang_pred string, score double, margin double")
 
 
+@own_names
+def keep_clear(docs: DataFrame, labelled, least: float, path: str | None = None, train_docs: int = TRAIN_DOCS) -> DataFrame:
+    """The rows of docs whose language is known with at least this margin (see predict_languages), every column kept.
+
+    Rows are judged one by one as they pass, so nothing is joined or shuffled.
+    """
+    judge = _judge(docs, labelled, path, train_docs)
+
+    def keep(batches):
+        for b in batches:
+            lang, _, margin = judge(b.column(b.num_columns - 2), b.column(b.num_columns - 1))
+            good = pa.array((margin >= least) & np.array([x != UNKNOWN for x in lang], bool))
+            yield pa.RecordBatch.from_arrays(b.columns[:-2], b.schema.names[:-2]).filter(good)
+
+    letter = F.coalesce(F.col("text").rlike(_LETTER), F.lit(False))
+    return docs.select("*", F.col("text").alias("_fx_text"), letter.alias("_fx_letter")).mapInArrow(keep, docs.schema)
+
+
 def held_out(doc_id="doc_id"):
     """Whether crc32 of the id as text leaves 2 modulo 4."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
