@@ -15,8 +15,11 @@ from fixity_spark.llm.words import lower_ascii, mix, ngram_hashes, slices, span_
 WORDS, PERCENT = 5, 80
 #: Fragments that the n-gram order is cut into.
 FRAGMENTS = 4
-#: Leader rounds before the pairs that remain are compared all.
+#: Leader rounds before the sets that remain are compared with each other.
 ROUNDS = 3
+#: Sets under one key that are compared with each other as they are; more are told apart by the next of these shingles
+#: that they share, counted in the global order. Shingles of one line follow each other there, so the steps widen.
+PAIRED, SHARED = 256, (1, 2, 8, 32)
 
 
 def shingle_sets(raw: np.ndarray, off: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -235,6 +238,62 @@ def _may_link(percent: int) -> str:
     return f"100L * least(e.n, f.n) >= {percent}L * greatest(e.n, f.n) AND 1 + least(e.n - e.at, f.n - f.at) - 1 >= {need}"
 
 
+def _has_partner(percent: int) -> str:
+    """Whether an entry may link with the smallest set that its key has (least) and its own size allows."""
+    smallest = f"greatest(least, (cast({percent} AS long) * n + 99) div 100)"
+    return f"n - at >= (cast({percent} AS long) * (n + {smallest}) + {99 + percent}) div {100 + percent}"
+
+
+def _next_keys(percent: int, level: int):
+    """Entries by their key and the shared shingle number `level`, from entries (key, id, n, at, c) and the set's keys.
+
+    Sets that link share at least percent of each, so that shingle is at most level - 1 places behind the prefix.
+    at is its place less the level - 1 shared before it. Sets so small that fewer shared shingles are enough keep
+    their key as well.
+    """
+
+    def further(batches):
+        for b in batches:
+            for key, doc, n, at, c, alone, data in zip(*(b.column(k).to_pylist() for k in range(7)), strict=True):
+                keys = np.frombuffer(data, np.uint64)
+                after = at + level - 1
+                keys = keys[after - alone : n - (percent * n + 99) // 100 + level - alone]
+                new = mix(keys ^ mix(np.full(1, key, np.int64).view(np.uint64))).view(np.int64)
+                places = np.arange(after, after + len(keys)) - (level - 1)
+                if n * percent <= 100 * (level - 1):
+                    new, places = np.append(new, key), np.append(places, at)
+                if len(new):
+                    yield pa.RecordBatch.from_arrays([pa.array(new), pa.array(np.full(len(new), doc)), pa.array(np.full(len(new), n, np.int32)), pa.array(places.astype(np.int32)), pa.array(np.full(len(new), c))], ["key", "id", "n", "at", "c"])
+
+    return _batched(further)
+
+
+def _all_pairs(entries: DataFrame, live: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) of different components that may link by a key they share, from entries (key, id, n, at, c).
+
+    Keys of more than PAIRED entries are not paired: two sets that link share further shingles, too, so their
+    entries are dealt anew by the key and a further one. Only what all steps of SHARED do not tell apart is paired
+    whatever its number. An entry that no set of its key can reach goes first.
+    """
+    prefix = f"n - (cast({percent} AS long) * n + 99) div 100 + {SHARED[-1]} - alone"
+    sets = live.selectExpr("id", "n", "keys", "n - length(keys) div 8 AS alone").selectExpr("id", "alone", f"substring(keys, 1, int(8 * ({prefix}))) AS keys")
+    pairs = None
+    for step, level in enumerate(SHARED, 1):
+        for sifted in (False, True):  # counted again without the entries that have no partner
+            met = entries.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("m"), F.min("n").alias("least")).where("low <> high")
+            both = entries.join(met.select("key", "m", "least"), "key")
+            entries = both if sifted else both.where(_has_partner(percent)).drop("m", "least")
+        entries = scratch.write(entries, f"level{level}")
+        few = entries if level == SHARED[-1] else entries.where(f"m <= {PAIRED}")
+        e, f = few.alias("e"), few.alias("f")
+        new = e.join(f, F.expr(f"e.key = f.key AND e.id < f.id AND e.c <> f.c AND {_may_link(percent)}")).select(F.col("e.id").alias("a"), F.col("f.id").alias("b"))
+        pairs = new if pairs is None else pairs.unionByName(new)
+        hot = entries.where(f"m > {PAIRED}").select("key", "id", "n", "at", "c")
+        if level == SHARED[-1] or hot.isEmpty():
+            return pairs
+        entries = hot.join(sets, "id").select("key", "id", "n", "at", "c", "alone", "keys").mapInArrow(_next_keys(percent, SHARED[step]), "key long, id long, n int, at int, c long")
+
+
 def _merge_groups(links: DataFrame, component: DataFrame | None, scratch: Scratch, k: int) -> DataFrame:
     """component after more links: they are drawn between the groups found so far, which are few."""
     if component is None:
@@ -259,8 +318,9 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     candidates. For each prefix shingle its sets are first paired with one leader, the set with the fewest
     shingles of its own, as the text that others were copied from has; overlaps of a pair are
     counted separately in each fragment of the order and summed. Sets that the links of ROUNDS leader rounds
-    have not brought together, although they share a prefix shingle, are then all compared with each
-    other, so no link between components is lost; links inside a component already found are not looked for.
+    have not brought together, although they share a prefix shingle, are then compared with each other, under
+    a shingle of many sets only where they share the next ones, too; so no link between components is lost.
+    Links inside a component already found are not looked for.
 
     Null and blank texts link with nothing. Rows that repeat an id and text are of one class. A null id joins the
     class of its text; where all ids of a class are null, it links with nothing else. An empty table gives no
@@ -298,8 +358,7 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
             break
         last = k == ROUNDS or size.squares <= 4 * size.rows
         if last:
-            e, f = opened.alias("e"), opened.alias("f")
-            pairs = e.join(f, F.expr(f"e.key = f.key AND e.id < f.id AND e.c <> f.c AND {_may_link(percent)}")).select(F.col("e.id").alias("a"), F.col("f.id").alias("b"))
+            pairs = _all_pairs(opened.select("key", "id", "n", "at", "c"), live, percent, scratch)
         else:
             e = opened.select("key", "id", "n", "at", "c", "lead").alias("e")
             pairs = e.withColumn("f", F.col("lead")).where(f"id <> f.id AND c <> f.c AND {_may_link(percent).replace('e.', '')}").selectExpr("least(id, f.id) AS a", "greatest(id, f.id) AS b")

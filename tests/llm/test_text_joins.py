@@ -109,6 +109,36 @@ def test_groups_chain_and_cross(spark, seed):
     assert sorted(map(tuple, got), key=str) == groups(rows, 2, 60)
 
 
+@pytest.mark.parametrize(("percent", "shared"), [(60, (1, 2, 3, 4)), (85, (1, 2)), (40, (1, 3)), (30, (1, 2, 8))])
+def test_keys_of_many_sets_are_told_apart_by_more_shingles(spark, monkeypatch, percent, shared):
+    """No leader rounds, and every key that two sets have counts as one of many."""
+    monkeypatch.setattr(ngram_join, "ROUNDS", 0)
+    monkeypatch.setattr(ngram_join, "PAIRED", 1)
+    monkeypatch.setattr(ngram_join, "SHARED", shared)
+    rng = random.Random(percent)
+    base = [[rng.choice("abcdefgh") for _ in range(rng.choice([1, 2, 3, 4, 8, 30]))] for _ in range(12)]
+    rows = []
+    for i in range(150):
+        w = list(rng.choice(base))
+        for _ in range(rng.choice([0, 1, 2, 3])):
+            w[rng.randrange(len(w))] = rng.choice("xyzw")
+        rows.append((i, " ".join(w + rng.choice(base)[:2])))
+    got = ngram_join.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string"), 2, percent).collect()
+    assert sorted(map(tuple, got), key=str) == groups(rows, 2, percent)
+
+
+def test_lines_of_many_sets_give_few_pairs(spark, monkeypatch):
+    """Texts made of lines that each occur in one of eight texts; only some near copies link."""
+    rng, seen, links = random.Random(4), [], ngram_join._links
+    monkeypatch.setattr(ngram_join, "ROUNDS", 0)
+    monkeypatch.setattr(ngram_join, "_links", lambda pairs, *rest: seen.append(pairs.count()) or links(pairs, *rest))
+    rows = [(i, [f"l{line}w{k}" for line in rng.sample(range(100), 12) for k in range(6)]) for i in range(2500)]
+    rows = [(i, " ".join(w)) for i, w in rows] + [(2500 + i, " ".join([*w, "more"])) for i, w in rows[:50]]
+    got = ngram_join.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string"), 1, 85).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i % 2500 for i in range(2550)}
+    assert sum(seen) < 2500 * 300 / 2  # pairs under a single line's shingles
+
+
 def test_leader_alone_does_not_decide(spark):
     """A chain in which the first document is near the second alone, and so on."""
     w = [f"w{i}" for i in range(60)]
