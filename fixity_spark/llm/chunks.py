@@ -8,6 +8,9 @@ so a hot key costs at most one entry per chunk.
 
 from __future__ import annotations
 
+import itertools
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -17,9 +20,10 @@ from pyspark.sql import functions as F
 from fixity_spark.llm.common import Scratch
 from fixity_spark.llm.words import slices, text_buffer
 
-#: Bytes of text in a chunk (a longer document is one chunk), and of text for each bucket of keys. Larger
-#: chunks send fewer, fuller messages; on inputs of many terabytes raise both together.
-CHUNK_BYTES, BUCKET_BYTES = 2 << 20, 8 << 20
+#: Least bytes of text that ask together (a longer document does so alone), of text for each bucket of keys, and of text
+#: for each message between the two; what the first two may grow to.
+CHUNK_BYTES, BUCKET_BYTES, MESSAGE_BYTES = 2 << 20, 8 << 20, 48
+MOST_BYTES, MOST_BUCKET_BYTES = 32 << 20, 64 << 20
 LEAST_BUCKETS = 256
 #: Bytes of a key that a bucket compares; the bucket's own number holds more.
 SHORT = 4
@@ -44,17 +48,40 @@ def write_chunks(docs: DataFrame, scratch: Scratch, table: str = "chunks") -> Da
     return scratch.write(narrow.mapInArrow(pack, "chunk long, n_bytes long, blob binary"), table)
 
 
-def open_chunk(blob: bytes) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """Text bytes, document offsets and ids of a chunk."""
-    rows = pa.ipc.open_stream(blob).read_all().combine_chunks()
+def open_chunk(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Text bytes, document offsets and ids of the chunks that ask together."""
+    rows = pa.concat_tables(pa.ipc.open_stream(b).read_all() for b in blobs)
+    if len(blobs) > 1:  # offsets of 32 bits may not reach over all of them
+        rows = rows.set_column(1, "text", rows["text"].cast(pa.large_string()))
+    rows = rows.combine_chunks()
     text = rows["text"].chunk(0) if rows["text"].num_chunks else pa.array([], pa.string())
     ids = rows["doc_id"].chunk(0) if rows["doc_id"].num_chunks else pa.array([], pa.int64())
     return *text_buffer(text), ids
 
 
-def bucket_count(chunks: DataFrame) -> int:
-    total = chunks.agg(F.sum("n_bytes").alias("n")).first().n or 0
-    return max(LEAST_BUCKETS if total > 4 << 20 else 8, total // BUCKET_BYTES)
+def asking(batches):
+    """(chunk, blobs) of rows (chunk, blob) that follow each other with one chunk number."""
+    rows = (row for b in batches for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+    for chunk, found in itertools.groupby(rows, key=lambda row: row[0]):
+        yield chunk, [blob for _, blob in found]
+
+
+def shares(total: int) -> tuple[int, int]:
+    """For total bytes of text: how many chunks ask together, and the number of buckets.
+
+    Each group of chunks sends each bucket a message, so the bytes of both grow with the root of the total, and a
+    key that all documents hold is an entry for each group.
+    """
+    together = max(1, min(math.isqrt(MESSAGE_BYTES * total), MOST_BYTES) // CHUNK_BYTES)
+    each = min(max(BUCKET_BYTES, MESSAGE_BYTES * total // (together * CHUNK_BYTES)), MOST_BUCKET_BYTES)
+    return together, max(LEAST_BUCKETS if total > 4 << 20 else 8, total // each)
+
+
+def deal(chunks: DataFrame) -> tuple[DataFrame, int]:
+    """chunks (chunk, blob) with one number for those that ask together, and the number of buckets."""
+    together, buckets = shares(chunks.agg(F.sum("n_bytes").alias("n")).first().n or 0)
+    task = F.expr("chunk - chunk % 4294967296")
+    return chunks.select((task + F.expr(f"chunk % 4294967296 div {together}")).alias("chunk") if together > 1 else "chunk", "blob"), buckets
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:

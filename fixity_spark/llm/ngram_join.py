@@ -50,15 +50,14 @@ def shingle_sets(raw: np.ndarray, off: np.ndarray, words: int) -> tuple[np.ndarr
 def _ask(buckets: int, words: int):
     def ask(batches):
         free_worker()
-        for b in batches:
-            for chunk, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                raw, off, _ = C.open_chunk(blob)
-                keys, _ = shingle_sets(raw, off, words)
-                keys, n = np.unique(keys, return_counts=True)
-                n = np.minimum(n, 255).astype(np.uint8)
-                rows = C.messages(chunk, keys, buckets, {"keys": lambda c, k=keys: C.pack_keys(k[c]), "docs": lambda c, n=n: n[c].tobytes()})
-                if rows is not None:
-                    yield rows
+        for chunk, blobs in C.asking(batches):
+            raw, off, _ = C.open_chunk(blobs)
+            keys, _ = shingle_sets(raw, off, words)
+            keys, n = np.unique(keys, return_counts=True)
+            n = np.minimum(n, 255).astype(np.uint8)
+            rows = C.messages(chunk, keys, buckets, {"keys": lambda c, k=keys: C.pack_keys(k[c]), "docs": lambda c, n=n: n[c].tobytes()})
+            if rows is not None:
+                yield rows
 
     return ask
 
@@ -98,7 +97,7 @@ def _collect_sets(buckets: int, words: int, percent: int):
         """
         columns: dict[str, list] = {x.split()[0]: [] for x in _SETS.split(", ")}
         if left.num_rows:
-            raw, off, ids = C.open_chunk(left["blob"][0].as_py())
+            raw, off, ids = C.open_chunk(left["blob"].to_pylist())
             keys, doc = shingle_sets(raw, off, words)
             df = np.ones(len(keys), np.int64)
             if right.num_rows:
@@ -327,9 +326,8 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     rows. Other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
-    held = C.write_chunks(docs, scratch)
-    buckets = C.bucket_count(held)
-    asked = held.select("chunk", "blob").mapInArrow(_ask(buckets, words), "bucket int, chunk long, keys binary, docs binary")
+    held, buckets = C.deal(C.write_chunks(docs, scratch))
+    asked = held.mapInArrow(_ask(buckets, words), "bucket int, chunk long, keys binary, docs binary")
     answers = scratch.write(asked.groupBy("bucket").applyInArrow(_answer, "chunk long, bucket int, keys binary, df binary"), "answers")
     scratch.tidy()
     sets = scratch.write(held.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_collect_sets(buckets, words, percent), _SETS), "sets")

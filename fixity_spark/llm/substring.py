@@ -18,9 +18,9 @@ WINDOW, BLOCK = 20, 10
 _LAST = np.iinfo(np.int64).max
 
 
-def _windows(blob: bytes, want: tuple[tuple[int, int], ...]):
-    """Words of a chunk and, for each (length, hash function), window positions and hashes."""
-    raw, off, ids = C.open_chunk(blob)
+def _windows(blobs: list[bytes], want: tuple[tuple[int, int], ...]):
+    """Words of the chunks that ask together and, for each (length, hash function), window positions and hashes."""
+    raw, off, ids = C.open_chunk(blobs)
     starts, ends, docs = [], [], []
     hashed: dict[int, list] = {w: [] for w in {which for _, which in want}}
     for i, j in slices(off):
@@ -43,20 +43,19 @@ def _doc_keys(ids: pa.Array) -> np.ndarray:
 
 def _ask_blocks(buckets: int, block: int):
     def ask(batches):
-        for b in batches:
-            for chunk, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                *_, doc, [(at, h)] = _windows(blob, ((block, 0),))
-                first = np.searchsorted(doc, doc[at])  # first word of the window's document
-                reference = (at - first) % block == 0
-                order = np.argsort(h)
-                keys = h[order]
-                begin = C.runs(keys)
-                many = np.diff(np.append(begin, len(keys))) > 1
-                flags = (np.logical_or.reduceat(reference[order], begin) * 1 + many * 2).astype(np.uint8) if len(begin) else np.zeros(0, np.uint8)
-                keys = keys[begin]
-                rows = C.messages(chunk, keys, buckets, {"keys": lambda c, k=keys: C.pack_keys(k[c]), "flags": lambda c, f=flags: f[c].tobytes()})
-                if rows is not None:
-                    yield rows
+        for chunk, blobs in C.asking(batches):
+            *_, doc, [(at, h)] = _windows(blobs, ((block, 0),))
+            first = np.searchsorted(doc, doc[at])  # first word of the window's document
+            reference = (at - first) % block == 0
+            order = np.argsort(h)
+            keys = h[order]
+            begin = C.runs(keys)
+            many = np.diff(np.append(begin, len(keys))) > 1
+            flags = (np.logical_or.reduceat(reference[order], begin) * 1 + many * 2).astype(np.uint8) if len(begin) else np.zeros(0, np.uint8)
+            keys = keys[begin]
+            rows = C.messages(chunk, keys, buckets, {"keys": lambda c, k=keys: C.pack_keys(k[c]), "flags": lambda c, f=flags: f[c].tobytes()})
+            if rows is not None:
+                yield rows
 
     return ask
 
@@ -90,7 +89,7 @@ def _ask_windows(buckets: int, window: int, block: int):
         if not left.num_rows or not right.num_rows:
             return empty
         known = np.sort(np.concatenate([C.unpack_keys(k) | np.uint64(b) << np.uint64(8 * C.SHORT) for k, b in zip(right["keys"].to_pylist(), right["bucket"].to_pylist(), strict=True)]))
-        _, _, ids, _, _, doc, [(at, h), (wide, one), (_, two)] = _windows(left["blob"][0].as_py(), ((block, 0), (window, 0), (window, 1)))
+        _, _, ids, _, _, doc, [(at, h), (wide, one), (_, two)] = _windows(left["blob"].to_pylist(), ((block, 0), (window, 0), (window, 1)))
         hit = np.zeros(len(doc) + 1, np.int64)
         hit[at + 1] = C.member(C.short_keys(h, buckets), known)
         hits = np.cumsum(hit)
@@ -142,7 +141,7 @@ def _remove(window: int, with_text: bool):
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
         rows: dict[str, list] = {x.split()[0]: [] for x in _RESULT.split(", ")} | ({"kept_text": []} if with_text else {})
         if left.num_rows:
-            raw, off, ids, start, end, doc, [(at, h)] = _windows(left["blob"][0].as_py(), ((window, 0),))
+            raw, off, ids, start, end, doc, [(at, h)] = _windows(left["blob"].to_pylist(), ((window, 0),))
             again, own = (np.sort(np.frombuffer(C.joined(right[c]), np.uint64)) if right.num_rows else np.zeros(0, np.uint64) for c in ("again", "own"))
             repeated = C.member(h, again)
             inside = np.flatnonzero(C.member(h, own))
@@ -190,9 +189,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, wi
     if 2 * block - 1 > window:
         raise ValueError("a window must hold a whole reference block wherever it starts")
     scratch = Scratch(docs.sparkSession, "repeats")
-    held = C.write_chunks(docs, scratch)
-    buckets = C.bucket_count(held)
-    asked = held.select("chunk", "blob").mapInArrow(_ask_blocks(buckets, block), "bucket int, chunk long, keys binary, flags binary")
+    held, buckets = C.deal(C.write_chunks(docs, scratch))
+    asked = held.mapInArrow(_ask_blocks(buckets, block), "bucket int, chunk long, keys binary, flags binary")
     anchors = scratch.write(asked.groupBy("bucket").applyInArrow(_answer_blocks, "chunk long, bucket int, keys binary"), "anchors")
     scratch.tidy()
     windows = held.groupBy("chunk").cogroup(anchors.groupBy("chunk")).applyInArrow(_ask_windows(buckets, window, block), "bucket int, chunk long, keys binary, more binary, place binary, spot binary, many binary")

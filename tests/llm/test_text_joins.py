@@ -4,7 +4,7 @@ import random
 import pytest
 from llm_helpers import low, words
 
-from fixity_spark.llm import ngram_join, substring
+from fixity_spark.llm import chunks, ngram_join, substring
 
 
 def repeats(rows, w):
@@ -148,6 +148,26 @@ def test_leader_alone_does_not_decide(spark):
     assert {r.component_id for r in got} == {0}
 
 
+def test_chunks_that_ask_together(sample, monkeypatch):
+    """As on large inputs, with small chunks."""
+    monkeypatch.setattr(chunks, "CHUNK_BYTES", 4096)
+    monkeypatch.setattr(chunks, "BUCKET_BYTES", 4096)
+    total = sum(len((r.text or "").encode()) for r in sample.collect())
+    monkeypatch.setattr(chunks, "MESSAGE_BYTES", 6 * 4096 * 6 * 4096 // total)
+    assert chunks.shares(total)[0] >= 5
+    rows = [(r.doc_id, r.text) for r in sample.collect()]
+    assert sorted(map(tuple, substring.remove_repeats(sample).collect()), key=str) == repeats(rows, 20)
+    assert sorted(map(tuple, ngram_join.jaccard_groups(sample, 4, 85).collect()), key=str) == groups(rows, 4, 85)
+
+
+def test_shares_grow_with_the_root():
+    assert chunks.shares(0) == (1, 8)
+    assert chunks.shares(500 << 20) == (1, 256)
+    assert chunks.shares(4 << 40)[0] == 6
+    together, buckets = chunks.shares(100 << 40)
+    assert together == 16 and buckets == (100 << 40) // (64 << 20)
+
+
 def test_empty_tables(none):
     assert substring.remove_repeats(none).count() == 0
     assert ngram_join.jaccard_groups(none).count() == 0
