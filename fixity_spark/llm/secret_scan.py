@@ -27,8 +27,8 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-#: An escaped percent sign before more digits is another layer of the same escape; all are taken at once.
-_ESCAPE = re.compile(r"%(?:25)*[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#x[0-9A-Fa-f]{1,6};")
+#: An escaped escape sign before more digits is another layer of the same escape; all are taken at once.
+_ESCAPE = re.compile(r"%(?:25)*[0-9A-Fa-f]{2}|\\(?:u005[cC]|x5[cC])*(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2})|&(?:#38;|#[xX]26;)*#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 _HEXED = re.compile(r"[0-9a-fA-F]{24,}")
 #: The same wrapped over lines; only the last line may be short.
@@ -86,7 +86,8 @@ def _unescape(text: str):
             pending.append(int(s[-2:], 16))
         else:
             flush(m.start())
-            code = int(s[2:], 16) if s[0] == "\\" else int(s[3:-1], 16) if s[2] in "xX" else int(s[2:-1])
+            digits = (s[-2:] if s[-3] == "x" else s[-4:]) if s[0] == "\\" else s[s.rindex("#") + 1 : -1]
+            code = int(digits.lstrip("xX"), 16) if s[0] == "\\" or digits[0] in "xX" else int(digits)
             chars.append(chr(code) if code < 0xD800 or 0xDFFF < code < 0x110000 else "�")
             begin.append(m.start())
             end.append(m.end())
@@ -139,8 +140,8 @@ def _windows(raw: bytes):
         yield bytes(window)
 
 
-def _readable(raw: bytes, seen: set | None = None):
-    """(text, first byte, end) of what is text in the bytes, in what they unpack to, and so on."""
+def _pieces(raw: bytes):
+    """(text, first byte, end) of what is text in the bytes, and (bytes, first byte, end) of what they unpack to."""
     try:
         text = raw.decode("utf-8")
         if text and sum(c.isprintable() or c in "\t\r\n" for c in text) >= 0.97 * len(text):
@@ -148,18 +149,32 @@ def _readable(raw: bytes, seen: set | None = None):
             return
     except UnicodeDecodeError:
         pass
-    seen = set() if seen is None else seen
     for m in _PACKED.finditer(raw):
         for window in _windows(raw[m.start() :]):
-            if (mark := hashlib.sha1(window).digest()) not in seen:  # some unpack to themselves
-                seen.add(mark)
-                for text, _, _ in _readable(window, seen):
-                    yield text, m.start(), len(raw)
+            yield window, m.start(), len(raw)
     for pattern, coding in _STRETCHES:
         for m in pattern.finditer(raw):
             yield m[0].decode(coding, "replace"), m.start(), m.end()
 
 
+def _readable(raw: bytes):
+    """(text, first byte, end) of what is text in the bytes, in what they unpack to, and so on to any depth."""
+    seen: set[bytes] = set()
+    work = [(_pieces(raw), None)]
+    while work:
+        pieces, outer = work[-1]
+        if (piece := next(pieces, None)) is None:
+            work.pop()
+            continue
+        got, a, b = piece
+        at = outer or (a, b)
+        if isinstance(got, str):
+            yield got, *at
+        elif (mark := hashlib.sha1(got).digest()) not in seen:  # some unpack to themselves
+            seen.add(mark)
+            work.append((_pieces(got), at))
+
+
 def _layers(text: str):
     """Layers found in a text: (decoded text, start of each character, end of each character).
 
@@ -188,14 +203,23 @@ def _layers(text: str):
                     break
 
 
+def _place(trail, start: int, end: int) -> tuple[int, int]:
+    """Where a span of a layer stands in the text: trail is (begin, end, trail of the layer around it)."""
+    while trail:
+        begin, close, trail = trail
+        start, end = (begin, close) if isinstance(begin, int) else (begin[start], close[end - 1])
+    return start, end
+
+
 def decoded_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, decoded_<kind>) of secrets inside encoded layers, at the place that encodes them.
 
     A worklist of layers: each is scanned, then searched for layers of its own. A layer seen before is not
     taken up again, so self-reproducing encodings end. A span inside an unescaped layer maps to the escapes
-    of its characters; one inside a packed layer maps to the stretch of the run that encodes the layer.
+    of its characters; one inside a packed layer maps to the stretch of the run that encodes the layer. What a
+    base pattern of the same kind finds at the same place is left out.
     """
-    plain = {(s, e) for s, e, _ in base_spans(text)}
+    plain = set(base_spans(text))
     seen, found = set(), set()
     work = [(_layers(text), None)]
     while work:
@@ -204,18 +228,14 @@ def decoded_spans(text: str) -> list[tuple[int, int, str]]:
             work.pop()
             continue
         inner, begin, end = layer
-
-        def place(s: int, e: int, begin=begin, end=end, outer=outer) -> tuple[int, int]:
-            s, e = (begin, end) if isinstance(begin, int) else (begin[s], end[e - 1])
-            return outer(s, e) if outer else (s, e)
-
-        if not inner or (mark := (hashlib.sha1(inner.encode()).digest(), place(0, len(inner)))) in seen:
+        trail = (begin, end, outer)
+        if not inner or (mark := (hashlib.sha1(inner.encode()).digest(), _place(trail, 0, len(inner)))) in seen:
             continue
         seen.add(mark)
         for s, e, kind in base_spans(inner):
-            if (at := place(s, e)) not in plain:
+            if (at := _place(trail, s, e)) + (kind,) not in plain:
                 found.add((*at, f"decoded_{kind}"))
-        work.append((_layers(inner), place))
+        work.append((_layers(inner), trail))
     return sorted(found)
 
 

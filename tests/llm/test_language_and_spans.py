@@ -212,6 +212,10 @@ def wrapped(x, n=24):
         "key_" + b64(SECRET) + "_old",
         "cb/" + b64(gzip.compress(SECRET.encode())),
         "f" + SECRET.encode().hex(),
+        SECRET.encode().hex(),
+        SECRET.encode().hex().upper(),
+        "&#38;#38;#x26;#112;assword=abcdefgh12345678",
+        "\\u005cx5cu0070assword=abcdefgh12345678",
         wrapped(b64(zlib.compress(("words " * 9 + SECRET).encode()))),
         wrapped(b64(gzip.compress(SECRET.encode())), 40),
         b64(SECRET.encode("utf-16")),
@@ -227,6 +231,16 @@ def test_layers_in_other_text(coded):
     assert any(k == "decoded_assign" and 6 <= s and e <= 6 + len(coded) and (e - s) > 20 for s, e, k in spans)
 
 
+def test_layers_of_any_depth():
+    raw = SECRET.encode()
+    for _ in range(600):
+        raw = gzip.compress(raw, 0)
+    assert (0, len(b64(raw)), "decoded_assign") in secret_scan.decoded_spans(b64(raw))
+    chain = "&" + "#37;26" * 300 + "#112;" + SECRET[1:]
+    assert (0, len(chain), "decoded_assign") in secret_scan.decoded_spans(chain)
+    assert secret_scan.decoded_spans("&" + "#38;" * 200_000 + "#65; \\" + "u005c" * 200_000) == []
+
+
 def test_large_layers_are_scanned_in_windows(monkeypatch):
     monkeypatch.setattr(secret_scan, "LAYER_BYTES", 3 << 20)
     for at in (0, 2 << 20, (3 << 20) - 10, 7 << 20):
