@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fixity_spark.llm import embeddings, exact, langid, mixing, ngram_join, packing, periodic, pii, secret_scan, substring, tokens, whitening
+from fixity_spark.llm import embeddings, exact, langid, mixing, ngram_join, packing, periodic, pii, secret_scan, substring, tokens, toxicity, whitening
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,11 +57,15 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.periodic_runs(_documents(spark, sf_dir), plant=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_substring_dedup, op3_pack_best_fit, op4_language_id, op5_personal_data, op6_secret_scan, op7_token_ids, op8_embedding_near_dedup, op9_ngram_jaccard, op10_exact_dedup, op11_embedding_whitening, op13_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_substring_dedup, op3_pack_best_fit, op4_language_id, op5_personal_data, op6_secret_scan, op7_token_ids, op8_embedding_near_dedup, op9_ngram_jaccard, op10_exact_dedup, op11_embedding_whitening, op12_toxicity, op13_periodic_runs)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
