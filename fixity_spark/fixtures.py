@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fixity_spark.scratch import work_folder
+
 LOCATIONS = """
 SELECT * FROM (VALUES
  (0,'HOT_A','hot',true,0,0,true,4000000000,200000000000),
@@ -181,8 +183,23 @@ def oracle(sql: str, once: bool = True) -> str:
     return f"WITH {views},\n{body[5:]}" if body.upper().startswith("WITH ") else f"WITH {views}\n{body}"
 
 
+#: Views written by materialise: folder by (application, sf_dir, view).
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
+def materialise(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = ("fx_locations", "fx_inventory", "fx_manifest", "fx_content", "fx_content_manifest", "fx_loose", "fx_spaced", "fx_spaced_manifest")) -> None:
+    """Writes views once, for this application; queries read them from then on, so that timing them is not timing views."""
+    app = spark.sparkContext.applicationId
+    for name in names:
+        folder = f"{work_folder(spark, name)}/rows"
+        view(spark, sf_dir, name).write.parquet(folder)
+        _WRITTEN[app, sf_dir, name] = folder
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A fixture view over the tables in sf_dir."""
+    if folder := _WRITTEN.get((spark.sparkContext.applicationId, sf_dir, name)):
+        return spark.read.parquet(folder)
     sql = oracle(f"SELECT * FROM {name}", once=False)
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if re.search(rf"\b{t}\b", sql)}
     sql = sql.replace("{", "{{").replace("}", "}}")

@@ -1,6 +1,7 @@
 """Differences between replicas: missing, extra, ghost, conflicting and uncovered files.
 
-inv rows are (year, slug, location, ord, role, rel, size_bytes), man rows (year, slug, location, ord, role, rel, digest).
+inv rows are (year, slug, location, ord, role, rel, size_bytes), man rows (year, slug, location, ord, role, rel, digest)
+and may name the algorithm of a digest (algo). Digests of different named algorithms are never compared.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fixity_spark.functions.paths import base_name
-from fixity_spark.schema import COLLECTION, KEY, MANIFEST
+from fixity_spark.schema import COLLECTION, KEY, MANIFEST, require
 
 
 def drop_self_entry(df: DataFrame) -> DataFrame:
@@ -38,9 +39,19 @@ def ghosts(inv: DataFrame, man: DataFrame) -> DataFrame:
 
 def manifest_conflicts(ref: DataFrame, other: DataFrame) -> DataFrame:
     """Paths that both manifests record with different digests."""
-    left = drop_self_entry(ref).select(*KEY, F.col("digest").alias("ref_digest"))
-    right = other.select(*KEY, "location", F.col("digest").alias("other_digest"))
-    return left.join(right, KEY).where("ref_digest <> other_digest")
+    left = drop_self_entry(ref).select(*KEY, F.col("digest").alias("ref_digest"), algo(ref).alias("_a"))
+    right = other.select(*KEY, "location", F.col("digest").alias("other_digest"), algo(other).alias("_b"))
+    return left.join(right, KEY).where("ref_digest <> other_digest").where(F.coalesce(F.col("_a") == F.col("_b"), F.lit(True))).drop("_a", "_b")
+
+
+def algo(df: DataFrame) -> Column:
+    """The algorithm of each row's digest; null where it is not named."""
+    return F.col("algo") if "algo" in df.columns else F.lit(None).cast("string")
+
+
+def differs(a: Column, b: Column) -> Column:
+    """Whether two entries of recorded hold digests that differ and may be compared; null where one has none."""
+    return (a["digest"] != b["digest"]) & F.coalesce(a["algo"] == b["algo"], F.lit(True))
 
 
 def with_digests(inv: DataFrame, man: DataFrame) -> DataFrame:
@@ -52,22 +63,42 @@ def with_digests(inv: DataFrame, man: DataFrame) -> DataFrame:
 def side_by_side(inv: DataFrame, man: DataFrame, computed: DataFrame | None = None) -> DataFrame:
     """Every path once, with what each location lists and records: one shuffle by the full file key for all rules.
 
-    Columns: key, held array<(ord, location, role, size_bytes)>, recorded array<(location, role, digest)> and, with
-    computed digests, read array<(location, digest)>; each sorted, each as long as there are locations with the path.
+    Columns: key, held array<(ord, location, role, size_bytes)>, recorded array<(location, role, digest, algo)> and, with
+    computed digests, read array<(location, digest, algo)>; each sorted, each as long as there are locations with the path.
     Self entries are left out; an empty digest is kept, as it is a line of its manifest.
     """
+    require(inv, "the inventory", *KEY, "location", "ord", "role", "size_bytes")
+    require(man, "the manifest", *KEY, "location", "role", "digest")
     none = F.lit(None)
-    struct = lambda *c: F.struct(*c)
-    held, recorded, read = "struct<ord int,location string,role string,size_bytes bigint>", "struct<location string,role string,digest string>", "struct<location string,digest string>"
-    column = lambda df, name: F.col(name) if name in df.columns else none.cast("string").alias(name)
-    rows = drop_self_entry(inv).select(*KEY, struct(F.col("ord").cast("int").alias("ord"), "location", column(inv, "role"), "size_bytes").cast(held).alias("held"), none.cast(recorded).alias("recorded"), none.cast(read).alias("read"))
-    rows = rows.unionByName(drop_self_entry(man).select(*KEY, none.cast(held).alias("held"), struct("location", column(man, "role"), "digest").cast(recorded).alias("recorded"), none.cast(read).alias("read")))
+    held, recorded, read = "struct<ord int,location string,role string,size_bytes bigint>", "struct<location string,role string,digest string,algo string>", "struct<location string,digest string,algo string>"
+    rows = drop_self_entry(inv).select(*KEY, F.struct(F.col("ord").cast("int").alias("ord"), "location", "role", "size_bytes").cast(held).alias("held"), none.cast(recorded).alias("recorded"), none.cast(read).alias("read"))
+    rows = rows.unionByName(drop_self_entry(man).select(*KEY, none.cast(held).alias("held"), F.struct("location", "role", "digest", algo(man).alias("algo")).cast(recorded).alias("recorded"), none.cast(read).alias("read")))
     if computed is not None:
-        rows = rows.unionByName(drop_self_entry(computed).select(*KEY, none.cast(held).alias("held"), none.cast(recorded).alias("recorded"), struct("location", "digest").cast(read).alias("read")))
+        rows = rows.unionByName(drop_self_entry(computed).select(*KEY, none.cast(held).alias("held"), none.cast(recorded).alias("recorded"), F.struct("location", "digest", algo(computed).alias("algo")).cast(read).alias("read")))
     # collect_list drops nulls, so each array holds its own kind only
     return rows.groupBy(*KEY).agg(*[F.array_sort(F.collect_list(c)).alias(c) for c in ("held", "recorded", "read")])
 
 
+def by_location(inv: DataFrame, man: DataFrame, computed: DataFrame | None = None) -> DataFrame:
+    """What each location has of each path, one row per (key, location), dealt by the path so that windows and groups by it
+    need no further shuffle.
+
+    Columns: key, location, role, ord, size_bytes (null where it lists no such file), held, listed, digest, algo and, with
+    computed digests, read_digest and read_algo. Self entries are left out.
+    """
+    require(inv, "the inventory", *KEY, "location", "ord", "role", "size_bytes")
+    require(man, "the manifest", *KEY, "location", "role", "digest")
+    text = F.lit(None).cast("string")
+    none = {"role": text, "ord": F.lit(None).cast("int"), "size_bytes": F.lit(None).cast("long"), "held": F.lit(False), "listed": F.lit(False), "digest": text, "algo": text, "read_digest": text, "read_algo": text}
+    row = lambda df, **own: drop_self_entry(df).select(*KEY, "location", *[c.alias(k) for k, c in {**none, **own}.items()])
+    rows = row(inv, role=F.col("role"), ord=F.col("ord").cast("int"), size_bytes=F.col("size_bytes").cast("long"), held=F.lit(True))
+    rows = rows.unionByName(row(man, role=F.col("role"), listed=F.lit(True), digest=F.col("digest"), algo=algo(man)))
+    if computed is not None:
+        rows = rows.unionByName(row(computed, read_digest=F.col("digest"), read_algo=algo(computed)))
+    largest = [c for c in none if computed is not None or not c.startswith("read")]
+    return rows.repartition(*KEY).groupBy(*KEY, "location").agg(*[F.max(c).alias(c) for c in largest])
+
+
 def of(entries: Column, location: Column) -> Column:
     """The entry of a location in an array of side_by_side; null where it has none."""
     return F.try_element_at(F.filter(entries, lambda e: e["location"] == location), F.lit(1))

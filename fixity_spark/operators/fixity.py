@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fixity_spark.functions.values import content_digest
-from fixity_spark.operators.diff import drop_self_entry
+from fixity_spark.operators.diff import algo, drop_self_entry
 from fixity_spark.schema import KEY
 
 
-def digests(content: DataFrame, column: str = "content", algo: str = "sha256") -> DataFrame:
+def digests(content: DataFrame, column: str = "content", kind: str = "sha256") -> DataFrame:
     """Content rows with digest and algo in place of the content."""
-    return content.withColumn("digest", content_digest(F.col(column).cast("binary"), algo)).withColumn("algo", F.lit(algo)).drop(column)
+    return content.withColumn("digest", content_digest(F.col(column).cast("binary"), kind)).withColumn("algo", F.lit(kind)).drop(column)
 
 
 def chunked_digests(chunks: DataFrame, chunk_bytes: int) -> DataFrame:
@@ -25,6 +25,59 @@ def chunked_digests(chunks: DataFrame, chunk_bytes: int) -> DataFrame:
     return each.groupBy(*KEY, "location").agg(F.sha2(F.concat_ws("", F.transform(parts, lambda x: x["d"])), 256).alias("digest")).withColumn("algo", F.lit(f"sha256-chunked-{chunk_bytes}"))
 
 
+#: Chunks, or nodes, below a node of a tree of digests.
+FANOUT = 256
+
+
+def chunk_digests(chunks: DataFrame) -> DataFrame:
+    """Digest of each chunk (key, location, chunk_no, content), where it lies: key, location, level 0, node, digest."""
+    return chunks.select(*KEY, "location", F.lit(0).alias("level"), F.col("chunk_no").cast("long").alias("node"), F.sha2("content", 256).alias("digest"))
+
+
+def digest_tree(leaves: DataFrame, levels: int, fanout: int = FANOUT) -> DataFrame:
+    """H3: all nodes of the trees over leaves (chunk_digests), level by level: the digest of a node is that of the digests
+    below it in order, with their numbers, so a chunk that is missing changes it, too.
+
+    levels is chosen by the caller so that fanout ** levels is at least the number of chunks of the longest file; every
+    file's root is its node 0 at that level. A group holds at most fanout digests.
+    """
+    level, out = leaves, leaves
+    for k in range(1, levels + 1):
+        below = F.array_sort(F.collect_list(F.struct("node", "digest")))
+        text = F.concat_ws("", F.transform(below, lambda x: F.concat(x["node"].cast("string"), F.lit(":"), x["digest"], F.lit(";"))))
+        level = level.groupBy(*KEY, "location", F.expr(f"node div {fanout}").alias("_up")).agg(F.sha2(text, 256).alias("digest")).select(*KEY, "location", F.lit(k).alias("level"), F.col("_up").alias("node"), "digest")
+        out = out.unionByName(level)
+    return out
+
+
+def damaged_chunks(good: DataFrame, other: DataFrame, levels: int, fanout: int = FANOUT) -> DataFrame:
+    """(key, location, chunk_no, problem) of the chunks of other's files that differ from good's trees.
+
+    good (key, level, node, digest) is one tree of each file, other has one for each location. Roots are compared first,
+    then, level by level, only the nodes below those that differ: what is read of the trees follows the damage. problem:
+    `differs`, `missing` (other lacks the chunk) or `extra`. Files that other lacks altogether are no damage but J1.
+    """
+    at = lambda df, k: df.where(F.col("level") == k)
+    files = at(other, levels).select(*KEY, "location", F.col("node").alias("_up")).distinct()
+    open_ = files
+    for k in range(levels, -1, -1):
+        if k < levels:
+            up = F.expr(f"node div {fanout}").alias("_up")
+        else:
+            up = F.col("node").alias("_up")
+        one = at(good, k).select(*KEY, up, "node", F.col("digest").alias("_a")).join(open_, [*KEY, "_up"])
+        two = at(other, k).select(*KEY, "location", up, "node", F.col("digest").alias("_b")).join(open_, [*KEY, "location", "_up"], "left_semi")
+        both = one.join(two, [*KEY, "location", "_up", "node"], "full_outer").where(~F.col("_a").eqNullSafe(F.col("_b")))
+        open_ = both.select(*KEY, "location", F.col("node").alias("_up")).distinct()
+    problem = F.when(F.col("_b").isNull(), "missing").when(F.col("_a").isNull(), "extra").otherwise("differs")
+    return both.select(*KEY, "location", F.col("node").alias("chunk_no"), problem.alias("problem"))
+
+
+def repair_plan(damage: DataFrame, src: str) -> DataFrame:
+    """The chunks to copy from src so that the files are whole again; extra chunks are to be dropped, not copied."""
+    return damage.select(*KEY, F.lit(src).alias("src"), F.col("location").alias("dst"), "chunk_no", F.when(F.col("problem") == "extra", "drop").otherwise("copy").alias("action"))
+
+
 def verify(man: DataFrame, computed: DataFrame, key: list[str] | None = None) -> DataFrame:
     """Status of each manifest row: ok, mismatch, or unreadable where there is no content.
 
@@ -39,12 +92,6 @@ def verify(man: DataFrame, computed: DataFrame, key: list[str] | None = None) ->
     return rows.withColumn("status", status).drop("actual_algo")
 
 
-def verify_copy(results: DataFrame, reread: DataFrame) -> DataFrame:
-    """Copied rows (dst, key, digest) with whether the content read back from dst has that digest."""
-    back = reread.select(F.col("location").alias("dst"), *KEY, F.col("digest").alias("reread_digest"))
-    return results.join(back, ["dst", *KEY], "left").withColumn("verified", F.col("digest").eqNullSafe(F.col("reread_digest")) & F.col("digest").isNotNull())
-
-
 def consensus(computed: DataFrame, participants: DataFrame | None = None) -> DataFrame:
     """Per path the digests, copies and whether all agree; a copy without a digest breaks agreement.
 
@@ -59,9 +106,14 @@ def consensus(computed: DataFrame, participants: DataFrame | None = None) -> Dat
 
 
 def merge_manifest(old: DataFrame, new: DataFrame) -> DataFrame:
-    """One digest per path and location, the newest; self entries go. Of repeated new rows the largest digest holds."""
-    both = old.select(*KEY, "location", "digest", F.lit(0).alias("p")).unionByName(new.select(*KEY, "location", "digest", F.lit(1).alias("p")))
-    return drop_self_entry(both).groupBy(*KEY, "location").agg(F.max(F.struct("p", "digest"))["digest"].alias("digest"))
+    """One digest per path and location, the newest, with its algorithm where either side names one; self entries go.
+
+    Of repeated new rows the largest digest holds.
+    """
+    named = ["algo"] if "algo" in old.columns + new.columns else []
+    part = lambda df, p: df.select(*KEY, "location", F.lit(p).alias("p"), "digest", *[algo(df).alias(c) for c in named])
+    newest = drop_self_entry(part(old, 0).unionByName(part(new, 1))).groupBy(*KEY, "location").agg(F.max(F.struct("p", "digest", *named)).alias("m"))
+    return newest.select(*KEY, "location", *[F.col("m")[c].alias(c) for c in ("digest", *named)])
 
 
 def duplicate_content(computed: DataFrame, key: str = "digest") -> DataFrame:

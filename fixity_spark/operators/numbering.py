@@ -71,13 +71,14 @@ def unique_names(files: DataFrame, target: list[str], name: str = "name", order:
     """
     ext, stem = F.regexp_extract(name, r"(\.[^.]*)$", 1), F.regexp_replace(name, r"\.[^.]*$", "")
     named = files.withColumns({"_ext": ext, "_own": stem})
-    number = F.nullif(F.regexp_extract("_own", "_([0-9]+)$", 1), F.lit("")).try_cast("long")
-    itself = F.struct(F.col("_own").alias("_stem"), F.lit(None).cast("long").alias("_n"))
+    # numbers of more than 36 digits count as part of the name
+    number = F.nullif(F.regexp_extract("_own", "_([0-9]{1,36})$", 1), F.lit("")).cast("decimal(38,0)")
+    itself = F.struct(F.col("_own").alias("_stem"), F.lit(None).cast("decimal(38,0)").alias("_n"))
     bearer = F.struct(F.regexp_replace("_own", "_[0-9]+$", "").alias("_stem"), number.alias("_n"))
     dealt = named.select("*", F.inline(F.when(number.isNull(), F.array(itself)).otherwise(F.array(itself, bearer)))).drop("_own")
     by = W.partitionBy(*target, "_stem", "_ext")
     counted = dealt.withColumns({"_k": F.row_number().over(by.orderBy(F.col("_n").asc_nulls_first(), order)), "_most": F.max("_n").over(by)})
-    again = F.concat("_stem", F.lit("_"), (F.greatest(F.coalesce("_most", F.lit(1)), F.lit(1)) + F.col("_k") - 1).cast("string"), "_ext")
+    again = F.concat("_stem", F.lit("_"), (F.greatest(F.coalesce("_most", F.lit(1)), F.lit(1)) + F.col("_k") - 1).cast("decimal(38,0)").cast("string"), "_ext")
     out = counted.where("_n IS NULL").withColumn(name, F.when(F.col("_k") > 1, again).otherwise(F.col(name)))
     return out.drop("_stem", "_ext", "_n", "_k", "_most")
 

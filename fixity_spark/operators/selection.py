@@ -7,12 +7,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fixity_spark.functions.paths import number
+from fixity_spark.operators.diff import drop_self_entry
+from fixity_spark.operators.fingerprint import fingerprint
 from fixity_spark.operators.locations import covers_year, small
-from fixity_spark.schema import COLLECTION, KEY
+from fixity_spark.schema import COLLECTION, KEY, require
 
 
 def copies(inv: DataFrame) -> DataFrame:
     """One row per collection and location: n_files and bytes. The windows below run over this small table."""
+    require(inv, "the inventory", *COLLECTION, "location", "ord", "role", "size_bytes")
     return inv.groupBy(*COLLECTION, "location", "ord", "role").agg(F.count("*").alias("n_files"), F.sum("size_bytes").alias("bytes"))
 
 
@@ -48,15 +51,27 @@ def hot_differences(inv: DataFrame) -> DataFrame:
     Each (path, size) is counted over the hot copies of its collection: one listed by all of them is the
     same everywhere, any other differs. That takes one shuffle where a join with every other copy takes one each.
     """
-    hot = inv.where("role = 'hot'")
+    hot = drop_self_entry(inv).where("role = 'hot'")
     n = hot.groupBy(*COLLECTION).agg(F.count_distinct("location").alias("n_hot"))
     listed = hot.groupBy(*KEY, "size_bytes").agg(F.count("*").alias("n_listed"))
     return listed.join(n, COLLECTION).where("n_listed < n_hot").groupBy(*COLLECTION).agg(F.count("*").alias("n_diff"))
 
 
+def disagreeing(inv: DataFrame) -> DataFrame:
+    """Collections (year, slug) whose hot copies list different paths or sizes, told by the fingerprints of the copies:
+    one row of each copy is shuffled, no file."""
+    hot = drop_self_entry(inv).where("role = 'hot'")
+    prints = hot.groupBy(*COLLECTION, "location").agg(fingerprint("rel", "size_bytes").alias("print"))
+    return prints.groupBy(*COLLECTION).agg(F.count_distinct("print").alias("n")).where("n > 1").select(*COLLECTION)
+
+
 def pick_agreed(inv: DataFrame) -> DataFrame:
-    """The first hot copy of collections whose hot copies agree on paths and sizes."""
-    return pick_first(copies(inv), "hot").join(hot_differences(inv), COLLECTION, "left_anti")
+    """The first hot copy of collections whose hot copies agree on paths and sizes; one pass over the files."""
+    hot = drop_self_entry(inv).where("role = 'hot'")
+    scan = hot.groupBy(*COLLECTION, "location", "ord", "role").agg(F.count("*").alias("n_files"), F.sum("size_bytes").alias("bytes"), fingerprint("rel", "size_bytes").alias("print"))
+    by = W.partitionBy(*COLLECTION)
+    told = scan.withColumns({"_same": F.min("print").over(by) == F.max("print").over(by), "_rank": F.row_number().over(by.orderBy("ord"))})
+    return told.where("_same AND _rank = 1").drop("_same", "_rank", "print")
 
 
 def first_n(backups: DataFrame, n: int) -> DataFrame:

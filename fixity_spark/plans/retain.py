@@ -3,28 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fixity_spark.functions.paths import normalise_name
 from fixity_spark.operators import diff, selection
-from fixity_spark.schema import COLLECTION, KEY
+from fixity_spark.operators.fingerprint import fingerprint
+from fixity_spark.schema import COLLECTION, KEY, require
 
 GROUP = [*COLLECTION, "location"]
 
 
-def uncovered_on(hot_paths: DataFrame, cold_inv: DataFrame, cold_man: DataFrame, cold: DataFrame) -> DataFrame:
-    """Hot paths that a cold copy does not hold, or holds without recording, with the reason.
-
-    cold (year, slug, location) lists the copies to judge.
-    """
-    wanted = hot_paths.join(cold, COLLECTION)
-    on_disk = cold_inv.select(*KEY, "location", F.lit(1).alias("on_disk"))
-    recorded = cold_man.where("digest <> ''").select(*KEY, "location", F.lit(1).alias("recorded"))
-    both = wanted.join(on_disk, [*KEY, "location"], "left").join(recorded, [*KEY, "location"], "left")
-    reason = F.when(F.col("on_disk").isNull(), "not on disk").when(F.col("recorded").isNull(), "not in manifest")
-    return both.withColumn("reason", reason).where("reason IS NOT NULL").select(*KEY, "location", "reason")
-
-
 def _named(df: DataFrame, hot: list[str] | None) -> DataFrame:
     """Without the hot copies that are not named, where some are."""
     return df.where((F.col("role") != "hot") | normalise_name(F.col("location")).isin(*(n.strip().lower() for n in hot))) if hot else df
@@ -36,21 +25,19 @@ def _per_location(inv: DataFrame, man: DataFrame) -> DataFrame:
     Columns: collection, location, role, ord (null where it holds no file), files, bytes, n_recorded, n_covered
     (hot paths both held and recorded), n_conflicts, n_hot_paths (of the collection).
     """
-    hot = F.exists("held", lambda e: e["role"] == "hot")
-    names = F.array_union(F.transform("held", lambda e: F.struct(e["location"].alias("location"), e["role"].alias("role"))), F.transform("recorded", lambda e: F.struct(e["location"].alias("location"), e["role"].alias("role"))))
-
-    def of_location(n):
-        entry, line = diff.of(F.col("held"), n["location"]), diff.of(F.col("recorded"), n["location"])
-        differs = (n["role"] == "cold") & F.exists("recorded", lambda e: (e["role"] == "hot") & (e["digest"] != line["digest"]))
-        return F.struct(n["location"].alias("location"), n["role"].alias("role"), entry["ord"].alias("ord"), entry["size_bytes"].alias("size"), entry.isNotNull().alias("on_disk"), line.isNotNull().alias("listed"), (hot & entry.isNotNull() & (line["digest"] != "")).alias("covered"), F.coalesce(differs, F.lit(False)).alias("differs"))
-
-    # one more entry, without a location, counts the hot path itself
-    path = F.struct(F.lit(None).cast("string").alias("location"), F.lit(None).cast("string").alias("role"), F.lit(None).cast("int").alias("ord"), F.lit(None).cast("bigint").alias("size"), hot.alias("on_disk"), F.lit(False).alias("listed"), F.lit(False).alias("covered"), F.lit(False).alias("differs"))
-    entries = F.concat(F.transform(names, of_location), F.array(path))
-    rows = diff.side_by_side(inv, man).select(*COLLECTION, F.inline(entries))
-    per = rows.groupBy(*GROUP, "role").agg(F.min("ord").alias("ord"), F.count_if("on_disk").alias("files"), F.sum("size").alias("bytes"), F.count_if("listed").alias("n_recorded"), F.count_if("covered").alias("n_covered"), F.count_if("differs").alias("n_conflicts"))
-    asked = per.where("location IS NULL").select(*COLLECTION, F.col("files").alias("n_hot_paths"))
-    return per.where("location IS NOT NULL").join(asked, COLLECTION)
+    rows = diff.by_location(inv, man)
+    path, same = W.partitionBy(*KEY), W.partitionBy(*KEY, "algo")
+    hot, cold = F.col("role") == "hot", F.col("role") == "cold"
+    digest = lambda by, also=F.lit(True): (F.min(F.when(hot & also, F.col("digest"))).over(by), F.max(F.when(hot & also, F.col("digest"))).over(by))
+    # hot lines that a line is compared with: of its algorithm, of none named, or, if it names none, all
+    unlike = lambda pair: F.coalesce((pair[0] != F.col("digest")) | (pair[1] != F.col("digest")), F.lit(False))
+    differs = unlike(digest(path)) if "algo" not in man.columns else unlike(digest(same)) | unlike(digest(path, F.col("algo").isNull())) | (F.col("algo").isNull() & unlike(digest(path)))
+    told = rows.withColumns({"hot_path": F.max(hot & F.col("held")).over(path), "_first": F.row_number().over(path.orderBy("location")) == 1, "_differs": differs})
+    told = told.withColumns({"covered": F.col("hot_path") & F.col("held") & F.coalesce(F.col("digest") != "", F.lit(False)), "differs": cold & F.col("listed") & F.col("_differs")})
+    count = lambda c, name: F.count_if(c).alias(name)
+    per = told.groupBy(*GROUP, "role").agg(F.min("ord").alias("ord"), count("held", "files"), F.sum("size_bytes").alias("bytes"), count("listed", "n_recorded"), count("covered", "n_covered"), count("differs", "n_conflicts"), count(F.col("_first") & F.col("hot_path"), "_paths"))
+    # few rows are left: one for each copy of a collection
+    return per.withColumn("n_hot_paths", F.sum("_paths").over(W.partitionBy(*COLLECTION))).drop("_paths")
 
 
 def _judged(per: DataFrame) -> DataFrame:
@@ -103,26 +90,57 @@ def evict_plan(inv: DataFrame, man: DataFrame, min_copies: int = 1, hot: list[st
     return targets.join(chosen.select(*COLLECTION).distinct(), COLLECTION, "left_semi"), chosen
 
 
-def evict_gate(targets: DataFrame, chosen: DataFrame, verified: DataFrame | None = None, strict: bool = True, quick: bool = False) -> DataFrame:
+def _unproved(chosen: DataFrame, man: DataFrame, verified: DataFrame) -> DataFrame:
+    """Lines of each chosen backup's manifest that are not proved, counted (GROUP, n_failed).
+
+    First whole backups are compared by fingerprints: where the verified lines, all ok, are the very lines of the
+    manifest, nothing failed. Only the lines of other backups meet one by one, as verified may lack lines, hold lines of
+    other files or hold some twice. A line is proved where every row of verified that speaks of it, and one at least, is
+    ok. verified may name the digest that was verified (digest); another one is no proof of the line.
+    """
+    line = [*GROUP, "rel", *(["digest"] if "digest" in verified.columns else [])]
+    lines = diff.drop_self_entry(man).join(chosen.select(*GROUP), GROUP, "left_semi").select(*line)
+    seen = verified.join(chosen.select(*GROUP), GROUP, "left_semi").select(*line, (F.col("status") == "ok").alias("ok"))
+    said = F.coalesce("ok", F.lit(False))
+    both = lines.withColumns({"listed": F.lit(True), "ok": F.lit(True)}).unionByName(seen.withColumns({"listed": F.lit(False), "ok": said}))
+    prints = both.groupBy(*GROUP).agg(fingerprint(*line[3:], where=F.col("listed")).alias("a"), fingerprint(*line[3:], where=~F.col("listed")).alias("b"), F.bool_and("ok").alias("all_ok"))
+    alike = prints.where("all_ok AND a = b").select(*GROUP)
+    open_ = chosen.select(*GROUP).join(alike, GROUP, "left_anti")
+    proof = seen.join(open_, GROUP, "left_semi").groupBy(*line).agg(F.bool_and(F.coalesce("ok", F.lit(False))).alias("proved"))
+    judged = lines.join(open_, GROUP, "left_semi").distinct().join(proof, line, "left")
+    failed = judged.groupBy(*GROUP).agg(F.count_if(~F.coalesce("proved", F.lit(False))).alias("n_failed"))
+    # a backup without a line proves nothing
+    rest = open_.join(failed, GROUP, "left").select(*GROUP, F.coalesce("n_failed", F.lit(1).cast("long")).alias("n_failed"))
+    return alike.withColumn("n_failed", F.lit(0).cast("long")).unionByName(rest)
+
+
+def evict_gate(targets: DataFrame, chosen: DataFrame, man: DataFrame | None = None, verified: DataFrame | None = None, strict: bool = True, quick: bool = False) -> DataFrame:
     """Targets that pass: every line of the manifests of their backups verifies; with strict, one failure stops all.
 
-    verified: manifest rows with their status (J10). A line of a chosen backup's manifest that is not in it has
-    not been verified and counts as failed, so nothing passes for want of a verification; neither does a target
-    without a chosen backup. With quick the recorded digests are trusted unread.
+    man: manifest rows; verified: manifest rows with their status (J10). A line of a chosen backup that is not in
+    verified counts as failed, whatever other lines are there, so nothing passes for want of a verification; neither does
+    a target without a chosen backup. With quick the recorded digests are trusted unread, and both may be left out.
     """
     if quick:
         out = targets.join(chosen.groupBy(*COLLECTION).agg(F.lit(0).cast("long").alias("n_failed")), COLLECTION, "left")
-    elif verified is None:
-        raise ValueError("without quick, the backups must be verified")
+    elif verified is None or man is None:
+        raise ValueError("without quick, the manifest and its verification are needed")
     else:
-        ok = F.col("status") == "ok"
-        seen = verified.join(chosen.select(*GROUP), GROUP, "left_semi").groupBy(*GROUP).agg(F.count_distinct(F.when(ok, F.col("rel"))).alias("n_ok"), F.count_if(~ok | F.col("status").isNull()).alias("n_bad"))
-        per = chosen.select(*GROUP, "n_recorded").join(seen, GROUP, "left").na.fill(0, ["n_ok", "n_bad"])
-        # lines that no row of verified speaks of
-        unseen = F.greatest(F.greatest("n_recorded", F.lit(1)) - F.col("n_ok") - F.col("n_bad"), F.lit(0))
-        out = targets.join(per.groupBy(*COLLECTION).agg(F.sum(F.col("n_bad") + unseen).alias("n_failed")), COLLECTION, "left")
+        require(man, "the manifest", *GROUP, "rel", "digest")
+        require(verified, "the verification", *GROUP, "rel", "status")
+        out = targets.join(_unproved(chosen, man, verified).groupBy(*COLLECTION).agg(F.sum("n_failed").alias("n_failed")), COLLECTION, "left")
     passed = F.coalesce(F.col("n_failed") == 0, F.lit(False))
     if not strict:
         return out.withColumn("passed", passed)
     total = out.agg(F.coalesce(F.bool_and(passed), F.lit(True)).alias("_all"))  # one row
     return out.join(F.broadcast(total), F.lit(True)).withColumn("passed", F.col("_all")).drop("_all")
+
+
+def written(plan: tuple[DataFrame, DataFrame], folder: str) -> tuple[DataFrame, DataFrame]:
+    """Targets and chosen backups of a plan, written below folder: a row per copy, so that the gate, which needs them
+    several times, does not judge all files again each time."""
+    out = []
+    for df, name in zip(plan, ("targets", "chosen"), strict=True):
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        out.append(df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}"))
+    return out[0], out[1]

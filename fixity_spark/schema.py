@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: File name of the manifest of a collection; it never lists itself.
@@ -10,7 +11,15 @@ MANIFEST = "checksums.b3"
 KEY = ["year", "slug", "rel"]
 COLLECTION = ["year", "slug"]
 
+def require(df: DataFrame, what: str, *columns: str) -> DataFrame:
+    """df itself; fails where it lacks a column, as a rule that misses one must not take it for empty."""
+    if lacking := [c for c in columns if c not in df.columns]:
+        raise ValueError(f"{what} lacks {', '.join(lacking)}; locations.with_location adds ord and role")
+    return df
+
+
 LOCATIONS = "ord int, name string, role string, pull boolean, year_from int, year_to int, mounted boolean, avail_bytes long, total_bytes long"
+#: What the readers return; locations.with_location adds ord and role.
 INVENTORY = "year int, slug string, location string, rel string, size_bytes long, mtime timestamp"
 MANIFEST_ROWS = "year int, slug string, location string, rel string, digest string, algo string"
 ARRIVALS = "card string, rel string, stem string, size_bytes long, mtime timestamp"

@@ -23,8 +23,7 @@ def _place(path: Column, encoded: bool = False) -> dict[str, Column]:
 def read_inventory(spark: SparkSession, path: str, location: str) -> DataFrame:
     """Files under path/<year>/<slug>/, without junk and hidden ones; content is never read.
 
-    Spark's file listing skips names that begin with an underscore or a dot; use inventory_from_table on a
-    listing where those matter.
+    Spark's file listing skips names that begin with an underscore or a dot; use tree.read_tree where those matter.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", "modificationTime")
     rows = files.select(*[c.alias(k) for k, c in _place(F.col("path")).items()], F.lit(location).alias("location"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("mtime"))
@@ -44,18 +43,22 @@ def collection_files(inv: DataFrame, man: DataFrame) -> tuple[DataFrame, DataFra
     return drop_self_entry(inv), ghosts(inv, man).groupBy("year", "slug", "location").agg(F.count("*").alias("n_ghosts"))
 
 
-def parse_manifest_lines(text: Column) -> Column:
-    """(line, digest, rel) of the lines that hold two spaces; the path may hold more of them."""
-    lines = F.transform(F.split(text, "\n"), lambda line, i: F.struct(i.alias("line"), F.split(line, "  ", 2).alias("p")))
-    good = F.filter(lines, lambda x: F.size(x["p"]) == 2)
-    return F.transform(good, lambda x: F.struct(x["line"].alias("line"), F.element_at(x["p"], 1).alias("digest"), F.element_at(x["p"], 2).alias("rel")))
+def parse_manifest_line(line: Column) -> Column:
+    """Struct of digest and rel of a line; null where it holds no two spaces. The path may hold more of them."""
+    pair = F.split(line, "  ", 2)
+    return F.when(F.size(pair) == 2, F.struct(F.element_at(pair, 1).alias("digest"), F.element_at(pair, 2).alias("rel")))
 
 
 def read_manifests(spark: SparkSession, glob: str, location: str) -> DataFrame:
-    """Rows of the manifests that glob names, each at <year>/<slug>/; of a repeated path the last line holds."""
-    texts = spark.read.text(glob, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
-    rows = texts.select(*[c.alias(k) for k, c in _place(F.col("path"), encoded=True).items() if k != "rel"], F.explode(parse_manifest_lines(F.col("value"))).alias("x"))
-    last = rows.groupBy("year", "slug", F.col("x.rel").alias("rel")).agg(F.max_by("x.digest", "x.line").alias("digest"))
+    """Rows of the manifests that glob names, each at <year>/<slug>/; of a repeated path the last line holds.
+
+    A manifest of any size is read line by line, in as many tasks as its bytes make. Lines are in order of the byte where
+    their task's part of the file begins, then of reading, so the last one is known without the file being in one place.
+    """
+    place = F.col("_metadata")
+    lines = spark.read.option("lineSep", "\n").text(glob).select(parse_manifest_line(F.col("value")).alias("x"), place["file_path"].alias("path"), F.struct(place["file_block_start"].alias("at"), F.monotonically_increasing_id().alias("k")).alias("order"))
+    rows = lines.where("x IS NOT NULL").select(*[c.alias(k) for k, c in _place(F.col("path"), encoded=True).items() if k != "rel"], "x", "order")
+    last = rows.groupBy("year", "slug", F.col("x.rel").alias("rel")).agg(F.max_by("x.digest", "order").alias("digest"))
     return drop_self_entry(last.withColumn("location", F.lit(location)))
 
 
@@ -108,4 +111,4 @@ def write_findings(df: DataFrame, path: str) -> None:
     df.repartitionByRange("year", *rest).sortWithinPartitions("year", *rest).write.mode("overwrite").partitionBy("year").parquet(path)
 
 
-__all__ = ["collection_files", "inventory_from_table", "parse_manifest_lines", "parse_probe", "read_counters", "read_inventory", "read_locations", "read_manifests", "read_sidecars", "read_written_manifests", "write_counters", "write_findings", "write_manifests"]
+__all__ = ["collection_files", "inventory_from_table", "parse_manifest_line", "parse_probe", "read_counters", "read_inventory", "read_locations", "read_manifests", "read_sidecars", "read_written_manifests", "write_counters", "write_findings", "write_manifests"]

@@ -1,9 +1,10 @@
 import hashlib
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from fixity_spark.operators import diff, fixity, numbering, reporting, selection
+from fixity_spark.operators import diff, fixity, locations, numbering, reporting, selection
 from fixity_spark.plans import ingest, manifests, organise, retain, transfer
 
 INV = "year int, slug string, location string, ord int, role string, rel string, size_bytes long"
@@ -138,21 +139,74 @@ def test_retention(spark):
     assert rows(targets, "slug") == [("a",), ("f",)] and rows(chosen, "slug", "location") == [("a", "C1"), ("f", "C1")]
     good = m.select("year", "slug", "rel", "location", "digest")
     bad = good.withColumn("digest", F.when((F.col("slug") == "f") & (F.col("location") == "C1"), "rot").otherwise(F.col("digest")))
-    assert rows(retain.evict_gate(targets, chosen, fixity.verify(m, good)), "slug", "passed") == [("a", True), ("f", True)]
-    assert rows(retain.evict_gate(targets, chosen, fixity.verify(m, bad)), "slug", "passed") == [("a", False), ("f", False)]
-    assert rows(retain.evict_gate(targets, chosen, fixity.verify(m, bad), strict=False), "slug", "passed") == [("a", True), ("f", False)]
+    assert rows(retain.evict_gate(targets, chosen, m, fixity.verify(m, good)), "slug", "passed") == [("a", True), ("f", True)]
+    assert rows(retain.evict_gate(targets, chosen, m, fixity.verify(m, bad)), "slug", "passed") == [("a", False), ("f", False)]
+    assert rows(retain.evict_gate(targets, chosen, m, fixity.verify(m, bad), strict=False), "slug", "passed") == [("a", True), ("f", False)]
     none = fixity.verify(m, good).limit(0)
-    assert rows(retain.evict_gate(targets, chosen, none), "slug", "passed") == [("a", False), ("f", False)]
+    assert rows(retain.evict_gate(targets, chosen, m, none), "slug", "passed") == [("a", False), ("f", False)]
     some = fixity.verify(m, good).where("slug <> 'f'")
-    assert rows(retain.evict_gate(targets, chosen, some, strict=False), "slug", "n_failed", "passed") == [("a", 0, True), ("f", 1, False)]
-    assert rows(retain.evict_gate(targets, chosen.where("slug = 'a'"), some, strict=False), "slug", "passed") == [("a", True), ("f", False)]
+    assert rows(retain.evict_gate(targets, chosen, m, some, strict=False), "slug", "n_failed", "passed") == [("a", 0, True), ("f", 1, False)]
+    assert rows(retain.evict_gate(targets, chosen.where("slug = 'a'"), m, some, strict=False), "slug", "passed") == [("a", True), ("f", False)]
     assert rows(retain.evict_gate(targets, chosen, quick=True), "slug", "passed") == [("a", True), ("f", True)]
     with pytest.raises(ValueError):
         retain.evict_gate(targets, chosen)
+    with pytest.raises(ValueError):
+        retain.evict_gate(targets, chosen, verified=some)
     assert rows(retain.evict_plan(i, m, 1, hot=["H2"])[0], "slug") == []
     assert rows(retain.evict_plan(i, m, 1, hot=[" h1 "])[0], "slug") == [("a",), ("f",)]
 
 
+def test_gate_needs_the_very_lines(spark):
+    i = inv(spark, *(("a", loc, f, 1) for loc in ("H1", "C1") for f in "xy"), ("b", "H1", "x", 1), ("b", "C1", "x", 1))
+    m = man(spark, *(("a", loc, f, "d") for loc in ("H1", "C1") for f in "xy"), ("b", "C1", "x", "d"))
+    targets, chosen = retain.evict_plan(i, m, 1)
+    said = lambda *rows: spark.createDataFrame([(2024, slug, "C1", rel, status) for slug, rel, status in rows], "year int, slug string, location string, rel string, status string")
+    gate = lambda *rows: sorted((r.slug, r.n_failed, r.passed) for r in retain.evict_gate(targets, chosen, m, said(*rows), strict=False).collect())
+    b = ("b", "x", "ok")
+    assert gate(("a", "x", "ok"), ("a", "y", "ok"), b) == [("a", 0, True), ("b", 0, True)]
+    assert gate(("a", "x", "ok"), ("a", "zzz", "ok"), b) == [("a", 1, False), ("b", 0, True)]  # another file instead
+    assert gate(("a", "x", "ok"), ("a", "x", "ok"), b) == [("a", 1, False), ("b", 0, True)]  # one line twice
+    assert gate(("a", "x", "ok"), ("a", "y", "ok"), ("a", "y", "ok"), ("a", "zzz", "mismatch"), b) == [("a", 0, True), ("b", 0, True)]
+    assert gate(("a", "x", "ok"), ("a", "y", "ok"), ("a", "y", "mismatch"), b) == [("a", 1, False), ("b", 0, True)]
+    assert gate(("a", "x", "ok"), ("a", "y", None), b) == [("a", 1, False), ("b", 0, True)]
+    stale = fixity.verify(m, m.select("year", "slug", "rel", "location", "digest")).withColumn("digest", F.lit("older"))
+    assert {r.passed for r in retain.evict_gate(targets, chosen, m, stale, strict=False).collect()} == {False}
+
+
+def test_missing_columns_are_refused(spark):
+    from fixity_spark.plans import check
+
+    i, m = inv(spark, ("a", "H1", "x", 1), ("a", "C1", "x", 1)), man(spark, ("a", "H1", "x", "1"), ("a", "C1", "x", "2"))
+    with pytest.raises(ValueError, match="role"):
+        retain.verdict(i, m.drop("role"), 1)
+    with pytest.raises(ValueError, match="ord"):
+        check.findings(i.drop("ord"), m, locs(spark))
+    named = [locations.with_location(df.drop("ord", "role"), locs(spark)) for df in (i, m)]
+    assert rows(retain.verdict(*named, 1), "reasons", "releasable") == [("C1: 1 different digests", False)]
+    assert rows(check.findings(*named, locs(spark)), "location", "kind") == [("C1", "conflict"), ("C2", "collection_missing")]
+    with pytest.raises(PySparkException, match="unknown location: C1"):
+        locations.with_location(i.drop("ord", "role"), locs(spark).where("name <> 'C1'")).collect()
+
+
+def test_algorithms_are_kept_apart(spark):
+    from fixity_spark.plans import check
+
+    i = inv(spark, *((s, h, "x", 1) for s in "ab" for h in ("H1", "C1")))
+    m = man(spark, *((s, h, "x", h) for s in "ab" for h in ("H1", "C1"))).withColumn("algo", F.when((F.col("slug") == "a") & (F.col("location") == "C1"), "blake3").otherwise("sha256"))
+    one = locs(spark).where("name <> 'C2'")
+    assert rows(check.findings(i, m, one), "slug", "kind") == [("b", "conflict")]
+    assert rows(diff.manifest_conflicts(diff.at(m, "H1"), diff.at(m, "C1")), "slug") == [("b",)]
+    assert rows(retain.verdict(i, m, 1), "slug", "reasons") == [("a", ""), ("b", "C1: 1 different digests")]
+    merged = fixity.merge_manifest(m, m.where("slug = 'a'").withColumn("algo", F.lit("md5")))
+    assert rows(merged, "slug", "location", "algo") == [("a", "C1", "md5"), ("a", "H1", "md5"), ("b", "C1", "sha256"), ("b", "H1", "sha256")]
+    content = spark.createDataFrame([(2024, s, "x", "C1", bytearray(b"x")) for s in "ab"], "year int, slug string, rel string, location string, content binary")
+    _, summary = manifests.verify(diff.at(m, "C1"), content)
+    assert rows(summary, "slug", "n_failed", "n_other_algo", "state") == [("a", 0, 1, "unverified"), ("b", 1, 0, "failed")]
+    computed = i.where("location = 'H1'").select("year", "slug", "rel", "location", F.lit("new").alias("digest"), F.lit("sha256").alias("algo"))
+    built = manifests.build_manifests(i, m.where("location = 'C1'"), computed)
+    assert rows(built, "slug", "state", "disputed") == [("a", "new", False), ("b", "new", True)]
+
+
 def test_build_manifests(spark):
     i = inv(spark, *((s, h, "x", 1) for s in "abc" for h in ("H1", "C1")), ("c", "H1", "y", 1))
     computed = spark.createDataFrame([(2024, s, "x", h, "1" if s != "b" or h == "H1" else "2") for s in "abc" for h in ("H1", "C1")] + [(2024, "c", "y", "H1", "3")], "year int, slug string, rel string, location string, digest string")

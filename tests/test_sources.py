@@ -2,8 +2,11 @@ import json
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql.datasource import EqualTo, In
 
 from fixity_spark.sources import io
+from fixity_spark.sources.tree import TreeReader, read_tree
+from fixity_spark.sources.versioned import Refused, VersionedTable
 from fixity_spark.streaming.ingest import ingest_incremental
 
 
@@ -82,3 +85,117 @@ def test_incremental_ingest(spark, tmp_path):
     run()
     run()
     assert sorted(r.rel for r in spark.read.parquet(str(tmp_path / "t")).collect()) == ["x", "y", "z"]
+
+
+def test_a_manifest_in_many_tasks(spark, tmp_path):
+    folder = tmp_path / "2024" / "001_a"
+    folder.mkdir(parents=True)
+    lines = [f"{k:064x}  CARD/{k % 700}.mxf" for k in range(20_000)]
+    (folder / "checksums.b3").write_text("\n".join(lines) + "\n")
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        rows = io.read_manifests(spark, f"{tmp_path}/2024/*/checksums.b3", "H1")
+        assert spark.read.text(str(folder)).rdd.getNumPartitions() > 10
+        want = {line[66:]: line[:64] for line in lines}
+        assert {r.rel: r.digest for r in rows.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+
+
+def test_stream_state(spark, tmp_path):
+    schema = "year int, slug string, rel string, location string, size_bytes long"
+    add = lambda rows: spark.createDataFrame([(2024, "a", r, "H1", 1) for r in rows], schema).write.mode("append").parquet(str(tmp_path / "in"))
+    run = lambda target="t": ingest_incremental(spark, str(tmp_path / "in"), schema, str(tmp_path / target), str(tmp_path / "c"))
+    read = []
+    for k in range(4):
+        add([f"{k}-{j}" for j in range(50)] + ["0-0"])
+        q = run()
+        q.awaitTermination()
+        read.append(q.lastProgress["numInputRows"])
+    # a batch reads its own rows only, however much the target holds
+    assert read == [51] * 4 and spark.read.parquet(str(tmp_path / "t")).count() == 200
+    spark.createDataFrame([(1,)], "x int").write.parquet(str(tmp_path / "other"))
+    with pytest.raises(ValueError):
+        run("other")
+    with pytest.raises(ValueError):
+        ingest_incremental(spark, str(tmp_path / "in"), schema, str(tmp_path / "t"), str(tmp_path / "c2"))
+
+
+def test_tree_source(spark, tree):
+    root = tree / "2023"
+    for name in ("_unsorted/x.jpg", "_unsorted/.hidden/y.jpg", "003_c/@tmp/deep/junk.mov", "003_c/@eaDir/j", "003_c/CARD/._m", "003_c/CARD/ü 1%.mov"):
+        p = root / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text("ab")
+    (tree / "notes").mkdir()
+    (tree / "notes" / "x").write_text("1")
+    inv = read_tree(spark, str(tree), "H1")
+    shown = {(2024, "001_a", "CARD/x y.mxf", 3), (2024, "002_b", "z+1%.mov", 3), (2023, "_unsorted", "x.jpg", 2), (2023, "003_c", "CARD/ü 1%.mov", 2)}
+    assert {(r.year, r.slug, r.rel, r.size_bytes) for r in inv.collect()} == shown
+    raw = {r.rel for r in read_tree(spark, f"file://{tree}", "H1", raw=True).where("year = 2023").collect()}
+    assert raw == {"x.jpg", ".hidden/y.jpg", "@tmp/deep/junk.mov", "@eaDir/j", "CARD/._m", "CARD/ü 1%.mov"}
+    reader = TreeReader({"path": str(tree), "location": "H1"})
+    kept = list(reader.pushFilters([EqualTo(("year",), 2023), In(("slug",), ("003_c", "zzz")), EqualTo(("rel",), "x")]))
+    assert [f.attribute for f in kept] == [("rel",)] and [p.folders for p in reader.partitions()] == [[(2023, "003_c")]]
+    (root / "003_c" / "CARD").chmod(0)  # a folder that is not asked for is not entered
+    try:
+        assert inv.where("year = 2024").count() == 2
+    finally:
+        (root / "003_c" / "CARD").chmod(0o755)
+    assert read_tree(spark, str(tree), "H1").where("year = 1999").count() == 0
+
+
+SCHEMA = "year int, last_num int"
+
+
+def test_versions(spark, tmp_path):
+    t = VersionedTable(spark, str(tmp_path / "t"), SCHEMA, ["year"], ["year"])
+    rows = lambda **kw: sorted(tuple(r) for r in t.read(**kw).collect())
+    df = lambda *r: spark.createDataFrame(list(r), SCHEMA)
+    assert t.version() == 0 and rows() == []
+    assert t.merge(df((2023, 1), (2024, 5))) == 1
+    assert t.merge(df((2024, 6))) == 2
+    assert t.merge(df((2023, 0)), gone=True) == 3
+    assert rows() == [(2024, 6)] and rows(as_of=1) == [(2023, 1), (2024, 5)] and rows(as_of=2) == [(2023, 1), (2024, 6)]
+    before = sorted(p.name for p in (tmp_path / "t" / "data").iterdir())
+    assert t.compact() == 4 and rows() == [(2024, 6)] and rows(as_of=2) == [(2023, 1), (2024, 6)]
+    assert t.merge(df((2025, 1))) == 5 and rows() == [(2024, 6), (2025, 1)]
+    assert set(before) <= {p.name for p in (tmp_path / "t" / "data").iterdir()}
+    with pytest.raises(ValueError):
+        t.merge(df((2025, 1), (2025, 2)))
+
+
+def test_two_writers(spark, tmp_path):
+    a, b = (VersionedTable(spark, str(tmp_path / "t"), SCHEMA, ["year"], ["year"]) for _ in range(2))
+    df = lambda *r: spark.createDataFrame(list(r), SCHEMA)
+    a.merge(df((2023, 1), (2024, 1)))
+    up = lambda rows: rows.where("year = 2024").selectExpr("year", "last_num + 1 AS last_num")
+    seen = b.version()
+    mine = up(b.read(seen))
+    a.update(up)
+    with pytest.raises(Refused):
+        b.replace(seen, mine)
+    assert b.update(up) == 3  # looks again
+    assert sorted(tuple(r) for r in a.read().collect()) == [(2023, 1), (2024, 3)]
+    # another year is no conflict, whatever came between
+    other = b.version()
+    a.update(up)
+    assert b.replace(other, df((2023, 7))) == 5
+    assert sorted(tuple(r) for r in a.read().collect()) == [(2023, 7), (2024, 4)]
+    # one number is given once
+    run, touched = a._write(df((2024, 9)))
+    a._commit(6, run, touched)
+    with pytest.raises(Refused):
+        b._commit(6, *b._write(df((2024, 10))))
+    assert {r.last_num for r in b.read().where("year = 2024").collect()} == {9}
+
+
+def test_a_crash_before_the_commit_changes_nothing(spark, tmp_path):
+    t = VersionedTable(spark, str(tmp_path / "t"), SCHEMA, ["year"])
+    t.merge(spark.createDataFrame([(2023, 1)], SCHEMA))
+    t._write(spark.createDataFrame([(2023, 2)], SCHEMA))
+    (tmp_path / "t" / "staged").mkdir(exist_ok=True)
+    (tmp_path / "t" / "staged" / "half.json").write_text("{")
+    again = VersionedTable(spark, str(tmp_path / "t"), SCHEMA, ["year"])
+    assert again.version() == 1 and [tuple(r) for r in again.read().collect()] == [(2023, 1)]
