@@ -180,6 +180,8 @@ def oracle(sql: str, once: bool = True) -> str:
     body = sql.strip()
     if not needed:
         return body
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {views},\n{body[15:]}"
     return f"WITH {views},\n{body[5:]}" if body.upper().startswith("WITH ") else f"WITH {views}\n{body}"
 
 

@@ -12,7 +12,7 @@ from fixity_spark.functions.paths import under_prefix
 from fixity_spark.functions.values import content_digest
 from fixity_spark.operators import diff, fixity, locations, selection
 from fixity_spark.schema import COLLECTION, KEY
-from fixity_spark.scratch import move
+from fixity_spark.scratch import drop, folders, move
 
 PLAN = ["year", "slug", "src", "dst", "rel", "size_bytes"]
 
@@ -57,6 +57,21 @@ def sync_ghosts(inv: DataFrame, man: DataFrame, years: list[int] | None = None)
     return lost.groupBy(*COLLECTION, "location").agg(F.count("*").alias("n_ghosts"))
 
 
+def sync_outcomes(inv: DataFrame, man: DataFrame, loc: DataFrame, years: list[int] | None = None) -> DataFrame:
+    """One row per collection with a hot copy: n_diff (paths on which hot copies differ, so nothing is synced), n_ghosts
+    (lines of hot manifests without a file), n_files and bytes that the plan copies, and state: `conflict`, `ghosts`, `ok`.
+
+    A run is a success only where every state is ok, so no caller needs to remember the tables behind it.
+    """
+    if years:
+        inv, man = (df.where(F.col("year").isin(*years)) for df in (inv, man))
+    hot = inv.where("role = 'hot'").select(*COLLECTION).distinct()
+    ghosts = sync_ghosts(inv, man).groupBy(*COLLECTION).agg(F.sum("n_ghosts").alias("n_ghosts"))
+    planned = sync_plan(inv, loc).groupBy(*COLLECTION).agg(F.count("*").alias("n_files"), F.sum("size_bytes").alias("bytes"))
+    out = hot.join(sync_conflicts(inv), COLLECTION, "left").join(ghosts, COLLECTION, "left").join(planned, COLLECTION, "left").na.fill(0, ["n_diff", "n_ghosts", "n_files", "bytes"])
+    return out.withColumn("state", F.when(F.col("n_diff") > 0, "conflict").when(F.col("n_ghosts") > 0, "ghosts").otherwise("ok"))
+
+
 def replicate_plan(inv: DataFrame, loc: DataFrame, years: list[int] | None = None) -> DataFrame:
     """Files that archives in scope lack, from the first cold copy, wherever that is; empty for years with
     one archive in scope or none."""
@@ -115,29 +130,47 @@ def execute_plan(plan: DataFrame, content: DataFrame, manifest: DataFrame, targe
     """D6 (action): copies the planned content into the table at target and returns the merged manifest.
 
     Content rows are (location, key, content). Copies are staged under target/staged/<run>, read back and
-    compared with the source's digest; only if every planned row is there and verifies does the staged run move to
-    target/copied/run=<run>, and are its rows, and no others, merged into the manifest of the destinations. Otherwise
-    nothing but the staged run is left and the call fails. Runs sort by time: `copied` gives the newest copy of each
-    path. The source is read once, whatever the number of destinations; a plan of at most SMALL_PLAN rows (counted)
+    compared with the source's digest, and that with what the source's manifest records where it names SHA-256 as algorithm;
+    only if every planned row is there and verifies does the staged run move to target/copied/run=<run>, and are its rows,
+    and no others, merged into the manifest of the destinations. Otherwise nothing but the staged run is left
+    (drop_staged) and the call fails. Runs sort by time: `copied` gives the newest copy of each path. The plan is written
+    first and the source read once, whatever the number of destinations; a plan of at most SMALL_PLAN rows (counted)
     goes to the content, so that no other content is shuffled.
     """
     spark = plan.sparkSession
     run = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
     staged, kept = f"{target}/staged/{run}", f"{target}/copied/run={run}"
     source = content.select(F.col("location").alias("src"), *KEY, "content")
-    wanted = plan.select("src", "dst", *KEY)
+    plan.select("src", "dst", *KEY).write.mode("errorifexists").parquet(f"{staged}/plan")
+    wanted = spark.read.parquet(f"{staged}/plan")
     # the plan's content is looked up from the content's side; what is not found is known from the count
     rows = source.join(locations.small(wanted, SMALL_PLAN), ["src", *KEY])
-    rows.select(F.col("dst").alias("location"), *KEY, "content", content_digest(F.col("content")).alias("sent_digest")).write.mode("errorifexists").parquet(staged)
-    back = spark.read.parquet(staged)
+    rows.select("src", F.col("dst").alias("location"), *KEY, "content", content_digest(F.col("content")).alias("sent_digest")).write.mode("errorifexists").parquet(f"{staged}/rows")
+    back = spark.read.parquet(f"{staged}/rows")
     digest = content_digest(F.col("content"))
-    good = back.where(digest.eqNullSafe(F.col("sent_digest")) & digest.isNotNull()).select(*KEY, "location")
-    failed = wanted.select(*KEY, F.col("dst").alias("location")).join(good, [*KEY, "location"], "left_anti").count()
+    good = back.where(digest.eqNullSafe(F.col("sent_digest")) & digest.isNotNull()).select("src", *KEY, "location", "sent_digest")
+    if "algo" in manifest.columns:
+        recorded = manifest.where("algo = 'sha256'").select(F.col("location").alias("src"), *KEY, F.col("digest").alias("_recorded"))
+        good = good.join(recorded.join(locations.small(wanted.select("src", *KEY).distinct(), SMALL_PLAN), ["src", *KEY], "left_semi"), ["src", *KEY], "left").where("_recorded IS NULL OR _recorded = sent_digest")
+    failed = wanted.select(*KEY, F.col("dst").alias("location")).join(good.select(*KEY, "location"), [*KEY, "location"], "left_anti").count()
     if failed:
-        raise RuntimeError(f"{failed} copies are unreadable or differ from their source; nothing was recorded")
-    move(spark, staged, kept)
-    mine = spark.read.parquet(kept).select(*KEY, "location", F.col("sent_digest").alias("digest"))
-    return fixity.merge_manifest(manifest, mine)
+        raise RuntimeError(f"{failed} copies are unreadable or differ from their source or its manifest; nothing was recorded")
+    move(spark, f"{staged}/rows", kept)
+    drop(spark, staged)
+    mine = spark.read.parquet(kept).select(*KEY, "location", F.col("sent_digest").alias("digest"), F.lit("sha256").alias("algo"))
+    return fixity.merge_manifest(manifest, mine if "algo" in manifest.columns else mine.drop("algo"))
+
+
+def drop_staged(spark: SparkSession, target: str, older_than_s: float = 24 * 3600.0) -> int:
+    """Removes what failed copies left at target/staged: runs that began so many seconds ago or more; their number.
+
+    Runs that move at this moment are younger than that. Copied runs are never touched.
+    """
+    limit = time.time_ns() - int(older_than_s * 1e9)
+    old = [name for name in folders(spark, f"{target}/staged") if name.split("-")[0].isdigit() and int(name.split("-")[0]) <= limit]
+    for name in old:
+        drop(spark, f"{target}/staged/{name}")
+    return len(old)
 
 
 def copied(spark: SparkSession, target: str) -> DataFrame:

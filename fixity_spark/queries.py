@@ -19,6 +19,8 @@ from fixity_spark.streaming import ingest as stream
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+#: The SQL as given, without the views in front.
+GIVEN: dict[str, str] = {}
 
 
 def query(sql: str) -> Callable[[Query], Query]:
@@ -26,7 +28,7 @@ def query(sql: str) -> Callable[[Query], Query]:
 
     def register(f: Query) -> Query:
         QUERIES[f.__name__] = f
-        ORACLES[f.__name__] = oracle(sql)
+        GIVEN[f.__name__], ORACLES[f.__name__] = sql, oracle(sql)
         return f
 
     return register

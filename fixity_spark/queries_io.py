@@ -139,10 +139,11 @@ def without_self_entries(spark, sf_dir):
     return diff.drop_self_entry(man.unionByName(own))
 
 
-@query("SELECT DISTINCT year, slug, true AS own, false AS next FROM fx_inventory")
+@query("SELECT i.year, i.slug, n.num, CAST(split_part(i.slug, '_', 1) AS INT) = n.num AS addressed FROM (SELECT DISTINCT year, slug FROM fx_inventory) i JOIN (SELECT DISTINCT year, CAST(split_part(slug, '_', 1) AS INT) AS num FROM fx_inventory) n USING (year)")
 def addressable_numbers(spark, sf_dir):
-    slug = F.col("slug")
-    return reporting.collections(Tables(spark, sf_dir).inventory).select(*COLLECTION, paths.has_number(slug, paths.number(slug)).alias("own"), paths.has_number(slug, paths.number(slug) + 1).alias("next"))
+    coll = reporting.collections(Tables(spark, sf_dir).inventory)
+    nums = coll.select("year", paths.number(F.col("slug")).alias("num")).distinct()
+    return coll.join(nums, "year").select(*COLLECTION, "num", paths.has_number(F.col("slug"), F.col("num")).alias("addressed"))
 
 
 @query("SELECT DISTINCT o_orderkey, o_orderkey BETWEEN 2000 AND 2099 AS is_year, year(o_orderdate)::INT AS local_year, year(o_orderdate) // 10 = 199 AS nineties FROM orders")

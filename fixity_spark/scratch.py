@@ -37,3 +37,16 @@ def move(spark: SparkSession, old: str, new: str) -> None:
     fs.mkdirs(new.getParent())
     if not fs.rename(old, new):
         raise OSError(f"cannot move {old} to {new}")
+
+
+def drop(spark: SparkSession, folder: str) -> None:
+    """Removes a folder with what is in it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def folders(spark: SparkSession, folder: str) -> list[str]:
+    """Names of what is in a folder; none where it is not there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []

@@ -2,6 +2,7 @@ import pytest
 from compare import both
 
 import fixity_spark.queries_io  # noqa: F401 (registers more)
+import fixity_spark.queries_sets  # noqa: F401 (registers more)
 from fixity_spark.queries import ORACLES, QUERIES
 
 
