@@ -7,8 +7,12 @@ import binascii
 import bz2
 import hashlib
 import io
+import itertools
 import re
 import zlib
+from array import array
+from bisect import bisect_right
+from html.entities import html5
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +32,8 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 #: An escaped escape sign before more digits is another layer of the same escape; all are taken at once.
-_ESCAPE = re.compile(r"%(?:25)*[0-9A-Fa-f]{2}|\\(?:u005[cC]|x5[cC])*(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2})|&(?:#38;|#[xX]26;)*#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});")
+_ESCAPE = re.compile(r"%(?:25)*[0-9A-Fa-f]{2}|\\(?:u005[cC]|x5[cC])*(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2})|&(?:#38;|#[xX]26;|amp;)*(?:#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6})|[A-Za-z][A-Za-z0-9]{1,31});")
+_NAMED = re.compile(r"(?<=[&;])[A-Za-z][A-Za-z0-9]*;\Z")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 _HEXED = re.compile(r"[0-9a-fA-F]{24,}")
 #: The same wrapped over lines; only the last line may be short.
@@ -57,28 +62,57 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def _unescape(text: str):
+class Places:
+    """Where each character of a decoded text stands in the text that encodes it: stretches in which every character
+    takes the same number of characters, so plain text and runs of like escapes cost one entry each."""
+
+    def __init__(self):
+        self.out, self.first, self.step, self.width = (array("q") for _ in range(4))
+
+    def add(self, out: int, first: int, step: int, width: int) -> None:
+        """From character out on, characters are width long, step apart, and the first one is at first."""
+        if self.out and self.step[-1] == step and self.width[-1] == width and self.first[-1] + step * (out - self.out[-1]) == first:
+            return
+        self.out.append(out)
+        self.first.append(first)
+        self.step.append(step)
+        self.width.append(width)
+
+    def begin(self, k: int) -> int:
+        i = bisect_right(self.out, k) - 1
+        return self.first[i] + self.step[i] * (k - self.out[i])
+
+    def end(self, k: int) -> int:
+        return self.begin(k) + self.width[bisect_right(self.out, k) - 1]
+
+
+def _unescape(text: str) -> tuple[str, Places]:
     """The text with URL, HTML and Unicode escapes resolved, and where each of its characters came from."""
-    chars: list[str] = []
-    begin: list[int] = []
-    end: list[int] = []
-    at, pending, since = 0, bytearray(), 0
+    out, places = io.StringIO(), Places()
+    size, at, pending, since = 0, 0, bytearray(), 0
+
+    def put(got: str, first: int, step: int, width: int) -> None:
+        nonlocal size
+        if got:
+            places.add(size, first, step, width)
+            out.write(got)
+            size += len(got)
 
     def flush(upto: int) -> None:
         if pending:
             got = pending.decode("utf-8", "replace")
-            chars.extend(got)
-            begin.extend([since] * len(got))
-            end.extend([upto] * len(got))
+            put(got, since, upto - since if len(got) == 1 else 0, upto - since)
             pending.clear()
 
     for m in _ESCAPE.finditer(text):
+        s, code = m[0], None
+        if s[0] == "&" and (named := _NAMED.search(s)):
+            code = html5.get(named[0])
+            if code is None:
+                continue  # no entity: text
         if m.start() > at:
             flush(at)
-            chars.extend(text[at : m.start()])
-            begin.extend(range(at, m.start()))
-            end.extend(range(at + 1, m.start() + 1))
-        s = m[0]
+            put(text[at : m.start()], at, 1, 1)
         if s[0] == "%":  # bytes of one character may be spread over several escapes
             if pending and pending[-1] < 0x80:
                 flush(m.start())
@@ -86,17 +120,15 @@ def _unescape(text: str):
             pending.append(int(s[-2:], 16))
         else:
             flush(m.start())
-            digits = (s[-2:] if s[-3] == "x" else s[-4:]) if s[0] == "\\" else s[s.rindex("#") + 1 : -1]
-            code = int(digits.lstrip("xX"), 16) if s[0] == "\\" or digits[0] in "xX" else int(digits)
-            chars.append(chr(code) if code < 0xD800 or 0xDFFF < code < 0x110000 else "�")
-            begin.append(m.start())
-            end.append(m.end())
+            if code is None:
+                digits = (s[-2:] if s[-3] == "x" else s[-4:]) if s[0] == "\\" else s[s.rindex("#") + 1 : -1]
+                number = int(digits.lstrip("xX"), 16) if s[0] == "\\" or digits[0] in "xX" else int(digits)
+                code = chr(number) if number < 0xD800 or 0xDFFF < number < 0x110000 else "�"
+            put(code, m.start(), len(s) if len(code) == 1 else 0, len(s))
         at = m.end()
     flush(at)
-    chars.extend(text[at:])
-    begin.extend(range(at, len(text)))
-    end.extend(range(at + 1, len(text) + 1))
-    return "".join(chars), begin, end
+    put(text[at:], at, 1, 1)
+    return out.getvalue(), places
 
 
 def _unpacked(raw: bytes):
@@ -175,18 +207,24 @@ def _readable(raw: bytes):
             work.append((_pieces(got), at))
 
 
-def _layers(text: str):
-    """Layers found in a text: (decoded text, start of each character, end of each character).
+def _layers(text: str, inner: bool = False):
+    """Layers found in a text: (decoded text, places of its characters, or where the run is that encodes it).
 
     A run is decoded at each place where its code may begin, as a payload may stand behind other characters of
     the alphabet; what is text in the result is a layer.
     """
-    if _ESCAPE.search(text):
+    escaped = _ESCAPE.search(text)
+    if escaped:
         yield _unescape(text)
+    if "+" in text and (inner or escaped):  # forms write a blank as +
+        yield _unescape(text.replace("+", " "))
     for pattern, lines, chars, size in ((_BASE64, _BASE64_LINES, 4, 3), (_HEXED, _HEXED_LINES, 2, 1)):
         wrapped = (m for m in lines.finditer(text) if "\n" in m[0]) if "\n" in text else ()
-        for m in (*pattern.finditer(text), *wrapped):
-            place = [m.start() + i for i, c in enumerate(m[0]) if not c.isspace()] if "\n" in m[0] else range(m.start(), m.end())
+        for m in itertools.chain(pattern.finditer(text), wrapped):
+            place, at = Places(), 0
+            for line in re.finditer(r"\S+", m[0]):
+                place.add(at, m.start() + line.start(), 1, 1)
+                at += len(line[0])
             body = "".join(m[0].split()).rstrip("=").translate(_URL_SAFE)
             for k in range(chars):
                 part = body[k:]
@@ -197,17 +235,18 @@ def _layers(text: str):
                 whole = False
                 for got, a, b in _readable(raw):
                     whole = k == 0 and (a, b) == (0, len(raw))
-                    last = len(place) - 1 if b == len(raw) else k + -(-b // size) * chars - 1
-                    yield got, place[k + a // size * chars], place[last] + 1
+                    last = at - 1 if b == len(raw) else k + -(-b // size) * chars - 1
+                    yield got, (place.begin(k + a // size * chars), place.end(last))
                 if whole:
                     break
 
 
 def _place(trail, start: int, end: int) -> tuple[int, int]:
-    """Where a span of a layer stands in the text: trail is (begin, end, trail of the layer around it)."""
+    """Where a span of a layer stands in the text: trail is (places of its characters or of the whole layer, trail of the
+    layer around it)."""
     while trail:
-        begin, close, trail = trail
-        start, end = (begin, close) if isinstance(begin, int) else (begin[start], close[end - 1])
+        at, trail = trail
+        start, end = (at.begin(start), at.end(end - 1)) if isinstance(at, Places) else at
     return start, end
 
 
@@ -227,15 +266,15 @@ def decoded_spans(text: str) -> list[tuple[int, int, str]]:
         if (layer := next(layers, None)) is None:
             work.pop()
             continue
-        inner, begin, end = layer
-        trail = (begin, end, outer)
+        inner, at = layer
+        trail = (at, outer)
         if not inner or (mark := (hashlib.sha1(inner.encode()).digest(), _place(trail, 0, len(inner)))) in seen:
             continue
         seen.add(mark)
         for s, e, kind in base_spans(inner):
             if (at := _place(trail, s, e)) + (kind,) not in plain:
                 found.add((*at, f"decoded_{kind}"))
-        work.append((_layers(inner), trail))
+        work.append((_layers(inner, True), trail))
     return sorted(found)
 
 

@@ -231,6 +231,68 @@ def test_layers_in_other_text(coded):
     assert any(k == "decoded_assign" and 6 <= s and e <= 6 + len(coded) and (e - s) > 20 for s, e, k in spans)
 
 
+@pytest.mark.parametrize(
+    "coded",
+    [
+        urllib.parse.quote_plus('password = "abcdefgh12345678"'),
+        urllib.parse.quote_plus(urllib.parse.quote_plus('secret : "abcdefgh12345678"')),
+        "password=&quot;abcdefgh12345678&quot;",
+        "token&colon;&nbsp;&apos;abcdefgh12345678&apos;".replace("&nbsp;", "&#32;"),
+        "password&equals;&amp;quot;abcdefgh12345678&amp;quot;",
+        "passw&#111;rd=abcdefgh12345678&unknownname;",
+        urllib.parse.quote("password=&quot;abcdefgh12345678"),
+        "%70%61%73%73%77%6f%72%64%3d" + "%61%62%63%64" * 4,
+    ],
+)
+def test_forms_and_entities(coded):
+    text = f"begin é {coded} 100% done"
+    spans = secret_scan.decoded_spans(text)
+    assert any(k == "decoded_assign" and 8 <= s and e <= 8 + len(coded) and e - s > 16 for s, e, k in spans), spans
+
+
+def generated(seed, n):
+    """Secrets under 1 to 6 layers of coding each, drawn from all that are named."""
+    import random
+
+    rng = random.Random(seed)
+    coders = {
+        "url": lambda t: "".join(f"%{c:02X}" if rng.random() < 0.5 or chr(c) in "%+" else chr(c) for c in t.encode()),
+        "plus": urllib.parse.quote_plus,
+        "html": lambda t: "".join(f"&#{ord(c)};" if rng.random() < 0.4 or c in "&;#" else c for c in t),
+        "unicode": lambda t: "".join(f"\\u{ord(c):04x}" if rng.random() < 0.4 or c == "\\" else c for c in t),
+        "base64": b64,
+        "hex": lambda t: t.encode().hex(),
+        "gzip": lambda t: b64(gzip.compress(t.encode())),
+        "zlib": lambda t: b64(zlib.compress(t.encode())),
+        "bz2": lambda t: b64(bz2.compress(t.encode())),
+        "utf16": lambda t: b64(t.encode("utf-16")),
+        "wrapped": lambda t: wrapped(b64(t), 64),
+    }
+    for _ in range(n):
+        coded = f"x {rng.choice(['password', 'api_key', 'Token'])}={rng.choice(['', '\"'])}{''.join(rng.choices('abcdefghkm23456789', k=20))} y"
+        names = rng.choices(list(coders), k=rng.randrange(1, 7))
+        for name in names:
+            coded = coders[name](coded)
+        if len(coded) < 200_000:
+            yield names, f"text before {coded} after"
+
+
+def test_recall_of_generated_layers():
+    found = [bool(secret_scan.decoded_spans(text)) for _, text in generated(4, 250)]
+    assert len(found) > 200 and sum(found) / len(found) >= 0.97, sum(found) / len(found)
+
+
+def test_memory_does_not_grow_with_plain_text():
+    import tracemalloc
+
+    text = "some words here " * 400_000 + "pass%77ord=abcdefgh12345678"
+    tracemalloc.start()
+    spans = secret_scan.decoded_spans(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [k for _, _, k in spans] == ["decoded_assign"] and peak < 8 * len(text)
+
+
 def test_layers_of_any_depth():
     raw = SECRET.encode()
     for _ in range(600):
