@@ -165,6 +165,78 @@ def test_fitting_does_not_depend_on_size(spark):
     assert rates == [1.0, 1.0, 1.0, 1.0, 100 / 19_940]
 
 
+def test_slices_hold_the_features_of_every_number(sample, monkeypatch):
+    monkeypatch.setattr(pii, "SLICE_GROUPS", 7)
+    odd = ["12 34 56 78", "(030) 555-12 34 (dot) x", "a1234567b", "Phone: +49 30 123456, card 4111 1111 1111 1111", "1.2.3.4.5.6.7.8", "0012345 /99", "ü€12345678_ 1234567.a", "card card pay 1234567", "1" * 40, "", "tel. ſ 5551234 [ dot ] 7654321 dot", "1234567", "$1234567", "x.1234567"]
+    for t in [*(r.text for r in sample.collect()), *noise(5, ["12", "345", " ", "-", "/", "(", "+", "card ", "tel", "a", ".", "1234567", "é"], 200), *odd]:
+        got = {(s, e): x for a, b, c in pii.number_slices(t) for s, e, x in zip(a.tolist(), b.tolist(), c.tolist(), strict=True)}
+        want = {(s, e): pii.features(t, s, e) for s, e in pii.number_candidates(t)}
+        assert got == want, t
+
+
+def test_bounds_hold(spark, sample):
+    models = pii.fit(sample, 500)
+    bounds = pii.score_bounds(models)
+    for t in noise(6, ["12", "345", " ", "-", "/", "(", "+", "1234", ".", "card "], 60):
+        for _, _, x in pii.number_slices(t):
+            for k, (trees, least) in enumerate(models.values()):
+                room = bounds[k][np.minimum(x[:, 1], 33).astype(int), np.minimum(x[:, 3], 33).astype(int)]
+                assert (trees.score(x) - least <= room + 1e-9).all()
+
+
+def test_every_kind_is_learned_without_examples(spark):
+    docs = spark.createDataFrame([(1, "no personal data at all"), (2, None)], "doc_id long, text string")
+    assert set(pii.fit(docs, 500)) == set(pii.KINDS) and all(np.isfinite(least) for _, least in pii.fit(docs, 500).values())
+    more = spark.createDataFrame([(3, "write to jane.doe (at) mail.example.com thanks")], "doc_id long, text string")
+    assert "like_email:9:39" in [r.spans for r in pii.find_personal_data(docs.unionByName(more)).collect()]
+
+
+def formats(n, seed=11):
+    """(kind, text, span) in spellings that nothing is fitted on."""
+    import random
+
+    rng = random.Random(seed)
+    draw = lambda k: "".join(rng.choices("0123456789", k=k))
+    for _ in range(n):
+        a = str(rng.randrange(200, 999))
+        yield "phone", "call {} now", rng.choice([f"{a}-{draw(3)}-{draw(4)}", f"0{a[:2]} {draw(3)} {draw(2)} {draw(2)}", f"0{a}-{draw(7)}"])
+        card = "4" + draw(14)
+        card += next(c for c in "0123456789" if pii.luhn(card + c))
+        yield "card", "my card {} thanks", rng.choice([". ", " / ", "-  "]).join(re.findall("....", card))
+        ip = [str(rng.randrange(1, 255)) for _ in range(4)]
+        yield "ip", "host {} answers", rng.choice([".  ", "  .", " .  "]).join(ip)
+        yield "email", "write to {} today", f"jo{draw(2)}.doe{rng.choice([' (AT) ', '(at)', ' [at]'])}mail{draw(1)}{rng.choice(['.', ' [dot] ', '(DOT)'])}example{rng.choice(['.', '[DOT]'])}org"
+
+
+def test_recall_of_unseen_spellings(spark):
+    base = [f"call +1 ({200 + i}) 555-{1000 + i} or 10.0.{i % 256}.{i % 200}, user{i}@mail{i % 9}.example.com, 4111 1111 1111 1111 on 20{i % 90 + 10}-11-0{i % 9 + 1}" for i in range(300)]
+    tried = list(formats(60))
+    docs = spark.createDataFrame(list(enumerate(base + [t.format(s) for _, t, s in tried])), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.find_personal_data(docs).collect()}
+    hits = {}
+    for k, (kind, t, s) in enumerate(tried, len(base)):
+        at = t.index("{")
+        spans = [x.split(":") for x in got[k].split(",") if x]
+        right = any(x[0].removeprefix("like_") == kind and int(x[1]) <= at + 2 and int(x[2]) >= at + len(s) - 2 for x in spans)
+        hits.setdefault(kind, []).append(right)
+    recall = {k: sum(v) / len(v) for k, v in hits.items()}
+    # of phones, two of the three spellings are found: a zero and groups of 2, 3, 2 and 2 digits are not told from others
+    assert all(r >= (0.6 if k == "phone" else 0.9) for k, r in recall.items()), recall
+
+
+def test_a_text_of_numbers_fits_in_memory(spark):
+    import tracemalloc
+
+    models = pii.fit(spark.createDataFrame([(1, "no personal data")], "doc_id long, text string"), 500)
+    text = "12 34 56 78 90 " * 20_000  # millions of proposals
+    bounds = pii.score_bounds(models)
+    tracemalloc.start()
+    pii.further_spans([text], [[]], models, bounds)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300 << 20, peak
+
+
 def test_messy_spans(messy, none):
     for find in (pii.find_personal_data, secret_scan.find_secrets):
         rows = find(messy).collect()
