@@ -119,46 +119,48 @@ def _handed_on(index: CuckooIndex):
         yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(part, _LIVE.values(), strict=True)], list(_LIVE))
 
 
-def _merge(batches):
+def _merge(most: int | None):
     """Merges (digest, id, count, count of that id) rows through one index: a newer holder replaces the live one.
 
-    A full index hands its entries on and a new one takes over, so a digest may leave a task more than once.
+    An index of most live digests hands its entries on and a new one takes over, so that a digest may leave a task more
+    than once; without most it grows, by resizing, to all digests of the task.
     """
-    free_worker()
-    index = CuckooIndex()
-    for batch in batches:
-        if index.live >= LIVE:
-            yield from _handed_on(index)
-            index = CuckooIndex()
-        for digest, doc, n, m in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            hit = index.find(digest)
-            if hit is None:
-                index.insert([digest, doc, n, m])
-            elif doc is not None and (hit[1] is None or doc > hit[1]):
-                index.delete(digest)
-                index.insert([digest, doc, hit[2] + n, m])
-            else:
-                hit[2] += n
-                hit[3] += m if doc == hit[1] else 0
-    yield from _handed_on(index)
+
+    def run(batches):
+        free_worker()
+        index = CuckooIndex()
+        for batch in batches:
+            if most is not None and index.live >= most:
+                yield from _handed_on(index)
+                index = CuckooIndex()
+            for digest, doc, n, m in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                hit = index.find(digest)
+                if hit is None:
+                    index.insert([digest, doc, n, m])
+                elif doc is not None and (hit[1] is None or doc > hit[1]):
+                    index.delete(digest)
+                    index.insert([digest, doc, hit[2] + n, m])
+                else:
+                    hit[2] += n
+                    hit[3] += m if doc == hit[1] else 0
+        yield from _handed_on(index)
+
+    return run
 
 
 def live_digests(digests: DataFrame) -> DataFrame:
     """(_fx_digest, _fx_keep, _fx_n, _fx_m) of (_fx_id, _fx_digest): the largest id, the size of each group and the
-    rows in it that bear that id.
+    rows in it that bear that id, as the indexes hold them.
 
     Each task first merges its own rows in an index, so a digest leaves a task once, or once for LIVE others, however
-    many copies it has; the rows that remain are dealt by digest, about LIVE / 2 to a task by their number, and merged
-    the same way. What a task still hands on twice is summed up at last: its entries are one digest's own.
+    many copies it has; the rows that remain are dealt by digest, about LIVE / 2 digests to a task by their number, and
+    merged by one index for each task, which holds every digest dealt to it: its entries are the result.
     """
     schema = "_fx_digest binary, _fx_keep long, _fx_n long, _fx_m long"
     one = F.lit(1).cast("long")
-    partial = digests.select("_fx_digest", F.col("_fx_id").alias("_fx_keep"), one.alias("_fx_n"), one.alias("_fx_m")).mapInArrow(_merge, schema)
+    partial = digests.select("_fx_digest", F.col("_fx_id").alias("_fx_keep"), one.alias("_fx_n"), one.alias("_fx_m")).mapInArrow(_merge(LIVE), schema)
     tasks = max(shuffle_partitions(digests.sparkSession), digests.count() // (LIVE // 2))
-    merged = partial.repartition(tasks, "_fx_digest").mapInArrow(_merge, schema)
-    merged = merged.groupBy("_fx_digest", "_fx_keep").agg(F.sum("_fx_n").alias("_fx_n"), F.sum("_fx_m").alias("_fx_m"))
-    last = F.max(F.struct("_fx_keep", "_fx_m"))
-    return merged.groupBy("_fx_digest").agg(last.alias("_fx_last"), F.sum("_fx_n").alias("_fx_n")).select("_fx_digest", "_fx_last._fx_keep", "_fx_n", "_fx_last._fx_m")
+    return partial.repartition(tasks, "_fx_digest").mapInArrow(_merge(None), schema)
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

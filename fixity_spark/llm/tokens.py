@@ -285,6 +285,8 @@ def token_counts(encoded: DataFrame) -> np.ndarray:
     return out
 
 
+#: Bytes of ids that a shard holds, about; a task sorts one.
+SHARD_BYTES = 256 << 20
 BLOCKS = "shard int, block int, offset long, n_tokens long, n_docs long, doc_ids binary, null_ids binary, doc_tokens binary, runs binary, payload binary"
 
 
@@ -333,8 +335,12 @@ def write_tokens(docs: DataFrame, out: str, path: str | None = None) -> None:
         if rows:
             yield block(shard, number, offset, rows)
 
-    ordered = encoded.where("ids IS NOT NULL").select("doc_id", "ids").repartitionByRange(shuffle_partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    ordered.mapInArrow(encode, BLOCKS).write.mode("overwrite").option("compression", "uncompressed").parquet(f"{out}/blocks")
+    # shards by counted bytes; rows of one id may be of several shards, in order of a hash
+    held = encoded.agg(F.sum(F.length("ids").cast("long")).alias("n")).first().n or 0
+    shards = max(shuffle_partitions(spark), -(-held // SHARD_BYTES))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("_h").asc()]
+    ordered = encoded.where("ids IS NOT NULL").select("doc_id", "ids", F.xxhash64("ids").alias("_h")).repartitionByRange(shards, *order).sortWithinPartitions(*order)
+    ordered.select("doc_id", "ids").mapInArrow(encode, BLOCKS).write.mode("overwrite").option("compression", "uncompressed").parquet(f"{out}/blocks")
     scratch.drop("ids")
 
 
