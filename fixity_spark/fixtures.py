@@ -189,7 +189,7 @@ def oracle(sql: str, once: bool = True) -> str:
 _WRITTEN: dict[tuple[str, str, str], str] = {}
 
 
-def materialise(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = ("fx_locations", "fx_inventory", "fx_manifest", "fx_content", "fx_content_manifest", "fx_loose", "fx_spaced", "fx_spaced_manifest")) -> None:
+def materialise(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = ("fx_locations", "fx_inventory", "fx_manifest", "fx_verified", "fx_content", "fx_content_manifest", "fx_loose", "fx_spaced", "fx_spaced_manifest")) -> None:
     """Writes views once, for this application; queries read them from then on, so that timing them is not timing views."""
     app = spark.sparkContext.applicationId
     for name in names:

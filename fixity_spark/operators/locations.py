@@ -78,18 +78,19 @@ def range_nodes(year_from: Column, year_to: Column) -> Column:
     return F.filter(F.array(*nodes), lambda n: n.isNotNull())
 
 
-def _in_range(rows: DataFrame, dim: DataFrame) -> DataFrame:
+def in_range(rows: DataFrame, dim: DataFrame, how: str = "inner") -> DataFrame:
     """rows with each row of dim whose years (_from, _to) cover theirs: an equality join on dyadic intervals, so that no
-    size of dim makes it compare all with all."""
+    size of dim makes it compare all with all. With how `left`, a row comes with nulls once more for each interval that it
+    meets nothing in."""
     nodes = small(dim.withColumn("_n", F.explode(range_nodes(F.col("_from"), F.col("_to")))).select("*", F.col("_n.level").alias("_level"), F.col("_n.node").alias("_node")).drop("_n", "_from", "_to"))
     dealt = rows.withColumn("_n", F.explode(year_nodes(F.col("year")))).select("*", F.col("_n.level").alias("_level"), F.col("_n.node").alias("_node")).drop("_n")
-    return dealt.join(nodes, ["_level", "_node"]).drop("_level", "_node")
+    return dealt.join(nodes, ["_level", "_node"], how).drop("_level", "_node")
 
 
 def scope(coll: DataFrame, loc: DataFrame, role: str = "cold") -> DataFrame:
     """Collections with the mounted locations of a role that cover their year (dst, dst_ord)."""
     dim = select_locations(loc, role).select(F.col("name").alias("dst"), F.col("ord").alias("dst_ord"), F.col("year_from").alias("_from"), F.col("year_to").alias("_to"))
-    return _in_range(coll, dim).select(*coll.columns, "dst", "dst_ord")
+    return in_range(coll, dim).select(*coll.columns, "dst", "dst_ord")
 
 
 def expand_destinations(src: DataFrame, loc: DataFrame, role: str | None = None, names: list[str] | None = None, in_scope: bool = False) -> DataFrame:
@@ -97,7 +98,7 @@ def expand_destinations(src: DataFrame, loc: DataFrame, role: str | None = None,
     dim = select_locations(loc, role, names, pull_only=not in_scope)
     dim = dim.select(F.col("name").alias("dst"), F.col("ord").alias("dst_ord"), F.col("year_from").alias("_from"), F.col("year_to").alias("_to"))
     if in_scope:
-        return _in_range(src, dim).where("src <> dst").select(*src.columns, "dst", "dst_ord")
+        return in_range(src, dim).where("src <> dst").select(*src.columns, "dst", "dst_ord")
     # every source goes to every destination: the result is that product
     return src.join(small(dim.drop("_from", "_to")), F.col("src") != F.col("dst"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fixity_spark.operators import diff, locations, reporting, selection
@@ -25,13 +26,11 @@ def _facts(inv: DataFrame, loc: DataFrame) -> DataFrame:
 
     All of it comes from one row per collection and location; nothing here grows with the files.
     """
-    copies = selection.copies(inv)
-    listed = copies.groupBy(*COLLECTION).agg(F.collect_set("location").alias("copies"))
-    picked = selection.pick_reference(copies, loc).select(*COLLECTION, F.col("location").alias("ref"), F.col("role").alias("ref_role")).join(listed, COLLECTION)
-    scoped = locations.scope(picked.select(*COLLECTION, "ref", "copies"), loc).where("dst <> ref")
-    pairs = scoped.groupBy(*COLLECTION).agg(F.array_sort(F.collect_list(F.struct("dst_ord", "dst", F.array_contains("copies", F.col("dst")).alias("held")))).alias("targets"))
-    empty = F.array().cast("array<struct<dst_ord:int,dst:string,held:boolean>>")
-    return picked.join(pairs, COLLECTION, "left").select(*COLLECTION, "ref", "ref_role", F.coalesce("targets", empty).alias("targets"))
+    copies = selection.copies(inv).withColumn("copies", F.collect_set("location").over(W.partitionBy(*COLLECTION)))
+    picked = selection.pick_reference(copies, loc).select(*COLLECTION, F.col("location").alias("ref"), F.col("role").alias("ref_role"), "copies")
+    dim = locations.select_locations(loc, "cold").select(F.col("name").alias("dst"), F.col("ord").alias("dst_ord"), F.col("year_from").alias("_from"), F.col("year_to").alias("_to"))
+    target = F.when(F.col("dst") != F.col("ref"), F.struct("dst_ord", "dst", F.array_contains("copies", F.col("dst")).alias("held")))
+    return locations.in_range(picked, dim, "left").groupBy(*COLLECTION, "ref", "ref_role").agg(F.array_sort(F.collect_list(target)).alias("targets"))
 
 
 def _entry(reference: str, held, dst):

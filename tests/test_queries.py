@@ -13,6 +13,13 @@ def test_query_equals_sql(spark, sf_dir, name):
     assert ours
 
 
+@pytest.mark.parametrize("name, by", [("check_summary", ["year", "slug"]), ("arrivals_by_day", ["day"]), ("years_present", ["-year"]), ("unresolved_requests", ["year", "num"]), ("season_groups", ["location", "year", "season"])])
+def test_reports_come_in_order(spark, sf_dir, name, by):
+    """Rows are compared as they come."""
+    got = [tuple(-r[c[1:]] if c[0] == "-" else r[c] for c in by) for r in QUERIES[name](spark, sf_dir).collect()]
+    assert got == sorted(got) and len(got) > 1
+
+
 def test_entry(spark):
     import __spark_entry__
 
