@@ -79,15 +79,22 @@ def verdict(inv: DataFrame, man: DataFrame, min_copies: int = 1, hot: list[str]
     return out.select(*COLLECTION, "freed_bytes", "n_hot", "n_qualifying", text.alias("reasons"), (F.col("n_qualifying") >= min_copies).alias("releasable"))
 
 
-def evict_plan(inv: DataFrame, man: DataFrame, min_copies: int = 1, hot: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def evict_plan(inv: DataFrame, man: DataFrame, min_copies: int = 1, hot: list[str] | None = None, work: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Hot copies that may go (targets) and the cold copies that justify it (the first min_copies).
 
-    hot names the hot locations to release from; without it all of them.
+    hot names the hot locations to release from; without it all of them. With work, a folder, both are written there, a row
+    per copy, so that the gate, which needs them several times, does not judge all files again each time.
     """
     inv, man = _named(inv, hot), _named(man, hot)
-    chosen = selection.first_n(backups(inv, man).where("qualifies"), min_copies).where("enough")
+    keep = lambda df, name: df if work is None else _written(df, f"{work}/{name}")
+    chosen = keep(selection.first_n(backups(inv, man).where("qualifies"), min_copies).where("enough"), "chosen")
     targets = selection.copies(diff.drop_self_entry(inv)).where("role = 'hot'")
-    return targets.join(chosen.select(*COLLECTION).distinct(), COLLECTION, "left_semi"), chosen
+    return keep(targets.join(chosen.select(*COLLECTION).distinct(), COLLECTION, "left_semi"), "targets"), chosen
+
+
+def _written(df: DataFrame, folder: str) -> DataFrame:
+    df.write.mode("overwrite").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def _unproved(chosen: DataFrame, man: DataFrame, verified: DataFrame) -> DataFrame:
@@ -135,12 +142,3 @@ def evict_gate(targets: DataFrame, chosen: DataFrame, man: DataFrame | None = No
     total = out.agg(F.coalesce(F.bool_and(passed), F.lit(True)).alias("_all"))  # one row
     return out.join(F.broadcast(total), F.lit(True)).withColumn("passed", F.col("_all")).drop("_all")
 
-
-def written(plan: tuple[DataFrame, DataFrame], folder: str) -> tuple[DataFrame, DataFrame]:
-    """Targets and chosen backups of a plan, written below folder: a row per copy, so that the gate, which needs them
-    several times, does not judge all files again each time."""
-    out = []
-    for df, name in zip(plan, ("targets", "chosen"), strict=True):
-        df.write.mode("overwrite").parquet(f"{folder}/{name}")
-        out.append(df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}"))
-    return out[0], out[1]

@@ -459,7 +459,7 @@ def evict_verdict(spark, sf_dir):
 
 
 def _evict_plan(t: Tables) -> tuple[DataFrame, DataFrame]:
-    return retain.written(retain.evict_plan(t.inventory, t.manifest, 1), work_folder(t.spark, "evict"))
+    return retain.evict_plan(t.inventory, t.manifest, 1, work=work_folder(t.spark, "evict"))
 
 
 @query(f"""{_JUDGED}, chosen AS (SELECT * FROM judged WHERE qualifies QUALIFY row_number() OVER (PARTITION BY year, slug ORDER BY ord) = 1),
