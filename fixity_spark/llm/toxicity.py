@@ -193,7 +193,7 @@ def _texts(batch: pa.RecordBatch, column: int):
 
 
 def _signatures(batches):
-    """Two smallest hashes of three words in a row of each text: near copies share them."""
+    """Two smallest hashes of three words in a row of each text, by two functions: near copies share them."""
     for b in batches:
         free_worker()
         out = np.zeros((2, b.num_rows), np.int64)
@@ -207,7 +207,7 @@ def _signatures(batches):
                     least = np.full(n, np.uint64(2**64 - 1))
                     np.minimum.at(least, doc[inside], mix(triple[inside] + np.uint64(k)))
                     out[k, i : i + n] = least.view(np.int64)
-        # texts of one or two words are told apart by their own
+        # texts of fewer than three words share one signature
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out[0]), pa.array(out[1])], [*b.schema.names, "s1", "s2"])
 
 
@@ -270,8 +270,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Mod
     """The model, or, where no word tells toxic documents from others, the share of toxic labels.
 
     Learned from the text and label of a bounded draw of labelled rows with learned(); ids labelled both ways are left
-    out, and of texts that share a smallest hash of three words in a row one is taken, so that a group of copies does not
-    make its words evidence. Only the drawn labels are broadcast, about 2 train_docs of them.
+    out, and of texts that share a smallest hash of three words in a row one is taken, as is one of all texts of fewer words, so
+    that a group of copies does not make its words evidence. Only the drawn labels are broadcast, about 2 train_docs of them.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "toxicity")
