@@ -119,3 +119,42 @@ def test_run(spark, sf_dir, sample):
     assert max(copies.values()) <= 3
     for d, n in copies.items():
         assert sum(r.n_words for r in rows if r.doc_id == d) == n * len(words(text[d]))
+
+
+def brute_targets(sizes):
+    """Words that the mix takes of each source: shares of all words by weight, none above three times its own."""
+    names = sorted((s for s in sizes if s is not None)) + [s for s in sizes if s is None]
+    weight = {s: 1 + k % 3 for k, s in enumerate(names)}
+    total, capped = sum(sizes.values()), set()
+    while True:
+        free = [s for s in names if s not in capped]
+        share = (total - sum(3 * sizes[s] for s in capped)) / sum(weight[s] for s in free) if free else 0
+        over = {s for s in free if weight[s] * share > 3 * sizes[s]}
+        if not over:
+            return {s: 3.0 * sizes[s] if s in capped else weight[s] * share for s in names}
+        capped |= over
+
+
+def test_whole_run_equals_brute_force(spark, sf_dir, sample):
+    """Deduplication of what the language stage keeps, targets and copies by brute force, against the rows of run()."""
+    clear = [(r.doc_id, r.text, r.source) for r in P.keep_known_languages(spark, sample, sf_dir).collect()]
+    source = {d: s for d, _, s in clear}
+    near = brute_stages([(d, t) for d, t, _ in clear])[1]
+    size = {d: len(words(t)) for d, t in near}
+    of_source = Counter()
+    for d, n in size.items():
+        of_source[source[d]] += n
+    target = brute_targets(of_source)
+    rows = P.run(spark, sf_dir).collect()
+    taken = Counter()
+    for r in rows:
+        taken[r.doc_id] += r.n_words
+    assert set(taken) <= set(size)
+    longest = Counter()
+    for d, n in size.items():
+        rate = target[source[d]] / of_source[source[d]]
+        copies = taken[d] / n if n else 0
+        assert copies in (int(rate + 1e-9), -int(-(rate - 1e-9) // 1)), (d, copies, rate)
+        longest[source[d]] = max(longest[source[d]], n)
+    for s, t in target.items():
+        assert abs(sum(taken[d] for d in size if source[d] == s) - t) <= longest[s] + 1
