@@ -191,7 +191,7 @@ SELECT 2024 AS year, split_part(rel, '/', 1) AS slug, count(*) AS n_files, count
 def verified_collections(spark, sf_dir):
     t = Tables(spark, sf_dir)
     rows = t.content.select(F.lit(2024).alias("year"), paths.top(F.col("rel")).alias("slug"), "rel", "location", F.when(F.col("doc_id") % 31 == 0, "rot").otherwise(F.sha2("text", 256)).alias("digest"))
-    return manifests.verify(rows, _content(t))[1]
+    return manifests.verify(rows, _content(t))[1].drop("n_other_algo")
 
 
 @query(f"""WITH kept AS (SELECT location, rel FROM fx_raw_listing WHERE NOT {_JUNK_ROW}), used AS (SELECT DISTINCT location, array_to_string(list_slice(p, 1, k), '/') AS dir FROM (SELECT location, string_split(rel, '/') AS p, unnest(range(1, len(string_split(rel, '/')))) AS k FROM kept))
