@@ -50,13 +50,17 @@ class Tables:
 # ---- differences
 
 
-@query("SELECT year, slug, rel, size_bytes FROM (SELECT * FROM fx_inventory WHERE location = 'HOT_A') a ANTI JOIN (SELECT * FROM fx_inventory WHERE location = 'COLD_B') b USING (year, slug, rel)")
+def _only_at(one: str, other: str) -> str:
+    return f"SELECT year, slug, rel, max(size_bytes) AS size_bytes FROM fx_inventory WHERE location IN ('{one}', '{other}') GROUP BY year, slug, rel HAVING count(*) FILTER (location = '{other}') = 0"
+
+
+@query(_only_at("HOT_A", "COLD_B"))
 def missing_files(spark, sf_dir):
     inv = Tables(spark, sf_dir).inventory
     return diff.missing(diff.at(inv, "HOT_A"), diff.at(inv, "COLD_B")).select(*KEY, "size_bytes")
 
 
-@query("SELECT year, slug, rel, size_bytes FROM (SELECT * FROM fx_inventory WHERE location = 'COLD_B') a ANTI JOIN (SELECT * FROM fx_inventory WHERE location = 'HOT_A') b USING (year, slug, rel)")
+@query(_only_at("COLD_B", "HOT_A"))
 def extra_files(spark, sf_dir):
     inv = Tables(spark, sf_dir).inventory
     return diff.extra(diff.at(inv, "HOT_A"), diff.at(inv, "COLD_B")).select(*KEY, "size_bytes")
@@ -68,7 +72,7 @@ def ghost_entries(spark, sf_dir):
     return diff.ghosts(t.inventory, t.manifest).select(*COLLECTION, "location", "rel")
 
 
-@query("SELECT a.year, a.slug, a.rel, b.location, a.digest AS ref_digest, b.digest AS other_digest FROM (SELECT * FROM fx_manifest WHERE location = 'HOT_A') a JOIN (SELECT * FROM fx_manifest WHERE role = 'cold') b USING (year, slug, rel) WHERE a.digest <> b.digest")
+@query("SELECT year, slug, rel, ref_digest, location, digest AS other_digest FROM (SELECT *, max(digest) FILTER (location = 'HOT_A') OVER (PARTITION BY year, slug, rel) AS ref_digest FROM fx_manifest) WHERE role = 'cold' AND digest <> ref_digest")
 def digest_conflicts(spark, sf_dir):
     man = Tables(spark, sf_dir).manifest
     return diff.manifest_conflicts(diff.at(man, "HOT_A"), man.where("role = 'cold'"))
@@ -118,12 +122,12 @@ def _check_sql(loc: str) -> str:
     """CTEs ref, pairs (with held: whether dst has the collection) and found (all findings)."""
     return f"""WITH ref AS MATERIALIZED ({_reference_sql(loc)}), has AS MATERIALIZED (SELECT DISTINCT year, slug, location FROM fx_inventory),
 pairs AS MATERIALIZED (SELECT r.year, r.slug, r.ref, l.name AS dst, h.location IS NOT NULL AS held FROM ref r JOIN {loc} l ON l.mounted AND l.role = 'cold' AND {COVERS.format(y='r.year')} AND l.name <> r.ref LEFT JOIN has h ON h.year = r.year AND h.slug = r.slug AND h.location = l.name),
-a AS (SELECT p.year, p.slug, p.dst, i.rel, i.size_bytes FROM pairs p JOIN fx_inventory i ON i.year = p.year AND i.slug = p.slug AND i.location = p.ref WHERE held),
-b AS (SELECT p.year, p.slug, p.dst, i.rel, i.size_bytes FROM pairs p JOIN fx_inventory i ON i.year = p.year AND i.slug = p.slug AND i.location = p.dst),
+files AS (SELECT p.year, p.slug, p.dst, i.rel, max(i.size_bytes) FILTER (i.location = p.ref) AS a, max(i.size_bytes) FILTER (i.location = p.dst) AS b FROM pairs p JOIN fx_inventory i ON i.year = p.year AND i.slug = p.slug WHERE held AND i.location IN (p.ref, p.dst) GROUP BY ALL),
+lines AS (SELECT p.year, p.slug, p.dst, m.rel, max(m.digest) FILTER (m.location = p.ref) AS a, max(m.digest) FILTER (m.location = p.dst) AS b FROM pairs p JOIN fx_manifest m ON m.year = p.year AND m.slug = p.slug WHERE m.location IN (p.ref, p.dst) GROUP BY ALL),
 ghost AS (SELECT m.* FROM fx_manifest m ANTI JOIN fx_inventory i USING (year, slug, location, rel)),
-found AS (SELECT year, slug, dst AS location, CASE WHEN b.size_bytes IS NULL THEN 'missing' WHEN a.size_bytes IS NULL THEN 'extra' WHEN a.size_bytes <> b.size_bytes THEN 'size_diff' END AS kind, rel, NULL AS ref_digest, NULL AS other_digest FROM a FULL JOIN b USING (year, slug, dst, rel)
+found AS (SELECT year, slug, dst AS location, CASE WHEN b IS NULL THEN 'missing' WHEN a IS NULL THEN 'extra' WHEN a <> b THEN 'size_diff' END AS kind, rel, NULL AS ref_digest, NULL AS other_digest FROM files
  UNION ALL SELECT g.year, g.slug, location, 'ghost', rel, NULL, NULL FROM ghost g SEMI JOIN (SELECT year, slug, ref AS location FROM ref UNION SELECT year, slug, dst FROM pairs) USING (year, slug, location)
- UNION ALL SELECT p.year, p.slug, p.dst, 'conflict', x.rel, x.digest, y.digest FROM pairs p JOIN fx_manifest x ON x.year = p.year AND x.slug = p.slug AND x.location = p.ref JOIN fx_manifest y ON y.year = p.year AND y.slug = p.slug AND y.location = p.dst AND y.rel = x.rel AND y.digest <> x.digest
+ UNION ALL SELECT year, slug, dst, 'conflict', rel, a, b FROM lines WHERE a <> b
  UNION ALL SELECT year, slug, dst, 'collection_missing', NULL, NULL, NULL FROM pairs WHERE NOT held
  UNION ALL SELECT year, slug, ref, 'only_copy', NULL, NULL, NULL FROM ref ANTI JOIN pairs USING (year, slug) WHERE ref_role = 'cold')"""
 

@@ -17,24 +17,27 @@ from fixity_spark.sources import io
 # ---- files
 
 
-def _tree(t: Tables) -> str:
-    """Manifest lines of COLD_B as a tree <root>/<year>/<slug>/<file>; a job for each of the few years."""
+def _tree(t: Tables, by: str) -> str:
+    """Manifest lines of COLD_B as a tree <root>/<year>/<slug>/..., a file for each value of by in a folder; a job for each
+    of the few years. One location has hundreds of files already."""
     root = work_folder(t.spark, "tree")
-    rows = diff.at(t.manifest, "COLD_B").select("year", F.col("slug").alias("s"), F.format_string("%s  %s", "digest", "rel").alias("value"))
+    rows = diff.at(t.manifest, "COLD_B").select("year", F.col("slug").alias("s"), F.expr(by).alias("c"), F.format_string("%s  %s", "digest", "rel").alias("value")).cache()
     for r in rows.select("year").distinct().collect():
-        rows.where(F.col("year") == r.year).select("s", "value").repartition("s").write.partitionBy("s").text(f"{root}/{r.year}")
+        rows.where(F.col("year") == r.year).drop("year").repartition("s", "c").write.partitionBy("s", "c").text(f"{root}/{r.year}")
+    rows.unpersist()
     return root
 
 
-@query("SELECT year, slug, 'X' AS location, count(*) > 0 AS any_file, sum(length(digest) + length(rel) + 3)::BIGINT AS bytes FROM fx_manifest WHERE location = 'COLD_B' GROUP BY ALL")
+@query("SELECT year, slug, 'X' AS location, split_part(rel, '/', 1) AS card, sum(length(digest) + length(rel) + 3)::BIGINT AS size_bytes FROM fx_manifest WHERE location = 'COLD_B' GROUP BY ALL")
 def scanned_tree(spark, sf_dir):
-    rows = io.read_inventory(spark, _tree(Tables(spark, sf_dir)), "X")
-    return rows.groupBy("year", F.replace("slug", F.lit("s=")).alias("slug"), "location").agg((F.count("*") > 0).alias("any_file"), F.sum("size_bytes").alias("bytes"))
+    """A row for each file, with its folder and size: the files of a folder are those of its cards."""
+    rows = io.read_inventory(spark, _tree(Tables(spark, sf_dir), "substring_index(rel, '/', 1)"), "X")
+    return rows.select("year", F.replace("slug", F.lit("s=")).alias("slug"), "location", F.replace(paths.top(F.col("rel")), F.lit("c=")).alias("card"), "size_bytes")
 
 
 @query("SELECT year, slug, 'X' AS location, rel, digest FROM fx_manifest WHERE location = 'COLD_B'")
 def parsed_manifests(spark, sf_dir):
-    rows = io.read_manifests(spark, f"{_tree(Tables(spark, sf_dir))}/*/*/*", "X")
+    rows = io.read_manifests(spark, f"{_tree(Tables(spark, sf_dir), '0')}/*/*/*/*", "X")
     return rows.select("year", F.replace("slug", F.lit("s=")).alias("slug"), "location", "rel", "digest")
 
 

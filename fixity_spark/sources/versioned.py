@@ -9,6 +9,7 @@ between the two leaves the table as it was. Nothing is rewritten by a merge: of
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Callable
 
@@ -17,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fixity_spark.scratch import drop, folders
+
 
 class Refused(RuntimeError):
     """Another writer committed first what this one would have."""
@@ -40,23 +43,24 @@ class VersionedTable:
         self._no_overwrite = spark.sparkContext._gateway.new_array(kind, 1)
         self._no_overwrite[0] = kind.valueOf("NONE")
 
-    def _commits(self, as_of: int | None = None) -> list[dict]:
-        """All commits up to a version, in order."""
-        folder = self._path(f"{self.path}/commits")
-        if not self._fs.exists(folder):
-            return []
-        names = sorted(s.getPath().getName() for s in self._fs.listStatus(folder) if s.getPath().getName().endswith(".json"))
-        names = [n for n in names if as_of is None or int(n[:-5]) <= as_of]
-        if not names:
+    def _names(self, folder: str) -> list[str]:
+        return folders(self.spark, f"{self.path}/{folder}")
+
+    def _commits(self, as_of: int | None = None, since: int | None = None) -> list[dict]:
+        """The commits up to a version, in order: those after since, or, without it, from the newest whole version that is
+        marked, as nothing before it is needed."""
+        upto = [int(n[:-5]) for n in self._names("commits") if n.endswith(".json")]
+        upto = [v for v in upto if as_of is None or v <= as_of]
+        first = since + 1 if since is not None else max((int(n) for n in self._names("whole") if n.isdigit() and int(n) in upto), default=0)
+        paths = [f"{self.path}/commits/{v:020d}.json" for v in upto if v >= first]
+        if not paths:
             return []
-        texts = self.spark.read.text([f"{self.path}/commits/{n}" for n in names], wholetext=True)
+        texts = self.spark.read.text(paths, wholetext=True)
         return sorted((json.loads(r.value) for r in texts.collect()), key=lambda c: c["version"])  # one small file each
 
     def version(self) -> int:
         """The number of the newest commit."""
-        folder = self._path(f"{self.path}/commits")
-        names = [s.getPath().getName() for s in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
-        return max((int(n[:-5]) for n in names if n.endswith(".json")), default=0)
+        return max((int(n[:-5]) for n in self._names("commits") if n.endswith(".json")), default=0)
 
     def read(self, as_of: int | None = None) -> DataFrame:
         """The rows of a version, each key once; a row that was deleted is not there."""
@@ -76,11 +80,11 @@ class VersionedTable:
         """Rows written without being part of the table yet: the run, and the partitions they touch."""
         run = uuid.uuid4().hex
         out = f"{self.path}/data/{run}"
-        repeated = rows.groupBy(*self.key).count().where("count > 1").limit(1).count()
-        if repeated:
-            raise ValueError("a key is given twice")
         columns = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema.fields]
         rows.select(*columns, F.lit(gone).alias("_gone"), F.lit(run).alias("_run")).write.parquet(out)
+        if not self.spark.read.schema(self.schema).parquet(out).groupBy(*self.key).count().where("count > 1").isEmpty():
+            drop(self.spark, out)
+            raise ValueError("a key is given twice")
         touched = None
         if self.partitions:
             values = self.spark.read.schema(self.schema).parquet(out).select(*self.partitions).distinct().limit(MOST_PARTITIONS + 1).collect()
@@ -123,7 +127,7 @@ class VersionedTable:
         their partitions, or any commit came where the table has none."""
         run, touched = self._write(rows)
         while True:
-            since = [c for c in self._commits() if c["version"] > read_version]
+            since = self._commits(since=read_version)
             if any(c["whole"] is False and (touched is None or c["touched"] is None or any(t in c["touched"] for t in touched)) for c in since):
                 raise Refused(f"{self.path} changed after version {read_version}")
             try:
@@ -148,8 +152,36 @@ class VersionedTable:
         now = self.version()
         run, touched = self._write(self.read(now))
         self._commit(now + 1, run, touched, whole=True)
+        self._fs.mkdirs(self._path(f"{self.path}/whole/{now + 1}"))  # only saves reading commits; it may be missing
         return now + 1
 
+    def sweep(self, older_than_s: float = 24 * 3600.0, keep_from: int | None = None) -> int:
+        """Removes runs that no commit names, left by writers that died or were refused, if nothing was put to them for so
+        many seconds; the number of runs removed.
+
+        A writer that takes longer from its last row to its commit would lose its run, so the time must exceed that. With
+        keep_from, runs that only versions before it need go, too: reading such a version fails from then on.
+        """
+        if keep_from is not None and not 0 < keep_from <= self.version():
+            raise ValueError(f"there is no version {keep_from}")
+        held = [n for n in self._names("data") if self._idle(f"{self.path}/data/{n}") >= older_than_s]
+        commits = self._commits(since=0)  # after the runs, so that a run committed meanwhile is named
+        start = 0 if keep_from is None else max((c["version"] for c in commits if c["whole"] and c["version"] <= keep_from), default=0)
+        named = {c["run"] for c in commits if c["version"] >= start}
+        gone = [n for n in held if n not in named]
+        for n in gone:
+            drop(self.spark, f"{self.path}/data/{n}")
+        for n in self._names("staged"):
+            if self._idle(f"{self.path}/staged/{n}") >= older_than_s:
+                drop(self.spark, f"{self.path}/staged/{n}")
+        return len(gone)
+
+    def _idle(self, path: str) -> float:
+        """Seconds since the newest change in a folder, or of a file."""
+        found = self._fs.getFileStatus(self._path(path))
+        below = self._fs.listStatus(found.getPath()) if found.isDirectory() else []
+        return time.time() - max(s.getModificationTime() for s in (found, *below)) / 1000
+
 
 #: Partitions that a commit lists; one that touches more counts as touching all.
 MOST_PARTITIONS = 1000

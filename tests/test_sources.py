@@ -199,3 +199,27 @@ def test_a_crash_before_the_commit_changes_nothing(spark, tmp_path):
     (tmp_path / "t" / "staged" / "half.json").write_text("{")
     again = VersionedTable(spark, str(tmp_path / "t"), SCHEMA, ["year"])
     assert again.version() == 1 and [tuple(r) for r in again.read().collect()] == [(2023, 1)]
+
+
+def test_sweep_removes_what_no_commit_names(spark, tmp_path):
+    t = VersionedTable(spark, str(tmp_path / "t"), SCHEMA, ["year"])
+    df = lambda *r: spark.createDataFrame(list(r), SCHEMA)
+    runs = lambda: {p.name for p in (tmp_path / "t" / "data").iterdir()}
+    t.merge(df((2023, 1)))
+    t.merge(df((2024, 2)))
+    dead, _ = t._write(df((2025, 9)))
+    with pytest.raises(ValueError):
+        t.merge(df((2026, 1), (2026, 2)))
+    assert len(runs()) == 3  # a refused table leaves nothing
+    assert t.sweep() == 0 and t.sweep(0) == 1 and dead not in runs() and len(runs()) == 2
+    assert t.compact() == 3 and t.merge(df((2023, 5))) == 4
+    assert [c["version"] for c in t._commits()] == [3, 4]  # what came before a whole version is not read
+    for p in (tmp_path / "t" / "whole").iterdir():
+        p.rmdir()  # as if compact had died before the mark
+    want = [(2023, 5), (2024, 2)]
+    assert sorted(map(tuple, t.read().collect())) == want and sorted(map(tuple, t.read(as_of=1).collect())) == [(2023, 1)]
+    with pytest.raises(ValueError):
+        t.sweep(0, keep_from=9)
+    assert t.sweep(0, keep_from=4) == 2 and sorted(map(tuple, t.read().collect())) == want and t.read(as_of=3).count() == 2
+    with pytest.raises(PySparkException):
+        t.read(as_of=1).collect()
