@@ -86,18 +86,20 @@ def evict_plan(inv: DataFrame, man: DataFrame, min_copies: int = 1, hot: list[st
     per copy, so that the gate, which needs them several times, does not judge all files again each time.
     """
     inv, man = _named(inv, hot), _named(man, hot)
-    keep = lambda df, name: df if work is None else _written(df, f"{work}/{name}")
-    chosen = keep(selection.first_n(backups(inv, man).where("qualifies"), min_copies).where("enough"), "chosen")
+    chosen = _kept(selection.first_n(backups(inv, man).where("qualifies"), min_copies).where("enough"), work, "chosen")
     targets = selection.copies(diff.drop_self_entry(inv)).where("role = 'hot'")
-    return keep(targets.join(chosen.select(*COLLECTION).distinct(), COLLECTION, "left_semi"), "targets"), chosen
+    return _kept(targets.join(chosen.select(*COLLECTION).distinct(), COLLECTION, "left_semi"), work, "targets"), chosen
 
 
-def _written(df: DataFrame, folder: str) -> DataFrame:
-    df.write.mode("overwrite").parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+def _kept(df: DataFrame, work: str | None, name: str) -> DataFrame:
+    """df as a table in the folder work, where there is one."""
+    if work is None:
+        return df
+    df.write.mode("overwrite").parquet(f"{work}/{name}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{work}/{name}")
 
 
-def _unproved(chosen: DataFrame, man: DataFrame, verified: DataFrame) -> DataFrame:
+def _unproved(chosen: DataFrame, man: DataFrame, verified: DataFrame, work: str | None) -> DataFrame:
     """Lines of each chosen backup's manifest that are not proved, counted (GROUP, n_failed).
 
     First whole backups are compared by fingerprints: where the verified lines, all ok, are the very lines of the
@@ -111,7 +113,7 @@ def _unproved(chosen: DataFrame, man: DataFrame, verified: DataFrame) -> DataFra
     said = F.coalesce("ok", F.lit(False))
     both = lines.withColumns({"listed": F.lit(True), "ok": F.lit(True)}).unionByName(seen.withColumns({"listed": F.lit(False), "ok": said}))
     prints = both.groupBy(*GROUP).agg(fingerprint(*line[3:], where=F.col("listed")).alias("a"), fingerprint(*line[3:], where=~F.col("listed")).alias("b"), F.bool_and("ok").alias("all_ok"))
-    alike = prints.where("all_ok AND a = b").select(*GROUP)
+    alike = _kept(prints.where("all_ok AND a = b").select(*GROUP), work, "alike")
     open_ = chosen.select(*GROUP).join(alike, GROUP, "left_anti")
     proof = seen.join(open_, GROUP, "left_semi").groupBy(*line).agg(F.bool_and(F.coalesce("ok", F.lit(False))).alias("proved"))
     judged = lines.join(open_, GROUP, "left_semi").distinct().join(proof, line, "left")
@@ -121,12 +123,14 @@ def _unproved(chosen: DataFrame, man: DataFrame, verified: DataFrame) -> DataFra
     return alike.withColumn("n_failed", F.lit(0).cast("long")).unionByName(rest)
 
 
-def evict_gate(targets: DataFrame, chosen: DataFrame, man: DataFrame | None = None, verified: DataFrame | None = None, strict: bool = True, quick: bool = False) -> DataFrame:
+def evict_gate(targets: DataFrame, chosen: DataFrame, man: DataFrame | None = None, verified: DataFrame | None = None, strict: bool = True, quick: bool = False, work: str | None = None) -> DataFrame:
     """Targets that pass: every line of the manifests of their backups verifies; with strict, one failure stops all.
 
     man: manifest rows; verified: manifest rows with their status (J10). A line of a chosen backup that is not in
     verified counts as failed, whatever other lines are there, so nothing passes for want of a verification; neither does
-    a target without a chosen backup. With quick the recorded digests are trusted unread, and both may be left out.
+    a target without a chosen backup. With quick the recorded digests are trusted unread, and both may be left out. With work, a folder,
+    the backups that fingerprints prove and the judged targets, a row per copy, are written there, so that all lines are
+    read for the fingerprints once and the others once more.
     """
     if quick:
         out = targets.join(chosen.groupBy(*COLLECTION).agg(F.lit(0).cast("long").alias("n_failed")), COLLECTION, "left")
@@ -135,10 +139,11 @@ def evict_gate(targets: DataFrame, chosen: DataFrame, man: DataFrame | None = No
     else:
         require(man, "the manifest", *GROUP, "rel", "digest")
         require(verified, "the verification", *GROUP, "rel", "status")
-        out = targets.join(_unproved(chosen, man, verified).groupBy(*COLLECTION).agg(F.sum("n_failed").alias("n_failed")), COLLECTION, "left")
+        out = targets.join(_unproved(chosen, man, verified, work).groupBy(*COLLECTION).agg(F.sum("n_failed").alias("n_failed")), COLLECTION, "left")
     passed = F.coalesce(F.col("n_failed") == 0, F.lit(False))
     if not strict:
         return out.withColumn("passed", passed)
+    out = _kept(out, work, "judged")
     total = out.agg(F.coalesce(F.bool_and(passed), F.lit(True)).alias("_all"))  # one row
     return out.join(F.broadcast(total), F.lit(True)).withColumn("passed", F.col("_all")).drop("_all")
 

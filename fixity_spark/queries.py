@@ -484,7 +484,7 @@ gate AS (SELECT t.year, t.slug, t.location, t.bytes, f.n_failed FROM ({COPIES})
 def _gate(spark, sf_dir, **how):
     t = Tables(spark, sf_dir)
     targets, chosen = _evict_plan(t)
-    return retain.evict_gate(targets, chosen, t.manifest, t.verified, **how).select(*COLLECTION, "location", "bytes", "n_failed", "passed")
+    return retain.evict_gate(targets, chosen, t.manifest, t.verified, work=work_folder(spark, "gate"), **how).select(*COLLECTION, "location", "bytes", "n_failed", "passed")
 
 
 @query(f"{_GATE} SELECT *, n_failed = 0 AS passed FROM gate")

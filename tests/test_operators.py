@@ -156,12 +156,14 @@ def test_retention(spark):
     assert rows(retain.evict_plan(i, m, 1, hot=[" h1 "])[0], "slug") == [("a",), ("f",)]
 
 
-def test_gate_needs_the_very_lines(spark):
+@pytest.mark.parametrize("written", [False, True])
+def test_gate_needs_the_very_lines(spark, tmp_path, written):
+    work = str(tmp_path / "w") if written else None
     i = inv(spark, *(("a", loc, f, 1) for loc in ("H1", "C1") for f in "xy"), ("b", "H1", "x", 1), ("b", "C1", "x", 1))
     m = man(spark, *(("a", loc, f, "d") for loc in ("H1", "C1") for f in "xy"), ("b", "C1", "x", "d"))
-    targets, chosen = retain.evict_plan(i, m, 1)
+    targets, chosen = retain.evict_plan(i, m, 1, work=work)
     said = lambda *rows: spark.createDataFrame([(2024, slug, "C1", rel, status) for slug, rel, status in rows], "year int, slug string, location string, rel string, status string")
-    gate = lambda *rows: sorted((r.slug, r.n_failed, r.passed) for r in retain.evict_gate(targets, chosen, m, said(*rows), strict=False).collect())
+    gate = lambda *rows: sorted((r.slug, r.n_failed, r.passed) for r in retain.evict_gate(targets, chosen, m, said(*rows), strict=False, work=work).collect())
     b = ("b", "x", "ok")
     assert gate(("a", "x", "ok"), ("a", "y", "ok"), b) == [("a", 0, True), ("b", 0, True)]
     assert gate(("a", "x", "ok"), ("a", "zzz", "ok"), b) == [("a", 1, False), ("b", 0, True)]  # another file instead
@@ -170,7 +172,7 @@ def test_gate_needs_the_very_lines(spark):
     assert gate(("a", "x", "ok"), ("a", "y", "ok"), ("a", "y", "mismatch"), b) == [("a", 1, False), ("b", 0, True)]
     assert gate(("a", "x", "ok"), ("a", "y", None), b) == [("a", 1, False), ("b", 0, True)]
     stale = fixity.verify(m, m.select("year", "slug", "rel", "location", "digest")).withColumn("digest", F.lit("older"))
-    assert {r.passed for r in retain.evict_gate(targets, chosen, m, stale, strict=False).collect()} == {False}
+    assert {r.passed for r in retain.evict_gate(targets, chosen, m, stale, work=work).collect()} == {False}
 
 
 def test_missing_columns_are_refused(spark):
