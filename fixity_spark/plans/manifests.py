@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from fixity_spark.operators import diff, fixity
 from fixity_spark.schema import COLLECTION, KEY
+from fixity_spark.scratch import written
 
 
 def verify(man: DataFrame, content: DataFrame, inv: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -39,18 +40,19 @@ def build_manifests(inv: DataFrame, man: DataFrame, computed: DataFrame) -> Data
     rows = diff.by_location(inv, man, computed)
     bare = F.coalesce(F.col("digest") == "", F.lit(True))
     # locations of each collection that hold a file without a digest are open
-    open_ = diff.coverage(inv, man).where("NOT covered").select(*COLLECTION, "location")
-    open_ = open_.withColumns({"open": F.lit(True), "n_open": F.count("*").over(W.partitionBy(*COLLECTION))})
+    open_ = _open(inv, man)
+    # a row per copy of a collection, written, so that it goes to the files and they need not go to it
+    open_ = written(open_.withColumns({"open": F.lit(True), "n_open": F.count("*").over(W.partitionBy(*COLLECTION))}), "open")
     told = rows.join(open_, [*COLLECTION, "location"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
     mine, found = F.col("open") & F.col("held"), F.col("open") & F.col("held") & F.col("read_digest").isNotNull()
     each = lambda f, when, c: f(F.when(when, F.col(c)))
-    path = W.partitionBy(*KEY)
+    path = W.partitionBy(*diff.PATH)
     if "algo" in man.columns:
         told = told.withColumn("kind", each(F.min, found, "read_algo").over(path))
         other = ~F.col("open") & ~bare & F.coalesce(F.col("algo") == F.col("kind"), F.lit(True))
     else:
         other = ~F.col("open") & F.col("listed")
-    sums = told.groupBy(*KEY).agg(F.max("n_open").alias("n_open"), F.count_if(mine).alias("n_mine"), F.count_if(found).alias("n_found"), each(F.min, found, "read_digest").alias("low"), each(F.max, found, "read_digest").alias("high"), each(F.min, other, "digest").alias("other_low"), each(F.max, other, "digest").alias("other_high"))
+    sums = told.groupBy(*diff.PATH).agg(F.max("n_open").alias("n_open"), F.count_if(mine).alias("n_mine"), F.count_if(found).alias("n_found"), each(F.min, found, "read_digest").alias("low"), each(F.max, found, "read_digest").alias("high"), each(F.min, other, "digest").alias("other_low"), each(F.max, other, "digest").alias("other_high"))
     state = F.when(F.col("n_mine") < F.col("n_open"), "absent").when(F.col("n_found") < F.col("n_mine"), "unreadable").when(F.col("low") != F.col("high"), "conflict").otherwise("new")
     disputed = F.coalesce((F.col("other_low") != F.col("low")) | (F.col("other_high") != F.col("low")), F.lit(False))
     paths = sums.where("n_mine > 0").select(*KEY, state.alias("state"), F.col("low").alias("digest"), disputed.alias("disputed"))
@@ -58,7 +60,12 @@ def build_manifests(inv: DataFrame, man: DataFrame, computed: DataFrame) -> Data
     return paths.select(*KEY, "state", F.when(F.col("state") == "new", F.col("digest")).alias("digest"), publish.alias("publish"), "disputed")
 
 
+def _open(inv: DataFrame, man: DataFrame) -> DataFrame:
+    """Copies of collections (COLLECTION, location) that are not fully covered."""
+    return diff.coverage(inv, man).where("NOT covered").select(*COLLECTION, "location")
+
+
 def new_manifest_rows(built: DataFrame, inv: DataFrame, man: DataFrame) -> DataFrame:
     """D3: the rows to add to each uncovered location's manifest, of collections that publish."""
-    open_ = diff.coverage(inv, man).where("NOT covered").select(*COLLECTION, "location")
+    open_ = written(_open(inv, man), "open")
     return built.where("publish").select(*KEY, "digest").join(open_, COLLECTION).select(*KEY, "location", "digest")

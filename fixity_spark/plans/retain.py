@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from fixity_spark.functions.paths import normalise_name
 from fixity_spark.operators import diff, selection
 from fixity_spark.operators.fingerprint import fingerprint
-from fixity_spark.schema import COLLECTION, KEY, require
+from fixity_spark.schema import COLLECTION, require
 
 GROUP = [*COLLECTION, "location"]
 
@@ -26,7 +26,7 @@ def _per_location(inv: DataFrame, man: DataFrame) -> DataFrame:
     (hot paths both held and recorded), n_conflicts, n_hot_paths (of the collection).
     """
     rows = diff.by_location(inv, man)
-    path, same = W.partitionBy(*KEY), W.partitionBy(*KEY, "algo")
+    path, same = W.partitionBy(*diff.PATH), W.partitionBy(*diff.PATH, "algo")
     hot, cold = F.col("role") == "hot", F.col("role") == "cold"
     digest = lambda by, also=F.lit(True): (F.min(F.when(hot & also, F.col("digest"))).over(by), F.max(F.when(hot & also, F.col("digest"))).over(by))
     # hot lines that a line is compared with: of its algorithm, of none named, or, if it names none, all
@@ -114,7 +114,7 @@ def _unproved(chosen: DataFrame, man: DataFrame, verified: DataFrame, work: str
     both = lines.withColumns({"listed": F.lit(True), "ok": F.lit(True)}).unionByName(seen.withColumns({"listed": F.lit(False), "ok": said}))
     prints = both.groupBy(*GROUP).agg(fingerprint(*line[3:], where=F.col("listed")).alias("a"), fingerprint(*line[3:], where=~F.col("listed")).alias("b"), F.bool_and("ok").alias("all_ok"))
     alike = _kept(prints.where("all_ok AND a = b").select(*GROUP), work, "alike")
-    open_ = chosen.select(*GROUP).join(alike, GROUP, "left_anti")
+    open_ = _kept(chosen.select(*GROUP).join(alike, GROUP, "left_anti"), work, "open")
     proof = seen.join(open_, GROUP, "left_semi").groupBy(*line).agg(F.bool_and(F.coalesce("ok", F.lit(False))).alias("proved"))
     judged = lines.join(open_, GROUP, "left_semi").distinct().join(proof, line, "left")
     failed = judged.groupBy(*GROUP).agg(F.count_if(~F.coalesce("proved", F.lit(False))).alias("n_failed"))

@@ -202,3 +202,13 @@ def test_damage_of_files_of_one_chunk(spark, sf_dir, tmp_path):
     pq.write_table(pa.table(dict(zip(("doc_id", "text", "source"), map(list, zip(*rows, strict=True)), strict=True))), tmp_path / "documents.parquet")
     ours, theirs = both(spark, str(tmp_path), QUERIES["damaged_chunks"], ORACLES["damaged_chunks"])
     assert ours == theirs and len(ours) > len(ids)
+
+
+@pytest.mark.parametrize("name", ["evict_backups", "build_manifests"])
+def test_rows_of_views_are_dealt_by_path_once(spark, sf_dir, name):
+    """The files are shuffled by path; the rows that locations list and record of them are not shuffled by path again."""
+    from fixity_spark.queries import QUERIES
+
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "hashpartitioning(" in line and "rel#" in line.split("hashpartitioning(")[1].split(")")[0]]
+    assert dealt and all("hashpartitioning(rel#" in line for line in dealt)
