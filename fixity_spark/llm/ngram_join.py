@@ -18,8 +18,9 @@ FRAGMENTS = 4
 #: Leader rounds before the sets that remain are compared with each other.
 ROUNDS = 3
 #: Sets under one key that are compared with each other as they are; more are told apart by the next of these shingles
-#: that they share, counted in the global order. Shingles of one line follow each other there, so the steps widen.
-PAIRED, SHARED = 256, (1, 2, 8, 32)
+#: that they share, counted in the global order. Shingles of one line follow each other there, so the steps widen. An entry
+#: dealt anew is a row for each further shingle of its prefix, some hundreds in all steps, so fewer comparisons are cheaper.
+PAIRED, SHARED = 1024, (1, 2, 8, 32)
 
 
 def shingle_sets(raw: np.ndarray, off: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -282,6 +283,8 @@ def _all_pairs(entries: DataFrame, live: DataFrame, percent: int, scratch: Scrat
             met = entries.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("m"), F.min("n").alias("least")).where("low <> high")
             both = entries.join(met.select("key", "m", "least"), "key")
             entries = both if sifted else both.where(_has_partner(percent)).drop("m", "least")
+            if step > 1 and not sifted:
+                entries = scratch.write(entries, f"sifted{level}")  # read twice, and dealing anew is what costs
         entries = scratch.write(entries, f"level{level}")
         few = entries if level == SHARED[-1] else entries.where(f"m <= {PAIRED}")
         e, f = few.alias("e"), few.alias("f")
