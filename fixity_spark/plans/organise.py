@@ -9,6 +9,7 @@ from fixity_spark.functions.dates import season, shot_date
 from fixity_spark.functions.paths import ancestors, base_name, depth, is_numbered, manifest_path_is_junk, top, visible
 from fixity_spark.operators import numbering, reporting
 from fixity_spark.schema import COLLECTION, MANIFEST
+from fixity_spark.scratch import written
 
 
 def organise_candidates(listing: DataFrame, regroup: bool = False) -> DataFrame:
@@ -132,6 +133,7 @@ def apply_path_map(inv: DataFrame, man: DataFrame, path_map: DataFrame, clash: s
     """
     if clash not in ("refuse", "number", "keep"):
         raise ValueError("clash is refuse, number or keep")
+    path_map = written(path_map.select(*COLLECTION, "new_slug"), "map")  # small, so that it goes to the files, not they to it
     renamed = _renamed(inv, path_map)
     if clash == "number":
         renamed = numbering.unique_names(renamed, [*COLLECTION, "location"], "rel", "_old")
@@ -143,8 +145,16 @@ def apply_path_map(inv: DataFrame, man: DataFrame, path_map: DataFrame, clash: s
         bad = twice.agg(F.count("*").alias("_bad"))  # one row
         stop = F.raise_error(F.concat(F.col("_bad").cast("string"), F.lit(" keys would belong to several files")))
         renamed = renamed.join(F.broadcast(bad), F.lit(True)).withColumn("slug", F.when(F.col("_bad") > 0, stop.cast("string")).otherwise(F.col("slug"))).drop("_bad")
-    touched = path_map.select(*COLLECTION).unionByName(path_map.select("year", F.col("new_slug").alias("slug"))).distinct()
-    return renamed.select(*inv.columns), man.join(touched, COLLECTION, "left_anti").select(*man.columns)
+    return renamed.select(*inv.columns), man.join(_touched(path_map), COLLECTION, "left_anti").select(*man.columns)
+
+
+def _touched(path_map: DataFrame) -> DataFrame:
+    return path_map.select(*COLLECTION).unionByName(path_map.select("year", F.col("new_slug").alias("slug"))).distinct()
+
+
+def stale_manifests(man: DataFrame, path_map: DataFrame) -> DataFrame:
+    """The manifest rows that apply_path_map takes out."""
+    return man.join(written(_touched(path_map), "touched"), COLLECTION, "left_semi").select(*man.columns)
 
 
 def recover_counters(inv: DataFrame, counters: DataFrame, year: int | None = None) -> DataFrame:

@@ -23,6 +23,11 @@ def test_files_meet_their_lines_without_a_further_shuffle(spark, sf_dir, name):
     assert keys and all(k == "rel" for k in keys if "rel" in k)
 
 
+def test_stale_manifests_do_not_meet_the_manifests(spark, sf_dir):
+    keys = dealt(QUERIES["stale_manifests"](spark, sf_dir))
+    assert keys == ["rel"]
+
+
 def test_lines_said_twice_count_once(spark):
     inv = spark.createDataFrame([(2024, "a", "x", "H1", 0, "hot", 5), (2024, "a", "y", "H1", 0, "hot", 7), (None, None, "z", "H1", 0, "hot", 1)], FILES)
     man = spark.createDataFrame([(2024, "a", "x", "H1", 0, "hot", "d"), (2024, "a", "x", "H1", 0, "hot", "d"), (2024, "a", "y", "H1", 0, "hot", ""), (2024, "a", "gone", "H1", 0, "hot", "d"), (None, None, "z", "H1", 0, "hot", "d")], LINES)
