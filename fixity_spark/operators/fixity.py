@@ -111,9 +111,12 @@ def merge_manifest(old: DataFrame, new: DataFrame) -> DataFrame:
     Of repeated new rows the largest digest holds.
     """
     named = ["algo"] if "algo" in old.columns + new.columns else []
-    part = lambda df, p: df.select(*KEY, "location", F.lit(p).alias("p"), "digest", *[algo(df).alias(c) for c in named])
-    newest = drop_self_entry(part(old, 0).unionByName(part(new, 1))).groupBy(*KEY, "location").agg(F.max(F.struct("p", "digest", *named)).alias("m"))
-    return newest.select(*KEY, "location", *[F.col("m")[c].alias(c) for c in ("digest", *named)])
+    # under names of its own: a union of what is itself made from a union is only known to lie dealt by path where its columns
+    # have been renamed since
+    own = {k: f"_{k}" for k in (*KEY, "location")}
+    part = lambda df, p: drop_self_entry(df).select(*[F.col(k).alias(n) for k, n in own.items()], F.lit(p).alias("p"), "digest", *[algo(df).alias(c) for c in named])
+    newest = part(old, 0).unionByName(part(new, 1)).groupBy(*own.values()).agg(F.max(F.struct("p", "digest", *named)).alias("m"))
+    return newest.select(*[F.col(n).alias(k) for k, n in own.items()], *[F.col("m")[c].alias(c) for c in ("digest", *named)])
 
 
 def duplicate_content(computed: DataFrame, key: str = "digest") -> DataFrame:

@@ -34,3 +34,7 @@ def test_lines_said_twice_count_once(spark):
     want = {("a", 12, 2, False), (None, 1, 1, False)}
     assert {(r.slug, r.bytes, r.files, r.checksummed) for r in reporting.collection_scan(inv, man).collect()} == want
     assert {(r.slug, r.files, r.uncovered) for r in diff.coverage(inv.drop("ord"), man).collect()} == {("a", 2, 1), (None, 1, 1)}
+
+
+def test_merging_what_was_merged_needs_no_further_shuffle(spark, sf_dir):
+    assert set(dealt(QUERIES["merged_twice"](spark, sf_dir))) == {"rel"}
