@@ -12,13 +12,14 @@ import json
 import time
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fixity_spark.scratch import drop, folders
+from fixity_spark.scratch import drop, folders, get_dealt, put_dealt, shuffle_buckets
 
 
 class Refused(RuntimeError):
@@ -29,11 +30,16 @@ class VersionedTable:
     """A table of rows with a key.
 
     partitions name columns that tell apart what writers change, such as the year: merges that touch different values
-    of them do not refuse each other. version 0 is the empty table.
+    of them do not refuse each other. version 0 is the empty table. dealt, columns of the key, is for large tables: rows lie
+    dealt by them, so that those of one key, in whatever runs, are read where they are. Runs that writers with other
+    numbers of shuffle partitions dealt are shuffled.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str | T.StructType, key: list[str], partitions: list[str] | None = None):
-        self.spark, self.path, self.key, self.partitions = spark, path, key, partitions or []
+    def __init__(self, spark: SparkSession, path: str, schema: str | T.StructType, key: list[str], partitions: list[str] | None = None, dealt: list[str] | None = None):
+        self.spark, self.path, self.key, self.partitions, self.dealt = spark, path, key, partitions or [], dealt or []
+        if not set(self.dealt) <= set(key):
+            raise ValueError("rows are dealt by columns of their key")
+        self._how: dict[str, dict | None] = {}
         self.schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
         hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
         self._path = hadoop.Path
@@ -66,23 +72,40 @@ class VersionedTable:
         """The rows of a version, each key once; a row that was deleted is not there."""
         commits = self._commits(as_of)
         start = max((k for k, c in enumerate(commits) if c["whole"]), default=0)  # what was before a whole version is in it
-        runs = {c["run"]: c["version"] for c in commits[start:]}
+        runs = commits[start:]
         if not runs:
             return self.spark.createDataFrame([], self.schema)
-        fields = T.StructType([*self.schema.fields, T.StructField("_gone", T.BooleanType()), T.StructField("_run", T.StringType())])
-        rows = self.spark.read.schema(fields).parquet(*[f"{self.path}/data/{r}" for r in runs])
-        numbers = F.create_map(*[F.lit(x) for pair in runs.items() for x in pair])
+        numbers = F.create_map(*[F.lit(x) for c in runs for x in (c["run"], c["version"])])
         rest = [f.name for f in self.schema.fields if f.name not in self.key]
-        newest = rows.groupBy(*self.key).agg(F.max_by(F.struct(*rest, "_gone"), numbers[F.col("_run")]).alias("_r"))
+        newest = self._rows(runs).groupBy(*self.key).agg(F.max_by(F.struct(*rest, "_gone"), numbers[F.col("_run")]).alias("_r"))
         return newest.where(~F.col("_r._gone")).select(*[F.col(n) if n in self.key else F.col("_r")[n].alias(n) for n in self.schema.names])
 
+    def _rows(self, commits: list[dict]) -> DataFrame:
+        """The rows of the runs of some commits, with _gone and _run."""
+        fields = T.StructType([*self.schema.fields, T.StructField("_gone", T.BooleanType()), T.StructField("_run", T.StringType())])
+        folder = lambda c: f"{self.path}/data/{c['run']}"
+        if len(commits) <= MOST_SCANS and all(c.get("dealt") for c in commits):
+            # nothing that renames or computes columns below the union, so that it is known to lie dealt as they do; the
+            # condition, which all rows meet, makes it one of rows: a union of column batches does not bring buckets together
+            return reduce(DataFrame.unionByName, [get_dealt(self.spark, folder(c), fields, **c["dealt"]).where("_gone IS NOT NULL") for c in commits])
+        return self.spark.read.schema(fields).parquet(*map(folder, commits))
+
     def _write(self, rows: DataFrame, gone: bool = False) -> tuple[str, list | None]:
         """Rows written without being part of the table yet: the run, and the partitions they touch."""
         run = uuid.uuid4().hex
         out = f"{self.path}/data/{run}"
-        columns = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema.fields]
-        rows.select(*columns, F.lit(gone).alias("_gone"), F.lit(run).alias("_run")).write.parquet(out)
-        if not self.spark.read.schema(self.schema).parquet(out).groupBy(*self.key).count().where("count > 1").isEmpty():
+        said = [c for c in rows.columns if c in (self.key if gone else self.schema.names)]  # a key alone tells that it is gone
+        columns = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in said else F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema.fields]
+        # rows that lie dealt stay where they are: neither looking for keys given twice nor writing needs a shuffle then
+        by = Window.partitionBy(*(self.dealt or self.key)).orderBy(*self.key)
+        key = F.struct(*self.key)
+        put = rows.select(*columns, F.lit(gone).alias("_gone"), F.lit(run).alias("_run")).withColumn("_twice", key.eqNullSafe(F.lag(key).over(by)))
+        self._how[run] = {"by": self.dealt, "buckets": shuffle_buckets(self.spark)} if self.dealt else None
+        if self.dealt:
+            put_dealt(put, out, **self._how[run])
+        else:
+            put.write.parquet(out)
+        if not self.spark.read.schema("_twice boolean").parquet(out).where("_twice").isEmpty():
             drop(self.spark, out)
             raise ValueError("a key is given twice")
         touched = None
@@ -92,7 +115,7 @@ class VersionedTable:
         return run, touched
 
     def _commit(self, version: int, run: str, touched: list | None, whole: bool = False) -> None:
-        text = json.dumps({"version": version, "run": run, "touched": touched, "whole": whole})
+        text = json.dumps({"version": version, "run": run, "touched": touched, "whole": whole, "dealt": self._how.get(run)})
         staged, final = self._path(f"{self.path}/staged/{run}.json"), self._path(f"{self.path}/commits/{version:020d}.json")
         self._fs.mkdirs(final.getParent())
         stream = self._fs.create(staged, False)
@@ -185,3 +208,5 @@ class VersionedTable:
 
 #: Partitions that a commit lists; one that touches more counts as touching all.
 MOST_PARTITIONS = 1000
+#: Dealt runs that are read each by itself; of more, all are read at once and shuffled, until the table is compacted.
+MOST_SCANS = 64

@@ -223,3 +223,39 @@ def test_sweep_removes_what_no_commit_names(spark, tmp_path):
     assert t.sweep(0, keep_from=4) == 2 and sorted(map(tuple, t.read().collect())) == want and t.read(as_of=3).count() == 2
     with pytest.raises(PySparkException):
         t.read(as_of=1).collect()
+
+
+def test_dealt_runs_are_read_without_a_shuffle(spark, tmp_path):
+    import re
+
+    schema = "year int, rel string, location string, digest string"
+    t = VersionedTable(spark, str(tmp_path / "t"), schema, ["year", "rel", "location"], ["year"], dealt=["rel"])
+    df = lambda rels, digest, locations=("A", "B"): spark.createDataFrame([(2024, r, x, digest) for r in rels for x in locations], schema)
+    names = [f"f{k}" for k in range(200)]
+    t.merge(df(names, "one"))
+    t.merge(df(names[50:], "two"))
+    t.merge(df(names[100:120], None, ("B",)).drop("digest"), gone=True)
+    want = {(2024, r, x, "one" if k < 50 else "two") for k, r in enumerate(names) for x in "AB" if x == "A" or not 100 <= k < 120}
+    assert sorted(map(tuple, t.read().collect())) == sorted(want) and t.read(as_of=1).count() == 400
+    assert t.compact() == 4 and sorted(map(tuple, t.read().collect())) == sorted(want)
+    t.merge(df(names[110:130], "three", ("B",)))
+    want = {w for w in want if not (w[2] == "B" and w[1] in names[110:130])} | {(2024, r, "B", "three") for r in names[110:130]}
+    assert sorted(map(tuple, t.read().collect())) == sorted(want)
+    plan = t.read()._jdf.queryExecution().executedPlan().toString()
+    assert "Union" in plan and not re.search("Exchange", plan)
+    with pytest.raises(ValueError):
+        t.merge(df(["x", "x"], "d", ("A",)))
+    # runs dealt otherwise, or not at all, are told apart too
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        t.merge(df(names[:10], "four"))
+        assert t.read().where("digest = 'four'").count() == 20 and t.read().count() == len(want)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+    plain = VersionedTable(spark, str(tmp_path / "t"), schema, ["year", "rel", "location"], ["year"])
+    plain.merge(df(names[:5], "five"))
+    assert t.read().where("digest = 'five'").count() == 10 and t.read().count() == len(want)
+    assert not [r for r in spark.sql("SHOW TABLES").collect() if r.tableName.startswith("fixity_")]
+    with pytest.raises(ValueError):
+        VersionedTable(spark, str(tmp_path / "u"), schema, ["year", "rel"], dealt=["location"])
