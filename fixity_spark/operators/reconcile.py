@@ -5,13 +5,15 @@ parts, and a cell holds the number, and the exclusive or, of the hashes in it. T
 the difference alone, and cells of one hash are taken out until none is left. Only tables leave a side, and the rows of
 the difference. A strata estimator, tables of samples of 1/2, 1/4, ... of the paths, tells first how large they must be.
 Paths are dealt to shares with tables of a fixed size each, emptied by a task each; a share that cannot be emptied is
-compared by an exact join of its paths alone.
+compared by an exact join of its paths alone. Where the sides differ so much that the tables would be larger than the
+hashed paths themselves, all rows are compared by path at once.
 """
 
 from __future__ import annotations
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fixity_spark.operators.locations import small
@@ -22,6 +24,8 @@ from fixity_spark.schema import KEY
 PARTS, CELLS, PER_SHARE = 3, 256, 250
 #: Strata of the estimator and cells of a part of each.
 STRATA, STRATUM_CELLS = 40, 40
+#: A cell is as large as about so many hashed paths: where the tables of both sides would be larger than those, none are made.
+CELL_KEYS = 3
 #: Rows of a difference that are broadcast to the listings.
 SMALL_DIFFERENCE = 1_000_000
 
@@ -92,16 +96,23 @@ def emptied(rows: list[tuple[int, int, int, int, int]], cells: int) -> tuple[lis
 
 def estimated_difference(one: DataFrame, other: DataFrame) -> int:
     """About how many paths are on one side only, from keys (a, b) of both: exact where there are few."""
+    return _estimated(one, other)[0]
+
+
+def _estimated(one: DataFrame, other: DataFrame) -> tuple[int, int]:
+    """The estimated difference, and how many paths both sides have together."""
     stratum = F.least(F.bit_count(F.col("a").bitwiseAND(-F.col("a")) - 1), F.lit(STRATA - 1))
-    cells = subtracted(*(tables(k, stratum, STRATUM_CELLS) for k in (one, other))).collect()  # STRATA tables at most
-    total = 0
+    first, second = (tables(k, stratum, STRATUM_CELLS) for k in (one, other))
+    both = first.withColumn("m", F.col("n")).unionByName(second.select("share", "cell", -F.col("n"), "a", "b", "c", F.col("n").alias("m")).toDF(*first.columns, "m"))
+    cells = both.groupBy("share", "cell").agg(F.sum("n").alias("n"), *[F.bit_xor(x).alias(x) for x in "abc"], F.sum("m").alias("m")).collect()  # STRATA tables at most
+    rows, total = sum(r.m for r in cells) // PARTS, 0
     for k in reversed(range(STRATA)):
-        found, whole = emptied([(r.cell, r.n, r.a, r.b, r.c) for r in cells if r.share == k], STRATUM_CELLS)
+        found, whole = emptied([(r.cell, r.n, r.a, r.b, r.c) for r in cells if r.share == k and any((r.n, r.a, r.b, r.c))], STRATUM_CELLS)
         if not whole:
             # the strata above hold a sample of 2 ** -(k + 1); this one holds at least what fills its table
-            return max(total << (k + 1), STRATUM_CELLS << (k + 1))
+            return max(total << (k + 1), STRATUM_CELLS << (k + 1)), rows
         total += len(found)
-    return total
+    return total, rows
 
 
 def _decoded(cells: int):
@@ -115,20 +126,32 @@ def _decoded(cells: int):
     return run
 
 
+def _compared(one: DataFrame, other: DataFrame, key: list[str]) -> DataFrame:
+    """What reconcile gives, found by bringing all rows of a path together."""
+    both = one.select(F.lit(True).alias("_first"), *one.columns).unionByName(other.select(F.lit(False).alias("_first"), *one.columns))
+    by = W.partitionBy(*key)
+    told = both.withColumns({"_some": F.max("_first").over(by), "_all": F.min("_first").over(by)}).where("_some = _all")
+    return told.select(F.when(F.col("_first"), "missing").otherwise("extra").alias("side"), *one.columns)
+
+
 def reconcile(one: DataFrame, other: DataFrame, work: str, key: list[str] = KEY, shares: int | None = None, unique: bool = False) -> DataFrame:
     """Rows of one whose key other lacks (side `missing`, J1), and of other whose key one lacks (`extra`, J2).
 
     Both have the same columns. work is a new folder for the decoded difference. shares, a number of tables, is chosen
     from the estimated difference where it is not given; too few of them only mean exact joins. A path that a side lists
     several times counts once and comes with all its rows; with unique, no path does, which saves a shuffle on each side.
+    Where tables would not be smaller than the listings, and shares is not given, rows are compared directly.
     """
     spark = one.sparkSession
     sides = [keyed(df, key) for df in (one, other)]
     keys = [df.select("a", "b") if unique else df.select("a", "b").distinct() for df in sides]
     if shares is None:
-        wanted, shares = 1.3 * estimated_difference(*keys) / PER_SHARE, 1
+        difference, rows = _estimated(*keys)
+        wanted, shares = 1.3 * difference / PER_SHARE, 1
         while shares < wanted:
             shares *= 2
+        if 2 * shares * PARTS * CELLS * CELL_KEYS >= rows > 0:
+            return _compared(one, other, key)
     share = F.pmod(F.col("a"), F.lit(shares))
     cells = subtracted(*(tables(k, share, CELLS) for k in keys))
     cells.groupBy("share").applyInArrow(_decoded(CELLS), "share long, side int, a long, b long").write.mode("overwrite").parquet(f"{work}/difference")

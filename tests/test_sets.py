@@ -212,3 +212,13 @@ def test_rows_of_views_are_dealt_by_path_once(spark, sf_dir, name):
     plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     dealt = [line for line in plan.splitlines() if "hashpartitioning(" in line and "rel#" in line.split("hashpartitioning(")[1].split(")")[0]]
     assert dealt and all("hashpartitioning(rel#" in line for line in dealt)
+
+
+def test_listings_that_differ_much_make_no_tables(spark, tmp_path):
+    a, b = listing(spark, range(0, 4000), [(2024, "s", None, 5), (2024, "s", None, 6), (2024, "t", None, 1)]), listing(spark, range(1500, 5500), [(2024, "t", None, 2)])
+    got = reconcile.reconcile(a, b, str(tmp_path / "w"))
+    assert not (tmp_path / "w").exists()
+    want = {("missing", n) for n in range(1500)} | {("extra", n) for n in range(4000, 5500)}
+    assert {(r.side, r.size_bytes) for r in got.where("rel IS NOT NULL").collect()} == want and got.count() == 3002
+    assert sorted((r.side, r.size_bytes) for r in got.where("rel IS NULL").collect()) == [("missing", 5), ("missing", 6)]
+    assert reconcile.reconcile(a, a.where("size_bytes <> 7"), str(tmp_path / "v")).count() == 1 and (tmp_path / "v" / "difference").exists()
