@@ -222,3 +222,23 @@ def test_listings_that_differ_much_make_no_tables(spark, tmp_path):
     assert {(r.side, r.size_bytes) for r in got.where("rel IS NOT NULL").collect()} == want and got.count() == 3002
     assert sorted((r.side, r.size_bytes) for r in got.where("rel IS NULL").collect()) == [("missing", 5), ("missing", 6)]
     assert reconcile.reconcile(a, a.where("size_bytes <> 7"), str(tmp_path / "v")).count() == 1 and (tmp_path / "v" / "difference").exists()
+
+
+def test_names_that_many_files_bear_are_numbered_in_ranges(spark, monkeypatch):
+    from fixity_spark.operators import numbering
+
+    rng = random.Random(3)
+    files = [(t, f"d{k:04d}/{n}", n) for t in ("s", "t", None) for k in range(300) for n in (rng.choice(["a.jpg", "a.jpg", "a_7.jpg", f"b{k}.jpg"]),)]
+    df = spark.createDataFrame(rng.sample(files, len(files)), "target string, rel string, new_name string").repartition(5)
+    named = lambda: {(r.target, r.rel): r.new_name for r in numbering.unique_names(df, ["target"], "new_name").collect()}
+    plain = named()
+    monkeypatch.setattr(numbering, "CROWD", 20)
+    monkeypatch.setattr(numbering, "RANGE", 30)
+    got = named()
+    assert got == plain and len(got) == len(files) and len({(t, n) for (t, _), n in got.items()}) == len(files)
+    # no task numbers all rows of such a name: they lie in several ranges
+    kept, write = [], numbering.written
+    monkeypatch.setattr(numbering, "written", lambda df, name: (write(df, name), kept.append(name))[0] if name != "ranges" else kept.append(write(df, name)) or kept[-1])
+    named()
+    spread = kept[-1].where("new_name = 'a.jpg' AND target = 's'").select((F.col("_place") / (1 << 33)).cast("int").alias("r")).groupBy("r").count()
+    assert spread.count() > 1
