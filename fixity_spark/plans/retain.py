@@ -99,6 +99,11 @@ def _kept(df: DataFrame, work: str | None, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(f"{work}/{name}")
 
 
+def of_chosen(df: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Rows of the chosen backups: the gate asks for the verification of no others."""
+    return df.join(chosen.select(*GROUP), GROUP, "left_semi")
+
+
 def _unproved(chosen: DataFrame, man: DataFrame, verified: DataFrame, work: str | None) -> DataFrame:
     """Lines of each chosen backup's manifest that are not proved, counted (GROUP, n_failed).
 
@@ -108,8 +113,8 @@ def _unproved(chosen: DataFrame, man: DataFrame, verified: DataFrame, work: str
     ok. verified may name the digest that was verified (digest); another one is no proof of the line.
     """
     line = [*GROUP, "rel", *(["digest"] if "digest" in verified.columns else [])]
-    lines = diff.drop_self_entry(man).join(chosen.select(*GROUP), GROUP, "left_semi").select(*line)
-    seen = verified.join(chosen.select(*GROUP), GROUP, "left_semi").select(*line, (F.col("status") == "ok").alias("ok"))
+    lines = of_chosen(diff.drop_self_entry(man), chosen).select(*line)
+    seen = of_chosen(verified, chosen).select(*line, (F.col("status") == "ok").alias("ok"))
     said = F.coalesce("ok", F.lit(False))
     both = lines.withColumns({"listed": F.lit(True), "ok": F.lit(True)}).unionByName(seen.withColumns({"listed": F.lit(False), "ok": said}))
     prints = both.groupBy(*GROUP).agg(fingerprint(*line[3:], where=F.col("listed")).alias("a"), fingerprint(*line[3:], where=~F.col("listed")).alias("b"), F.bool_and("ok").alias("all_ok"))
@@ -140,10 +145,10 @@ def evict_gate(targets: DataFrame, chosen: DataFrame, man: DataFrame | None = No
         require(man, "the manifest", *GROUP, "rel", "digest")
         require(verified, "the verification", *GROUP, "rel", "status")
         out = targets.join(_unproved(chosen, man, verified, work).groupBy(*COLLECTION).agg(F.sum("n_failed").alias("n_failed")), COLLECTION, "left")
+    out = _kept(out, work, "judged")
     passed = F.coalesce(F.col("n_failed") == 0, F.lit(False))
     if not strict:
         return out.withColumn("passed", passed)
-    out = _kept(out, work, "judged")
     total = out.agg(F.coalesce(F.bool_and(passed), F.lit(True)).alias("_all"))  # one row
     return out.join(F.broadcast(total), F.lit(True)).withColumn("passed", F.col("_all")).drop("_all")
 

@@ -38,3 +38,31 @@ def test_lines_said_twice_count_once(spark):
 
 def test_merging_what_was_merged_needs_no_further_shuffle(spark, sf_dir):
     assert set(dealt(QUERIES["merged_twice"](spark, sf_dir))) == {"rel"}
+
+
+@pytest.mark.parametrize("name", ["evict_gate"])
+def test_gates_take_files_where_they_lie(spark, sf_dir, monkeypatch, name):
+    from fixity_spark.plans import retain
+
+    keys, keep = {}, retain._kept
+    monkeypatch.setattr(retain, "_kept", lambda df, work, name: (keys.setdefault(name, dealt(df)), keep(df, work, name))[1])
+    QUERIES[name](spark, sf_dir)
+    assert {"chosen", "targets", "alike", "open", "judged"} <= set(keys)
+    assert not [k for of in keys.values() for k in of if "rel" in k]
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+
+
+def test_more_files_make_more_parts_not_larger_ones(spark, sf_dir, monkeypatch):
+    from compare import both
+
+    from fixity_spark import fixtures
+    from fixity_spark.queries import ORACLES, Tables
+
+    monkeypatch.setattr(fixtures, "FILES_PER_TASK", 700)
+    files, parts = fixtures.files_dealt(spark, sf_dir)
+    sizes = [sum(1 for _ in rows) for rows in files.rdd.glom().collect()]
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    assert parts == len(sizes) == -(-lines // 700) and max(sizes) < 1000
+    assert Tables(spark, sf_dir, sized=True).manifest.rdd.getNumPartitions() == parts
+    ours, theirs = both(spark, sf_dir, QUERIES["evict_gate"], ORACLES["evict_gate"])
+    assert ours == theirs
