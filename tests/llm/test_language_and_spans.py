@@ -386,3 +386,25 @@ def test_plain_secrets_are_not_found_twice():
     assert secret_scan.decoded_spans(f"{SECRET} 100%25 done") == []
     two = f"{b64(SECRET)} and {b64(SECRET)}"
     assert len(secret_scan.decoded_spans(two)) == 2
+
+
+def test_thresholds_leave_out_no_score_and_do_not_depend_on_order():
+    from fixity_spark.llm.boosting import calibrate
+
+    # nine examples at the best score are enough, and one is
+    assert calibrate(np.array([1.0] * 9 + [0.0] * 50), np.array([1] * 9 + [0] * 50), 0.98) == 1.0
+    assert calibrate(np.array([1.0, 0.0, 0.0]), np.array([1, 0, 0]), 0.98) == 1.0
+    # right and wrong examples of one score: it is only half right, wherever they stand
+    score, y = np.array([2.0] * 30 + [1.0] * 40), np.array([1] * 30 + [0, 1] * 20)
+    rng = np.random.default_rng(5)
+    orders = [np.argsort(y, kind="stable"), np.argsort(-y, kind="stable"), *(rng.permutation(70) for _ in range(20))]
+    assert {calibrate(score[o], y[o], 0.98) for o in orders} == {2.0}
+    assert calibrate(np.array([1.0, 1.0]), np.array([0, 1]), 0.98) == np.inf == calibrate(np.array([]), np.array([], int), 0.98)
+    for _ in range(200):  # against the definition: the largest, over where a stretch begins, of the least mean of those that reach far enough
+        score, y = rng.integers(0, 8, 40).astype(float), rng.integers(0, 9, 40)
+        y = (y < score + 1).astype(int)
+        levels = np.unique(score)
+        mean = lambda a, b: y[(score >= a) & (score <= b)].mean()  # noqa: B023, E731
+        fit = {v: max(min(mean(a, b) for b in levels[levels >= v]) for a in levels[levels <= v]) for v in levels}  # noqa: B023
+        for precision in (0.6, 0.9, 1.0):
+            assert calibrate(score, y, precision) == min((v for v in levels if fit[v] >= precision - 1e-12), default=np.inf)
