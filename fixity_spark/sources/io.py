@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fixity_spark.functions.paths import visible
 from fixity_spark.functions.values import base_path, location_name
 from fixity_spark.operators.diff import drop_self_entry
-from fixity_spark.schema import CONFIG, PROBE
+from fixity_spark.schema import CONFIG, KEY, PROBE
 
 #: <root>/<year>/<slug>/<rel>
 _PLACE = r"/([0-9]{4})/([^/]+)/(.+)$"
@@ -17,7 +17,7 @@ _PLACE = r"/([0-9]{4})/([^/]+)/(.+)$"
 def _place(path: Column, encoded: bool = False) -> dict[str, Column]:
     """Year, slug and rel of a path; paths in _metadata are URL-encoded, others are not."""
     decoded = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))) if encoded else path
-    return {"year": F.nullif(F.regexp_extract(decoded, _PLACE, 1), F.lit("")).cast("int"), "slug": F.regexp_extract(decoded, _PLACE, 2), "rel": F.regexp_extract(decoded, _PLACE, 3)}
+    return {"year": F.regexp_extract(decoded, _PLACE, 1).try_cast("int"), "slug": F.regexp_extract(decoded, _PLACE, 2), "rel": F.regexp_extract(decoded, _PLACE, 3)}
 
 
 def read_inventory(spark: SparkSession, path: str, location: str) -> DataFrame:
@@ -45,20 +45,34 @@ def collection_files(inv: DataFrame, man: DataFrame) -> tuple[DataFrame, DataFra
 
 def parse_manifest_line(line: Column) -> Column:
     """Struct of digest and rel of a line; null where it holds no two spaces. The path may hold more of them."""
-    pair = F.split(line, "  ", 2)
-    return F.when(F.size(pair) == 2, F.struct(F.element_at(pair, 1).alias("digest"), F.element_at(pair, 2).alias("rel")))
+    gap = F.instr(line, "  ")
+    return F.when(gap > 0, F.struct(F.substring(line, F.lit(1), gap - 1).alias("digest"), F.substring(line, gap + 2, F.length(line)).alias("rel")))
 
 
-def read_manifests(spark: SparkSession, glob: str, location: str) -> DataFrame:
-    """Rows of the manifests that glob names, each at <year>/<slug>/; of a repeated path the last line holds.
+def _packed(digest: Column) -> Column:
+    """A digest in half its bytes where it is written as hex digits are, for the way through a shuffle."""
+    half = F.unhex(digest)  # null where other characters are in it
+    return F.when(F.lower(F.hex(half)) == digest, F.concat(F.lit(b"\x01"), half)).otherwise(F.concat(F.lit(b"\x00"), digest.cast("binary")))
+
+
+def _unpacked(packed: Column) -> Column:
+    rest = F.substring(packed, 2, 2**31 - 1)
+    return F.when(F.substring(packed, 1, 1) == F.lit(b"\x01"), F.lower(F.hex(rest))).otherwise(rest.cast("string"))
+
+
+def read_manifests(spark: SparkSession, glob: str, location: str, parts: int | None = None) -> DataFrame:
+    """Rows of the manifests that glob names, each at <year>/<slug>/; of a repeated path the last line holds. With parts,
+    the rows come dealt by path (KEY) to so many.
 
     A manifest of any size is read line by line, in as many tasks as its bytes make. Lines are in order of the byte where
     their task's part of the file begins, then of reading, so the last one is known without the file being in one place.
     """
     place = F.col("_metadata")
     lines = spark.read.option("lineSep", "\n").text(glob).select(parse_manifest_line(F.col("value")).alias("x"), place["file_path"].alias("path"), F.struct(place["file_block_start"].alias("at"), F.monotonically_increasing_id().alias("k")).alias("order"))
-    rows = lines.where("x IS NOT NULL").select(*[c.alias(k) for k, c in _place(F.col("path"), encoded=True).items() if k != "rel"], "x", "order")
-    last = rows.groupBy("year", "slug", F.col("x.rel").alias("rel")).agg(F.max_by("x.digest", "order").alias("digest"))
+    rows = lines.where("x IS NOT NULL").select(*[c.alias(k) for k, c in _place(F.col("path"), encoded=True).items() if k != "rel"], F.col("x.rel").alias("rel"), _packed(F.col("x.digest")).alias("digest"), "order")
+    # dealt before they are grouped: grouping them first would sort all lines and find next to nothing to merge
+    dealt = rows.repartition(*([] if parts is None else [parts]), *KEY)
+    last = dealt.groupBy(*KEY).agg(F.max_by("digest", "order").alias("digest")).withColumn("digest", _unpacked(F.col("digest")))
     return drop_self_entry(last.withColumn("location", F.lit(location)))
 
 

@@ -66,3 +66,32 @@ def test_more_files_make_more_parts_not_larger_ones(spark, sf_dir, monkeypatch):
     assert Tables(spark, sf_dir, sized=True).manifest.groupBy("rel").count().rdd.getNumPartitions() == parts
     ours, theirs = both(spark, sf_dir, QUERIES["evict_gate_unverified"], ORACLES["evict_gate_unverified"])
     assert ours == theirs
+
+
+def test_manifests_read_back_meet_the_files_where_both_are_dealt(spark, sf_dir, monkeypatch):
+    from compare import both
+
+    from fixity_spark import queries_sets
+    from fixity_spark.queries import ORACLES
+
+    keys = dealt(QUERIES["evict_from_files"](spark, sf_dir))
+    paths = [k for k in keys if "rel" in k]
+    assert set(paths) == {"year, slug, rel"} and len(paths) == 7  # the files, and the manifests of six locations
+    monkeypatch.setattr(queries_sets, "FILES_PER_TASK", 20)  # manifests of several files
+    made, text = [], queries_sets.move
+    monkeypatch.setattr(queries_sets, "move", lambda spark, old, new: (text(spark, old, new), made.append(len([n for n in queries_sets.folders(spark, new) if n.endswith(".gz")]))))
+    ours, theirs = both(spark, sf_dir, QUERIES["evict_from_files"], ORACLES["evict_from_files"])
+    assert ours == theirs and max(made) > 1
+
+
+def test_digests_of_any_form_come_back_as_they_were(spark, tmp_path):
+    from fixity_spark.sources import io
+
+    digests = ["ab12" * 16, "AB12" * 16, "ab1", "", "sha1:ab", "é", "0a" * 20_000]
+    folder = tmp_path / "2024" / "001_a"
+    folder.mkdir(parents=True)
+    (folder / "checksums.b3").write_text("".join(f"{d}  f{k}  x.mov\n" for k, d in enumerate(["other", *digests[1:]])) + f"{digests[0]}  f0  x.mov\nno line\n", encoding="utf-8")
+    read = io.read_manifests(spark, f"{tmp_path}/*/*/*", "A", parts=3)
+    assert read.rdd.getNumPartitions() == 3
+    got = read.collect()
+    assert sorted((r.year, r.slug, r.rel, r.location, r.digest) for r in got) == [(2024, "001_a", f"f{k}  x.mov", "A", d) for k, d in enumerate(digests)]
